@@ -7,12 +7,18 @@ from folioframe.functions import fixed_values as V
 from folioframe.functions import geometry as G
 from folioframe.functions import text as T
 from folioframe.operators import scans
-from folioframe.operators.ordering import PAGE
+from folioframe.operators.ordering import page_window
 from folioframe.sources.layout import PAGE_KEY
 
 ORDER = ["page", "ri"]
-_up = PAGE.orderBy("ri").rowsBetween(Window.unboundedPreceding, -1)
-_down = PAGE.orderBy("ri").rowsBetween(1, Window.unboundedFollowing)
+
+
+def _up():
+    return page_window().orderBy("ri").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _down():
+    return page_window().orderBy("ri").rowsBetween(1, Window.unboundedFollowing)
 
 
 def authors_after_title(rows: DataFrame) -> DataFrame:
@@ -28,7 +34,7 @@ def authors_after_title(rows: DataFrame) -> DataFrame:
     known = header & (T.is_body_section_name(text) | T.is_skip_section(text))
     prose = (F.col("role") == "paragraph") & (T.word_count("text") > 30) & ~T.is_dense_name_list("text")
     rows = rows.withColumn("title_page", F.coalesce("title.page", "top.page")).withColumn(
-        "floor", F.min(F.when(known | prose, F.col("y0"))).over(PAGE)
+        "floor", F.min(F.when(known | prose, F.col("y0"))).over(page_window())
     )
     in_band = F.when(F.col("floor").isNotNull(), (F.col("y0") + F.col("y1")) / 2 < F.col("floor")).otherwise(
         T.looks_like_author_line(text) | T.is_soft_noise(text)
@@ -66,7 +72,7 @@ def authors_after_title(rows: DataFrame) -> DataFrame:
 
 
 def with_layout_type(rows: DataFrame) -> DataFrame:
-    lo, hi = F.min("x0").over(PAGE), F.max("x1").over(PAGE)
+    lo, hi = F.min("x0").over(page_window()), F.max("x1").over(page_window())
     return rows.withColumns({"min_x0": lo, "max_x1": hi}).withColumn(
         "layout_type", G.layout_type(G.box(), F.col("min_x0"), F.col("max_x1"))
     )
@@ -99,8 +105,8 @@ def _covered_between(rows: DataFrame, counts) -> DataFrame:
     """
     mark = F.when(F.col("is_para"), F.struct(*G.Box._fields))
     rows = rows.withColumns({
-        "p_up": F.last(mark, True).over(_up), "p_down": F.first(mark, True).over(_down),
-        "gid": F.coalesce(F.sum(F.col("is_para").cast("int")).over(_up), F.lit(0)),
+        "p_up": F.last(mark, True).over(_up()), "p_down": F.first(mark, True).over(_down()),
+        "gid": F.coalesce(F.sum(F.col("is_para").cast("int")).over(_up()), F.lit(0)),
     })
     fills = counts & ~F.col("is_para") & F.col("p_up").isNotNull() & F.col("p_down").isNotNull()
     cover = F.when(fills, G.gap_cover(G.box_of("p_up"), G.box_of("p_down"), G.box())).otherwise(0.0)
@@ -137,11 +143,11 @@ def continuation_linear(rows: DataFrame) -> DataFrame:
 
 def continuation_pages(rows: DataFrame) -> DataFrame:
     """Set ``continuation`` of page paragraphs; every image of the page counts as something between."""
-    lo, hi = F.min("x0").over(PAGE), F.max("x1").over(PAGE)
+    lo, hi = F.min("x0").over(page_window()), F.max("x1").over(page_window())
     image = F.col("kind") == "image"
     rows = rows.withColumns({
         "min_x0": lo, "max_x1": hi, "is_para": (F.col("kind") == "block") & (F.col("role") == "paragraph"),
-        "images": F.collect_list(F.when(image, F.struct(*G.Box._fields))).over(PAGE),
+        "images": F.collect_list(F.when(image, F.struct(*G.Box._fields))).over(page_window()),
         "lh": F.greatest(F.lit(0.0), F.col("y1") - F.col("y0")),
     })
     rows = _covered_between(rows, ~image)
@@ -180,7 +186,7 @@ def bridge_display_math(rows: DataFrame, *lane: str) -> DataFrame:
 def clip_overlaps(rows: DataFrame) -> DataFrame:
     """Cut a block where the next block of its column begins. Cuts apply in reading order."""
     me = G.box()
-    peers = F.collect_list(F.struct("ri", "shelf", "x0", "x1")).over(PAGE)
+    peers = F.collect_list(F.struct("ri", "shelf", "x0", "x1")).over(page_window())
     earlier = F.filter("peers", lambda p: (p["ri"] < F.col("ri")) & (p["shelf"] == F.col("shelf")) & G.x_overlaps(
         G.Box(p["x0"], None, p["x1"], None), me))
     cuts = F.array_sort(F.filter("aims", lambda a: (a["target"] == F.col("ri")) & (a["y0"] >= F.col("y0"))))
@@ -188,7 +194,7 @@ def clip_overlaps(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("peers", peers)
         .withColumn("target", F.array_max(F.transform(earlier, lambda p: p["ri"])))
-        .withColumn("aims", F.collect_list(F.when(F.col("target").isNotNull(), F.struct("ri", "target", "y0"))).over(PAGE))
+        .withColumn("aims", F.collect_list(F.when(F.col("target").isNotNull(), F.struct("ri", "target", "y0"))).over(page_window()))
         .withColumn("y1", cut).drop("peers", "target", "aims")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import fixed_values as V
 from folioframe.functions import geometry as G
 from folioframe.functions import text as T
-from folioframe.operators.ordering import PAGE
+from folioframe.operators.ordering import page_window
 
 
 def footnote_font_scale(lh="lh", body_lh="body_lh") -> F.Column:
@@ -28,7 +28,7 @@ def attach_footnotes(rows: DataFrame, is_host, is_note, note_text="text", prefix
     hosts = F.collect_list(F.when(may_host, F.struct(
         F.col("ord").alias("ord"), F.col("text").alias("text"), F.col("sup").alias("sup"),
         *[getattr(host_box, c).alias(c) for c in G.Box._fields],
-    ))).over(PAGE)
+    ))).over(page_window())
     sym = T.leading_footnote_symbol(note_text)
     whole = F.when(F.size("lines") > 0, G.union_bbox("lines")).otherwise(F.struct("x0", "y0", "x1", "y1"))
     note_box = F.when(F.col("block_type") == "Footnote", whole).otherwise(F.struct("x0", "y0", "x1", "y1"))
@@ -54,7 +54,7 @@ def attach_footnotes(rows: DataFrame, is_host, is_note, note_text="text", prefix
         .withColumns({"sym": F.when(is_note, sym), "note_box": F.when(is_note, note_box)})
         .withColumn("earlier", F.when(F.col("sym") != "", earlier))
         .withColumn("hits", hits).withColumn("host", host)
-        .withColumn("notes", F.collect_list(F.when(F.col("host").isNotNull(), note)).over(PAGE))
+        .withColumn("notes", F.collect_list(F.when(F.col("host").isNotNull(), note)).over(page_window()))
     )
     mine = F.filter("notes", lambda n: n["host"] == F.col("ord"))
     tidy = F.transform(F.array_sort(F.transform(mine, lambda n: F.struct(

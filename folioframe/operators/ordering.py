@@ -9,7 +9,8 @@ from folioframe.functions import text as T
 from folioframe.operators import scans
 from folioframe.sources.layout import PAGE_KEY, span_of
 
-PAGE = Window.partitionBy(*PAGE_KEY)
+def page_window():
+    return Window.partitionBy(*PAGE_KEY)
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -17,16 +18,16 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
     Blocks that span the page divide it into zones; in a zone the left column is read before the right.
     """
-    b, lo, hi = G.box(), F.min("x0").over(PAGE), F.max("x1").over(PAGE)
+    b, lo, hi = G.box(), F.min("x0").over(page_window()), F.max("x1").over(page_window())
     mid = F.col("page_lo") + (F.col("page_hi") - F.col("page_lo")) / 2
     right = b.x1 - F.greatest(b.x0, mid) > F.least(b.x1, mid) - b.x0
-    down = PAGE.orderBy("y0", "seq", "part").rowsBetween(Window.unboundedPreceding, -1)
+    down = page_window().orderBy("y0", "seq", "part").rowsBetween(Window.unboundedPreceding, -1)
     barrier = G.spans_page(b, F.col("page_lo"), F.col("page_hi"))
     return (
         blocks.withColumns({"page_lo": lo, "page_hi": hi})
         .withColumn("lane", F.when(barrier, 2).when(right, 1).otherwise(0))
         .withColumn("zone", F.coalesce(F.sum((F.col("lane") == 2).cast("int")).over(down), F.lit(0)))
-        .withColumn("ord", F.row_number().over(PAGE.orderBy("zone", "lane", "y0", "seq", "part")) - 1)
+        .withColumn("ord", F.row_number().over(page_window().orderBy("zone", "lane", "y0", "seq", "part")) - 1)
         .drop("page_lo", "page_hi", "lane", "zone")
     )
 
@@ -39,14 +40,14 @@ def footnote_context(blocks: DataFrame) -> DataFrame:
     """Add ``lh``, ``body_lh`` and ``body_boxes``: what counts as body-size text on the page."""
     is_body = F.col("block_type").isin(V.BODY_TEXT_TYPES)
     heights = F.transform("lines", lambda x: x["y1"] - x["y0"])
-    page_heights = F.flatten(F.collect_list(F.when(is_body, heights)).over(PAGE))
+    page_heights = F.flatten(F.collect_list(F.when(is_body, heights)).over(page_window()))
     body_size = is_body & (F.col("body_lh") > 0) & (F.col("lh") > 0) & (
         F.col("lh") >= V.FOOTNOTE_FONT_RATIO * F.col("body_lh")
     )
     return (
         blocks.withColumn("lh", G.upper_median(heights))
         .withColumn("body_lh", G.upper_median(page_heights))
-        .withColumn("body_boxes", F.collect_list(F.when(body_size, line_box())).over(PAGE))
+        .withColumn("body_boxes", F.collect_list(F.when(body_size, line_box())).over(page_window()))
     )
 
 
@@ -65,7 +66,7 @@ def rescue_footnotes(blocks: DataFrame) -> DataFrame:
     me = G.box()
     text_boxes = F.collect_list(
         F.when(F.col("block_type").isin(V.TEXT_TYPES), F.struct("x0", "y0", "x1", "y1"))
-    ).over(PAGE)
+    ).over(page_window())
     lower = F.exists("text_boxes", lambda t: (t["y0"] > me.y0) & G.x_overlaps(me, G.box_of(t)))
     return (
         blocks.withColumn("text_boxes", text_boxes)

@@ -16,13 +16,15 @@ def doc_scan(df: DataFrame, order: list, inclusive: bool = False, **specs) -> Da
     """Add running values and totals of a document; ``order`` must ascend with the page.
 
     ``specs``: name -> (kind, column). Running kinds are "sum", "max" and "last" (last non-null value);
-    they count the current row only when ``inclusive``. "total_min", "total_max" and "total_sum" cover
+    they count the current row only when ``inclusive``. "next" is the first non-null value further down. "total_min", "total_max" and "total_sum" cover
     the whole document.
     """
     held = df.select("*", *[col.alias(f"_v_{n}") for n, (_, col) in specs.items()])
     inside = Window.partitionBy(*SPAN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     doc = Window.partitionBy("doc_id")
     before = doc.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*SPAN).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    after = doc.orderBy("span").rowsBetween(1, Window.unboundedFollowing)
     place = F.struct(*order)
     per_span, carried, local, final = [], [], [], []
     for n, (kind, _) in specs.items():
@@ -32,6 +34,11 @@ def doc_scan(df: DataFrame, order: list, inclusive: bool = False, **specs) -> Da
             per_span.append(fn(v).alias(c))
             carried.append(fn(c).over(doc).alias(c))
             final.append(F.col(c).alias(n))
+        elif kind == "next":
+            per_span.append(F.min_by(v, F.when(v.isNotNull(), place)).alias(c))
+            carried.append(F.first(c, True).over(after).alias(c))
+            local.append(F.first(v, True).over(below).alias(here))
+            final.append(F.coalesce(here, c).alias(n))
         elif kind == "last":
             per_span.append(F.max_by(v, F.when(v.isNotNull(), place)).alias(c))
             carried.append(F.last(c, True).over(before).alias(c))

@@ -17,10 +17,13 @@ from folioframe.operators.footnotes import attach_footnotes
 from folioframe.operators.sentences import build_sentences
 from folioframe.session import settle
 
-BEFORE = O.PAGE.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
 POS = ["page", "ord"]
 
 
+def _before():
+    return O.page_window().orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def judge(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Order the page and judge every block by itself and by its page."""
     b = blocks.repartition("doc_id", "span")
@@ -79,12 +82,12 @@ def walk(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame
     opens_body = F.col("h_named") & ~F.col("h_stop") & ~(has_abs & F.col("h_skip"))
     w = (
         w.withColumn("l_skip", has_abs & (F.coalesce("l_skip", F.lit(0)) == 1))
-        .withColumn("p_skip", has_abs & (F.coalesce(F.last("event", True).over(BEFORE), F.lit(0)) == 1))
+        .withColumn("p_skip", has_abs & (F.coalesce(F.last("event", True).over(_before()), F.lit(0)) == 1))
         .withColumn("heads", opens_body)
         .withColumn("masthead", (F.col("page") == 1) & has_abs & ~F.coalesce(
-            F.max(F.col("heads") & F.col("h_body")).over(BEFORE), F.lit(False)))
+            F.max(F.col("heads") & F.col("h_body")).over(_before()), F.lit(False)))
         .withColumn("is_title", F.col("heads") & (F.col("page") == 1) & ~F.coalesce(
-            F.max("heads").over(BEFORE), F.lit(False)))
+            F.max("heads").over(_before()), F.lit(False)))
     )
     for p in "pl":
         alive = F.col("is_text") & ~F.col(f"{p}_skip") & ~(has_abs & F.col("t_skip")) & F.col("t_solid")
@@ -136,7 +139,7 @@ def _fates(w: DataFrame) -> DataFrame:
         F.col("is_image"), T.image_role("bt")).otherwise(l_text_role))
     ).withColumn("abs_top", F.min(
         F.when(F.col("heads") & F.col("h_body") & F.col("h_abs") & F.col("p_live"), F.struct("ord", "y0"))
-    ).over(O.PAGE)["y0"]
+    ).over(O.page_window())["y0"]
     ).withColumn("p_stop_page", F.col("p_stop.page")
     ).withColumn("l_role", F.when(
         abs_valid & (F.col("l_role0") == "paragraph") & (F.col("page") == F.col("abs_hdr.page"))
@@ -165,7 +168,7 @@ def page_rows(w: DataFrame) -> DataFrame:
     linked = attach_footnotes(
         w, (F.col("p_kind") == "block") & (F.col("p_role") == "paragraph"), F.col("p_kind") == "note"
     )
-    ri = F.coalesce(F.sum(emitted.cast("int")).over(BEFORE), F.lit(0)).cast("int")
+    ri = F.coalesce(F.sum(emitted.cast("int")).over(_before()), F.lit(0)).cast("int")
     above = (F.col("p_kind") == "block") & F.col("abs_top").isNotNull() & (F.col("y1") <= F.col("abs_top") + 4)
     return (
         linked.withColumn("ri", ri).where(emitted & ~F.coalesce(above, F.lit(False)))
