@@ -245,7 +245,9 @@ def parse_model_json(rows: DataFrame, schema: str, body="body", finish="finish")
     empty = F.coalesce(F.col(body), F.lit("")) == ""
     cut = F.coalesce(F.col(finish), F.lit("")) != ""
     cut = cut & ~ended.isin("STOP", "1")
-    valid = F.is_valid_json(body) if hasattr(F, "is_valid_json") else F.get_json_object(body, "$").isNotNull()
+    # Followed by one more element, the body parses as an array of two only if it is one whole JSON value.
+    pair = F.from_json(F.concat(F.lit("["), F.col(body), F.lit(",0]")), "array<string>")
+    valid = F.coalesce(F.size(pair) == 2, F.lit(False))
     error = (
         F.when(empty, F.concat(F.lit("Empty response (finish_reason="), F.coalesce(finish, F.lit("None")), F.lit(")")))
         .when(cut, F.concat(F.lit("Response truncated (finish_reason="), F.col(finish), F.lit(")")))

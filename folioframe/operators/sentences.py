@@ -57,7 +57,13 @@ def flat_sentences(blocks: DataFrame, *keys: str) -> DataFrame:
 
 def phrase_boxes(sentence, term) -> F.Column:
     """Boxes of a term inside a sentence whose text is spread over its boxes by width."""
-    text, boxes, needle = sentence["text"], sentence["boxes"], F.regexp_replace(term, r"(?U)^\s+|\s+$", "")
+    held = F.struct(sentence["text"].alias("text"), sentence["boxes"].alias("boxes"), term.alias("term"))
+    # Bound as a lambda variable: the sentence is computed once, however it was made.
+    return F.get(F.transform(F.array(held), _phrase_boxes), F.lit(0))
+
+
+def _phrase_boxes(held) -> F.Column:
+    text, boxes, needle = held["text"], held["boxes"], F.regexp_replace(held["term"], r"(?U)^\s+|\s+$", "")
     at = F.instr(F.lower(text), F.lower(needle)) - 1
     size = F.greatest(F.length(text), F.lit(1))
 

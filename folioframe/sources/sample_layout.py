@@ -96,7 +96,7 @@ def layout_blocks(documents: DataFrame) -> DataFrame:
         body = F.struct(
             F.when(marked, F.regexp_replace(text, "†$", "")).otherwise(text).alias("text"),
             F.lit(False).alias("superscript"), math.alias("math"),
-            F.when(math, F.concat(F.lit("<math>"), F.upper(text), F.lit("</math>"))).otherwise(no_html).alias("html"),
+            F.when(math, F.concat(F.lit("<math>"), F.lower(text), F.lit("</math>"))).otherwise(no_html).alias("html"),
         )
         dagger = F.struct(
             F.lit("†").alias("text"), F.lit(True).alias("superscript"), F.lit(False).alias("math"), no_html.alias("html")
@@ -180,7 +180,7 @@ def recognized_lines(documents: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("doc_id", "page").orderBy("seq", "part", "j")
     text = F.when((F.col("doc_id") + F.col("ord")) % 7 == 0, " ").otherwise(
-        F.concat(F.lit("<i>rec</i> "), F.lower("line.text"))
+        F.concat(F.lit("<i>rec</i> "), F.col("line.text"))
     )
     return (
         lines.withColumn("ord", F.row_number().over(w) - 1)
