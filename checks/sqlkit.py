@@ -329,7 +329,7 @@ blk as (select p.doc_id, p.page, p.seq, 0 part, p.i, p.block_type, coalesce(l.te
   from plan p left join linesum l using (doc_id, page, seq) where (p.doc_id*3 + p.i) % 29 <> 0),
 lay as (select distinct doc_id, page, 600.0::double width, 800.0::double height from typed),
 drw as (
-  select doc_id, page, 0.0 x0, 0.0 y0, 600.0 x1, 800.0 y1, 'f' kind, [1.0,1.0,1.0] fill, null::double[] color from lay
+  select doc_id, page, 0::double x0, 0::double y0, 600::double x1, 800::double y1, 'f' kind, [1.0,1.0,1.0]::double[] fill, null::double[] color from lay
   union all select doc_id, page, 50, 660, 300, 661, 's', null, [0.0,0.0,0.0] from lay where (doc_id+page) % 3 = 0
   union all select doc_id, page, 50, y, 300, y+1, 's', null, [0.0,0.0,0.0] from lay, (values (600),(630),(674)) r(y) where (doc_id+page) % 3 = 1
   union all select doc_id, page, 50, 330, 290, 480, 'f', [0.9,0.9,0.9], null from lay where doc_id % 4 = 0

@@ -73,22 +73,26 @@ def skip_event() -> F.Column:
     return F.when(F.col("h_named") & ~F.col("h_stop"), F.col("h_skip").cast("int")).when(F.col("t_skip"), 1)
 
 
-def walk(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """Decide the fate of each block; the result is settled because both projections read it."""
-    w = settle(judge(blocks, drawings, pages))
-    w = w.withColumn("event", skip_event())
+def states(judged: DataFrame) -> DataFrame:
+    """Add what runs along the document: skipped regions, the masthead, the title."""
+    w = settle(judged).withColumn("event", skip_event())
     w = scans.doc_scan(w, POS, has_abs=("total_max", F.col("abs_here")), l_skip=("last", F.col("event")))
     has_abs = F.col("has_abs")
     opens_body = F.col("h_named") & ~F.col("h_stop") & ~(has_abs & F.col("h_skip"))
-    w = (
+    no = F.lit(False)
+    return (
         w.withColumn("l_skip", has_abs & (F.coalesce("l_skip", F.lit(0)) == 1))
         .withColumn("p_skip", has_abs & (F.coalesce(F.last("event", True).over(_before()), F.lit(0)) == 1))
         .withColumn("heads", opens_body)
         .withColumn("masthead", (F.col("page") == 1) & has_abs & ~F.coalesce(
-            F.max(F.col("heads") & F.col("h_body")).over(_before()), F.lit(False)))
-        .withColumn("is_title", F.col("heads") & (F.col("page") == 1) & ~F.coalesce(
-            F.max("heads").over(_before()), F.lit(False)))
+            F.max(F.col("heads") & F.col("h_body")).over(_before()), no))
+        .withColumn("is_title", F.col("heads") & (F.col("page") == 1) & ~F.coalesce(F.max("heads").over(_before()), no))
     )
+
+
+def walk(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """Decide the fate of each block; the result is settled because both projections read it."""
+    w, has_abs = states(judge(blocks, drawings, pages)), F.col("has_abs")
     for p in "pl":
         alive = F.col("is_text") & ~F.col(f"{p}_skip") & ~(has_abs & F.col("t_skip")) & F.col("t_solid")
         w = w.withColumn(f"{p}_alive", alive)
