@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlkit as K
 from checks.page_checks import CONTEXT, WALK
-from checks.registry import blocks, bronze, check
+from checks.registry import blocks, bronze, check, shared
 from checks.text_checks import LINE_SPANS, SENT_BOXES, sentences_sql
 from folioframe.functions import fixed_values as V
 from folioframe.functions import geometry as G
@@ -24,6 +24,7 @@ from folioframe.session import settle
 BOX = ["x0", "y0", "x1", "y1"]
 
 
+@shared
 def plain_linear(spark, sf_dir):
     """Linear rows of every block but dropped types: no filters, first header of a document as title."""
     b = O.reading_order(blocks(spark, sf_dir)).where(~F.col("block_type").isin(V.DROP_TYPES))
@@ -38,6 +39,7 @@ def plain_linear(spark, sf_dir):
         F.lit(False).alias("continuation"), F.lit("").alias("caption_text"), F.lit(None).cast(W.NO_BOX).alias("caption_bbox")))
 
 
+@shared
 def plain_pages(spark, sf_dir):
     """Page rows of every block but dropped types and headers."""
     b = O.reading_order(blocks(spark, sf_dir)).where(~F.col("block_type").isin("SectionHeader", *V.DROP_TYPES))
@@ -173,8 +175,9 @@ lflow as (select lp.*, coalesce(cont, false) continuation from lp left join lc u
 _SENTS = (sentences_sql("(select doc_id, page, seq, text from pl where talks)"), LINE_SPANS, SENT_BOXES, _PARA_LH)
 
 
+@shared
 def linear_flow(spark, sf_dir):
-    return C.continuation_linear(C.with_layout_type(plain_linear(spark, sf_dir)))
+    return settle(C.continuation_linear(C.with_layout_type(plain_linear(spark, sf_dir))))
 
 
 @check("continuation_linear", K.sql("select doc_id, page, ri, lt layout_type, continuation from lflow", PLAIN, *_SENTS, LINEAR_FLOW))
@@ -265,8 +268,9 @@ ch2 as (select *, sum((para and (pin or not continuation or not opn))::int) over
 ch as (select *, case when para or (eq and opn) then c::int end chain from ch2)"""
 
 
+@shared
 def chained(spark, sf_dir):
-    rows = settle(linear_flow(spark, sf_dir)).withColumns({
+    rows = linear_flow(spark, sf_dir).withColumns({
         "injected": F.lit(False), "allow_merges": (F.col("doc_id") + F.col("ri")) % 23 != 0})
     return settle(C.chain_ids(rows))
 
@@ -336,7 +340,7 @@ def chain_members(spark, sf_dir):
    window prv as (partition by doc_id order by ri rows between unbounded preceding and 1 preceding), nxt as (partition by doc_id order by ri rows between 1 following and unbounded following)))""",
    PLAIN, *_SENTS, LINEAR_FLOW))
 def floats_in_sequence(spark, sf_dir):
-    rows = settle(linear_flow(spark, sf_dir))
+    rows = linear_flow(spark, sf_dir)
     callout = (F.col("ri") % 9 == 4) & F.col("role").isin("caption", "code")
     return VW.sequence_floats(rows.withColumn("role", F.when(callout, "callout").otherwise(F.col("role"))))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.session import tune
+from folioframe.session import settle, tune
 from folioframe.sources import sample_layout
 from folioframe.sources.layout import read_layout
 
@@ -25,6 +25,19 @@ def check(name: str, oracle: str | None = None):
     return keep
 
 
+def shared(fn):
+    """Settled input of several queries, derived once per session and data folder."""
+    held: dict = {}
+
+    def get(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in held:
+            held[key] = fn(spark, sf_dir)
+        return held[key]
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,11 +46,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+@shared
 def bronze(spark: SparkSession, sf_dir: str) -> dict:
+    """Layout tables of the documents; the block table is stored first, as the output of a layout model is."""
     tables = sample_layout.bronze(documents(spark, sf_dir))
     tables.pop("recognized_lines")
+    tables["layout_blocks"] = settle(tables["layout_blocks"])
     return tables
 
 
+@shared
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_layout(sample_layout.layout_blocks(documents(spark, sf_dir)))
+    return settle(read_layout(sample_layout.layout_blocks(documents(spark, sf_dir))))

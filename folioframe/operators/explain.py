@@ -186,7 +186,7 @@ def align_explanations(answers: DataFrame) -> DataFrame:
 
     shown = F.filter(F.transform(every, card), lambda c: c.isNotNull())
     lost = F.filter(F.transform("items", lambda it, j: F.when(
-        ~F.array_contains("claims", j) & (F.size(valid_indices(it["indices"], n)) == 0),
+        (F.array_position("claims", j) == 0) & (F.size(valid_indices(it["indices"], n)) == 0),
         F.struct((n + j).alias("at"), j.alias("item"), it["indices"].alias("indices"), it["quote"].alias("quote"),
                  F.lit(False).alias("is_placeholder")))), lambda c: c.isNotNull())
     return (

@@ -12,13 +12,13 @@ from folioframe.plans.extract import extract_both
 from folioframe.sources.catalog import nest_analysis
 
 
-def analyze(bronze: dict, info: DataFrame, client_factory: Callable) -> DataFrame:
+def analyze(bronze: dict, info: DataFrame, client_factory: Callable, wait: bool = True) -> DataFrame:
     """Nested analyses of all documents. ``info``: doc_id, filename, language.
 
     A document whose map cannot be had is not part of the result, as a failed job leaves none.
     """
     x = extract_both(bronze)
     texts = C.full_text(x.page_rows.where("kind = 'block'"))
-    asked = E.score_requests(texts.withColumnRenamed("full_text", "prompt"), client_factory)
+    asked = E.score_requests(texts.withColumnRenamed("full_text", "prompt"), client_factory, wait=wait)
     maps = E.parse_model_json(asked, schemas.GLOBAL_MAP).where("parsed is not null").select("doc_id", F.col("parsed").alias("global_map"))
     return nest_analysis(x.pages, x.page_rows, x.linear, x.metadata, info.join(maps, "doc_id"))

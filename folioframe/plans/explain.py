@@ -38,12 +38,12 @@ def cards(answered: DataFrame) -> DataFrame:
     return E.align_explanations(answered.select("doc_id", "chain", "texts").join(solved, ["doc_id", "chain"]))
 
 
-def explain(linear: DataFrame, info: DataFrame, cache: DataFrame, client_factory: Callable) -> DataFrame:
+def explain(linear: DataFrame, info: DataFrame, cache: DataFrame, client_factory: Callable, wait: bool = True) -> DataFrame:
     """Cards of every chain. Equal requests are asked once; cached answers are not asked again."""
     asked = settle(requests(payloads(linear), info))
     unique = asked.groupBy("key").agg(F.min("prompt").alias("prompt"))
     _, todo = E.cache_lookup(unique, cache.select("key"))
-    fresh = E.score_requests(todo, client_factory).select("key", "body", "finish")
+    fresh = E.score_requests(todo, client_factory, wait=wait).select("key", "body", "finish")
     answers = cache.select("key", "body", "finish").unionByName(fresh)
     parsed = E.parse_model_json(asked.join(answers, "key"), schemas.EXPLAIN_RESPONSE)
     return cards(settle(parsed))
