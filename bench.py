@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from checks.answer_checks import _info, echo_client
+from checks.registry import documents
 from folioframe.operators import continuation as C
 from folioframe.plans import explain as PE
 from folioframe.plans import extract as X
@@ -34,8 +35,7 @@ def main():
         times[name] = round(time.time() - start, 2)
         return out
 
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
-    bronze = sample_layout.bronze(docs)
+    bronze = sample_layout.bronze(documents(spark, SF_DIR))
     bronze.pop("recognized_lines")
     bronze["layout_blocks"] = timed("layout_table", lambda: settle(bronze["layout_blocks"]))
 

@@ -43,7 +43,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents spread over all cores, however few files they come in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 @shared

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows are few bytes but much work: let small stages keep more tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.session.timeZone": "UTC",
     # Windows and joins on (doc_id, span, page) reuse the partitioning by (doc_id, span).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
