@@ -9,6 +9,7 @@ from folioframe import schemas
 from folioframe.functions import fixed_values as V
 from folioframe.functions import text as T
 from folioframe.operators.continuation import glued
+from folioframe.operators.merges import let
 from folioframe.operators.sentences import phrase_boxes
 
 SENTENCES = f"array<{schemas.SENTENCE}>"
@@ -308,14 +309,18 @@ def locate_fragment(items, fragment) -> F.Column:
     refs = F.filter(
         F.transform(items, lambda it, i: F.struct(i.alias("i"), _norm(it["quote"]).alias("q"), F.coalesce(it["forced"], F.lit(False)).alias("f"))),
         lambda r: ~r["f"] & (r["q"] != ""))
-    target = _norm(fragment)
-    at = F.when(target != "", F.instr(F.array_join(F.transform(refs, lambda r: r["q"]), " "), target) - 1).otherwise(-1)
 
-    def hit(r, k):
-        start = F.aggregate(F.slice(refs, 1, k), F.lit(0), lambda a, x: a + F.length(x["q"]) + 1)
-        return F.when((at >= 0) & (at < start + F.length(r["q"])) & (at + F.length(target) > start), r["i"])
+    def covered(held):
+        quotes, target = held["refs"], held["target"]
+        at = F.when(target != "", F.instr(F.array_join(F.transform(quotes, lambda r: r["q"]), " "), target) - 1).otherwise(-1)
 
-    return F.filter(F.transform(refs, hit), lambda i: i.isNotNull())
+        def hit(r, k, pos):
+            start = F.aggregate(F.slice(quotes, 1, k), F.lit(0), lambda a, x: a + F.length(x["q"]) + 1)
+            return F.when((pos >= 0) & (pos < start + F.length(r["q"])) & (pos + F.length(target) > start), r["i"])
+
+        return let(at, lambda pos: F.filter(F.transform(quotes, lambda r, k: hit(r, k, pos)), lambda i: i.isNotNull()))
+
+    return let(F.struct(refs.alias("refs"), _norm(fragment).alias("target")), covered)
 
 
 def concepts_distinct(existing, new) -> F.Column:
@@ -324,8 +329,7 @@ def concepts_distinct(existing, new) -> F.Column:
     return F.filter(new, lambda c: ~F.array_contains(have, F.lower(F.coalesce(c["term"], F.lit("")))))
 
 
-def _by_appearance(concepts, quote):
-    hay = F.lower(_norm(quote))
+def _by_appearance(concepts, hay):
     keyed = F.transform(concepts, lambda c, i: F.struct(
         F.when(F.instr(hay, F.lower(_norm(c["term"]))) > 0, F.instr(hay, F.lower(_norm(c["term"])))).otherwise(2**31 - 1).alias("at"),
         i.alias("i"), c.alias("c")))
@@ -335,31 +339,52 @@ def _by_appearance(concepts, quote):
 CARD = f"struct<sentence_indices:array<int>,quote:string,concepts:array<{schemas.CONCEPT}>,forced:boolean,is_placeholder:boolean>"
 
 
+def _fused(touched, new) -> F.Column:
+    """One card from the covered ones: indices united, quotes joined, concepts distinct and in order."""
+    lower = lambda c: F.lower(F.coalesce(c["term"], F.lit("")))
+    single = F.size(touched) == 1
+    none = F.slice(new, 1, 0)
+
+    def dedup(old):
+        def by_term(terms):
+            return F.filter(F.transform(old, lambda c, i: F.when(
+                single | (F.array_position(terms, lower(c)) == i + 1), c)), lambda c: c.isNotNull())
+
+        return let(F.transform(old, lower), by_term)
+
+    def card(quote, kept):
+        united = F.array_sort(F.array_distinct(F.flatten(F.transform(
+            touched, lambda t: F.coalesce(t["sentence_indices"], _empty("array<int>"))))))
+        ordered = let(F.lower(_norm(quote)), lambda hay: _by_appearance(F.concat(kept, concepts_distinct(kept, new)), hay))
+        return F.struct(
+            F.when(single, F.get(touched, F.lit(0))["sentence_indices"]).otherwise(united).alias("sentence_indices"),
+            quote.alias("quote"), ordered.alias("concepts"), F.lit(False).alias("forced"), F.lit(False).alias("is_placeholder"))
+
+    quote = F.array_join(F.transform(touched, lambda t: t["quote"]), " ")
+    old = F.flatten(F.transform(touched, lambda t: F.coalesce(t["concepts"], none)))
+    return let(let(old, dedup), lambda kept: let(quote, lambda q: card(q, kept)))
+
+
 def inject_concepts(cards: DataFrame) -> DataFrame:
     """Put ``new_concepts`` found in ``fragment`` on the card(s) it covers; adds ``covered``, replaces ``items``.
 
     Several covered cards become one; without a covered card the concepts get a card at the end.
     """
-    first = F.array_min("covered")
-    touched = F.transform("covered", lambda i: F.get("items", i))
-    single = F.size("covered") == 1
-    union = F.array_sort(F.array_distinct(F.flatten(F.transform(touched, lambda t: F.coalesce(t["sentence_indices"], _empty("array<int>"))))))
-    quote = F.array_join(F.transform(touched, lambda t: t["quote"]), " ")
-    old = F.flatten(F.transform(touched, lambda t: F.coalesce(t["concepts"], F.slice("new_concepts", 1, 0))))
-    lowered = F.transform(old, lambda c: F.lower(F.coalesce(c["term"], F.lit(""))))
-    deduped = F.filter(F.transform(old, lambda c, i: F.when(
-        F.array_position(lowered, F.lower(F.coalesce(c["term"], F.lit("")))) == i + 1, c)), lambda c: c.isNotNull())
-    kept = F.when(single, old).otherwise(deduped)
-    fused = F.struct(
-        F.when(single, F.get(touched, F.lit(0))["sentence_indices"]).otherwise(union).alias("sentence_indices"),
-        quote.alias("quote"), _by_appearance(F.concat(kept, concepts_distinct(kept, F.col("new_concepts"))), quote).alias("concepts"),
-        F.lit(False).alias("forced"), F.lit(False).alias("is_placeholder"))
     trailing = F.struct(
         _empty("array<int>").alias("sentence_indices"), F.col("fragment").alias("quote"), F.col("new_concepts").alias("concepts"),
         F.lit(True).alias("forced"), F.lit(False).alias("is_placeholder"))
-    rebuilt = F.filter(F.transform("items", lambda it, i: F.when(i == first, fused).when(~F.array_contains("covered", i), it)), lambda c: c.isNotNull())
-    return cards.withColumn("covered", locate_fragment(F.col("items"), F.col("fragment"))).withColumn(
-        "items", F.when(F.size("covered") == 0, F.concat("items", F.array(trailing))).otherwise(rebuilt).cast(f"array<{CARD}>"))
+
+    def rebuilt(covered):
+        touched = F.transform(covered, lambda i: F.get("items", i))
+        return let(let(touched, lambda t: _fused(t, F.col("new_concepts"))), lambda card: F.filter(F.transform(
+            "items", lambda it, i: F.when(i == F.array_min(covered), card).when(~F.array_contains(covered, i), it)), lambda c: c.isNotNull()))
+
+    def renewed(covered):
+        items = F.when(F.size(covered) == 0, F.concat("items", F.array(trailing))).otherwise(rebuilt(covered))
+        return F.struct(covered.alias("covered"), items.cast(f"array<{CARD}>").alias("items"))
+
+    out = cards.withColumn("_new", let(locate_fragment(F.col("items"), F.col("fragment")), renewed))
+    return out.withColumns({"covered": F.col("_new.covered"), "items": F.col("_new.items")}).drop("_new")
 
 
 def concept_boxes(cards: DataFrame) -> DataFrame:

@@ -93,10 +93,10 @@ def layout_blocks(documents: DataFrame) -> DataFrame:
         math = (F.col("block_type") == "TextInlineMath") & (j % 2 == 0)
         marked = (j == F.col("n_lines") - 1) & F.col("text").endswith(" and †") & (d % 2 == 0)
         no_html = F.lit(None).cast("string")
+        plain = F.when(marked, F.regexp_replace(text, "†$", "")).otherwise(text)
         body = F.struct(
-            F.when(marked, F.regexp_replace(text, "†$", "")).otherwise(text).alias("text"),
-            F.lit(False).alias("superscript"), math.alias("math"),
-            F.when(math, F.concat(F.lit("<math>"), F.lower(text), F.lit("</math>"))).otherwise(no_html).alias("html"),
+            plain.alias("text"), F.lit(False).alias("superscript"), math.alias("math"),
+            F.when(math, F.concat(F.lit("<math>"), F.lower(plain), F.lit("</math>"))).otherwise(no_html).alias("html"),
         )
         dagger = F.struct(
             F.lit("†").alias("text"), F.lit(True).alias("superscript"), F.lit(False).alias("math"), no_html.alias("html")
