@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlkit as K
 from checks.page_checks import CONTEXT, WALK
-from checks.registry import blocks, bronze, check, shared
+from checks.registry import blocks, bronze, check, documents, shared
 from checks.text_checks import LINE_SPANS, SENT_BOXES, sentences_sql
 from folioframe.functions import fixed_values as V
 from folioframe.functions import geometry as G
@@ -401,3 +401,20 @@ def emitted_boxes(spark, sf_dir):
     return D.emitted_boxes(plain_pages(spark, sf_dir), plain_linear(spark, sf_dir)).select("doc_id", "page", *BOX)
 
 
+
+
+@check("nested_and_flat_again", K.sql("""select doc_id, page, ri, kind, "role", case when kind = 'image' then '' else text end text, x0, y0, x1, y1 from pp
+   union all select doc_id, page, ri, 'linear', "role", text, x0, y0, x1, y1 from pl""", PLAIN))
+def nested_and_flat_again(spark, sf_dir):
+    """One nested record per document, taken apart again: nothing is lost."""
+    from folioframe import schemas
+    from folioframe.sources import catalog, sample_layout
+
+    pages, rows = plain_pages(spark, sf_dir), plain_linear(spark, sf_dir)
+    docs = documents(spark, sf_dir)
+    info = docs.select("doc_id", F.lit("f").alias("filename"), F.lit(None).cast("string").alias("language"), F.lit(None).cast(schemas.GLOBAL_MAP).alias("global_map"))
+    none = rows.where("1 = 0").withColumns({"seq": F.lit(0), "part": F.lit(0), "source_type": F.lit("")})
+    linear = rows.withColumns({"flat_block_ref": F.lit(None).cast("int"), "layout_type": F.lit(None).cast("string")})
+    flat = catalog.flatten_analysis(catalog.nest_analysis(sample_layout.layout_pages(docs), pages, linear, none, info))
+    cols = _key("kind", "role", "text", *BOX)
+    return flat["page_rows"].select(cols).unionByName(flat["linear"].withColumn("kind", F.lit("linear")).select(cols))

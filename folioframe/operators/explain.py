@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from folioframe import schemas
 from folioframe.functions import fixed_values as V
 from folioframe.functions import text as T
+from folioframe.functions.arrays import let, running_starts
 from folioframe.operators.continuation import glued
-from folioframe.operators.merges import let
 from folioframe.operators.sentences import phrase_boxes
 
 SENTENCES = f"array<{schemas.SENTENCE}>"
@@ -107,38 +107,43 @@ def _literal(sentences, quote):
 
     Normalising is additive over sentences, so lengths tell where each sentence lies in the whole.
     """
-    norms = F.transform(sentences, lambda s: T.normalize_for_match(F.concat(s, F.lit(" "))))
-    whole = T.normalize_for_match(F.array_join(sentences, " "))
-    wanted = T.normalize_for_match(quote)
-    at = F.when(wanted != "", F.instr(whole, wanted) - 1).otherwise(-1)
-    last = at + F.length(wanted) - 1
+    lengths = F.transform(sentences, lambda s: F.length(T.normalize_for_match(F.concat(s, F.lit(" ")))))
+    whole, wanted = T.normalize_for_match(F.array_join(sentences, " ")), T.normalize_for_match(quote)
+    found = F.when(wanted != "", F.instr(whole, wanted) - 1).otherwise(-1)
+    held = F.struct(found.alias("at"), (found + F.length(wanted) - 1).alias("last"), running_starts(lengths).alias("starts"))
 
-    def covers(s, k):
-        start = F.aggregate(F.slice(norms, 1, k), F.lit(0), lambda a, x: a + F.length(x))
-        return F.when((at < start + F.length(T.normalize_for_match(s))) & (last >= start), k)
+    def covered(h):
+        def hit(s, k):
+            start = F.get(h["starts"], k)
+            return F.when((h["at"] < start + F.length(T.normalize_for_match(s))) & (h["last"] >= start), k)
 
-    return F.when(at >= 0, F.filter(F.transform(sentences, covers), lambda k: k.isNotNull()))
+        return F.when(h["at"] >= 0, F.filter(F.transform(sentences, hit), lambda k: k.isNotNull()))
+
+    return let(held, covered)
 
 
 def _window(sentences, source, declared):
     """Smallest run of at most five sentences with 60 % of the meaningful words, declared ones first."""
-    words = T.significant_words(source)
-    norms = F.transform(sentences, T.normalize_for_match)
-    need = F.ceil(F.size(words) * 0.6)
-    starts = F.sequence(F.lit(0), F.size(sentences) - 1)
-
-    def of(s):
-        def run(d):
-            text = F.slice(norms, s + 1, d + 1)
-            hits = F.size(F.filter(words, lambda w: F.exists(text, lambda t: F.contains(t, w))))
-            near = F.exists(declared, lambda i: (i >= s) & (i <= s + d))
-            fits = (s + d < F.size(sentences)) & (hits >= need)
-            return F.when(fits, F.struct((~near).cast("int").alias("far"), d.alias("d"), (-hits).alias("h"), s.alias("s")))
-
-        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(4)), run), lambda x: x.isNotNull())
-
-    best = F.array_min(F.flatten(F.transform(starts, of)))
-    return F.when((F.size(words) > 0) & best.isNotNull(), F.sequence(best["s"], best["s"] + best["d"]))
+    held = F.struct(
+        T.significant_words(source).alias("words"), F.transform(sentences, T.normalize_for_match).alias("norms"), declared.alias("declared"))
+
+    def best_of(h):
+        need = F.ceil(F.size(h["words"]) * 0.6)
+
+        def of(s):
+            def run(d):
+                text = F.slice(h["norms"], s + 1, d + 1)
+                hits = F.size(F.filter(h["words"], lambda w: F.exists(text, lambda t: F.contains(t, w))))
+                near = F.exists(h["declared"], lambda i: (i >= s) & (i <= s + d))
+                return F.struct((~near).cast("int").alias("far"), d.alias("d"), (-hits).alias("h"), s.alias("s"))
+
+            room = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda d: s + d < F.size(h["norms"]))
+            return F.filter(F.transform(room, run), lambda x: -x["h"] >= need)
+
+        starts = F.sequence(F.lit(0), F.size(h["norms"]) - 1)
+        return F.when(F.size(h["words"]) > 0, F.array_min(F.flatten(F.transform(starts, of))))
+
+    return let(let(held, best_of), lambda b: F.when(b.isNotNull(), F.sequence(b["s"], b["s"] + b["d"])))
 
 
 def resolve_sentences(items: DataFrame) -> DataFrame:

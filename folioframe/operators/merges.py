@@ -11,17 +11,13 @@ from pyspark.sql import functions as F
 from folioframe.functions import fixed_values as V
 from folioframe.functions import geometry as G
 from folioframe.functions import text as T
+from folioframe.functions.arrays import let
 from folioframe.operators import scans
 from folioframe.sources.layout import PAGE_KEY
 
 BOX = "x0:double,y0:double,x1:double,y1:double"
 
 
-def let(value, body) -> F.Column:
-    """Evaluate ``value`` once and hand it to ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def gather(rows: DataFrame, keys: list, keep) -> DataFrame:
     """One row per group with its rows as the array ``arr`` in reading order; ``keep`` filters groups."""
     fields = ["ri"] + [c for c in rows.columns if c not in (*keys, "ri")]

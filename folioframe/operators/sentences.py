@@ -4,49 +4,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import fixed_values as V
+from folioframe.functions.arrays import let, running_starts
 
 
 def sentence_spans(text) -> F.Column:
     """array<struct<text, start, stop>>: trimmed sentences with character offsets."""
     t = F.col(text) if isinstance(text, str) else text
-    pieces, gaps = F.split(t, V.SENTENCE_BOUNDARY), F.regexp_extract_all(t, F.lit(V.SENTENCE_BOUNDARY), F.lit(0))
+    cut = F.struct(
+        F.split(t, V.SENTENCE_BOUNDARY).alias("pieces"),
+        F.regexp_extract_all(t, F.lit(V.SENTENCE_BOUNDARY), F.lit(0)).alias("gaps"))
 
-    def width(parts):
-        return F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.length(p))
+    def placed(c):
+        widths = F.transform(c["pieces"], lambda p, k: F.length(p) + F.coalesce(F.length(F.get(c["gaps"], k)), F.lit(0)))
 
-    def span(piece, k):
-        start = width(F.slice(pieces, 1, k)) + width(F.slice(gaps, 1, k))
-        body = F.regexp_replace(piece, r"(?U)^\s+", "")
-        lead = F.length(piece) - F.length(body)
-        return F.struct(body.alias("text"), (start + lead).alias("start"), (start + F.length(piece)).alias("stop"))
+        def spans(starts):
+            def span(piece, k):
+                body, start = F.regexp_replace(piece, r"(?U)^\s+", ""), F.get(starts, k)
+                return F.struct(
+                    body.alias("text"), (start + F.length(piece) - F.length(body)).alias("start"),
+                    (start + F.length(piece)).alias("stop"))
 
-    return F.filter(F.transform(pieces, span), lambda s: s["text"] != "")
+            return F.filter(F.transform(c["pieces"], span), lambda s: s["text"] != "")
 
+        return let(running_starts(widths), spans)
 
-def sentence_boxes(lines, start, stop) -> F.Column:
-    """Boxes of a character range: each line's width is spread evenly over its characters."""
+    return let(cut, placed)
+
+
+def placed_lines(lines) -> F.Column:
+    """Lines with ``at``, the offset of each in the joined text."""
     lines = F.col(lines) if isinstance(lines, str) else lines
+    starts = running_starts(F.transform(lines, lambda x: F.length(x["text"]) + 1))
+    return let(starts, lambda at: F.transform(lines, lambda x, k: x.withField("at", F.get(at, k))))
+
+
+def sentence_boxes(lines, start, stop) -> F.Column:
+    """Boxes of a character range on placed lines: a line's width is spread evenly over its characters."""
 
-    def clip(line, k):
-        before = F.aggregate(F.slice(lines, 1, k), F.lit(0), lambda acc, x: acc + F.length(x["text"]) + 1)
-        n = F.length(line["text"])
-        lo, hi = F.greatest(start, before), F.least(stop, before + n)
+    def clip(line):
+        n, at = F.length(line["text"]), line["at"]
+        lo, hi = F.greatest(start, at), F.least(stop, at + n)
         step = (line["x1"] - line["x0"]) / n
-        return F.when(hi > lo, F.struct(
-            F.round(line["x0"] + (lo - before) * step, 2).alias("x0"), F.round(line["y0"], 2).alias("y0"),
-            F.round(line["x0"] + (hi - before) * step, 2).alias("x1"), F.round(line["y1"], 2).alias("y1"),
-        ))
+        return F.struct(
+            F.round(line["x0"] + (lo - at) * step, 2).alias("x0"), F.round(line["y0"], 2).alias("y0"),
+            F.round(line["x0"] + (hi - at) * step, 2).alias("x1"), F.round(line["y1"], 2).alias("y1"))
 
-    return F.filter(F.transform(lines, clip), lambda b: b.isNotNull())
+    met = F.filter(lines, lambda x: (x["at"] < stop) & (x["at"] + F.length(x["text"]) > start))
+    return F.transform(met, clip)
 
 
 def build_sentences(text="text", lines="lines") -> F.Column:
     """array<struct<text, boxes>>; a sentence that covers no line is dropped."""
-    placed = F.transform(
-        sentence_spans(text),
-        lambda s: F.struct(s["text"].alias("text"), sentence_boxes(lines, s["start"], s["stop"]).alias("boxes")),
-    )
-    return F.filter(placed, lambda s: F.size(s["boxes"]) > 0)
+
+    def over(ls):
+        placed = F.transform(sentence_spans(text), lambda s: F.struct(
+            s["text"].alias("text"), sentence_boxes(ls, s["start"], s["stop"]).alias("boxes")))
+        return F.filter(placed, lambda s: F.size(s["boxes"]) > 0)
+
+    return let(placed_lines(lines), over)
 
 
 def flat_sentences(blocks: DataFrame, *keys: str) -> DataFrame:
