@@ -6,6 +6,7 @@ from folioframe.llm.exact_dedup import exact_duplicates
 from folioframe.llm.packing import pack
 from folioframe.llm.registry import query, table
 from folioframe.llm.sharding import shard_documents
+from folioframe.llm.token_files import token_digest
 
 DEDUP_SQL = r"""
 with n as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') s from documents)
@@ -25,6 +26,13 @@ def exact_dedup(spark, sf_dir):
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
+@query("op9_token_files")
+def token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op10_packing")
 def packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
