@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from folioframe.llm.exact_dedup import exact_duplicates
+from folioframe.llm.language import identify_documents
 from folioframe.llm.packing import pack
 from folioframe.llm.registry import query, table
 from folioframe.llm.sharding import shard_documents
 from folioframe.llm.token_files import token_digest
+from folioframe.llm.topk import top_k, usable, whole_numbers
 
 DEDUP_SQL = r"""
 with n as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') s from documents)
@@ -15,6 +17,23 @@ from n window g as (partition by s order by length(t) desc, doc_id nulls last ro
 """
 
 
+TOPK_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
+select query_id, "rank", vec_id, score from r where "rank" <= 5
+"""
+
+
+@query("op2_topk", TOPK_SQL)
+def topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    vectors = vectors.select(F.col("vec_id").alias("id"), whole_numbers(F.col("embedding")).alias("v"))
+    found = top_k(vectors.where("id % 50 = 0"), vectors)
+    return found.select(F.col("id").alias("query_id"), "rank", F.col("other").alias("vec_id"), "score")
+
+
 @query("op6_sharding")
 def sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -36,3 +55,8 @@ def token_files(spark, sf_dir):
 @query("op10_packing")
 def packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language")
+def language(spark, sf_dir):
+    return identify_documents(table(spark, sf_dir, "documents"))
