@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +17,28 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this library's code to the executors once per application, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{os.path.basename(top)}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings of a session that runs these operators; set by the queries and the pipeline, not by the operators."""
+    """Code and settings for a session that runs these operators; set by the queries and the pipeline, not by the operators."""
+    ship(spark)
     for key, value in {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

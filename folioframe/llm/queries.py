@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.exact_dedup import exact_duplicates
 from folioframe.llm.language import identify_documents
+from folioframe.llm.near_dedup import near_duplicates
 from folioframe.llm.packing import pack
 from folioframe.llm.registry import query, table
 from folioframe.llm.sharding import shard_documents
@@ -17,6 +18,11 @@ from n window g as (partition by s order by length(t) desc, doc_id nulls last ro
 """
 
 
+@query("op1_near_dedup")
+def near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 TOPK_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
