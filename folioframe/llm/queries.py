@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.exact_dedup import exact_duplicates
 from folioframe.llm.language import identify_documents
+from folioframe.llm.mixing import mix
 from folioframe.llm.near_dedup import near_duplicates
 from folioframe.llm.packing import pack
 from folioframe.llm.registry import query, table
@@ -40,6 +41,12 @@ def topk(spark, sf_dir):
     return found.select(F.col("id").alias("query_id"), "rank", F.col("other").alias("vec_id"), "score")
 
 
+@query("op5_mixing")
+def mixing(spark, sf_dir):
+    found = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "tokens", "p", "rate", "copies")
+
+
 @query("op6_sharding")
 def sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
