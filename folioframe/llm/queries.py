@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.exact_dedup import exact_duplicates
 from folioframe.llm.language import identify_documents
+from folioframe.llm.licenses import findings_sql, license_findings
 from folioframe.llm.mixing import mix
 from folioframe.llm.near_dedup import near_duplicates
 from folioframe.llm.packing import pack
@@ -41,6 +42,11 @@ def topk(spark, sf_dir):
     return found.select(F.col("id").alias("query_id"), "rank", F.col("other").alias("vec_id"), "score")
 
 
+@query("op4_licenses", findings_sql())
+def licenses(spark, sf_dir):
+    return license_findings(table(spark, sf_dir, "documents"))
+
+
 @query("op5_mixing")
 def mixing(spark, sf_dir):
     found = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
