@@ -10,6 +10,7 @@ from folioframe.llm.near_dedup import near_duplicates
 from folioframe.llm.packing import pack
 from folioframe.llm.registry import query, table
 from folioframe.llm.sharding import shard_documents
+from folioframe.llm.token_counts import apply_edits, with_trees
 from folioframe.llm.token_files import token_digest
 from folioframe.llm.topk import top_k, usable, whole_numbers
 
@@ -42,6 +43,26 @@ def topk(spark, sf_dir):
     return found.select(F.col("id").alias("query_id"), "rank", F.col("other").alias("vec_id"), "score")
 
 
+def document_edits():
+    """Three edits of every document: its source over some characters inside, some characters taken from its start, its language at its end."""
+    place = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    edit = lambda at, removed, added: F.struct(at.cast("long").alias("place"), removed.cast("long").alias("removed"), added.cast("string").alias("added"))
+    length = F.coalesce(F.length("text"), F.lit(0))
+    return F.array(edit(place % (length + 1), place % 64, F.concat(F.lit(" "), "source", F.lit(", "))),
+                   edit(F.lit(0), place % 16, F.lit("")), edit(length + 100, F.lit(0), F.concat(F.lit("\n"), "lang")))
+
+
+@query("op3_token_counts")
+def token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", document_edits().alias("edits"))
+    counted = apply_edits(with_trees(docs, *ranks), *ranks)
+    return counted.select("doc_id", F.col("before").alias("tokens_before"), F.col("after").alias("tokens_after"), F.col("encoded").alias("chars_encoded"),
+                          F.length("text").cast("long").alias("chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 @query("op4_licenses", findings_sql())
 def licenses(spark, sf_dir):
     return license_findings(table(spark, sf_dir, "documents"))
