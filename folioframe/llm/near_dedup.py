@@ -13,7 +13,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import drop, mix, stage, word_hashes
@@ -23,6 +23,7 @@ ENTRIES, ROWS = 48, 2
 _SEED = (mix(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint32)
 _TOP = np.iinfo(np.uint32).max
 _STEP = 2048
+BINS = 128
 
 
 def shingles(text: str | None, k: int = K) -> np.ndarray:
@@ -189,24 +190,43 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(some.dropDuplicates(["key"]).join(wanted, "key").select("uid", "text"))
 
 
-def _rare(texts: DataFrame) -> DataFrame:
-    """uid, rare: the k-mers of a text that no other of these texts has. Two k-mers with one hash count as shared, which only lowers it."""
+def _profiles(texts: DataFrame) -> DataFrame:
+    """uid, n (k-mers) and shared: how many k-mers that another of these texts has too fall into each of ``BINS`` bins.
+
+    Two texts have no more in common than the sums of the smaller counts of their bins. Different k-mers with one hash count as
+    shared, which only raises the sums, so the bound holds.
+    """
     def run(batches):
         for batch in batches:
             for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
                 marks = labelled(shingles(text)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), uid)), pa.array(marks)], names=["uid", "mark"])
 
-    marks = texts.mapInArrow(run, "uid long, mark long")
-    once = marks.groupBy("mark").agg(F.count("*").alias("n"), F.min("uid").alias("uid")).where("n = 1")
-    return once.groupBy("uid").agg(F.count("*").alias("rare"))
+    def total(batches):
+        for batch in batches:
+            bins = [np.bincount(labelled(shingles(t)).astype(np.int64) & (BINS - 1), minlength=BINS) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([b.tolist() for b in bins], pa.list_(pa.int32()))], names=["uid", "bins"])
+
+    once = texts.mapInArrow(run, "uid long, mark long").groupBy("mark").agg(F.count("*").alias("n"), F.min("uid").alias("uid")).where("n = 1")
+    own = once.groupBy("uid").agg(F.collect_list(F.col("mark").bitwiseAND(BINS - 1).cast("int")).alias("own"))
+    every = texts.mapInArrow(total, "uid long, bins array<int>").join(own, "uid", "left")
+
+    def less(batches):
+        for batch in batches:
+            bins = np.array(batch.column("bins").to_pylist(), dtype=np.int64).reshape(-1, BINS)
+            n = bins.sum(axis=1)
+            left = [b - np.bincount(o, minlength=BINS) if o else b for b, o in zip(bins, batch.column("own").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(n), pa.array([x.tolist() for x in left], pa.list_(pa.int32()))], names=["uid", "n", "shared"])
+
+    found = every.mapInArrow(less, "uid long, n long, shared array<int>")
+    return found.withColumn("s", F.aggregate("shared", F.lit(0).cast("long"), lambda x, y: x + y))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are alike."""
+    """The pairs (a, b, and what else they hold: from, to) whose texts are alike."""
     left = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "from", "to", "text_a", "text_b")
 
     def run(batches):
         held: OrderedDict = OrderedDict()
@@ -222,40 +242,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             columns = [batch.column(c) for c in ("a", "b", "text_a", "text_b")]
             good = [alike(of(a.as_py(), s.as_py()), of(b.as_py(), t.as_py()), similarity) for a, b, s, t in zip(*columns)]
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in columns[:2]], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b", "from", "to")], names=["a", "b", "from", "to"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, `from` long, `to` long")
 
 
-def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """Stage table uid, comp: the smallest uid that links (a, b) and earlier components reach, without a driver-side graph.
+def components(links: DataFrame) -> DataFrame:
+    """Stage table uid, comp: the smallest uid that links (a, b) reach, without a driver-side graph.
 
     Each turn takes the smallest component among the neighbours and then jumps to that one's component, so
     long chains shorten by half or more; turns end when nothing changes.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if before is not None:
-        held = before.where("uid != comp")
-        both = both.unionByName(held.select(F.col("uid").alias("a"), F.col("comp").alias("b"))).unionByName(held.select(F.col("comp").alias("a"), F.col("uid").alias("b")))
-    edges = stage(both.distinct())
-    state = stage(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("uid"), F.least("a", "b").alias("comp")))
+    edges = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = edges.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.col("uid")).alias("comp"))
+    before = None
     while True:
         near = edges.join(state.select(F.col("uid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("uid")).agg(F.min("comp").alias("near"))
-        least = stage(state.join(near, "uid").select("uid", "comp", F.least("comp", "near").alias("least")))
+        least = state.join(near, "uid").select("uid", "comp", F.least("comp", "near").alias("least"))
         jump = least.select(F.col("uid").alias("least"), F.col("least").alias("far"))
-        newer = stage(least.join(jump, "least", "left").select("uid", F.least("least", F.coalesce("far", "least")).alias("comp"), F.col("comp").alias("old")))
-        changed = newer.where("comp != old").limit(1).count()
-        drop(state)
-        drop(least)
-        state = newer
-        if not changed:
+        state = stage(least.join(jump, "least").select("uid", F.col("far").alias("comp"), F.col("comp").alias("old")))
+        if before is not None:
+            drop(before)
+        before = state
+        if state.where("comp != old").isEmpty():
             drop(edges)
             return state.select("uid", "comp")
+        state = state.select("uid", "comp")
 
 
-def _possible(similarity: float, n: Column, s: Column, m: Column, t: Column) -> Column:
-    """Whether texts of n and m k-mers, s and t of them shared with any other text, can be alike."""
-    return F.least(s, t) * (1 + similarity) >= (n + m) * similarity - 1e-6
+def _common(x: str, y: str) -> Column:
+    """An upper bound on the k-mers that two profiles have in common."""
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.least(u, v)), F.lit(0).cast("long"), lambda t, v: t + v)
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -279,50 +296,58 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     return placed.join(groups, "comp").select("doc_id", "text_hash", F.col("first.id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.r")).alias("kept"))
 
 
-def _links(docs: DataFrame, unique: DataFrame, similarity: float) -> DataFrame:
-    """uid, comp for the texts that have links."""
+def _links(docs: DataFrame, unique: DataFrame, similarity: float, leaders: int = 512) -> DataFrame:
+    """uid, comp for the texts that have links.
+
+    In the first round every bucket compares its texts with one leader. In the next rounds, buckets whose texts are not
+    all of one component compare across components: the texts take turns as leaders, about ``leaders`` of a bucket at a time, until each has been
+    one. So no candidate pair of different components is left out, and none is listed twice in a round.
+    """
     each = unique.select("uid", F.explode("bands").alias("band"))
     several = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     members = stage(each.join(several, "band"))
     texts = _texts(docs, unique.select("uid", "key").join(members.select("uid").distinct(), "uid"))
-    rare = stage(_rare(texts))
-    slim = stage(unique.select("uid", "n").join(members.select("uid").distinct(), "uid").join(rare, "uid", "left").select(
-        "uid", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("s")))
     # A text that has too many k-mers of its own for even the shortest text of a bucket can have no link there.
-    placed = members.join(slim, "uid").where(F.col("s") >= F.col("n") * similarity - 1e-6)
-    shortest = placed.groupBy("band").agg(F.min("n").alias("least"), F.count("*").alias("size")).where("size > 1")
-    placed = placed.join(shortest, "band").where(_possible(similarity, F.col("n"), F.col("s"), F.col("least"), F.col("s")))
-    # Leaders in order: those that share most come first, since most others are like them.
-    order = F.struct(((F.col("n") - F.col("s")) * 1000 / F.col("n")).cast("int").alias("own"), F.col("uid").alias("uid"))
-    active = stage(placed.select("band", "uid", "n", "s", order.alias("place")))
-    comp, tested, last, take = None, None, None, 1
+    placed = members.join(_profiles(texts), "uid").where(F.col("s") >= F.col("n") * similarity - 1e-6)
+    shortest = placed.groupBy("band").agg(F.min("n").alias("least"))
+    placed = placed.join(shortest, "band").where(F.col("s") * (1 + similarity) >= (F.col("n") + F.col("least")) * similarity - 1e-6).drop("least")
+    active = stage(placed.withColumn("comp", F.col("uid")))
+    moved = unique.limit(0).select("uid", F.col("uid").alias("comp"))
+    comp = None
+    # The first leader is the text that shares most: most others are like it.
+    order = F.struct(((F.col("n") - F.col("s")) * 1000 / F.col("n")).cast("int").alias("own"), F.col("uid").alias("uid"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("shared").alias("theirs"))
+    turn = 0
     while True:
-        ahead = active if last is None else active.join(last, "band", "left").where(F.col("last").isNull() | (F.col("place") > F.col("last")))
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("place"))
-        leaders = stage(ahead.withColumn("rank", rank).where(F.col("rank") <= take).select(
-            "band", F.col("uid").alias("lead"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("place").alias("at"), *(["comp"] if comp is not None else [])))
-        if comp is not None:
-            leaders = leaders.withColumnRenamed("comp", "lead_comp")
-        pairs = active.join(leaders, "band").where((F.col("uid") != F.col("lead")) & _possible(similarity, F.col("n"), F.col("s"), F.col("m"), F.col("t")))
-        if comp is not None:
-            pairs = pairs.where("comp != lead_comp")
-        pairs = pairs.select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = stage(_verified(pairs, texts, similarity))
-        comp = components(links, comp)
-        # Buckets with texts of several components go on with their next leaders, until none is left.
-        ends = leaders.groupBy("band").agg(F.max("at").alias("new"))
-        last = ends.withColumnRenamed("new", "last") if last is None else last.join(ends, "band", "full").select("band", F.coalesce("new", "last").alias("last"))
-        last = stage(last)
-        named = active.select("band", "uid", "n", "s", "place").join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-        open_ = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("place").alias("end")).where("lo < hi").join(last, "band").where("end > last").select("band")
-        active = stage(named.join(open_, "band"))
+        if turn == 0:
+            lead = active.groupBy("band").agg(F.min(order).alias("x")).select("band", F.col("x.uid").alias("lead"), F.col("x.uid").alias("lead_comp"), "x.m", "x.t", "x.theirs")
+        else:
+            lead = active.where(F.pmod(F.xxhash64("uid"), F.col("turns")) == turn - 1).select(
+                "band", F.col("uid").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("shared").alias("theirs"))
+        need = (F.col("n") + F.col("m")) * similarity - 1e-6
+        able = (F.least("s", "t") * (1 + similarity) >= need) & (_common("shared", "theirs") * (1 + similarity) >= need)
+        right = lead.withColumnRenamed("band", "lead_band")
+        met = active.join(right, (F.col("band") == F.col("lead_band")) & (F.col("comp") != F.col("lead_comp")) & able)
+        ends = F.when(F.col("uid") < F.col("lead"), F.struct(F.col("uid").alias("a"), F.col("lead").alias("b"), F.col("comp").alias("from"), F.col("lead_comp").alias("to"))).otherwise(
+            F.struct(F.col("lead").alias("a"), F.col("uid").alias("b"), F.col("lead_comp").alias("from"), F.col("comp").alias("to")))
+        pairs = stage(met.select(ends.alias("p")).distinct().select("p.*"))
+        links = None if pairs.isEmpty() else stage(_verified(pairs, texts, similarity))
+        if links is not None and not links.isEmpty():
+            # Links join components; what had a component keeps it under the new name.
+            comp = components(links.select(F.col("from").alias("a"), F.col("to").alias("b")))
+            renamed = comp.select(F.col("uid").alias("comp"), F.col("comp").alias("new"))
+            known = moved.join(renamed, "comp", "left").select("uid", F.coalesce("new", "comp").alias("comp"))
+            moved = stage(known.unionByName(comp.join(moved.select("uid"), "uid", "left_anti")))
+            active = active.join(renamed, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+        turn += 1
+        state = active.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+        turns = F.col("turns") if turn > 1 else F.ceil(F.col("size") / leaders).cast("long")
+        if turn > 1:
+            active = active.drop("turns").join(state.join(active.select("band", "turns").distinct(), "band").where((F.col("lo") < F.col("hi")) & (F.col("turns") >= turn)).select("band", "turns"), "band")
+        else:
+            active = active.join(state.where("lo < hi").select("band", turns.alias("turns")), "band")
+        active = stage(active)
         if active.isEmpty():
-            return comp
-        take = min(512, take * 8)
+            return moved
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
