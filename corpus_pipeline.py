@@ -16,7 +16,8 @@ from folioframe.llm.packing import pack
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; what the classifier rejects goes, as does a text that is null or has no letter."""
     prepare(spark)
-    return identify(docs, learn_languages(docs), docs.columns).where("not rejected").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return identify(rows, learn_languages(docs), ["row"]).where("not rejected").select("row.*")
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: each document as often as its copies say, perhaps not at all."""
     prepare(spark)
     found = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("copies > 0")
-    copies = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("copies").alias("_copies"))
-    rows = docs.withColumn("_text", F.xxhash64("text")).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    copies = found.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.join(copies, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

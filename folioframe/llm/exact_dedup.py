@@ -78,8 +78,8 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` named by ``kept`` (doc_id, text_hash), each once, with all their columns."""
-    wanted = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """The rows of ``docs`` named by ``kept`` (doc_id, text_hash), each once, with all their columns, whatever their names."""
+    wanted = kept.select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_semi")
+    return found.dropDuplicates(["id", "hash"]).select("row.*")

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioframe.llm.common import arrow_rows, code_points, stage
 
@@ -137,8 +138,11 @@ def _cluster(vectors: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return centers.astype(np.float32)
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, most_languages: int = 200, margin: float = 0.7) -> Model:
-    """Learn from labelled rows (doc_id, text, lang; none null): a sample of at most ``per_language`` rows for each of at most ``most_languages``."""
+def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, most_languages: int = 200, margin: float = 0.5, enough: int = 50) -> Model:
+    """Learn from labelled rows (doc_id, text, lang; none null): a sample of at most ``per_language`` rows for each of at most ``most_languages``.
+
+    The bound for rejection is ``margin`` times the least cosine of sampled rows of nearly the same length, where there are ``enough``.
+    """
     def features(batch: pa.RecordBatch) -> dict:
         counts = gram_counts(batch.column("text").to_pylist())
         return {"lang": batch.column("lang"), "counts": [np.minimum(c, 65535).astype("<u2").tobytes() for c in counts]}
@@ -177,16 +181,17 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, most_
     for r in {r["lang"]: r for r in found}.values():
         least = np.minimum(least, np.frombuffer(r["least"]))
         number += np.frombuffer(r["rows"], dtype=np.int64)
-    # A length class with few labelled rows takes the bound of the nearest shorter one that has enough.
+    # A length class with few sampled rows takes the bound of the nearest shorter one that has enough.
     bound, held = np.zeros(_LENGTHS), 0.0
     for c in range(_LENGTHS):
-        held = least[c] * margin if number[c] >= 20 else held
+        near = [k for k in (c - 1, c, c + 1) if 0 <= k < _LENGTHS and number[k]]
+        held = margin * least[near].min() if number[c] >= enough else held
         bound[c] = held
     centers = np.array([np.frombuffer(r["center"], dtype=np.float32) for r in found]).reshape(len(found), PLACES)
     return Model([r["lang"] for r in found], centers, idf, bound)
 
 
-_PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+_PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -196,14 +201,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    kept = [f for f in rows.schema if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, rejected boolean"
+    schema = T.StructType([*rows.schema.fields[:-1], *_PREDICTED])
 
     def run(batches):
         for batch in batches:
-            found = held.value.predict(batch.column("_text").to_pylist())
-            columns = [batch.column(f.name) for f in kept] + [pa.array(found[f.name], f.type) for f in _PREDICTED]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + _PREDICTED.names)
+            found = held.value.predict(batch.column(len(keep)).to_pylist())
+            columns = [*batch.columns[: len(keep)], pa.array(found["lang_pred"], pa.string()), pa.array(found["score"], pa.float64()), pa.array(found["rejected"], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -150,7 +150,7 @@ def attach_edits(treed: DataFrame, edits: DataFrame) -> DataFrame:
     """Put the edits (doc_id, seq, place, removed, added) of each document, in the order of ``seq``, into the column ``edits``."""
     lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "place", "removed", "added"))).alias("edits"))
     lists = lists.select("doc_id", F.transform("edits", lambda e: F.struct(e["place"].alias("place"), e["removed"].alias("removed"), e["added"].alias("added"))).alias("edits"))
-    return treed.join(lists, "doc_id", "left")
+    return treed.drop("edits").join(lists, "doc_id", "left")
 
 
 def apply_edits(treed: DataFrame, path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
