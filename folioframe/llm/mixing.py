@@ -128,17 +128,26 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return stage(made.select(F.monotonically_increasing_id().alias("rid"), "*"))
 
 
-def _rate(moves: list[np.ndarray], most: float) -> Column:
-    """The rate of a document after these moves: each goes against the gradient and back into [0, most]."""
+def _rates(moves: list[np.ndarray], most: float) -> Column:
+    """The rate of a document after these moves, and the one before.
+
+    A move holds how far to go on in the last direction, and the gradient there; the rate goes against it and back into [0, most].
+    """
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("prev"))
     if not moves:
-        return F.lit(1.0)
-    k = len(moves[0])
+        return start
+    k = len(moves[0]) - 1
     turns = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in moves])
-    inner = lambda m: sum((m[j] * F.col("p")[j] for j in range(1, k)), m[0] * F.col("p")[0])
-    return F.aggregate(turns, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r - inner(m))))
+
+    def step(x, m):
+        slope = sum((m[j + 1] * F.col("p")[j] for j in range(1, k)), m[1] * F.col("p")[0])
+        new = x["r"] + m[0] * (x["r"] - x["prev"]) - slope
+        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), new)).alias("r"), x["r"].alias("prev"))
+
+    return F.aggregate(turns, start, step)
 
 
-def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 4.0, turns: int = 30, close: float = 1e-3) -> tuple[Column, np.ndarray]:
+def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 4.0, turns: int = 60, close: float = 1e-3) -> tuple[Column, np.ndarray]:
     """The rate of each row (tokens, p), and the expected share of each domain that the rates reach.
 
     The targets are ``weights`` times all tokens. Gradients are measured in the metric of the expected
@@ -154,13 +163,19 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     metric = np.array([[total[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / total["total"]
     inverse = np.linalg.inv(metric + 1e-6 * np.eye(k))
     moves: list[np.ndarray] = []
+    age, last = 1.0, np.inf
     while True:
-        sums = rows.select("tokens", "p", _rate(moves, most).alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * F.col("p")[j]).alias(f"s{j}") for j in range(k)]).first()
-        shares = np.array([sums[f"s{j}"] for j in range(k)]) / total["total"]
+        at = rows.select("tokens", "p", _rates(moves, most).alias("x"))
+        sums = at.agg(*[F.sum(F.col("tokens") * F.col("x")[f] * F.col("p")[j]).alias(f"{f}{j}") for f in ("r", "prev") for j in range(k)]).first()
+        shares, before = (np.array([sums[f"{f}{j}"] for j in range(k)]) / total["total"] for f in ("r", "prev"))
         if np.abs(shares - goal).max() <= close or len(moves) == turns:
-            return _rate(moves, most), shares
-        # In this metric a whole step never overshoots: documents at a bound can only make the step shorter.
-        moves.append(inverse @ (shares - goal))
+            return _rates(moves, most)["r"], shares
+        loss = float((shares - goal) @ inverse @ (shares - goal))
+        # A whole step never overshoots in this metric. Going on in the last direction speeds it up, and stops where the loss has risen.
+        age = 1.0 if loss > last else age
+        older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+        on, last = (older - 1) / age, loss
+        moves.append(np.concatenate(([on], inverse @ (shares + on * (shares - before) - goal))))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, **options) -> DataFrame:
