@@ -299,9 +299,10 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 def _links(docs: DataFrame, unique: DataFrame, similarity: float, leaders: int = 512) -> DataFrame:
     """uid, comp for the texts that have links.
 
-    In the first round every bucket compares its texts with one leader. In the next rounds, buckets whose texts are not
-    all of one component compare across components: the texts take turns as leaders, about ``leaders`` of a bucket at a time, until each has been
-    one. So no candidate pair of different components is left out, and none is listed twice in a round.
+    In the first round every bucket compares its texts with one leader. From then on, buckets whose texts are not
+    all of one component compare across components: first a quarter of the buckets, since texts that are alike meet in many, and then all of
+    them. The texts take turns as leaders, about ``leaders`` of a bucket at a time, until each has been one; so no candidate pair
+    of different components is left out.
     """
     each = unique.select("uid", F.explode("bands").alias("band"))
     several = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
@@ -321,7 +322,8 @@ def _links(docs: DataFrame, unique: DataFrame, similarity: float, leaders: int =
         if turn == 0:
             lead = active.groupBy("band").agg(F.min(order).alias("x")).select("band", F.col("x.uid").alias("lead"), F.col("x.uid").alias("lead_comp"), "x.m", "x.t", "x.theirs")
         else:
-            lead = active.where(F.pmod(F.xxhash64("uid"), F.col("turns")) == turn - 1).select(
+            some = active if turn > 1 else active.where(F.pmod(F.xxhash64("band"), F.lit(4)) == 0)
+            lead = some.where(F.pmod(F.xxhash64("uid"), F.col("turns")) == max(0, turn - 2)).select(
                 "band", F.col("uid").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("shared").alias("theirs"))
         need = (F.col("n") + F.col("m")) * similarity - 1e-6
         able = (F.least("s", "t") * (1 + similarity) >= need) & (_common("shared", "theirs") * (1 + similarity) >= need)
@@ -342,7 +344,7 @@ def _links(docs: DataFrame, unique: DataFrame, similarity: float, leaders: int =
         state = active.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
         turns = F.col("turns") if turn > 1 else F.ceil(F.col("size") / leaders).cast("long")
         if turn > 1:
-            active = active.drop("turns").join(state.join(active.select("band", "turns").distinct(), "band").where((F.col("lo") < F.col("hi")) & (F.col("turns") >= turn)).select("band", "turns"), "band")
+            active = active.drop("turns").join(state.join(active.select("band", "turns").distinct(), "band").where((F.col("lo") < F.col("hi")) & (F.col("turns") > max(0, turn - 2))).select("band", "turns"), "band")
         else:
             active = active.join(state.where("lo < hi").select("band", turns.alias("turns")), "band")
         active = stage(active)
