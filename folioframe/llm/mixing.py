@@ -40,17 +40,22 @@ def places(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Multinomial logistic regression on the presence of chosen places: the row of each place in ``weights`` (-1: none), weights, bias."""
+    """Multinomial logistic regression on the presence of chosen places.
+
+    The row of each place in ``weights`` (-1: none), weights, bias, and which domains had labelled documents; the others have no posterior.
+    """
 
     row: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray
 
     def posteriors(self, texts: list[str | None]) -> np.ndarray:
         out = np.tile(self.bias, (len(texts), 1))
         for i, t in enumerate(texts):
             at = self.row[places(t)]
             out[i] += self.weights[at[at >= 0]].sum(axis=0)
+        out = np.where(self.seen, out, -np.inf)
         out = np.exp(out - out.max(axis=1, keepdims=True))
         return out / out.sum(axis=1, keepdims=True)
 
@@ -85,7 +90,7 @@ def _fit(at: list[np.ndarray], domain: np.ndarray, most_places: int, turns: int,
         g = x.T @ (p / p.sum(axis=1, keepdims=True) - y) / n + decay * w
         power += g * g
         w -= 0.5 * g / np.sqrt(power)
-    return Classifier(row, w[:-1], w[-1])
+    return Classifier(row, w[:-1], w[-1], held > 0)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = 4000, most_places: int = 512, turns: int = 200, decay: float = 1e-4) -> Classifier:
@@ -107,7 +112,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = 4000, most_pl
     near = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), F.col("domain").cast("int").alias("domain"), "text")
     rows = near.mapInArrow(extract, "h long, domain int, at array<long>").orderBy("h", "domain").limit(most).toArrow()
     if not rows.num_rows:
-        return Classifier(np.full(PLACES, -1, dtype=np.int32), np.zeros((0, len(DOMAINS))), np.zeros(len(DOMAINS)))
+        return Classifier(np.full(PLACES, -1, dtype=np.int32), np.zeros((0, len(DOMAINS))), np.zeros(len(DOMAINS)), np.ones(len(DOMAINS), dtype=bool))
     at = rows.column("at").combine_chunks()
     ends = at.offsets.to_numpy()[1:-1] - at.offsets[0].as_py()
     return _fit(np.split(at.flatten().to_numpy(), ends), rows.column("domain").to_numpy(), most_places, turns, decay)
@@ -152,7 +157,8 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
     The targets are ``weights`` times all tokens. Gradients are measured in the metric of the expected
     membership counts (a small matrix summed over all rows), so domains that resemble each other
-    converge as fast as others. Turns end when no share is off by more than ``close``, or after ``turns``.
+    converge as fast as others. Turns end when no share is off by more than ``close``, when five turns have not lowered the squared error by a
+    thousandth (targets that cannot be reached are met as far as least squares can), or after ``turns``.
     """
     k = len(weights)
     goal = np.array(weights) / sum(weights)
@@ -163,24 +169,28 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     metric = np.array([[total[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / total["total"]
     inverse = np.linalg.inv(metric + 1e-6 * np.eye(k))
     moves: list[np.ndarray] = []
-    age, last = 1.0, np.inf
+    age, losses = 1.0, [np.inf]
     while True:
         at = rows.select("tokens", "p", _rates(moves, most).alias("x"))
         sums = at.agg(*[F.sum(F.col("tokens") * F.col("x")[f] * F.col("p")[j]).alias(f"{f}{j}") for f in ("r", "prev") for j in range(k)]).first()
         shares, before = (np.array([sums[f"{f}{j}"] for j in range(k)]) / total["total"] for f in ("r", "prev"))
-        if np.abs(shares - goal).max() <= close or len(moves) == turns:
-            return _rates(moves, most)["r"], shares
         loss = float((shares - goal) @ inverse @ (shares - goal))
+        stalled = len(losses) > 5 and losses[-5] - loss <= 1e-3 * losses[-5]
+        if np.abs(shares - goal).max() <= close or stalled or len(moves) == turns:
+            return _rates(moves, most)["r"], shares
         # A whole step never overshoots in this metric. Going on in the last direction speeds it up, and stops where the loss has risen.
-        age = 1.0 if loss > last else age
+        age = 1.0 if loss > losses[-1] else age
         older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
-        on, last = (older - 1) / age, loss
+        on = (older - 1) / age
+        losses.append(loss)
         moves.append(np.concatenate(([on], inverse @ (shares + on * (shares - before) - goal))))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, **options) -> DataFrame:
     """Rates and copies of ``docs`` (doc_id, text; further columns are ignored) that bring the domains to ``weights``.
 
+    A domain without labelled documents takes no part; the weights of the others keep their proportions.
+
     Returns a row per row: doc_id, text_hash, tokens, p (posterior of each domain, in the order of ``DOMAINS``), rate, copies:
     the whole part of the rate, and one more with the chance of the rest, drawn by a hash of the row's id and text.
     A null text counts as empty; a text without tokens weighs nothing, and gets a rate like any other. Repeated rows get the same rate
@@ -188,7 +198,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS
     """
     model = fit_classifier(docs, labels)
     rows = posteriors(docs, model)
-    rate, _ = fit_rates(rows, weights, **options)
+    rate, _ = fit_rates(rows, tuple(w if s else 0.0 for w, s in zip(weights, model.seen)), **options)
     draw = F.xxhash64("doc_id", "text_hash").cast("double") / 2.0**64 + 0.5
     out = stage(rows.select("doc_id", "text_hash", "tokens", "p", rate.alias("rate")))
     return out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
