@@ -1,175 +1,156 @@
-"""Merges against a direct, one-page-at-a-time rendition of their rules, on random pages."""
+"""Merges: cases worked out by hand, and what must hold on any page."""
 
 import random
-import re
+from collections import Counter, defaultdict
 
 import pytest
 from rows import row, table
 
 from folioframe.operators import merges as M
 
-CAPTION, SUB, SOURCE, NOTE = re.compile(r"(Figure|Table) \d+\."), re.compile(r"\([a-c]\)"), re.compile(r"Source:"), re.compile(r"Note\.")
-TEXTS = ["Plain body text here.", "Figure 3. A caption.", "Table 2. Another caption.", "(a) left panel", "(b) right panel", "Source: the office", "Note. Means only.", "More prose follows."]
+KINDS = ["Plain body text {}.", "Figure 3. Shape {}.", "Table 2. Values {}.", "(a) left part {}", "(b) right part {}", "Source: office {}", "Note. Means {}.", "More prose {}."]
+VISUAL = ("figure", "table")
 
 
-def overlap(a, b, lo, hi):
-    return max(0.0, min(a[hi], b[hi]) - max(a[lo], b[lo])) / max(1e-6, min(a[hi] - a[lo], b[hi] - b[lo]))
+def page(rng, doc, number, first):
+    """Rows of one page, each text different from all others."""
+    out, y = [], 50.0
+    for ri in range(first, first + rng.randint(2, 9)):
+        role = rng.choice(["figure", "figure", "table", "paragraph", "paragraph", "caption", "equation"])
+        x, h, w = rng.choice([50.0, 50.0, 310.0]), rng.choice([12.0, 60.0, 120.0]), rng.choice([240.0, 500.0])
+        text = "" if role in VISUAL else rng.choice(KINDS).format(f"{doc}x{ri}")
+        out.append(row(role, text, x, y, x + w, y + h, ri, page=number, doc=doc))
+        y += rng.choice([-20.0, 14.0, 14.0, 70.0])
+    return out
 
 
-def join(*boxes):
-    return [min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)]
+@pytest.fixture(scope="module")
+def corpus():
+    rng, out = random.Random(11), []
+    for doc in range(60):
+        ri = 0
+        for number in range(1, rng.randint(2, 6)):
+            rows = page(rng, doc, number, ri)
+            ri += len(rows)
+            out += rows
+    return out
 
 
-def panel_fits(u, b):
-    stacked = overlap(u, b, 0, 2) >= 0.35
-    h, gap = min(u[3] - u[1], b[3] - b[1]), b[1] - u[3]
-    stacked = stacked and -0.5 * h <= gap <= max(48.0, 0.75 * h) and b[3] > u[3] + 2
-    w, away = min(u[2] - u[0], b[2] - b[0]), b[0] - u[2]
-    return stacked or (overlap(u, b, 1, 3) >= 0.4 and -2 <= away <= max(48.0, 0.75 * w))
+def box(r):
+    return (r["x0"], r["y0"], r["x1"], r["y1"])
 
 
-def is_caption(r):
-    return r["role"] == "caption" or (r["role"] == "paragraph" and bool(CAPTION.match(r["text"])))
+def hull(boxes):
+    xs = list(zip(*boxes))
+    return (min(xs[0]), min(xs[1]), max(xs[2]), max(xs[3]))
 
 
-def captions(items, by_number):
-    """Expected rows. ``by_number``: neighbours are found by ``ri`` (pages), else by place (linear)."""
-    gone, result = set(), {r["ri"]: dict(r) for r in items}
-    place = {r["ri"]: r for r in items} if by_number else dict(enumerate(items))
-    for at, fig in list(place.items()):
-        if fig["role"] not in ("figure", "table") or fig["ri"] in gone:
+def check_parts(corpus, result, takes):
+    """Every text is left once or used once, by its own document; owners cover their parts and nothing else moves."""
+    before = {(r[0], r[2]): r for r in corpus}
+    by_text = {r[5]: r for r in corpus if r[5]}
+    used, left = Counter(), Counter()
+    gone = set(before) - {(r["doc_id"], r["ri"]) for r in result}
+    panels = defaultdict(list)
+    for key in gone:
+        if before[key][4] in VISUAL:
+            panels[key[0]].append(before[key])
+    for r in result:
+        old = before[r["doc_id"], r["ri"]]
+        lines = [t for t in (r["caption_text"] or "").split("\n") if t]
+        if not lines and box(r) == old[6:10]:
+            assert (r["role"], r["text"]) == (old[4], old[5])
+            left.update([old[5]] if old[5] else [])
             continue
-        above = None
-        for back in (1, 2) if by_number else (1,):
-            c = place.get(at - back)
-            if c and c["ri"] not in gone and c["kind"] == "block" and is_caption(c):
-                above = c
-                break
-        u, texts, panels, below, src, label, k = list(fig["box"]), [], [], None, False, False, at + 1
-        while (r := place.get(k)) and r["ri"] not in gone:
-            closed = below is not None or src
-            visual = r["role"] in ("figure", "table")
-            if not closed and SUB.match(r["text"]) and overlap(u, r["box"], 0, 2) >= 0.35:
-                texts.append(r)
-                label = True
-            elif below is None and is_caption(r):
-                below = r
-                texts.append(r)
-            elif not src and r["role"] == "paragraph" and SOURCE.match(r["text"]):
-                src = True
-                texts.append(r)
-            elif not closed and visual and (label or above is None) and r["page"] == fig["page"] and panel_fits(u, r["box"]):
-                panels.append(r)
-                u, label = join(u, r["box"]), False
-            else:
-                break
-            k += 1
-        if above and fig["box"][1] - above["box"][3] <= (below["box"][1] - fig["box"][3] if below else float("inf")):
-            texts = [t for t in texts if t is not below] + [above]
-        if texts or panels:
-            texts = sorted(texts, key=lambda t: t["box"][1])
-            gone |= {t["ri"] for t in texts + panels}
-            result[fig["ri"]].update(caption="\n".join(t["text"] for t in texts), box=join(u, *[t["box"] for t in texts]))
-    return sorted((ri, r["role"], r["caption"], tuple(r["box"])) for ri, r in result.items() if ri not in gone)
-
-
-def random_document(rng, doc, pages):
-    out, ri = [], 0
-    for page in range(1, pages + 1):
-        y, first = 50.0, ri
-        for _ in range(rng.randint(2, 9)):
-            role = rng.choice(["figure", "figure", "table", "paragraph", "paragraph", "caption", "equation"])
-            x = rng.choice([50.0, 310.0, 50.0])
-            h, w = rng.choice([12.0, 60.0, 120.0]), rng.choice([240.0, 500.0])
-            text = "" if role in ("figure", "table") else rng.choice(TEXTS)
-            number = ri
-            out.append(dict(doc=doc, page=page, ri=number, kind="image" if role in ("figure", "table") else "block", role=role, text=text, box=[x, y, x + w, y + h], caption=""))
-            y += rng.choice([-20.0, 14.0, 14.0, 70.0])
-            ri += 1
-        if rng.random() < 0.3 and len(out) > 2:
-            out.pop(-2)
-        del first
-    return out
+        assert r["role"] in VISUAL
+        parts = [by_text[t] for t in lines]
+        assert all(p[0] == r["doc_id"] and takes(p) for p in parts)
+        used.update(lines)
+        # The box is the hull of the owner, its texts and absorbed visuals.
+        inside = [p for p in panels[r["doc_id"]] if p[6] >= r["x0"] and p[7] >= r["y0"] and p[8] <= r["x1"] and p[9] <= r["y1"]]
+        own = [old] if old[4] in VISUAL else []
+        assert hull([p[6:10] for p in [*own, *parts, *inside]]) == box(r)
+    assert used + left == Counter(by_text.keys()), "a text is lost or used twice"
 
 
-def as_rows(items):
-    return [row(r["role"], r["text"], *r["box"], r["ri"], page=r["page"], doc=r["doc"]) for r in items]
+def caption_like(p):
+    return p[4] == "caption" or p[5].startswith(("Figure", "Table", "(a)", "(b)", "Source:"))
 
 
-def got_of(df):
-    out = {}
-    for r in df.collect():
-        out.setdefault((r["doc_id"], r["page"]), []).append((r["ri"], r["role"], r["caption_text"], (r["x0"], r["y0"], r["x1"], r["y1"])))
-    return out
+def test_captions_linear_on_random_documents(spark, corpus):
+    rows = M.merge_figure_captions_linear(table(spark, corpus)).collect()
+    assert len(rows) < len(corpus)
+    check_parts(corpus, rows, caption_like)
 
 
-@pytest.fixture(scope="module")
-def corpus():
-    rng = random.Random(7)
-    return {d: random_document(rng, d, rng.randint(1, 5)) for d in range(60)}
+def test_captions_pages_on_random_pages(spark, corpus):
+    rows = M.merge_figure_captions_pages(table(spark, corpus, pages=True)).collect()
+    assert len(rows) < len(corpus)
+    check_parts(corpus, rows, caption_like)
+    at = {(r[0], r[2]): r[1] for r in corpus}
+    by_text = {r[5]: r for r in corpus if r[5]}
+    assert all(by_text[t][1] == at[r["doc_id"], r["ri"]] for r in rows for t in r["caption_text"].split("\n") if t)  # nothing crosses a page
 
 
-def test_captions_linear(spark, corpus):
-    got = {}
-    for (d, _), rows in got_of(M.merge_figure_captions_linear(table(spark, [r for items in corpus.values() for r in as_rows(items)]))).items():
-        got.setdefault(d, []).extend(rows)
-    for d, items in corpus.items():
-        assert sorted(got[d]) == captions(items, False), d
+def captions(spark, rows):
+    return {r["ri"]: (r["caption_text"], box(r)) for r in M.merge_figure_captions_linear(table(spark, rows)).collect()}
 
 
-def test_captions_pages(spark, corpus):
-    got = got_of(M.merge_figure_captions_pages(table(spark, [r for items in corpus.values() for r in as_rows(items)], pages=True)))
-    for d, items in corpus.items():
-        for page in {r["page"] for r in items}:
-            assert sorted(got[(d, page)]) == captions([r for r in items if r["page"] == page], True), (d, page)
+def test_nearer_caption_wins(spark):
+    fig = row("figure", "", 50, 100, 290, 160, 1)
+    above, below = row("caption", "Figure 1. Above.", 50, 80, 290, 90, 0), row("caption", "Figure 2. Below.", 50, 180, 290, 192, 2)
+    assert captions(spark, [above, fig, below]) == {1: ("Figure 1. Above.", (50, 80, 290, 160)), 2: ("", (50, 180, 290, 192))}
+    near = row("caption", "Figure 2. Below.", 50, 165, 290, 177, 2)
+    assert captions(spark, [above, fig, near]) == {0: ("", (50, 80, 290, 90)), 1: ("Figure 2. Below.", (50, 100, 290, 177))}
 
 
-def tables(items):
-    """Expected rows of the table merge on one document."""
-    used, owner = set(), {}
-    for i, r in enumerate(items):
-        if i in used:
-            continue
-        label = r["role"] in ("paragraph", "caption", "section_header") and r["text"].startswith("Table 2.")
-        table_at, members = None, None
-        if label:
-            for j in range(i + 1, min(len(items), i + 5)):
-                o = items[j]
-                if j in used:
-                    break
-                if o["role"] == "table" and o["page"] == r["page"] and o["box"][3] >= r["box"][1] and overlap(r["box"], o["box"], 0, 2) >= 0.15:
-                    table_at, members = j, list(range(i, j + 1))
-                    break
-                if o["role"] not in ("paragraph", "caption", "section_header"):
-                    break
-        elif r["role"] == "table":
-            table_at, members = i, [i]
-        if table_at is None:
-            continue
-        t = items[table_at]["box"]
-        notes = [(items[k]["box"][1] - t[3], k) for k in range(i + 1, len(items)) if k not in used and k not in members and items[k]["page"] == items[table_at]["page"]
-                 and items[k]["role"] in ("paragraph", "caption") and NOTE.match(items[k]["text"])
-                 and -2 <= items[k]["box"][1] - t[3] <= 200 and overlap(t, items[k]["box"], 0, 2) >= 0.15]
-        members = members + ([min(notes)[1]] if notes else [])
-        if len(members) > 1:
-            used |= set(members)
-            owner[table_at] = members
-    out = []
-    for i, r in enumerate(items):
-        if i in owner:
-            parts = [items[m] for m in owner[i]]
-            out.append((parts[0]["ri"], "table", "\n".join(p["text"] for p in parts if p is not r and p["text"]), tuple(join(*[p["box"] for p in parts]))))
-        elif i not in used:
-            out.append((r["ri"], r["role"], "", tuple(r["box"])))
-    return sorted(out)
-
-
-def test_tables_linear(spark, corpus):
-    got = {}
-    for (d, _), rows in got_of(M.merge_tables_linear(table(spark, [r for items in corpus.values() for r in as_rows(items)]))).items():
-        got.setdefault(d, []).extend(rows)
-    for d, items in corpus.items():
-        assert sorted(got[d]) == tables(items), d
+def test_source_follows_caption(spark):
+    rows = [row("figure", "", 50, 100, 290, 160, 0), row("caption", "Figure 1. Shape.", 50, 165, 290, 177, 1), row("paragraph", "Source: census", 50, 180, 290, 192, 2), row("paragraph", "Prose.", 50, 195, 290, 207, 3)]
+    assert captions(spark, rows) == {0: ("Figure 1. Shape.\nSource: census", (50, 100, 290, 192)), 3: ("", (50, 195, 290, 207))}
+
+
+def test_panels_join_when_stacked_and_stay_apart_when_far(spark):
+    rows = [row("figure", "", 50, 100, 290, 160, 0), row("paragraph", "(a) first part", 50, 162, 290, 172, 1), row("figure", "", 50, 176, 290, 236, 2), row("caption", "Figure 1. Both.", 50, 240, 290, 252, 3)]
+    assert captions(spark, rows) == {0: ("(a) first part\nFigure 1. Both.", (50, 100, 290, 252))}
+    rows = [row("figure", "", 50, 100, 290, 160, 0), row("figure", "", 50, 360, 290, 420, 1)]
+    assert captions(spark, rows) == {0: ("", (50, 100, 290, 160)), 1: ("", (50, 360, 290, 420))}
+
+
+def test_a_long_run_of_figures_keeps_every_figure_or_joins_it(spark):
+    rows = [row("figure", "", 50, 100 + 70 * (i % 9), 290, 160 + 70 * (i % 9), i, page=i // 9 + 1) for i in range(90)]
+    out = M.merge_figure_captions_linear(table(spark, rows)).collect()
+    check_parts(rows, out, caption_like)
+
+
+def tables(spark, rows):
+    return {r["ri"]: (r["role"], r["caption_text"], box(r)) for r in M.merge_tables_linear(table(spark, rows)).collect()}
+
+
+def test_tables_on_random_documents(spark, corpus):
+    before = {(r[0], r[2]): r for r in corpus}
+    by_text = {r[5]: r for r in corpus if r[5]}
+    out = M.merge_tables_linear(table(spark, corpus)).collect()
+    used = Counter(t for r in out for t in (r["caption_text"] or "").split("\n") if t)
+    left = Counter(before[r["doc_id"], r["ri"]][5] for r in out if not r["caption_text"] and before[r["doc_id"], r["ri"]][5])
+    assert used + left == Counter(by_text.keys()) and used
+    for r in out:
+        if r["caption_text"]:
+            parts = [by_text[t] for t in r["caption_text"].split("\n")]
+            assert r["role"] == "table" and all(p[0] == r["doc_id"] and p[1] == r["page"] for p in parts)
+            assert hull([p[6:10] for p in parts] + [box(r)]) == box(r)
+        else:
+            assert box(r) == before[r["doc_id"], r["ri"]][6:10]
+
+
+def test_table_with_label_and_note(spark):
+    label, body = row("caption", "Table 2. Rates.", 60, 90, 540, 110, 0), row("table", "", 60, 120, 540, 200, 1)
+    near, far = row("paragraph", "Note. In percent.", 60, 205, 400, 220, 2), row("paragraph", "Note. In percent.", 60, 420, 400, 440, 2)
+    assert tables(spark, [label, body, near]) == {0: ("table", "Table 2. Rates.\nNote. In percent.", (60, 90, 540, 220))}
+    assert tables(spark, [label, body, far]) == {0: ("table", "Table 2. Rates.", (60, 90, 540, 200)), 2: ("paragraph", "", (60, 420, 400, 440))}
+    beside = row("paragraph", "Note. In percent.", 545, 205, 590, 220, 2)  # does not lie below the table
+    assert set(tables(spark, [label, body, beside])) == {0, 2}
+    other = row("table", "", 60, 120, 540, 200, 1, page=2)
+    assert tables(spark, [label, other]) == {0: ("caption", "", (60, 90, 540, 110)), 1: ("table", "", (60, 120, 540, 200))}
 
 
 def test_merge_groups(spark):
