@@ -7,6 +7,7 @@ from folioframe.functions import fixed_values as V
 from folioframe.operators import continuation as C
 
 TERMINAL = ["done", "failed"]
+QUEUED = "queued"
 
 
 def progress_percent(phase="phase", tier="tier_index", chunk="chunk_index", total="total_chunks"):
@@ -28,7 +29,8 @@ def progress_view(events: DataFrame) -> DataFrame:
 
 
 def _status(phase):
-    return F.when(phase.isin(*TERMINAL), phase).otherwise("running")
+    """A job whose last event is its admission still waits; every other open job runs."""
+    return F.when(phase.isin(*TERMINAL, QUEUED), phase).otherwise("running")
 
 
 def job_status(events: DataFrame) -> DataFrame:

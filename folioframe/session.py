@@ -1,7 +1,5 @@
 """Session settings the jobs rely on, and the one place where lineage is cut."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -25,16 +23,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that several branches read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one below the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
-    The checkpoint goes to the shared folder named by ``spark.checkpoint.dir``; a folder of our own is
-    used only where none is set, which is the case on a single machine only.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that several branches read, in the folder all executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

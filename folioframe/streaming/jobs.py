@@ -9,7 +9,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioframe import schemas
 from folioframe.functions import fixed_values as V
-from folioframe.operators.jobs import TERMINAL, job_status
+from folioframe.operators.jobs import QUEUED, TERMINAL, job_status
+from folioframe.session import settle
 from folioframe.sources.catalog import admit_documents, write_analysis
 
 
@@ -26,57 +27,79 @@ def stream_job_state(events: DataFrame) -> DataFrame:
     return job_status(events)
 
 
-def stream_job_ttl(events: DataFrame, ttl_seconds: int = V.JOB_TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
+def stream_job_ttl(events: DataFrame, ttl_seconds: int = V.JOB_TTL_SECONDS) -> DataFrame:
     """Job states that leave the stream once finished for ``ttl_seconds``; unfinished jobs stay.
 
-    Emits a row at each change and one with status "expired" when a finished job is forgotten.
+    Emits a row at each change and one with status "expired" when a finished job is forgotten. No event is too
+    late: the watermark follows the time of arrival, not that of the event, and drives only the timer of finished jobs. The state of a job is
+    its first terminal and its latest event, taken from each batch as a whole.
     """
     out = "job_id bigint, phase string, status string, finished_at timestamp"
-    state = "phase string, at timestamp, event_id bigint, finished_at timestamp"
+    place = "at timestamp, event_id bigint, phase string"
+    state = ", ".join(f"{p}_{f}" for p in ("end", "now") for f in place.split(", "))
+    columns = ["job_id", "phase", "status", "finished_at"]
+
+    def first(rows: pd.DataFrame):
+        r = rows.sort_values(["ts", "event_id"]).iloc[0]
+        return r["ts"].to_pydatetime(), int(r["event_id"]), r["phase"]
 
     def step(key, batches, held: GroupState):
         if held.hasTimedOut:
-            phase, _, _, finished = held.get
+            end = held.get[:3]
             held.remove()
-            yield pd.DataFrame([(key[0], phase, "expired", finished)], columns=["job_id", "phase", "status", "finished_at"])
+            yield pd.DataFrame([(key[0], end[2], "expired", end[0])], columns=columns)
             return
-        phase, at, event_id, finished = held.get if held.exists else (None, None, None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ts, eid, p in zip(rows["ts"], rows["event_id"], rows["phase"]):
-            ends = p in TERMINAL
-            newer = at is None or (ts, eid) > (pd.Timestamp(at), event_id)
-            earlier_end = finished is not None and ends and (ts, eid) < (pd.Timestamp(at), event_id)
-            if (finished is None and (newer or ends)) or earlier_end:
-                phase, at, event_id = p, ts.to_pydatetime(), int(eid)
-                finished = at if ends else None
-        held.update((phase, at, event_id, finished))
-        if finished is not None:
-            due = int(pd.Timestamp(finished).timestamp() * 1000) + ttl_seconds * 1000
+        old = held.get if held.exists else (None,) * 6
+        ends, nows = ([old[:3]] if old[0] is not None else []), ([old[3:]] if old[3] is not None else [])
+        for rows in batches:
+            nows.append(first(rows.sort_values(["ts", "event_id"]).tail(1)))
+            closing = rows[rows["phase"].isin(TERMINAL)]
+            if len(closing):
+                ends.append(first(closing))
+        end, now = min(ends, key=lambda e: e[:2], default=(None,) * 3), max(nows, key=lambda e: e[:2])
+        held.update((*end, *now))
+        phase = now[2]
+        if end[0] is not None:
+            due = int(pd.Timestamp(end[0], tz="UTC").timestamp() * 1000) + ttl_seconds * 1000
             held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs() + 1))
-        status = phase if finished is not None else "running"
-        yield pd.DataFrame([(key[0], phase, status, finished)], columns=["job_id", "phase", "status", "finished_at"])
+            phase = end[2]
+        status = phase if phase in (*TERMINAL, QUEUED) else "running"
+        yield pd.DataFrame([(key[0], phase, status, end[0])], columns=columns)
+
+    arriving = events.withColumn("seen", F.current_timestamp()).withWatermark("seen", "0 seconds")
+    return arriving.groupBy("job_id").applyInPandasWithState(step, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
-    return (
-        events.withWatermark("ts", late).groupBy("job_id")
-        .applyInPandasWithState(step, out, state, "update", GroupStateTimeout.EventTimeTimeout)
-    )
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of batches that may have none yet."""
+    spark.createDataFrame([], f"{schema}, batch long").write.mode("append").partitionBy("batch").parquet(path)
+    return spark.read.schema(f"{schema}, batch long").parquet(path)
 
 
 def stream_documents(spark: SparkSession, layout_path: str, known: Callable[[], DataFrame], analyze: Callable[[DataFrame], DataFrame],
-                     out_path: str, checkpoint: str, overwrite: bool = False):
-    """Analyse layout files as they arrive; each document once unless ``overwrite``.
+                     out_path: str, checkpoint: str, overwrite: bool = False, names: Callable[[], DataFrame] | None = None):
+    """Analyse layout files as they arrive; a document that was known before is left alone unless ``overwrite``.
 
-    ``known()`` lists the analysed documents (filename); ``analyze(blocks)`` gives nested analyses. A
-    replayed batch writes the same documents to the same partitions, so it changes nothing.
+    A document may arrive in any number of files: its blocks are kept in ``<out_path>_arrived``, and each
+    arrival analyses all of them again and replaces the result. ``known()`` lists analysed documents (filename);
+    ``names()`` gives doc_id, filename and content_type (by default doc<id>.pdf); ``analyze(blocks)`` gives nested analyses.
+    The verdict on every arrival is in ``<out_path>_verdicts``. A replayed batch writes the same rows to the same places.
     """
     source = spark.readStream.schema(schemas.LAYOUT_BLOCKS).parquet(layout_path)
-
-    def batch(df: DataFrame, _):
-        docs = df.select("doc_id").distinct().select(
-            "doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
-            F.lit("application/pdf").alias("content_type"))
-        admitted = admit_documents(docs, known(), overwrite).where("verdict = 'admitted'")
-        fresh = df.join(admitted.select("doc_id"), "doc_id", "left_semi")
-        write_analysis(analyze(fresh), out_path)
+    arrived, verdicts = f"{out_path}_arrived", f"{out_path}_verdicts"
+
+    def batch(df: DataFrame, number: int):
+        df.write.mode("overwrite").parquet(f"{arrived}/batch={number}")
+        docs = spark.read.parquet(f"{arrived}/batch={number}").select("doc_id").distinct()
+        if names is None:
+            named = docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("application/pdf").alias("content_type"))
+        else:
+            named = docs.join(names().select("doc_id", "filename", "content_type"), "doc_id")
+        ours = _stored(spark, verdicts, "doc_id long, filename string, verdict string").where((F.col("batch") < number) & (F.col("verdict") == "admitted"))
+        others = known().select("filename").join(ours.select("filename"), "filename", "left_anti")
+        settle(admit_documents(named, others, overwrite).select("doc_id", "filename", "verdict")).write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
+        admitted = spark.read.parquet(f"{verdicts}/batch={number}").where("verdict = 'admitted'")
+        whole = spark.read.schema(f"{schemas.LAYOUT_BLOCKS}, batch long").parquet(arrived).where(F.col("batch") <= number).drop("batch")
+        write_analysis(analyze(whole.join(admitted.select("doc_id"), "doc_id", "left_semi").select(df.columns)), out_path)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -133,6 +133,23 @@ def test_finished_jobs_expire_and_open_jobs_stay(spark, fresh_dir):
     assert not any(j == 2 and s == "expired" for j, s, _ in rows) and not any(j == 1 and p == "failed" for j, _, p in rows)
 
 
+def test_a_late_end_is_not_lost(spark, fresh_dir):
+    """Job 1 ends at minute 30, but the event comes after another job's at minute 120."""
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    at = lambda m: now + dt.timedelta(minutes=m - 120)
+    schema = "job_id long, event_id long, ts timestamp, phase string, message string, tier_index int, chunk_index int, total_chunks int"
+    batches = [[(1, 1, at(0), "queued", "", 0, 0, 0)], [(2, 2, at(120), "started", "", 0, 0, 0)], [(1, 3, at(30), "done", "", 0, 0, 0)], [(1, 4, at(20), "failed", "", 0, 0, 0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{fresh_dir}/in/{k}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{fresh_dir}/in")
+    q = SJ.stream_job_ttl(source, ttl_seconds=10**6).writeStream.outputMode("update").format("memory").queryName("late").trigger(availableNow=True).option("checkpointLocation", f"{fresh_dir}/cp").start()
+    q.awaitTermination()
+    rows = [(r["job_id"], r["status"], r["finished_at"]) for r in spark.table("late").collect()]
+    # Files of one moment may come in any order; the last word is the earliest end either way.
+    last = [r for r in rows if r[0] == 1][-1]
+    assert last == (1, "failed", at(20)) and (2, "running", None) in rows
+
+
 def test_documents_stream_once(spark, fresh_dir):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 6")
     layout = sample_layout.bronze(docs)
@@ -152,7 +169,14 @@ def test_documents_stream_once(spark, fresh_dir):
 
     run = lambda: SJ.stream_documents(spark, f"{fresh_dir}/in", known, analyze, out, f"{fresh_dir}/cp").awaitTermination()
     run()
-    layout["layout_blocks"].where("doc_id between 2 and 4").write.mode("append").parquet(f"{fresh_dir}/in")
+    layout["layout_blocks"].where("doc_id in (3, 4) or doc_id = 5 and page < 2").write.mode("append").parquet(f"{fresh_dir}/in")
+    run()
+    layout["layout_blocks"].where("doc_id = 5 and page >= 2").write.mode("append").parquet(f"{fresh_dir}/in")
     run()
-    assert seen == [0, 1, 2, 3, 4]
-    assert sorted(r[0] for r in catalog.read_analysis(spark, out).select("doc_id").collect()) == [0, 1, 2, 3, 4]
+    got = catalog.read_analysis(spark, out)
+    assert sorted(r[0] for r in got.select("doc_id").collect()) == [0, 1, 2, 3, 4, 5]
+    assert seen == [0, 1, 2, 3, 4, 5, 5]
+    # The document that came in two files is as if it had come in one.
+    tables = {k: v.where("doc_id = 5") for k, v in layout.items() if k != "recognized_lines"}
+    want = PA.analyze(tables, _info(spark, SF).where("doc_id = 5"), echo_client, wait=False)
+    assert str(got.where("doc_id = 5").select("page_count", "linear_blocks").collect()) == str(want.select("page_count", "linear_blocks").collect())
