@@ -69,13 +69,12 @@ MERGED_SENTENCE_END = r"[.!?…)\"'»\]](?U:\s*)$"
 MERGED_SENTENCE_START = r"^(?U:\s*)[A-ZÁÉÍÓÚÜÑ¿¡(\"'«\[]"
 
 # Words that carry no meaning when an answer is matched to a sentence.
-STOP_WORDS = (
-    "de del la el los las en a y o u e un una unos unas "
-    "que se con por para su sus al es son lo le les si "
-    "como más pero este esta estos estas ese esa esos esas "
-    "the an of in to and or for with is are at by on "
-    "its be has was were it this that from as"
-).split()
+STOP_WORDS = [
+    "de", "del", "la", "el", "los", "las", "en", "a", "y", "o", "u", "e", "un", "una", "unos", "unas", "que", "se", "con", "por",
+    "para", "su", "sus", "al", "es", "son", "lo", "le", "les", "si", "como", "más", "pero", "este", "esta", "estos", "estas",
+    "ese", "esa", "esos", "esas", "the", "an", "of", "in", "to", "and", "or", "for", "with", "is", "are", "at", "by", "on", "its",
+    "be", "has", "was", "were", "it", "this", "that", "from", "as",
+]
 
 # Language codes.
 LANGUAGE_NAMES = {"es": "Spanish", "en": "English", "zh-Hant": "Traditional Chinese (繁體中文)"}

@@ -1,8 +1,9 @@
 """From chains of paragraphs to model requests, and from model answers back to sentences and boxes."""
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types
 from pyspark.sql import functions as F
 
 from folioframe import schemas
@@ -231,8 +232,14 @@ def number_sentences(texts) -> F.Column:
     return F.array_join(F.transform(texts, lambda s, i: F.concat(F.lit("[S"), i.cast("string"), F.lit("] "), s)), "\n")
 
 
+def language_rule(language, wording: str = "Language of all values but verbatim quotes: {}.") -> F.Column:
+    """The last line of a request, which says in what language to answer; the wording belongs to the user."""
+    before, after = wording.split("{}")
+    return F.concat(F.lit("\n\n" + before), T.language_name(F.coalesce(language, F.lit(V.DEFAULT_LANGUAGE))), F.lit(after))
+
+
 def explain_prompt(map_json, texts, footnotes, labels=("Map:", "Paragraph:", "Footnotes:")) -> F.Column:
-    """Request text of a paragraph; the wording of the labels belongs to the user."""
+    """Request text of a paragraph, without its language rule; the wording of the labels belongs to the user."""
     notes = F.array_join(F.transform(footnotes, lambda f: F.concat(F.lit("[Footnote] "), f)), "\n")
     base = F.concat(F.lit(labels[0] + "\n"), map_json, F.lit(f"\n\n{labels[1]}\n"), number_sentences(texts))
     return F.when(F.size(footnotes) > 0, F.concat(base, F.lit(f"\n\n{labels[2]}\n"), notes)).otherwise(base)
@@ -245,23 +252,35 @@ def concept_prompt(map_json, texts, selected, labels=("Map:", "Context:", "Selec
     )
 
 
+def _whole(value, kind) -> F.Column:
+    """Whether a parsed value has every field of its type, in every element."""
+    if isinstance(kind, types.StructType):
+        return reduce(lambda a, b: a & b, [_whole(value[f.name], f.dataType) for f in kind], value.isNotNull())
+    if isinstance(kind, types.ArrayType):
+        return value.isNotNull() & F.coalesce(F.forall(value, lambda x: _whole(x, kind.elementType)), F.lit(False))
+    return value.isNotNull()
+
+
 def parse_model_json(rows: DataFrame, schema: str, body="body", finish="finish") -> DataFrame:
-    """Add ``parsed`` and ``error``: empty answer, cut off, invalid JSON, or fine."""
+    """Add ``parsed`` and ``error``: empty answer, cut off, invalid JSON, an answer without all fields of the schema, or fine."""
     ended = F.element_at(F.split(F.col(finish), r"\."), -1)
     empty = F.coalesce(F.col(body), F.lit("")) == ""
     cut = F.coalesce(F.col(finish), F.lit("")) != ""
     cut = cut & ~ended.isin("STOP", "1")
     # Followed by one more element, the body parses as an array of two only if it is one whole JSON value.
-    pair = F.from_json(F.concat(F.lit("["), F.col(body), F.lit(",0]")), "array<string>")
+    strict = {"allowSingleQuotes": "false"}
+    pair = F.from_json(F.concat(F.lit("["), F.col(body), F.lit(",0]")), "array<string>", strict)
     valid = F.coalesce(F.size(pair) == 2, F.lit(False))
     error = (
         F.when(empty, F.concat(F.lit("Empty response (finish_reason="), F.coalesce(finish, F.lit("None")), F.lit(")")))
         .when(cut, F.concat(F.lit("Response truncated (finish_reason="), F.col(finish), F.lit(")")))
         .when(~valid, F.concat(F.lit("Invalid JSON (finish_reason="), F.coalesce(finish, F.lit("None")), F.lit(")")))
     )
-    return rows.withColumn("error", error).withColumn(
-        "parsed", F.when(F.col("error").isNull(), F.from_json(body, schema))
-    )
+    read = rows.withColumn("error", error).withColumn("parsed", F.when(F.col("error").isNull(), F.from_json(body, schema, strict)))
+    fits = F.ltrim(F.col(body)).startswith("{") & _whole(F.col("parsed"), types.DataType.fromDDL(schema))
+    lacking = F.concat(F.lit("Invalid answer (finish_reason="), F.coalesce(finish, F.lit("None")), F.lit(")"))
+    read = read.withColumn("error", F.when(F.col("error").isNull() & ~F.coalesce(fits, F.lit(False)), lacking).otherwise(F.col("error")))
+    return read.withColumn("parsed", F.when(F.col("error").isNull(), F.col("parsed")))
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,10 +288,14 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return requests.join(cache, "key"), requests.join(cache, "key", "left_anti")
 
 
-def score_requests(requests: DataFrame, client_factory: Callable, attempts: int = V.MAX_ATTEMPTS, wait: bool = True) -> DataFrame:
-    """Ask the user's client once per request. ``client_factory()`` is built once per partition and gives a
-    function prompt -> (status, body, finish); network failures raise ConnectionError."""
+def score_requests(requests: DataFrame, client_factory: Callable, attempts: int = V.MAX_ATTEMPTS, wait: bool = True, parallel: int = 8, tasks: int | None = None) -> DataFrame:
+    """Ask the user's client once per request. ``client_factory()`` is built once per thread and gives a
+    function prompt -> (status, body, finish). A network failure (ConnectionError) is tried again; any other error of the client
+    becomes a row without status that names it in ``finish``. ``parallel`` requests of a partition wait at a time; ``tasks`` deals the
+    requests out evenly, since their work does not follow their bytes."""
+    import threading
     import time
+    from concurrent.futures import ThreadPoolExecutor
 
     import pandas as pd
 
@@ -284,21 +307,31 @@ def score_requests(requests: DataFrame, client_factory: Callable, attempts: int
                 status, body, finish = client(prompt)
             except ConnectionError:
                 status, body, finish = None, None, None
+            except Exception as e:  # one request must not end the job
+                return None, None, f"client error: {type(e).__name__}: {e}", n
             if (status is not None and status not in retryable) or n == attempts:
                 return status, body, finish, n
             if wait:
                 time.sleep(2 ** (n - 1))
 
     def run(batches):
-        client = client_factory()
-        for batch in batches:
-            got = [ask(client, p) for p in batch["prompt"]]
-            yield batch.assign(**{
-                "status": pd.array([g[0] for g in got], dtype="Int32"), "body": [g[1] for g in got],
-                "finish": [g[2] for g in got], "attempts": pd.array([g[3] for g in got], dtype="Int32")})
+        own = threading.local()
+
+        def one(prompt):
+            if not hasattr(own, "client"):
+                own.client = client_factory()
+            return ask(own.client, prompt)
+
+        with ThreadPoolExecutor(parallel) as pool:
+            for batch in batches:
+                got = list(pool.map(one, batch["prompt"]))
+                yield batch.assign(**{
+                    "status": pd.array([g[0] for g in got], dtype="Int32"), "body": [g[1] for g in got],
+                    "finish": [g[2] for g in got], "attempts": pd.array([g[3] for g in got], dtype="Int32")})
 
     answer = "status int, body string, finish string, attempts int"
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
+    requests = requests if tasks is None else requests.repartition(tasks)
     return requests.mapInPandas(run, f"{given}, {answer}")
 
 
@@ -397,7 +430,7 @@ def concept_boxes(cards: DataFrame) -> DataFrame:
     return cards.withColumn("term_boxes", phrase_boxes(F.col("sentence"), F.col("term")))
 
 
-_MATH = r"(?s)\\\$|\$\$(?!\$\$).+?\$\$|\\\[(?!\\\]).+?\\\]|\\\((?!\\\)).+?\\\)|\$[^$]+\$|."
+_MATH = r"(?s)\\\$|\$\$(?!\$\$).+?\$\$|\\\[(?!\\\]).+?\\\]|\\\((?!\\\)).+?\\\)|\$[^$]+\$|[^\\$]+|."
 
 
 def tokenize_math(c) -> F.Column:

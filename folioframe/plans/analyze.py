@@ -9,6 +9,7 @@ from folioframe import schemas
 from folioframe.operators import continuation as C
 from folioframe.operators import explain as E
 from folioframe.plans.extract import extract_both
+from folioframe.session import settle
 from folioframe.sources.catalog import nest_analysis
 
 
@@ -19,6 +20,8 @@ def analyze(bronze: dict, info: DataFrame, client_factory: Callable, wait: bool
     """
     x = extract_both(bronze)
     texts = C.full_text(x.page_rows.where("kind = 'block'"))
-    asked = E.score_requests(texts.withColumnRenamed("full_text", "prompt"), client_factory, wait=wait)
+    prompt = F.concat("full_text", E.language_rule(F.col("language")))
+    asked = texts.join(info.select("doc_id", "language"), "doc_id").select("doc_id", prompt.alias("prompt"))
+    asked = settle(E.score_requests(asked, client_factory, wait=wait))
     maps = E.parse_model_json(asked, schemas.GLOBAL_MAP).where("parsed is not null").select("doc_id", F.col("parsed").alias("global_map"))
     return nest_analysis(x.pages, x.page_rows, x.linear, x.metadata, info.join(maps, "doc_id"))

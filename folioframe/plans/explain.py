@@ -23,7 +23,7 @@ def requests(chains: DataFrame, info: DataFrame) -> DataFrame:
     return chains.where(F.size("merged") > 0).join(info, "doc_id").select(
         "doc_id", "chain", "text", texts.alias("texts"),
         E.explain_cache_key(F.col("filename"), F.col("text"), F.col("language")).alias("key"),
-        E.explain_prompt(F.col("map_json"), texts, F.col("footnotes")).alias("prompt"))
+        F.concat(E.explain_prompt(F.col("map_json"), texts, F.col("footnotes")), E.language_rule(F.col("language"))).alias("prompt"))
 
 
 def cards(answered: DataFrame) -> DataFrame:
@@ -38,12 +38,28 @@ def cards(answered: DataFrame) -> DataFrame:
     return E.align_explanations(answered.select("doc_id", "chain", "texts").join(solved, ["doc_id", "chain"]))
 
 
-def explain(linear: DataFrame, info: DataFrame, cache: DataFrame, client_factory: Callable, wait: bool = True) -> DataFrame:
-    """Cards of every chain. Equal requests are asked once; cached answers are not asked again."""
+ANSWER = "key string, body string, finish string"
+
+
+def explain(linear: DataFrame, info: DataFrame, cache: DataFrame | str, client_factory: Callable, wait: bool = True) -> DataFrame:
+    """Cards of every chain. Equal requests are asked once; cached answers are not asked again.
+
+    ``cache`` is a table of answers (key, body, finish), or the path of one: then new answers with a body are
+    appended to it before anything reads them, and a later run asks for none of them. Either way an answer is
+    stored before it is used, so no lost executor asks twice for what is stored.
+    """
+    path, spark = (cache if isinstance(cache, str) else None), linear.sparkSession
+    if path:
+        spark.createDataFrame([], ANSWER).write.mode("append").parquet(path)
+        cache = spark.read.schema(ANSWER).parquet(path)
     asked = settle(requests(payloads(linear), info))
     unique = asked.groupBy("key").agg(F.min("prompt").alias("prompt"))
     _, todo = E.cache_lookup(unique, cache.select("key"))
     fresh = E.score_requests(todo, client_factory, wait=wait).select("key", "body", "finish")
-    answers = cache.select("key", "body", "finish").unionByName(fresh)
+    if path:
+        fresh.where("coalesce(body, '') != ''").write.mode("append").parquet(path)
+        answers = spark.read.schema(ANSWER).parquet(path)
+    else:
+        answers = cache.select("key", "body", "finish").unionByName(settle(fresh))
     parsed = E.parse_model_json(asked.join(answers, "key"), schemas.EXPLAIN_RESPONSE)
     return cards(settle(parsed))
