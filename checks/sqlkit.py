@@ -1,5 +1,6 @@
 """SQL text the oracles share: the sample layout, geometry, and the walk over a document, for DuckDB."""
 
+# Fixed values, as in folioframe/functions/fixed_values.py, in the notation of DuckDB's patterns.
 S = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NS = r"[^\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}\p{M}_]"

@@ -213,21 +213,21 @@ def sentence_boxes(spark, sf_dir):
     return rows.select(*KEYS, "k", "s.text", F.posexplode("s.boxes").alias("b", "box")).select(*KEYS, "k", "text", "b", "box.*")
 
 
-@check("phrase_boxes", K.sql("""select doc_id, page, seq, b, x0 + (s - lo) / (hi - lo) * w px0, y0, x0 + (e - lo) / (hi - lo) * w px1, y1 from (
+@check("phrase_boxes", K.sql("""select doc_id, page, seq, k0 k, (row_number() over (partition by doc_id, page, seq, k0 order by b) - 1)::int b, x0 + (s - lo) / (hi - lo) * w px0, y0, x0 + (e - lo) / (hi - lo) * w px1, y1 from (
    select *, greatest(pos, lo) s, least(pos + length(term), hi) e from (
    select *, cum / tot * n lo, (cum + w) / tot * n hi from (
-   select doc_id, page, seq, term, pos::double pos, b, x0, y0, x1, y1, greatest(0.0, x1-x0) w, n, sum(greatest(0.0, x1-x0)) over p tot,
+   select doc_id, page, seq, k0, term, pos::double pos, b, x0, y0, x1, y1, greatest(0.0, x1-x0) w, n, sum(greatest(0.0, x1-x0)) over p tot,
      coalesce(sum(greatest(0.0, x1-x0)) over (p order by b rows between unbounded preceding and 1 preceding), 0.0) cum from (
-   select f.doc_id, f.page, f.seq, term, instr(lower(f.text), lower(term)) - 1 pos, length(f.text) n, (row_number() over (partition by f.doc_id, f.page, f.seq order by ln) - 1)::int b, x0, y0, x1, y1
-   from (select doc_id, page, seq, text, first_value(k) over w k0, k, regexp_extract(text, '[^ ]+ [^ ]+ ([^ ]+)', 1) term from sents window w as (partition by doc_id, page, seq order by k)) f
-   join sbox using (doc_id, page, seq, k) where k = k0 and term <> '') window p as (partition by doc_id, page, seq)))) where e > s""",
+   select f.doc_id, f.page, f.seq, k0, term, instr(lower(f.text), lower(term)) - 1 pos, length(f.text) n, (row_number() over (partition by f.doc_id, f.page, f.seq, k order by ln) - 1)::int b, x0, y0, x1, y1
+   from (select doc_id, page, seq, text, k, (row_number() over (partition by doc_id, page, seq order by k) - 1)::int k0, regexp_extract(text, '[^ ]+ [^ ]+ ([^ ]+)', 1) term from sents) f
+   join sbox using (doc_id, page, seq, k) where term <> '') window p as (partition by doc_id, page, seq, k0)))) where e > s""",
    sentences_sql("(select * from blk where text <> '')"), LINE_SPANS, SENT_BOXES))
 def phrase_boxes(spark, sf_dir):
     flat = blocks(spark, sf_dir).where("text <> ''").select(*KEYS, F.posexplode(S.build_sentences()).alias("k", "sentence"))
-    rows = flat.where("k = 0").withColumn(
+    rows = flat.withColumn(
         "term", F.regexp_extract("sentence.text", "[^ ]+ [^ ]+ ([^ ]+)", 1)).where("term <> ''")
-    return E.concept_boxes(rows).select(*KEYS, F.posexplode("term_boxes").alias("b", "x")).select(
-        *KEYS, "b", F.col("x.x0").alias("px0"), F.col("x.y0").alias("y0"), F.col("x.x1").alias("px1"), F.col("x.y1").alias("y1"))
+    return E.concept_boxes(rows).select(*KEYS, "k", F.posexplode("term_boxes").alias("b", "x")).select(
+        *KEYS, "k", "b", F.col("x.x0").alias("px0"), F.col("x.y0").alias("y0"), F.col("x.x1").alias("px1"), F.col("x.y1").alias("y1"))
 
 
 @check("numbered_sentences", K.sql("select doc_id, page, seq, string_agg('[S' || k || '] ' || text, chr(10) order by k) numbered from sents group by all",
@@ -239,6 +239,7 @@ def numbered_sentences(spark, sf_dir):
 
 @check("request_prompts", K.sql("""select doc_id, page, seq, 'Map:' || chr(10) || m || chr(10) || chr(10) || 'Paragraph:' || chr(10) || numbered ||
     case when notes then chr(10) || chr(10) || 'Footnotes:' || chr(10) || '[Footnote] † note ' || doc_id else '' end prompt,
+    chr(10) || chr(10) || 'Language of all values but verbatim quotes: ' || (['Spanish','English','English'])[doc_id % 3 + 1] || '.' rule,
     'Map:' || chr(10) || m || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Selection:' || chr(10) || sel concept_prompt from (
     select doc_id, page, seq, '{"core_methodology":"m' || doc_id || '"}' m, string_agg('[S' || k || '] ' || text, chr(10) order by k) numbered,
     string_agg(text, chr(10) order by k) context, first(text order by k) sel, doc_id % 2 = 0 notes from sents group by doc_id, page, seq)""",
@@ -248,8 +249,9 @@ def request_prompts(spark, sf_dir):
     d = F.col("doc_id").cast("string")
     map_json = F.to_json(F.struct(F.concat(F.lit("m"), d).alias("core_methodology")))
     notes = F.when(F.col("doc_id") % 2 == 0, F.array(F.concat(F.lit("† note "), d))).otherwise(F.array().cast("array<string>"))
+    codes = F.array(F.lit("es"), F.lit("en"), F.lit("fr"))
     rows = blocks(spark, sf_dir).where("text <> ''").withColumn("texts", texts)
-    return rows.select(*KEYS, E.explain_prompt(map_json, F.col("texts"), notes).alias("prompt"),
+    return rows.select(*KEYS, E.explain_prompt(map_json, F.col("texts"), notes).alias("prompt"), E.language_rule(F.get(codes, (F.col("doc_id") % 3).cast("int"))).alias("rule"),
                        E.concept_prompt(map_json, F.col("texts"), F.get("texts", F.lit(0))).alias("concept_prompt"))
 
 
@@ -289,12 +291,15 @@ def model_errors(spark, sf_dir):
 
 
 @check("parsed_answers", """select event_id, case when body = '' then 'Empty response (finish_reason=' || finish || ')' when string_split(finish, '.')[-1] not in ('STOP','1')
-    then 'Response truncated (finish_reason=' || finish || ')' when not json_valid(body) then 'Invalid JSON (finish_reason=' || finish || ')' end error,
-    case when body <> '' and string_split(finish, '.')[-1] in ('STOP','1') and json_valid(body) then (body->>'$.k')::int end k
-  from (select event_id, case event_id % 4 when 0 then '' when 1 then props || '}' else props end body, (['STOP','FinishReason.STOP','MAX_TOKENS','1'])[(event_id % 5) % 4 + 1] finish from events)""")
+    then 'Response truncated (finish_reason=' || finish || ')' when not json_valid(body) then 'Invalid JSON (finish_reason=' || finish || ')'
+    when body not like '{%' or (body->>'$.k') is null then 'Invalid answer (finish_reason=' || finish || ')' end error,
+    case when body <> '' and string_split(finish, '.')[-1] in ('STOP','1') and json_valid(body) and body like '{%' then (body->>'$.k')::int end k
+  from (select event_id, case event_id % 12 when 2 then '{''k'': 1}' when 3 then '{}' when 6 then '[1]' when 7 then '{"a":1}' else case event_id % 4 when 0 then '' when 1 then props || '}' else props end end body, (['STOP','FinishReason.STOP','MAX_TOKENS','1'])[(event_id % 5) % 4 + 1] finish from events)""")
 def parsed_answers(spark, sf_dir):
     e = F.col("event_id")
-    body = F.when(e % 4 == 0, "").when(e % 4 == 1, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
+    odd = {2: "{'k': 1}", 3: "{}", 6: "[1]", 7: '{"a":1}'}
+    body = F.coalesce(*[F.when(e % 12 == k, F.lit(b)) for k, b in odd.items()]).alias("odd")
+    body = F.when(body.isNotNull(), body).when(e % 4 == 0, "").when(e % 4 == 1, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
     finish = F.get(F.array(*[F.lit(s) for s in ("STOP", "FinishReason.STOP", "MAX_TOKENS", "1")]), (e % 5 % 4).cast("int"))
     rows = table(spark, sf_dir, "events").select("event_id", body.alias("body"), finish.alias("finish"))
     return E.parse_model_json(rows, "struct<k:int>").select("event_id", "error", "parsed.k")
