@@ -200,7 +200,7 @@ _READ = pa.schema([("file", pa.int32()), ("doc", pa.int64()), ("doc_id", pa.int6
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, file_bytes: int = 64 << 20, width: int = 2) -> DataFrame:
     """Encode the whole texts of ``docs`` (doc_id, text; further columns are ignored) into files below ``folder``.
 
-    Documents lie in ascending doc_id order (null first; rows with one doc_id by their text), over
+    Documents lie in ascending doc_id order (null first; rows with one doc_id by a hash of their text), over
     all files together. Returns the list of files, in order: file, path, docs, ids. A null text counts as empty; every document
     ends with ``end_id``. ``tokenizer`` is the path of a tokenizers file on every executor, ``width`` the bytes of an id.
     A task that runs twice writes the same file under another name, and only the name that the finished task returns is listed.
@@ -210,7 +210,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     spark = docs.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1], recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
