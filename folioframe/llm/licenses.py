@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, in built-in functions only.
 
-A text is cut into sentences; a sentence in normal form (lower case, words only) that stands in the list of known
-licence sentences becomes its identifier. A licence is an ordered sequence of identifiers; it is found
+A text is cut into pieces; one piece in normal form (lower case, words only), or several of one paragraph that no full stop parts,
+that make a known licence sentence become its identifier. So line ends, comment prefixes, ; and : inside a sentence hide nothing.
+A licence is an ordered sequence of identifiers; it is found
 where a document's known sentences contain the sequence, one right after the other. Of findings that
 lie inside one another, the longest counts. All of it happens inside a row: nothing is shuffled.
 """
@@ -79,7 +80,25 @@ RULES = [
 ]
 IDS = {name: i + 1 for i, name in enumerate(SENTENCES)}
 
-# A sentence ends at . ! ? ; : before white space, and at an empty or list-item line; a plain line end ends one too, unless the
+# Other wordings of known sentences, in normal form. The SQL does not have them.
+_WORKS = ("project", "software", "work", "program", "package", "library", "module", "code", "source code", "repository", "file", "document", "content")
+_OPENINGS = {"mit-licensed": SENTENCES["mit-licensed"], "mit-released": SENTENCES["mit-released"], "apache-licensed": SENTENCES["apache-licensed"],
+             "gpl2-licensed": "licensed under the gnu general public license version 2", "gpl3-licensed": "licensed under the gnu general public license version 3",
+             "lgpl-licensed": SENTENCES["lgpl-licensed"], "cc-by": SENTENCES["cc-by"], "cc-by-sa": SENTENCES["cc-by-sa"], "cc-by-nc": SENTENCES["cc-by-nc"]}
+VARIANTS = {f"{the} {work} is {words}": name for name, words in _OPENINGS.items() for the in ("this", "the") for work in _WORKS}
+VARIANTS |= {words: name for name, words in _OPENINGS.items()} | {
+    "distributed under the mit license": "mit-released",
+    "available under the mit license": "mit-released",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "you may obtain a copy of the license at": "apache-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+    "this source code form is subject to the terms of the mozilla public license version 2 0": "mpl-subject",
+}
+VARIANTS = {words: name for words, name in VARIANTS.items() if words not in SENTENCES.values()}
+
+# A piece ends at . ! ? ; : before white space, and at an empty or list-item line; a plain line end ends one too, unless the
 # next line goes on in lower case.
 BREAK = r"[.!?;:]+[)\"]*\s+|\s*\n\s*\n\s*|\s*\n\s*(?=[^a-z\s])"
 
@@ -90,6 +109,19 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), plain)
 
 
+# After these words a full stop ends no sentence.
+ABBREVIATED = "(?:^| )(?:v|ver|inc|ltd|corp|co)$"
+
+
+def _goes_on(text: Column, pieces: Column) -> Column:
+    """For each piece but the last: whether its sentence may go on in the next one (no full stop, and no empty line, between them)."""
+    def inside(cut: Column, i: Column) -> Column:
+        stop = cut.rlike("[.!?]") & ~(cut.startswith(".") & F.get(pieces, i).rlike(ABBREVIATED))
+        return (F.get(pieces, i) != "") & (F.get(pieces, i + 1) != "") & ~cut.rlike(r"\n\s*\n") & ~stop
+
+    return F.transform(F.regexp_extract_all(text, F.lit(BREAK), F.lit(0)), inside)
+
+
 # Each known sentence has one of these words, so a text without any holds none.
 ANCHORS = "licen[sc]e|permission|warrant|liable|redistribution|contributors|domain|reserved"
 
@@ -98,31 +130,55 @@ def _may_hold(text: Column) -> Column:
     return F.coalesce(F.lower(text).rlike(ANCHORS), F.lit(False))
 
 
-def _hits(text: Column, names: list[str]) -> Column:
-    """The known sentences of a text in order: place (from 0) and id."""
-    known = F.array(*[F.lit(SENTENCES[n]) for n in names])
-    placed = F.transform(sentences(text), lambda s, i: F.struct(i.alias("place"), F.array_position(known, s).cast("int").alias("id")))
-    return F.filter(placed, lambda h: h["id"] > 0)
+def _hits(pieces: Column, on: Column) -> Column:
+    """The known sentences of a text in order: place and end (its first and last piece, from 0) and id. The longest counts."""
+    listed = {SENTENCES[n]: i for n, i in IDS.items()} | {words: IDS[n] for words, n in VARIANTS.items()}
+    known, ids = F.array(*[F.lit(s) for s in listed]), F.array(*[F.lit(i) for i in listed.values()])
+    most, first = max(len(s.split()) for s in listed), sorted({s.split()[0] for s in listed})
+
+    def joined(s: Column, i: Column) -> Column:
+        """How many pieces from here make the longest known sentence of more than one; no known sentence has more than ``most`` words."""
+        def whole(m: Column) -> Column:
+            return F.forall(F.slice(on, i + 1, m - 1), lambda x: x) & F.array_contains(known, F.concat_ws(" ", F.slice(pieces, i + 1, m)))
+
+        begins = F.coalesce(F.get(on, i), F.lit(False)) & F.substring_index(s, " ", 1).isin(first) & F.exists(known, lambda k: k.startswith(F.concat(s, F.lit(" "))))
+        return F.when(begins, F.array_max(F.filter(F.sequence(F.lit(2), F.least(F.lit(most), F.size(pieces) - i)), whole)))
+
+    counted = F.transform(pieces, lambda s, i: F.struct(i.alias("place"), F.coalesce(joined(s, i), F.lit(1)).alias("n")))
+    placed = F.transform(counted, lambda c: F.struct(
+        c["place"].alias("place"), (c["place"] + c["n"] - 1).alias("end"),
+        F.array_position(known, F.when(c["n"] == 1, F.get(pieces, c["place"])).otherwise(F.concat_ws(" ", F.slice(pieces, c["place"] + 1, c["n"])))).cast("int").alias("at")))
+    return F.transform(F.filter(placed, lambda h: h["at"] > 0), lambda h: F.struct(h["place"].alias("place"), h["end"].alias("end"), F.element_at(ids, h["at"]).alias("id")))
 
 
 def license_findings(docs: DataFrame, gap: int = 2) -> DataFrame:
     """Licences in the whole texts of ``docs`` (doc_id, text; further columns are ignored), a row per finding.
 
-    Returns doc_id, license, rule (its number, from 1), first and last (places of its first and last sentence, from 0).
-    Between two sentences of a rule at most ``gap`` unknown ones may stand, and no other known one. A finding
+    Returns doc_id, license, rule (its number, from 1), first and last (its first and last piece, as ``BREAK`` cuts them, from 0).
+    Between two sentences of a rule at most ``gap`` unknown ones may stand, and no other known one; empty lines do not count. A finding
     inside a longer one is dropped. A null or empty text has no finding; repeated rows have their findings each.
     An empty table gives an empty result.
     """
-    held = docs.where(_may_hold(F.col("text"))).select("doc_id", _hits(F.col("text"), list(SENTENCES)).alias("hits")).where(F.size("hits") > 0)
+    cut = docs.where(_may_hold(F.col("text"))).select("doc_id", "text", sentences(F.col("text")).alias("pieces"))
+    cut = cut.select("doc_id", "pieces", _goes_on(F.col("text"), F.col("pieces")).alias("on"))
+    # No filter on these columns: Spark would push it below them and work them out anew at each place that names them.
+    held = cut.select("doc_id", "pieces", "on", _hits(F.col("pieces"), F.col("on")).alias("all"))
+    inside = lambda h: F.exists("all", lambda g: (g["place"] <= h["place"]) & (g["end"] >= h["end"]) & (g["end"] - g["place"] > h["end"] - h["place"]))
+    held = held.select("doc_id", "pieces", "on", F.filter("all", lambda h: ~inside(h)).alias("hits"))
+
+    def between(a: Column, b: Column) -> Column:
+        """Unknown sentences between two known ones."""
+        starts = lambda k: (F.get("pieces", k) != "") & ((k == a["end"] + 1) | ~F.get("on", k - 1))
+        return F.when(b["place"] - a["end"] > 1, F.size(F.filter(F.sequence(a["end"] + 1, b["place"] - 1), starts))).otherwise(0)
 
     def found(rule: int, wanted: list[str]):
         size, ids = len(wanted), F.array(*[F.lit(IDS[w]) for w in wanted])
 
         def at(i: Column) -> Column:
             part = F.slice("hits", i, size)
-            close = F.aggregate(F.sequence(F.lit(2), F.lit(size)), F.lit(True), lambda ok, j: ok & (F.element_at(part, j)["place"] - F.element_at(part, j - 1)["place"] <= gap + 1)) if size > 1 else F.lit(True)
+            close = F.aggregate(F.sequence(F.lit(2), F.lit(size)), F.lit(True), lambda ok, j: ok & (between(F.element_at(part, j - 1), F.element_at(part, j)) <= gap)) if size > 1 else F.lit(True)
             good = (F.transform(part, lambda h: h["id"]) == ids) & close
-            return F.when(good, F.struct(F.lit(rule).alias("rule"), F.element_at(part, 1)["place"].alias("first"), F.element_at(part, -1)["place"].alias("last")))
+            return F.when(good, F.struct(F.lit(rule).alias("rule"), F.element_at(part, 1)["place"].alias("first"), F.element_at(part, -1)["end"].alias("last")))
 
         starts = F.when(F.size("hits") >= size, F.sequence(F.lit(1), F.size("hits") - (size - 1)))
         return F.coalesce(F.filter(F.transform(starts, at), lambda x: x.isNotNull()), F.array().cast("array<struct<rule:int,first:int,last:int>>"))
@@ -141,7 +197,7 @@ def _values(rows) -> str:
 
 
 def findings_sql(gap: int = 2) -> str:
-    """The same in DuckDB: sentences and rules as tables, joins and grouping."""
+    """The same in DuckDB for sentences of one piece in their first wording: sentences and rules as tables, joins and grouping."""
     steps = [(r + 1, license, k + 1, len(ids), IDS[s]) for r, (license, ids) in enumerate(RULES) for k, s in enumerate(ids)]
     return f"""
 with known(sentence, id) as (values {_values([(s, IDS[n]) for n, s in SENTENCES.items()])}),

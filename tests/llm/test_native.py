@@ -172,3 +172,84 @@ def test_license_rules_are_ordered_and_known():
     assert len({tuple(ids) for _, ids in L.RULES}) == len(L.RULES)
     assert all(i in L.SENTENCES for _, ids in L.RULES for i in ids)
     assert all(any(re.search(L.ANCHORS, word) for word in s.split()) for s in L.SENTENCES.values())
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC_FILE = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+GPL_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_wrapped_license_texts_and_comment_headers(llm):
+    files = {"MIT": (MIT_FILE, 5), "ISC": (ISC_FILE, 6), "GPL-3.0-or-later": (GPL_NOTICE, 15), "MPL-2.0": (MPL_NOTICE, 17), "Apache-2.0": (APACHE_NOTICE, 11)}
+    cases = {}
+    for license, (text, rule) in files.items():
+        for before in ("", "# ", " * ", "// ", "-- ", "    "):
+            body = "".join((before + line).rstrip() + "\n" for line in text.splitlines())
+            cases[f"{license} behind {before!r}"] = (body + "import this\n", {(license, rule)})
+        cases[f"{license} in one line each"] = ("\n\n".join(" ".join(p.split()) for p in text.split("\n\n")), {(license, rule)})
+    cases |= {
+        "lead-in": ("About.\n\nThis project is licensed under the MIT Licence.\n", {("MIT", 2)}),
+        "wrapped lead-in": ("This software is licensed under the\nApache License, Version 2.0.", {("Apache-2.0", 9)}),
+        "full stops part": ("All. Rights. Reserved.", set()),
+        "an empty line parts": ("All\n\nRights Reserved.", set()),
+        "more before": ("They say all\nRights Reserved.", set()),
+        "one sentence lacks": (MIT_FILE.replace("copies or substantial portions", "copies"), set()),
+    }
+    out = defaultdict(set)
+    for r in L.license_findings(llm.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id string, text string")).collect():
+        out[r["doc_id"]].add((r["license"], r["rule"]))
+    assert {k: out[k] for k in cases} == {k: want for k, (_, want) in cases.items()}
+    assert all(any(re.search(L.ANCHORS, word) for word in s.split()) for s in L.VARIANTS)
