@@ -82,8 +82,10 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
+        # The tokenizer as given finds added tokens in a text; units are cut from texts without any, for which the flag changes nothing.
+        self.given, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.given.get_added_tokens_decoder().values()]
         self.model, self.kind, self.most, self.longest = self.tokenizer.model, f"<u{width}", most, longest
         # The printable stand-in of each byte, as the library's own pre-tokenizer gives it.
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -107,7 +109,14 @@ class Encoder:
             return self.spaced[unit[1:]]
         return self.whole(unit[0]) + self.plain[unit[1:]] if unit[0].isspace() else self.plain[unit]
 
+    def document(self, text: str) -> bytes:
+        """Ids of a text as the tokenizer gives them; a text with the literal of an added token is encoded whole."""
+        if text and any(literal in text for literal in self.added):
+            return np.array(self.given.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return self(text)
+
     def __call__(self, text: str) -> bytes:
+        """Ids of a text in which the literals of added tokens are plain characters."""
         if not text:
             return b""
         if len(self.plain) + len(self.spaced) > self.most:
@@ -218,7 +227,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
         task = TaskContext.get()
         fs, base = open_folder(folder)
-        encode, end = encoder(tokenizer, width), end_id.to_bytes(width, "little")
+        encode, end = encoder(tokenizer, width).document, end_id.to_bytes(width, "little")
         stream = ((d, encode(t) + end) for b in batches if b.num_rows for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         first = next(stream, None)
         if first is None:

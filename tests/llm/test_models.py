@@ -206,6 +206,28 @@ def test_token_files_round_trip(odd_docs, no_docs, fresh_dir):
     assert B.token_digest(no_docs, TOKENIZER, f"file://{fresh_dir}/v").count() == 0
 
 
+def test_documents_are_encoded_as_the_given_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    as_given, rng = Tokenizer.from_file(TOKENIZER), random.Random(11)
+    for _ in range(500):
+        text = "".join(rng.choice(ALPHABET) for _ in range(rng.randrange(25)))
+        assert np.frombuffer(B.encoder(TOKENIZER, 2).document(text), dtype="<u2").tolist() == as_given.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_token_files(llm, fresh_dir):
+    from tokenizers import Tokenizer
+
+    given_, rows = Tokenizer.from_file(TOKENIZER), [(1, "one <|endoftext|> two"), (2, "<|endoftext|>"), (3, "plain text"), (4, "a<|endoftext|>\x1c<|endoftext|")]
+    want, start = [], 0
+    for d, t in rows:
+        ids = [*given_.encode(t, add_special_tokens=False).ids, 2]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    out = B.token_digest(llm.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, f"file://{fresh_dir}/a").collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in out) == want
+
+
 def test_frames_are_plain_zstandard_and_damage_is_seen(fresh_dir):
     fs, path = pafs.LocalFileSystem(), f"{fresh_dir}/one.bin"
     docs = [(3, np.arange(5, dtype="<u2").tobytes()), (None, b""), (9, np.arange(B.FRAME_IDS + 7, dtype="<u4").astype("<u2").tobytes())]
