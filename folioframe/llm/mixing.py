@@ -133,10 +133,10 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return stage(made.select(F.monotonically_increasing_id().alias("rid"), "*"))
 
 
-def _rates(moves: list[np.ndarray], most: float) -> Column:
+def _rates(moves: list[np.ndarray], most: float | None) -> Column:
     """The rate of a document after these moves, and the one before.
 
-    A move holds how far to go on in the last direction, and the gradient there; the rate goes against it and back into [0, most].
+    A move holds how far to go on in the last direction, and the gradient there; the rate goes against it and back into [0, most], or to 0 or more without ``most``.
     """
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("prev"))
     if not moves:
@@ -147,15 +147,17 @@ def _rates(moves: list[np.ndarray], most: float) -> Column:
     def step(x, m):
         slope = sum((m[j + 1] * F.col("p")[j] for j in range(1, k)), m[1] * F.col("p")[0])
         new = x["r"] + m[0] * (x["r"] - x["prev"]) - slope
-        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), new)).alias("r"), x["r"].alias("prev"))
+        new = new if most is None else F.least(F.lit(float(most)), new)
+        return F.struct(F.greatest(F.lit(0.0), new).alias("r"), x["r"].alias("prev"))
 
     return F.aggregate(turns, start, step)
 
 
-def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 4.0, turns: int = 60, close: float = 1e-3) -> tuple[Column, np.ndarray]:
+def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float | None = None, turns: int = 60, close: float = 1e-3, first: float = 4.0) -> tuple[Column, np.ndarray]:
     """The rate of each row (tokens, p), and the expected share of each domain that the rates reach.
 
-    The targets are ``weights`` times all tokens. Gradients are measured in the metric of the expected
+    The targets are ``weights`` times all tokens. Rates stay below ``first`` if the targets can be
+    reached so; if not, they start anew without an upper bound, unless ``most`` sets a firm one. Gradients are measured in the metric of the expected
     membership counts (a small matrix summed over all rows), so domains that resemble each other
     converge as fast as others. Turns end when no share is off by more than ``close``, when five turns have not lowered the squared error by a
     thousandth (targets that cannot be reached are met as far as least squares can), or after ``turns``.
@@ -168,37 +170,50 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
         return F.lit(1.0), np.zeros(k)
     metric = np.array([[total[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / total["total"]
     inverse = np.linalg.inv(metric + 1e-6 * np.eye(k))
-    moves: list[np.ndarray] = []
-    age, losses = 1.0, [np.inf]
-    while True:
-        at = rows.select("tokens", "p", _rates(moves, most).alias("x"))
-        sums = at.agg(*[F.sum(F.col("tokens") * F.col("x")[f] * F.col("p")[j]).alias(f"{f}{j}") for f in ("r", "prev") for j in range(k)]).first()
-        shares, before = (np.array([sums[f"{f}{j}"] for j in range(k)]) / total["total"] for f in ("r", "prev"))
-        loss = float((shares - goal) @ inverse @ (shares - goal))
-        stalled = len(losses) > 5 and losses[-5] - loss <= 1e-3 * losses[-5]
-        if np.abs(shares - goal).max() <= close or stalled or len(moves) == turns:
-            return _rates(moves, most)["r"], shares
-        # A whole step never overshoots in this metric. Going on in the last direction speeds it up, and stops where the loss has risen.
-        age = 1.0 if loss > losses[-1] else age
-        older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
-        on = (older - 1) / age
-        losses.append(loss)
-        moves.append(np.concatenate(([on], inverse @ (shares + on * (shares - before) - goal))))
+
+    def within(most: float | None) -> tuple[Column, np.ndarray, bool]:
+        moves: list[np.ndarray] = []
+        age, losses = 1.0, [np.inf]
+        while True:
+            at = rows.select("tokens", "p", _rates(moves, most).alias("x"))
+            sums = at.agg(*[F.sum(F.col("tokens") * F.col("x")[f] * F.col("p")[j]).alias(f"{f}{j}") for f in ("r", "prev") for j in range(k)]).first()
+            shares, before = (np.array([sums[f"{f}{j}"] for j in range(k)]) / total["total"] for f in ("r", "prev"))
+            loss = float((shares - goal) @ inverse @ (shares - goal))
+            stalled = len(losses) > 5 and losses[-5] - loss <= 1e-3 * losses[-5]
+            if np.abs(shares - goal).max() <= close or stalled or len(moves) == turns:
+                return _rates(moves, most)["r"], shares, bool(np.abs(shares - goal).max() <= close)
+            # A whole step never overshoots in this metric. Going on in the last direction speeds it up, and stops where the loss has risen.
+            age = 1.0 if loss > losses[-1] else age
+            older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+            on = (older - 1) / age
+            losses.append(loss)
+            moves.append(np.concatenate(([on], inverse @ (shares + on * (shares - before) - goal))))
+
+    rate, shares, met = within(first if most is None else most)
+    if most is None and not met:
+        rate, shares, _ = within(None)
+    return rate, shares
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, **options) -> DataFrame:
+    """What ``mix_and_shares`` returns, without the shares."""
+    return mix_and_shares(docs, labels, weights, **options)[0]
+
+
+def mix_and_shares(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, **options) -> tuple[DataFrame, np.ndarray]:
     """Rates and copies of ``docs`` (doc_id, text; further columns are ignored) that bring the domains to ``weights``.
 
     A domain without labelled documents takes no part; the weights of the others keep their proportions.
 
-    Returns a row per row: doc_id, text_hash, tokens, p (posterior of each domain, in the order of ``DOMAINS``), rate, copies:
+    Returns the expected share of each domain that the rates reach, after a table with a row per row: doc_id, text_hash, tokens, p (posterior of each domain, in the order of ``DOMAINS``), rate, copies:
     the whole part of the rate, and one more with the chance of the rest, drawn by a hash of the row's id and text.
     A null text counts as empty; a text without tokens weighs nothing, and gets a rate like any other. Repeated rows get the same rate
     and the same draw. An empty table gives an empty result.
     """
     model = fit_classifier(docs, labels)
     rows = posteriors(docs, model)
-    rate, _ = fit_rates(rows, tuple(w if s else 0.0 for w, s in zip(weights, model.seen)), **options)
+    rate, shares = fit_rates(rows, tuple(w if s else 0.0 for w, s in zip(weights, model.seen)), **options)
     draw = F.xxhash64("doc_id", "text_hash").cast("double") / 2.0**64 + 0.5
     out = stage(rows.select("doc_id", "text_hash", "tokens", "p", rate.alias("rate")))
-    return out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    out = out.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    return out, shares

@@ -355,6 +355,16 @@ def test_rates_are_the_least_squares_where_targets_cannot_be_reached(llm):
     assert gap(shares) <= gap(p.T @ (t * r)) * 1.02 + 1e-9
 
 
+def test_rates_reach_a_rare_target_domain(llm):
+    rows = [(i, 10, [0.97, 0.01, 0.01, 0.01] if i % 20 < 3 else [0.01, 0.97, 0.01, 0.01]) for i in range(400)]
+    df = llm.createDataFrame(rows, "rid long, tokens long, p array<double>")
+    goal = (0.9, 0.08, 0.01, 0.01)
+    rate, shares = M.fit_rates(df, goal)
+    assert np.abs(shares - np.array(goal)).max() <= 1e-3 and df.select(M.F.max(rate)).first()[0] > 4
+    capped, reached = M.fit_rates(df, goal, most=4.0)
+    assert df.select(M.F.max(capped)).first()[0] <= 4 and reached[0] < 0.62
+
+
 def test_mixing_of_documents(llm, odd_docs, no_docs):
     docs, labels = (llm.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     out = M.mix(docs, labels).join(labels, "doc_id", "left").collect()
