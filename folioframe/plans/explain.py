@@ -41,25 +41,36 @@ def cards(answered: DataFrame) -> DataFrame:
 ANSWER = "key string, body string, finish string"
 
 
-def explain(linear: DataFrame, info: DataFrame, cache: DataFrame | str, client_factory: Callable, wait: bool = True) -> DataFrame:
-    """Cards of every chain. Equal requests are asked once; cached answers are not asked again.
+def answers(requests: DataFrame, cache: DataFrame | str, client_factory: Callable, wait: bool = True) -> DataFrame:
+    """Good answers (key, body, finish, parsed) to ``requests`` (key, prompt; keys are unique): from the cache, or asked now.
 
-    ``cache`` is a table of answers (key, body, finish), or the path of one: then new answers with a body are
-    appended to it before anything reads them, and a later run asks for none of them. Either way an answer is
-    stored before it is used, so no lost executor asks twice for what is stored.
+    An answer is good if its status is 2xx and it parses. With a path as cache only good answers are appended to it; the others go to
+    ``<path>_errors`` with status and error, and are asked again by a later run, as is a stored answer that does not parse.
     """
-    path, spark = (cache if isinstance(cache, str) else None), linear.sparkSession
+    path, spark = (cache if isinstance(cache, str) else None), requests.sparkSession
+    read = lambda rows: E.parse_model_json(rows.select("key", "body", "finish"), schemas.EXPLAIN_RESPONSE).where("error is null").drop("error").dropDuplicates(["key"])
     if path:
         spark.createDataFrame([], ANSWER).write.mode("append").parquet(path)
         cache = spark.read.schema(ANSWER).parquet(path)
+    _, todo = E.cache_lookup(requests, read(cache).select("key"))
+    asked = settle(E.score_requests(todo, client_factory, wait=wait).select("key", "status", "body", "finish"))
+    refused = F.when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), F.concat(F.lit("Status "), F.coalesce(F.col("status").cast("string"), F.lit("None"))))
+    fresh = E.parse_model_json(asked, schemas.EXPLAIN_RESPONSE).withColumn("error", F.coalesce(refused, "error"))
+    good = fresh.where("error is null").select("key", "body", "finish")
+    if not path:
+        return read(cache.select("key", "body", "finish").unionByName(good))
+    good.write.mode("append").parquet(path)
+    fresh.where("error is not null").select("key", "status", "body", "finish", "error").write.mode("append").parquet(f"{path}_errors")
+    return read(spark.read.schema(ANSWER).parquet(path))
+
+
+def explain(linear: DataFrame, info: DataFrame, cache: DataFrame | str, client_factory: Callable, wait: bool = True) -> DataFrame:
+    """Cards of every chain. Equal requests are asked once; cached answers are not asked again.
+
+    ``cache`` is a table of answers (key, body, finish), or the path of one: then new good answers are
+    appended to it before anything reads them, and a later run asks for none of them (see ``answers``). Either way an answer is
+    stored before it is used, so no lost executor asks twice for what is stored.
+    """
     asked = settle(requests(payloads(linear), info))
     unique = asked.groupBy("key").agg(F.min("prompt").alias("prompt"))
-    _, todo = E.cache_lookup(unique, cache.select("key"))
-    fresh = E.score_requests(todo, client_factory, wait=wait).select("key", "body", "finish")
-    if path:
-        fresh.where("coalesce(body, '') != ''").write.mode("append").parquet(path)
-        answers = spark.read.schema(ANSWER).parquet(path)
-    else:
-        answers = cache.select("key", "body", "finish").unionByName(settle(fresh))
-    parsed = E.parse_model_json(asked.join(answers, "key"), schemas.EXPLAIN_RESPONSE)
-    return cards(settle(parsed))
+    return cards(settle(asked.join(answers(unique, cache, client_factory, wait), "key")))

@@ -3,6 +3,7 @@
 from checks.answer_checks import closed_client, echo_client
 from folioframe import schemas
 from folioframe.operators import explain as E
+from folioframe.plans import explain as PE
 
 
 def test_only_whole_json_objects_with_all_fields_count(spark):
@@ -26,3 +27,27 @@ def test_attempts_depend_on_the_prompt_alone(spark):
     df = spark.createDataFrame(rows, "i int, prompt string")
     got = [sorted((r["i"], r["attempts"], r["status"]) for r in E.score_requests(df.repartition(n), echo_client, wait=False, tasks=t).collect()) for n, t in ((1, None), (7, 3))]
     assert got[0] == got[1] == [(i, 2 if len(p) % 7 == 0 else 1, 200) for i, p in rows]
+
+
+def test_only_good_answers_are_stored_and_the_others_asked_again(spark, fresh_dir):
+    def half_bad_client():
+        """Good for prompts that end in 0; else cut off, invalid, or refused with a body."""
+        good = echo_client()
+
+        def ask(prompt):
+            status, body, finish = good(prompt)
+            return {"0": (status, body, finish), "1": (status, body, "MAX_TOKENS"), "2": (status, body[:-9] if body else body, finish), "3": (400, body, finish)}[prompt[-1]]
+        return ask
+
+    asked = spark.createDataFrame([(f"k{i}", f"[S0] Some text. {'x' * (9 - len('[S0] Some text. ') % 7)}{i}") for i in range(4)], "key string, prompt string")
+    store = f"{fresh_dir}/answers"
+    keys = lambda df: sorted(r["key"] for r in df.collect())
+    assert keys(PE.answers(asked, store, half_bad_client, wait=False)) == ["k0"] == keys(spark.read.parquet(store))
+    errors = {r["key"]: r["error"] for r in spark.read.parquet(f"{store}_errors").collect()}
+    assert {k: e.split(" (")[0] for k, e in errors.items()} == {"k1": "Response truncated", "k2": "Invalid JSON", "k3": "Status 400"}
+    assert keys(PE.answers(asked, store, echo_client, wait=False)) == ["k0", "k1", "k2", "k3"]
+    out = PE.answers(asked, store, closed_client, wait=False)
+    assert keys(out) == ["k0", "k1", "k2", "k3"] and all(r["parsed"] is not None for r in out.collect())
+    # What an older run stored is asked again too.
+    spark.createDataFrame([("k1", "{", "STOP")], PE.ANSWER).write.parquet(f"{fresh_dir}/old")
+    assert keys(PE.answers(asked.where("key = 'k1'"), f"{fresh_dir}/old", echo_client, wait=False)) == ["k1"]
