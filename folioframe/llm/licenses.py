@@ -161,7 +161,7 @@ def license_findings(docs: DataFrame, gap: int = 2) -> DataFrame:
     """
     cut = docs.where(_may_hold(F.col("text"))).select("doc_id", "text", sentences(F.col("text")).alias("pieces"))
     cut = cut.select("doc_id", "pieces", _goes_on(F.col("text"), F.col("pieces")).alias("on"))
-    # No filter on these columns: Spark would push it below them and work them out anew at each place that names them.
+    # No filter on these columns: Spark may push it below them and work them out anew at each place that names them.
     held = cut.select("doc_id", "pieces", "on", _hits(F.col("pieces"), F.col("on")).alias("all"))
     inside = lambda h: F.exists("all", lambda g: (g["place"] <= h["place"]) & (g["end"] >= h["end"]) & (g["end"] - g["place"] > h["end"] - h["place"]))
     held = held.select("doc_id", "pieces", "on", F.filter("all", lambda h: ~inside(h)).alias("hits"))
