@@ -2,17 +2,20 @@
 
 from pyspark.sql import functions as F
 
+from folioframe.llm.decontamination import PASSAGES_SQL, find_passages
 from folioframe.llm.exact_dedup import exact_duplicates
 from folioframe.llm.language import identify_documents
 from folioframe.llm.licenses import findings_sql, license_findings
 from folioframe.llm.mixing import mix
 from folioframe.llm.near_dedup import near_duplicates
 from folioframe.llm.packing import pack
+from folioframe.llm.phrases import COLLOCATIONS_SQL, collocations
 from folioframe.llm.registry import query, table
 from folioframe.llm.sharding import shard_documents
 from folioframe.llm.token_counts import apply_edits, with_trees
 from folioframe.llm.token_files import token_digest
 from folioframe.llm.topk import top_k, usable, whole_numbers
+from folioframe.llm.vector_codes import codes_sql, compress
 
 DEDUP_SQL = r"""
 with n as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') s from documents)
@@ -100,3 +103,20 @@ def packing(spark, sf_dir):
 @query("op8_language")
 def language(spark, sf_dir):
     return identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes", codes_sql())
+def vector_codes(spark, sf_dir):
+    found = compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+@query("op12_decontamination", PASSAGES_SQL)
+def decontamination(spark, sf_dir):
+    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
+def phrase_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
