@@ -167,9 +167,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
         raise ValueError(f"vectors of {length} components cannot be cut into {parts} equal parts")
     kept = kept.where(F.size("v") == length)
     start = [r["v"] for r in kept.orderBy(*order).limit(entries).collect()]  # at most 256 vectors
-    books = np.array(start, dtype=np.int64).reshape(len(start), parts, -1).transpose(1, 0, 2).copy()
-    if not start:
-        books = np.zeros((parts, 1, 1), dtype=np.int64)
+    books = np.array(start or [[0] * parts], dtype=np.int64).reshape(max(1, len(start)), parts, -1).transpose(1, 0, 2).copy()
     rows = _assigned(kept, books, None)
     for _ in range(rounds):
         new = _moved_entries(rows, books)
