@@ -44,11 +44,11 @@ def main():
         return kept["walk"]
 
     def pages():
-        kept["pages"] = settle(X.finish_pages(X.W.page_rows(kept["walk"])))
+        kept["pages"] = settle(X.finish_pages(X.W.page_rows(kept["walk"]), texts=X.W.page_rows(kept["walk"], bare=True)))
         return kept["pages"]
 
     def linear():
-        kept["linear"] = settle(X.finish_linear(X.W.linear_rows(kept["walk"])))
+        kept["linear"] = settle(X.finish_linear(X.W.linear_rows(kept["walk"]), texts=X.W.linear_rows(kept["walk"], bare=True)))
         return kept["linear"]
 
     timed("walk", walked)

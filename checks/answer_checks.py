@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlkit as K
 from checks.flow_checks import (
-    _SENTS, BOX, CHAINS, LINEAR_FLOW, MERGED, PLAIN, chained, linear_flow, plain_linear, plain_pages)
+    _SENTS, BOX, CHAINS, LINEAR_FLOW, MERGED, PLAIN, _recursive, chained, linear_flow, plain_linear, plain_pages)
 from checks.registry import bronze, check, shared, table
 from checks.text_checks import significant_sql
 from folioframe.functions import text as T
@@ -287,11 +287,33 @@ def merged_roles(spark, sf_dir):
     return g.select("user_id", T.resolve_merged_role("roles").alias("merged"))
 
 
-@check("replayed_merge_groups")
+_MEM = "struct(\"key\" varchar, kind varchar, page int)"
+_GRP = f"struct(id varchar, members {_MEM}[], edited bigint, kind varchar)"
+_LOG = f"""me as (select doc_id, unnest([((page // 3) * 64 + (ri + page) // 2)::bigint, ((page // 3) * 64 + 32 + ri % 32)::bigint]) edit_id, {{'key': 'block:' || page || ':' || ri, 'kind': kind, 'page': page}}::{_MEM} mem from pp),
+ml as (select doc_id, edit_id, case when edit_id % 4 = 3 then list(mem order by mem."key")[1:1] else list(mem order by mem."key") end ms, row_number() over (partition by doc_id order by edit_id) k from me group by doc_id, edit_id),
+mr as (
+  select distinct doc_id, 0::bigint k, []::{_GRP}[] acc from ml
+  union all
+  select doc_id, k, case when edit_id % 4 <> 3 then case when len(ms) < 2 or len(members) < 2 then acc else list_concat(list_filter(rest, lambda g: g.id <> gid), [{{'id': gid, 'members': members, 'edited': edit_id, 'kind': case when list_contains(list_transform(members, lambda m: m.kind), 'image') then 'figure' else 'paragraph' end}}::{_GRP}]) end
+      when len(touched) = 0 then acc when len(remaining) >= 2 then list_concat(others, [{{'id': touched[1].id, 'members': remaining, 'edited': edit_id, 'kind': touched[1].kind}}::{_GRP}]) else others end
+  from (select *, coalesce(touched[1].id, 'mg-' || ms[1].page || '-' || array_to_string(list_transform(members, lambda m: regexp_replace(m."key", '[^A-Za-z0-9_]', '', 'g')), '-')) gid,
+      list_filter(touched[1].members, lambda m: not list_contains(picked, m."key")) remaining, list_filter(acc, lambda g: g.id <> touched[1].id) others
+    from (select *, list_filter(pool, lambda m, i: list_position(list_transform(pool, lambda x: x."key"), m."key") = i) members
+      from (select *, list_concat(flatten(list_transform(touched, lambda g: g.members)), ms) pool
+        from (select *, list_filter(acc, lambda g: list_has_any(list_transform(g.members, lambda m: m."key"), picked)) touched,
+            list_filter(acc, lambda g: not list_has_any(list_transform(g.members, lambda m: m."key"), picked)) rest
+          from (select mr.doc_id, l.k, l.edit_id, l.ms, list_transform(l.ms, lambda m: m."key") picked, mr.acc from mr join ml l on l.doc_id = mr.doc_id and l.k = mr.k + 1)))))),
+mz as (select doc_id, unnest(acc) g, generate_subscripts(acc, 1) - 1 n from mr join (select doc_id, max(k) k from ml group by all) using (doc_id, k))"""
+
+
+@check("replayed_merge_groups", _recursive(K.sql("""select doc_id, n::int n, g.id group_id, len(g.members)::int members, g.kind result_role from mz""", PLAIN, _LOG)))
 def replayed_merge_groups(spark, sf_dir):
+    """Every block is in two edits: with the neighbours of its place on three pages, and with its like on these pages. Every fourth edit cuts."""
     p = plain_pages(spark, sf_dir)
     member = F.struct(F.concat(F.lit("block:"), D.block_key()).alias("key"), F.col("kind").alias("kind"), F.col("page").alias("page"), F.lit(None).cast("string").alias("role"))
-    log = p.groupBy("doc_id", F.floor((F.col("ri") + F.col("page")) / 2).alias("edit_id")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    first = F.floor(F.col("page") / 3) * 64
+    edits = F.explode(F.array(first + F.floor((F.col("ri") + F.col("page")) / 2), first + 32 + F.col("ri") % 32))
+    log = p.select("doc_id", edits.alias("edit_id"), member.alias("m")).groupBy("doc_id", "edit_id").agg(F.array_sort(F.collect_list("m")).alias("members"))
     log = log.withColumn("op", F.when(F.col("edit_id") % 4 == 3, "cut").otherwise("merge")).withColumn("members", F.when(F.col("op") == "cut", F.slice("members", 1, 1)).otherwise(F.col("members")))
     return D.replay_merge_groups(log).select("doc_id", "n", "group_id", F.size("members").alias("members"), "result_role")
 

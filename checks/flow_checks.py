@@ -71,17 +71,104 @@ def _rows(df):
     return df.select(*_key("role", "text", *BOX, "caption_text"))
 
 
-@check("captions_linear")
+def _caption_flags(vis):
+    return f"""{vis} vis, text <> '' and {K.subfigure('text')} sub, "role" = 'caption' or ("role" = 'paragraph' and {K.caption_like('text')}) cap,
+      "role" = 'paragraph' and {K.source_line(K.lstrip('text'))} src"""
+
+
+def _caption_fold(pages):
+    """One row of a page or run after another: ``ce`` holds the rows, ``cf`` the open figure after each, ``cp`` what was taken."""
+    if pages:
+        rows = f"""ce as (select *, page g, row_number() over (partition by doc_id, page order by ri) k from (select *, {_caption_flags("kind = 'image'")} from pp))"""
+    else:
+        rows = f"""ce as (select *, row_number() over (partition by doc_id, g order by ri) k from (
+          select *, sum((not (vis or sub or cap or src))::int) over (partition by doc_id order by page, ri) g from (select *, {_caption_flags("role in ('figure','table')")} from pl)) where vis or sub or cap or src)"""
+    near = (lambda p, back: f"({p}.ri = ri - {back} and {p}.cap)") if pages else (lambda p, back: f"({p}.cap)" if back == 1 else "false")
+    free = lambda p: f"not list_contains(list_transform(cl, lambda d: d.ri), {p}.ri)"
+    gap_y, low = "(y0 - uy1)", "least(uy1-uy0, y1-y0)"
+    gap_x, thin = "(x0 - ux1)", "least(ux1-ux0, x1-x0)"
+    contiguous = f"""({K.hov('u', '')} >= {V.PANEL_H_OVERLAP} and {gap_y} >= -{V.PANEL_SLOP}*{low} and y1 > uy1 + {V.GEOM_TOL} and {gap_y} <= greatest({V.PANEL_GAP}, {V.PANEL_GAP_FRACTION}*{low}))"""
+    beside = f"""({K.vov('u', '')} >= {V.PANEL_V_OVERLAP} and {gap_x} >= -{V.GEOM_TOL} and {gap_x} <= greatest({V.PANEL_GAP}, {V.PANEL_GAP_FRACTION}*{thin}))"""
+    closed = """case when oi is null then done when ai is not null and (fi is null or oy0 - ay1 <= fy0 - oy1)
+      then list_concat(done, list_concat(list_filter(held, lambda h: coalesce(h.ri <> fi, true)), [{'ri': ai, 'owner': oi, 'panel': false, 'n': len(held)}])) else list_concat(done, held) end"""
+    picks = "struct(ri int, owner int, panel boolean, n bigint)[]"
+    me = "{'ri': ri, 'cap': cap and not vis, 'y1': y1}"
+    return rows, f"""cf as (
+      select doc_id, g, 0::bigint k, null::int oi, null::int opage, null::double oy0, null::double oy1, null::double ux0, null::double uy0, null::double ux1, null::double uy1, false hc, false hs, false saw,
+        null::int ai, null::double ay1, null::int fi, null::double fy0, null::int li, null::struct(ri int, cap boolean, y1 double) p1, null::struct(ri int, cap boolean, y1 double) p2, []::{picks} held, []::{picks} done
+        from (select distinct doc_id, g from ce)
+      union all
+      select doc_id, g, k, case when act > 0 then oi when vis then ri end, case when act > 0 then opage when vis then page end, case when act > 0 then oy0 else y0 end, case when act > 0 then oy1 else y1 end,
+        case when act = 4 then least(ux0, x0) when act > 0 then ux0 else x0 end, case when act = 4 then least(uy0, y0) when act > 0 then uy0 else y0 end,
+        case when act = 4 then greatest(ux1, x1) when act > 0 then ux1 else x1 end, case when act = 4 then greatest(uy1, y1) when act > 0 then uy1 else y1 end,
+        act > 0 and (hc or act = 2), act > 0 and (hs or act = 3), act > 0 and act <> 4 and (saw or act = 1),
+        case when act > 0 then ai when vis then ab.ri end, case when act > 0 then ay1 when vis then ab.y1 end,
+        case when act = 2 then ri when act > 0 then fi end, case when act = 2 then y0 when act > 0 then fy0 end, ri, {me}, p1,
+        case when act > 0 then list_concat(held, [{{'ri': ri, 'owner': oi, 'panel': act = 4, 'n': len(held)}}]) else []::{picks} end, case when act > 0 then done else cl end
+      from (select *, case when {near('p1', 1)} and {free('p1')} then p1 when {near('p1', 2)} and {free('p1')} then p1 when {near('p2', 2)} and {free('p2')} then p2 end ab
+        from (select *, case when oi is null {'or ri <> li + 1' if pages else ''} then 0 when sub and not hc and not hs and {K.hov('u', '')} >= {V.PANEL_H_OVERLAP} then 1
+            when cap and not hc then 2 when src and not hs then 3
+            when vis and not hc and not hs and (saw or ai is null) and page = opage and ({contiguous} or {beside}) then 4 else 0 end act, {closed} cl
+          from (select cf.* exclude (k), e.k, e.ri, e.page, e.x0, e.y0, e.x1, e.y1, e.vis, e.sub, e.cap, e.src from cf join ce e on e.doc_id = cf.doc_id and e.g = cf.g and e.k = cf.k + 1)))),
+    cl as (select doc_id, g, {closed} picks from cf join (select doc_id, g, max(k) k from ce group by all) using (doc_id, g, k)),
+    cp as (select doc_id, g, p.ri ri, p."owner" "owner", p.panel panel, p.n n from (select doc_id, g, unnest(picks) p from cl)),
+    cm as (select doc_id, "owner", {'g,' if pages else ''} string_agg(text, chr(10) order by y0, n) filter (not panel) cap, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from cp join ce using (doc_id, g, ri) group by all)"""
+
+
+def _caption_rows(source, pages):
+    page = "and m.g = p.page" if pages else ""
+    text = "case when p.kind = 'image' then '' else p.text end" if pages else "p.text"
+    return f"""select p.doc_id, p.page, p.ri, p."role", {text} text, least(p.x0, m.x0) x0, least(p.y0, m.y0) y0, greatest(p.x1, m.x1) x1, greatest(p.y1, m.y1) y1, coalesce(m.cap, '') caption_text
+      from {source} p left join cm m on m.doc_id = p.doc_id and m."owner" = p.ri {page}
+      where not exists (select 1 from cp where cp.doc_id = p.doc_id and cp.ri = p.ri {'and cp.g = p.page' if pages else ''})"""
+
+
+def _recursive(sql):
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@check("captions_linear", _recursive(K.sql(_caption_rows("pl", False), PLAIN, *_caption_fold(False))))
 def captions_linear(spark, sf_dir):
     return _rows(M.merge_figure_captions_linear(plain_linear(spark, sf_dir)))
 
 
-@check("captions_pages")
+@check("captions_pages", _recursive(K.sql(_caption_rows("pp", True), PLAIN, *_caption_fold(True))))
 def captions_pages(spark, sf_dir):
     return _rows(M.merge_figure_captions_pages(plain_pages(spark, sf_dir)))
 
 
-@check("tables_linear")
+def _table_fold(source):
+    """One anchor (label or table) of a page after another: ``tw`` holds what was taken after each."""
+    note = lambda t, taken: f"""list_sort(list_transform(list_filter(later, lambda r: r.note and not list_contains(list_transform(acc, lambda a: a.ri), r.ri) and not list_contains({taken}, r.ri)
+        and r.y0 - {t}.y1 between -{V.GEOM_TOL} and {V.TABLE_NOTE_GAP} and {K.hov(t + '.', 'r.')} >= {V.TABLE_OVERLAP}), lambda r: {{'gap': r.y0 - {t}.y1, 'ri': r.ri}}))[1].ri"""
+    members = lambda ids, owner: f"list_transform({ids}, lambda i, k: {{'ri': i, 'owner': {owner}, 'n': k}})"
+    cell = "struct(ri int, x0 double, y0 double, x1 double, y1 double, tab boolean, label boolean, note boolean, ttl boolean)"
+    return f"""te as (select doc_id, page, ri, x0, y0, x1, y1, "role" = 'table' tab, {K.table_label('"role"', 'text')} label, {K.table_note('"role"', 'text')} note,
+        "role" in ('paragraph','caption','section_header') and {K.n_words('text')} <= {V.TABLE_TITLE_WORDS} ttl from {source}),
+    tg as (select doc_id, page, list({{'ri': ri, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'tab': tab, 'label': label, 'note': note, 'ttl': ttl}}::{cell} order by ri) arr from te group by all),
+    ta as (select doc_id, page, arr, unnest(list_filter(arr, lambda r: r.label or r.tab)) b, generate_subscripts(list_filter(arr, lambda r: r.label or r.tab), 1) k from tg),
+    tw as (
+      select doc_id, page, 0::bigint k, []::struct(ri int, "owner" int, n bigint)[] acc from tg
+      union all
+      select doc_id, page, k, case when list_contains(list_transform(acc, lambda a: a.ri), b.ri) then acc
+          when b.label then case when kind = 2 then list_concat(acc, {members('list_filter(list_append(ids, nl), lambda i: i is not null)', 'tb.ri')}) else acc end
+          when ns is not null then list_concat(acc, {members('[b.ri, ns]', 'b.ri')}) else acc end
+      from (select *, {note('tb', 'ids')} nl, {note('b', '[b.ri]')} ns
+        from (select *, kinds[pos] kind, ahead[pos] tb, list_concat([b.ri], list_concat(list_transform(ahead[1 : coalesce(pos, 1) - 1], lambda r: r.ri), [ahead[pos].ri])) ids
+          from (select *, list_position(list_transform(kinds, lambda x: x <> 1), true) pos
+            from (select *, list_transform(ahead, lambda r: case when list_contains(list_transform(acc, lambda a: a.ri), r.ri) then 0
+                when r.tab and r.y1 >= b.y0 and {K.hov('b.', 'r.')} >= {V.TABLE_OVERLAP} then 2 when not r.ttl then 0 else 1 end) kinds
+              from (select *, later[1 : {V.TABLE_LOOKAHEAD}] ahead
+                from (select tw.doc_id, tw.page, tw.acc, a.k, a.b, list_filter(a.arr, lambda r: r.ri > a.b.ri) later from tw join ta a on a.doc_id = tw.doc_id and a.page = tw.page and a.k = tw.k + 1)))))) ),
+    tz as (select doc_id, page, unnest(acc, recursive := true) from tw join (select doc_id, page, max(k) k from tw group by all) using (doc_id, page, k)),
+    tm as (select doc_id, page, "owner", min(ri) filter (n = 1) first_ri, string_agg(text, chr(10) order by n) filter (text <> '') whole, string_agg(text, chr(10) order by n) filter (text <> '' and ri <> "owner") others,
+      min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from tz join {source} using (doc_id, page, ri) group by all)"""
+
+
+@check("tables_linear", _recursive(K.sql("""select p.doc_id, p.page, coalesce(m.first_ri, p.ri) ri, p."role", case when m."owner" is null then p.text else coalesce(m.whole, '') end text,
+    least(p.x0, m.x0) x0, least(p.y0, m.y0) y0, greatest(p.x1, m.x1) x1, greatest(p.y1, m.y1) y1, coalesce(m.others, '') caption_text
+    from pl p left join tm m on m.doc_id = p.doc_id and m.page = p.page and m."owner" = p.ri
+    where not exists (select 1 from tz where tz.doc_id = p.doc_id and tz.page = p.page and tz.ri = p.ri and tz.ri <> tz."owner")""", PLAIN, _table_fold("pl"))))
 def tables_linear(spark, sf_dir):
     return _rows(M.merge_tables_linear(plain_linear(spark, sf_dir)))
 

@@ -263,7 +263,19 @@ def bare_latex(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.wrap_bare_latex(s).alias("wrapped"))
 
 
-@check("math_tokens")
+# The pattern of the pieces without its looks ahead, which matter for empty formulas only; the texts have none.
+_PIECES = r"(?s)\\\$|\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\$[^$]+\$|[^\\$]+|."
+
+
+@check("math_tokens", f"""with s as (select conv_id, turn, text || case when turn % 2 = 0 then ' costs \\$5 and $x+1$ or \\(y\\) so $$z$$ and \\[w\\]' else '' end s from conversations where text is not null),
+  r as (select conv_id, turn, s, regexp_extract_all(s, '{_PIECES}') l from s),
+  p as (select conv_id, turn, s, generate_subscripts(l, 1) i, unnest(l) t from r),
+  q as (select *, length(t) > 2 and (t[1] = '$' or t[1:2] in ('\\[', '\\(')) and (t[1:2] <> '$$' or length(t) > 4) math from p),
+  c as (select *, case when not math then 0 when t[1:2] = '$$' or t[1] = '\\' then 2 else 1 end cut from q),
+  f as (select *, math or lag(math, 1, true) over (partition by conv_id, turn, s order by i) fresh from c),
+  g as (select *, sum(fresh::int) over (partition by conv_id, turn, s order by i) - 1 k from f)
+  select conv_id, turn, k::int k, case when math then 'math' else 'text' end "type", string_agg(case when math then t[cut + 1 : length(t) - cut] when t = '\\$' then '$' else t end, '' order by i) "value",
+    bool_or(math and (t[1:2] = '$$' or t[1:2] = '\\[')) display from g group by conv_id, turn, s, k, math""")
 def math_tokens(spark, sf_dir):
     """Math and text pieces of conversation turns, half of which get formulas put in."""
     t = F.col("turn")

@@ -208,10 +208,23 @@ def glue_groups(rows: DataFrame) -> DataFrame:
 
 
 def glued(texts) -> F.Column:
-    """Texts of one group joined: a soft break at the end is taken off, else one space."""
-    return F.aggregate(
-        F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), F.get(texts, F.lit(0)), T.join_hyphen
-    )
+    """Texts of one group joined: a soft break at the end is taken off, else one space.
+
+    The end of each text alone says how it meets the next one, so the parts are put together once. Only where a text in between is
+    blank, or there is none, the joint depends on what came before, and the texts are joined one after another.
+    """
+    n = F.size(texts)
+    inner = F.transform(F.slice(texts, 1, F.greatest(n - 1, F.lit(0))), T.rstrip)
+    blank = F.exists(F.transform(texts, lambda t: F.coalesce(T.strip(t), F.lit(""))), lambda t: t == "")
+
+    def part(t, i):
+        begun = F.when(i == 0, t).otherwise(T.lstrip(t))
+        return F.when(begun.rlike("[-—¬]$"), F.regexp_replace(begun, "[-—¬]$", "")).otherwise(F.concat(begun, F.lit(" ")))
+
+    last = F.get(texts, n - 1)
+    once = F.array_join(F.concat(F.transform(inner, part), F.array(F.when(n == 1, last).otherwise(T.lstrip(last)))), "")
+    stepwise = F.aggregate(F.slice(texts, 2, F.greatest(n - 1, F.lit(0))), F.get(texts, F.lit(0)), T.join_hyphen)
+    return F.when(blank | (n == 0), stepwise).otherwise(once)
 
 
 def glued_paragraphs(page_blocks: DataFrame) -> DataFrame:

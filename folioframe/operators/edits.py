@@ -1,10 +1,11 @@
 """Reader edits as tables: overrides of single blocks and groups of merged blocks."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as G
 from folioframe.functions import text as T
+from folioframe.operators.components import components
 from folioframe.sources.layout import PAGE_KEY
 
 
@@ -140,14 +141,33 @@ def merge_group_members(groups: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 _MEMBER = "struct<key:string,kind:string,page:int,role:string>"
-_GROUP = f"struct<id:string,members:array<{_MEMBER}>,role:string>"
+_GROUP = f"struct<id:string,members:array<{_MEMBER}>,role:string,at:bigint>"
+
+
+def _stem(key) -> F.Column:
+    """A key without its marks, as the names of groups hold it."""
+    return F.regexp_replace(key, r"[^A-Za-z0-9_]", "")
+
+
+def edit_components(log: DataFrame) -> DataFrame:
+    """``log`` with ``comp``: edits of a document that cannot touch each other's groups have different ones.
+
+    Edits are linked when they name a common member; members with one stem count as one, since the names of groups hold no more.
+    Edits without members change nothing and are left out.
+    """
+    node = lambda m: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), _stem(m["key"]))
+    named = log.where(F.size("members") > 0).withColumn("_node", node(F.get("members", F.lit(0))))
+    links = named.select(F.col("_node").alias("a"), F.explode(F.transform("members", node)).alias("b")).distinct()
+    comp = components(links).withColumnRenamed("node", "_node")
+    return named.join(comp, "_node").drop("_node")
 
 
 def replay_merge_groups(log: DataFrame) -> DataFrame:
     """Groups of each document after its edit log: doc_id, edit_id, op ("merge" or "cut"), members.
 
     A merge extends the groups it touches, which fuse under the id of the first; a cut takes its member
-    out of its group. A group of fewer than two members dissolves.
+    out of its group. A group of fewer than two members dissolves. ``n`` is the place of a group in its document: by its latest edit.
+    The log is replayed by component of edits that touch each other, so a long log of one document spreads over many tasks.
     """
     none = F.expr("array()").cast(f"array<{_GROUP}>")
 
@@ -162,19 +182,21 @@ def replay_merge_groups(log: DataFrame) -> DataFrame:
         pool = F.concat(F.flatten(F.transform(touched, lambda g: g["members"])), e["members"])
         keys = F.transform(pool, lambda m: m["key"])
         members = F.filter(F.transform(pool, lambda m, i: F.when(F.array_position(keys, m["key"]) == i + 1, m)), lambda m: m.isNotNull())
-        stems = F.transform(members, lambda m: F.regexp_replace(m["key"], r"[^A-Za-z0-9_]", ""))
+        stems = F.transform(members, lambda m: _stem(m["key"]))
         fresh = F.concat(F.lit("mg-"), F.get(e["members"], F.lit(0))["page"].cast("string"), F.lit("-"), F.array_join(stems, "-"))
         gid = F.coalesce(F.get(touched, F.lit(0))["id"], fresh)
-        group = F.struct(gid.alias("id"), members.alias("members"), result_role(members).alias("role"))
+        group = F.struct(gid.alias("id"), members.alias("members"), result_role(members).alias("role"), e["edit_id"].alias("at"))
         merged = F.concat(F.filter(rest, lambda g: g["id"] != gid), F.array(group))
         grown = F.when((F.size(e["members"]) < 2) | (F.size(members) < 2), acc).otherwise(merged)
         hit = F.get(touched, F.lit(0))
         remaining = F.filter(hit["members"], lambda m: ~F.array_contains(picked, m["key"]))
         others = F.filter(acc, lambda g: g["id"] != hit["id"])
-        kept = F.concat(others, F.array(F.struct(hit["id"].alias("id"), remaining.alias("members"), hit["role"].alias("role"))))
+        kept = F.concat(others, F.array(F.struct(hit["id"].alias("id"), remaining.alias("members"), hit["role"].alias("role"), e["edit_id"].alias("at"))))
         cut = F.when(F.size(touched) == 0, acc).when(F.size(remaining) >= 2, kept).otherwise(others)
         return F.when(e["op"] == "merge", grown).otherwise(cut).cast(f"array<{_GROUP}>")
 
-    g = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("edit_id", "op", "members"))).alias("log"))
-    return g.select("doc_id", F.posexplode(F.aggregate("log", none, step)).alias("n", "g")).select(
-        "doc_id", "n", F.col("g.id").alias("group_id"), F.col("g.members").alias("members"), F.col("g.role").alias("result_role"))
+    g = edit_components(log).groupBy("doc_id", "comp").agg(F.array_sort(F.collect_list(F.struct("edit_id", "op", "members"))).alias("log"))
+    groups = g.select("doc_id", F.explode(F.aggregate("log", none, step)).alias("g"))
+    place = Window.partitionBy("doc_id").orderBy("g.at")
+    return groups.select(
+        "doc_id", (F.row_number().over(place) - 1).alias("n"), F.col("g.id").alias("group_id"), F.col("g.members").alias("members"), F.col("g.role").alias("result_role"))

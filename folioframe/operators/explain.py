@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, types
+from pyspark.sql import DataFrame, Window, types
 from pyspark.sql import functions as F
 
 from folioframe import schemas
@@ -20,20 +20,21 @@ def _empty(kind: str):
     return F.expr("array()").cast(kind)
 
 
-def _width(parts):
-    return F.aggregate(parts, F.lit(0), lambda a, p: a + F.size(p["sentences"]))
-
-
 # -- payloads --------------------------------------------------------------------------------------------
 
 
 def chain_payload(rows: DataFrame) -> DataFrame:
-    """One row per chain: glued text, all sentences, members with their offset, boundaries, footnotes."""
-    part = F.struct("page", "ri", "text", "sentences", F.transform("footnotes", lambda n: n["text"]).alias("notes"))
-    g = rows.where("chain is not null").groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    offsets = F.transform("parts", lambda p, k: F.struct(
-        p["page"].alias("page"), p["ri"].alias("ri"), _width(F.slice("parts", 1, k)).alias("offset"),
-        F.size(p["sentences"]).alias("n")))
+    """One row per chain: glued text, all sentences, members with their offset, boundaries, footnotes.
+
+    Offsets are running sums over the rows of the chain, before these meet in one row.
+    """
+    before = Window.partitionBy("doc_id", "chain").orderBy("page", "ri").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.size("sentences")
+    members = rows.where("chain is not null").withColumn("offset", F.coalesce(F.sum(n).over(before), F.lit(0)).cast("int"))
+    part = F.struct("page", "ri", "text", "sentences", F.transform("footnotes", lambda n: n["text"]).alias("notes"), "offset")
+    g = members.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    offsets = F.transform("parts", lambda p: F.struct(
+        p["page"].alias("page"), p["ri"].alias("ri"), p["offset"].alias("offset"), F.size(p["sentences"]).alias("n")))
     return (
         g.withColumn("members", offsets)
         .select(
@@ -50,7 +51,10 @@ def merged_sentences(payloads: DataFrame) -> DataFrame:
     """Add ``merged`` (halves of a sentence split between blocks joined) and ``merged_to_orig``."""
     text = lambda k: F.get("sentences", k)["text"]
     every = F.when(F.size("sentences") > 0, F.sequence(F.lit(0), F.size("sentences") - 1)).otherwise(_empty("array<int>"))
-    starts = F.filter(every, lambda k: (k == 0) | ~F.array_contains("boundaries", k) | ~T.is_split_boundary(text(k - 1), text(k)))
+    # Which sentences open a member after the first.
+    edges = F.flatten(F.transform("members", lambda m, i: F.when(m["n"] > 0, F.concat(
+        F.array(i > 0), F.array_repeat(F.lit(False), m["n"] - 1))).otherwise(_empty("array<boolean>"))))
+    starts = F.filter(every, lambda k: (k == 0) | ~F.get("edges", k) | ~T.is_split_boundary(text(k - 1), text(k)))
     runs = F.transform("starts", lambda s, i: F.sequence(s, F.coalesce(F.get("starts", i + 1), F.size("sentences")) - 1))
 
     def join(run):
@@ -60,15 +64,13 @@ def merged_sentences(payloads: DataFrame) -> DataFrame:
             whole.alias("text"), F.flatten(F.transform(halves, lambda s: s["boxes"])).alias("boxes")))
 
     return (
-        payloads.withColumn("starts", starts).withColumn("merged_to_orig", runs)
-        .withColumn("merged", F.transform("merged_to_orig", join)).drop("starts")
+        payloads.withColumn("edges", edges).withColumn("starts", starts).withColumn("merged_to_orig", runs)
+        .withColumn("merged", F.transform("merged_to_orig", join)).drop("starts", "edges")
     )
 
 
 def sentence_merge_groups(rows: DataFrame) -> DataFrame:
     """Same decision on flat sentences (doc_id, chain, k, text, at_boundary): adds the group number ``m``."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id", "chain").orderBy("k")
     split = F.col("at_boundary") & T.is_split_boundary(F.lag("text").over(w), "text")
     return rows.withColumn("new", ~F.coalesce(split, F.lit(False))).withColumn(
@@ -434,10 +436,10 @@ _MATH = r"(?s)\\\$|\$\$(?!\$\$).+?\$\$|\\\[(?!\\\]).+?\\\]|\\\((?!\\\)).+?\\\)|\
 
 
 def tokenize_math(c) -> F.Column:
-    """array<struct<type, value, display>>: text and math pieces in order; ``\\$`` is a plain dollar."""
-    raw = F.regexp_extract_all(c, F.lit(_MATH), F.lit(0))
-    token = "struct<type:string,value:string,display:boolean>"
+    """array<struct<type, value, display>>: text and math pieces in order; ``\\$`` is a plain dollar.
 
+    Pieces of text next to each other are one token. A token starts at each formula and at each text that has no text before it.
+    """
     def piece(t):
         inner = lambda k: F.substring(t, k + 1, F.length(t) - 2 * k)
         math = lambda v, d: F.struct(F.lit("math").alias("type"), v.alias("value"), F.lit(d).alias("display"))
@@ -449,10 +451,20 @@ def tokenize_math(c) -> F.Column:
             .otherwise(F.struct(F.lit("text").alias("type"), F.when(t == "\\$", "$").otherwise(t).alias("value"), F.lit(False).alias("display")))
         )
 
-    def add(acc, t):
-        last = F.get(acc, F.size(acc) - 1)
-        grows = (F.size(acc) > 0) & (last["type"] == "text") & (t["type"] == "text")
-        longer = F.struct(F.lit("text").alias("type"), F.concat(last["value"], t["value"]).alias("value"), F.lit(False).alias("display"))
-        return F.when(grows, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(t))).cast(f"array<{token}>")
+    def tokens(pieces):
+        is_text = lambda i: F.get(pieces, i)["type"] == "text"
+        places = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1)).otherwise(_empty("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | ~is_text(i) | ~is_text(i - 1))
+
+        def cut(at):
+            def token(i, k):
+                run = F.slice(pieces, i + 1, F.coalesce(F.get(at, k + 1), F.size(pieces)) - i)
+                whole = F.array_join(F.transform(run, lambda p: p["value"]), "")
+                first = F.get(pieces, i)
+                return F.struct(first["type"].alias("type"), whole.alias("value"), first["display"].alias("display"))
+
+            return F.transform(at, token)
+
+        return let(starts, cut)
 
-    return F.aggregate(F.transform(raw, piece), _empty(f"array<{token}>"), add)
+    return let(F.transform(F.regexp_extract_all(c, F.lit(_MATH), F.lit(0)), piece), tokens)

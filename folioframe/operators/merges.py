@@ -1,8 +1,8 @@
 """Order-dependent merges: captions, tables, notes and algorithms drawn into one block.
 
-A merge never sees more than one page, or one run of figures with the texts next to them. The run is
-cut out first with windows, gathered into an array, folded there with ``aggregate``, and laid out as
-rows again, so all of it stays in the JVM.
+A merge works in two steps. Slim candidates (place, box and flags, no text) are gathered by page, or by segment of a run of
+figures, and folded with ``aggregate``; what comes out is a table of picks, one small row per block that
+another block takes. The picks are then joined back: taken rows leave, and their owners are filled from them. All of it stays in the JVM.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -13,25 +13,17 @@ from folioframe.functions import geometry as G
 from folioframe.functions import text as T
 from folioframe.functions.arrays import let
 from folioframe.operators import scans
-from folioframe.sources.layout import PAGE_KEY
+from folioframe.session import settle
+from folioframe.sources.layout import PAGE_KEY, span_of
 
 BOX = "x0:double,y0:double,x1:double,y1:double"
+ROW_KEY = [*PAGE_KEY, "ri"]
 
 
-def gather(rows: DataFrame, keys: list, keep) -> DataFrame:
-    """One row per group with its rows as the array ``arr`` in reading order; ``keep`` filters groups."""
+def gather(rows: DataFrame, keys: list) -> DataFrame:
+    """One row per group with its rows as the array ``arr`` in reading order."""
     fields = ["ri"] + [c for c in rows.columns if c not in (*keys, "ri")]
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("arr")).where(keep)
-
-
-def spread(groups: DataFrame, keys: list, arr) -> DataFrame:
-    return groups.select(*keys, F.inline(arr))
-
-
-def _put_box(row, union):
-    for c in G.Box._fields:
-        row = row.withField(c, union[c])
-    return row
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("arr"))
 
 
 def _as_boxes(parts):
@@ -42,27 +34,49 @@ def _texts(parts, field="text"):
     return F.filter(F.transform(parts, lambda p: p[field]), lambda t: t != "")
 
 
+def _apply(rows: DataFrame, picks: DataFrame, texts: DataFrame | None, fields: list, fill: dict) -> DataFrame:
+    """Rows without those that were taken; owners have the columns in ``fill``, which read ``parts``: what they took, as structs of ``fields``.
+
+    ``picks`` has ROW_KEY, the place of the owner (ospan, opage, owner) and what ``fields`` names beyond the columns of ``texts``; an owner may be among its own
+    parts. ``texts`` are the same rows with fewer columns, where these are cheaper to come by.
+    """
+    picks = settle(picks)
+    source = rows if texts is None else texts
+    took = source.join(picks, ROW_KEY).select("doc_id", "ospan", "opage", "owner", F.struct(*fields).alias("part"))
+    parts = took.groupBy("doc_id", F.col("ospan").alias("span"), F.col("opage").alias("page"), F.col("owner").alias("ri")).agg(
+        F.array_sort(F.collect_list("part")).alias("parts"))
+    gone = picks.where("ri != owner or page != opage").select(*ROW_KEY)
+    out = rows.join(gone, ROW_KEY, "left_anti").join(parts, ROW_KEY, "left")
+    filled = lambda c: F.when(F.col("parts").isNotNull(), fill[c]).otherwise(F.col(c)).alias(c) if c in fill else F.col(c)
+    return out.select(*[filled(c) for c in rows.columns])
+
+
 # -- captions --------------------------------------------------------------------------------------------
 
-_PICK = "struct<ri:int,owner:int,panel:boolean,n:int>"
+_PICK = "struct<ri:int,page:int,owner:int,opage:int,panel:boolean,n:int>"
+_NEAR = "struct<ri:int,page:int,cap:boolean,y1:double>"
 _OPEN = (
     f"struct<done:array<{_PICK}>,held:array<{_PICK}>,ri:int,page:int,y0:double,y1:double,u:struct<{BOX}>,"
-    "have_cap:boolean,have_src:boolean,saw:boolean,above_ri:int,above_y1:double,fwd_ri:int,fwd_y0:double,"
-    "last_ri:int,p1:struct<ri:int,cap:boolean,y1:double>,p2:struct<ri:int,cap:boolean,y1:double>>"
+    "have_cap:boolean,have_src:boolean,saw:boolean,above_ri:int,above_page:int,above_y1:double,fwd_ri:int,fwd_y0:double,"
+    f"last_ri:int,p1:{_NEAR},p2:{_NEAR}>"
 )
 
 
-def _caption_fold(arr, pages: bool) -> F.Column:
+def _near(e) -> F.Column:
+    return F.struct(e["ri"].alias("ri"), e["page_no"].alias("page"), (e["cap"] & ~e["vis"]).alias("cap"), e["y1"].alias("y1"))
+
+
+def _caption_fold(arr, pages: bool, lead=None) -> F.Column:
     """Which rows each figure or table takes: sub-captions, panels, one caption, one source line.
 
     The state is the open figure with what it holds so far. A row the figure cannot take closes it; on
-    closing, the nearer one of the captions above and below stays with the figure.
+    closing, the nearer one of the captions above and below stays with the figure. ``lead`` is the row before the first one.
     """
     no_picks = F.array().cast(f"array<{_PICK}>")
     null = F.lit(None)
 
-    def pick(ri, owner, panel, n):
-        return F.array(F.struct(ri.alias("ri"), owner.alias("owner"), F.lit(panel).alias("panel"), n.cast("int").alias("n")))
+    def pick(row, s, panel):
+        return F.array(F.struct(row["ri"].alias("ri"), row["page"].alias("page"), s["ri"].alias("owner"), s["page"].alias("opage"), panel.alias("panel"), F.size(s["held"]).alias("n")))
 
     def state(**parts):
         return F.struct(*[v.alias(k) for k, v in parts.items()]).cast(_OPEN)
@@ -72,7 +86,7 @@ def _caption_fold(arr, pages: bool) -> F.Column:
             s["fwd_ri"].isNull() | (s["y0"] - s["above_y1"] <= s["fwd_y0"] - s["y1"])
         )
         kept = F.filter(s["held"], lambda h: ~F.coalesce(h["ri"] == s["fwd_ri"], F.lit(False)))
-        with_above = F.concat(kept, pick(s["above_ri"], s["ri"], False, F.size(s["held"])))
+        with_above = F.concat(kept, pick({"ri": s["above_ri"], "page": s["above_page"]}, s, F.lit(False)))
         return F.when(s["ri"].isNull(), s["done"]).when(wins, F.concat(s["done"], with_above)).otherwise(
             F.concat(s["done"], s["held"])
         )
@@ -91,21 +105,18 @@ def _caption_fold(arr, pages: bool) -> F.Column:
             & (G.panels_contiguous(u, me) | G.panels_side_by_side(u, me))
         )
         act = F.when(~is_open, 0).when(sub, 1).when(cap, 2).when(src, 3).when(panel, 4).otherwise(0)
-        me_prev = F.struct(e["ri"].alias("ri"), (e["cap"] & ~e["vis"]).alias("cap"), e["y1"].alias("y1"))
 
         def absorb(a):
             return state(
-                done=s["done"], held=F.concat(s["held"], F.array(F.struct(
-                    e["ri"].alias("ri"), s["ri"].alias("owner"), (a == 4).alias("panel"),
-                    F.size(s["held"]).alias("n")))),
+                done=s["done"], held=F.concat(s["held"], pick({"ri": e["ri"], "page": e["page_no"]}, s, a == 4)),
                 ri=s["ri"], page=s["page"], y0=s["y0"], y1=s["y1"],
                 u=F.when(a == 4, G.box_struct(u, me)).otherwise(s["u"]),
                 have_cap=s["have_cap"] | (a == 2), have_src=s["have_src"] | (a == 3),
                 saw=F.when(a == 4, False).otherwise(s["saw"] | (a == 1)),
-                above_ri=s["above_ri"], above_y1=s["above_y1"],
+                above_ri=s["above_ri"], above_page=s["above_page"], above_y1=s["above_y1"],
                 fwd_ri=F.when(a == 2, e["ri"]).otherwise(s["fwd_ri"]),
                 fwd_y0=F.when(a == 2, e["y0"]).otherwise(s["fwd_y0"]),
-                last_ri=e["ri"], p1=me_prev, p2=s["p1"],
+                last_ri=e["ri"], p1=_near(e), p2=s["p1"],
             )
 
         def restart(done):
@@ -120,91 +131,148 @@ def _caption_fold(arr, pages: bool) -> F.Column:
             return state(
                 done=done, held=no_picks, ri=F.when(opens, e["ri"]), page=F.when(opens, e["page_no"]),
                 y0=e["y0"], y1=e["y1"], u=G.box_struct(me), have_cap=F.lit(False), have_src=F.lit(False),
-                saw=F.lit(False), above_ri=F.when(opens, above["ri"]), above_y1=F.when(opens, above["y1"]),
-                fwd_ri=null, fwd_y0=null, last_ri=e["ri"], p1=me_prev, p2=s["p1"],
+                saw=F.lit(False), above_ri=F.when(opens, above["ri"]), above_page=F.when(opens, above["page"]), above_y1=F.when(opens, above["y1"]),
+                fwd_ri=null, fwd_y0=null, last_ri=e["ri"], p1=_near(e), p2=s["p1"],
             )
 
         return let(act, lambda a: F.when(a > 0, absorb(a)).otherwise(let(closed(s), restart)))
 
     start = state(
         done=no_picks, held=no_picks, ri=null, page=null, y0=null, y1=null, u=null, have_cap=F.lit(False),
-        have_src=F.lit(False), saw=F.lit(False), above_ri=null, above_y1=null, fwd_ri=null, fwd_y0=null,
-        last_ri=null, p1=null, p2=null,
+        have_src=F.lit(False), saw=F.lit(False), above_ri=null, above_page=null, above_y1=null, fwd_ri=null, fwd_y0=null,
+        last_ri=null, p1=null if lead is None else lead, p2=null,
     )
     return F.aggregate(arr, start, step, closed)
 
 
-def _with_captions(arr, picks, own_sentences: bool) -> F.Column:
-    """Lay the picks into the figures: pieces top to bottom as caption, boxes joined, pieces dropped."""
+def _caption_flags(vis) -> dict:
+    no = F.lit(False)
+    return {
+        "vis": vis, "page_no": F.col("page"),
+        "sub": F.when(F.col("text") != "", T.is_subfigure_caption("text")).otherwise(no),
+        "cap": F.coalesce(T.is_caption_block("role", "text"), no),
+        "src": F.coalesce(T.is_source_attribution("role", "text"), no),
+    }
+
+
+PART = ["step", "y0", "n", "panel", "x0", "x1", "y1", "text"]
 
-    def merged(r):
-        mine = F.filter(picks, lambda p: p["owner"] == r["ri"])
 
-        def fill(parts):
-            # parts: array<struct<n, panel, row>>
-            order = lambda a, b: F.when(a["row"]["y0"] != b["row"]["y0"], F.signum(a["row"]["y0"] - b["row"]["y0"]).cast("int")).otherwise(a["n"] - b["n"])
-            pieces = F.transform(F.array_sort(F.filter(parts, lambda p: ~p["panel"]), order), lambda p: p["row"])
-            everything = F.concat(F.array(r), F.transform(parts, lambda p: p["row"]))
-            caption_box = F.when(F.size(pieces) > 0, G.union_bbox(_as_boxes(pieces)))
-            row = _put_box(r, G.union_bbox(_as_boxes(everything)))
-            row = row.withField("caption_text", F.array_join(F.transform(pieces, lambda p: p["text"]), "\n"))
-            row = row.withField("caption_bbox", caption_box)
-            if own_sentences:
-                spoken = F.filter(F.transform(pieces, lambda p: p["sentences"]), lambda s: F.size(s) > 0)
-                row = row.withField("sentences", F.when(F.size(spoken) > 0, F.get(spoken, F.lit(0))).otherwise(r["sentences"]))
-            return row
+def _with_captions(notes: bool = False, spoken: bool = False) -> dict:
+    """Owners: pieces top to bottom as caption, then the note; boxes joined; with ``spoken``, the sentences of the first piece that has some."""
+    first = F.filter("parts", lambda p: p["step"] == 2)
+    pieces = F.filter("parts", lambda p: (p["step"] == 2) & ~p["panel"])
+    own = F.array(F.struct(*G.Box._fields))
+    box = G.union_bbox(F.concat(own, _as_boxes(F.col("parts"))))
+    caption = F.when(F.size(first) > 0, F.array_join(F.transform(pieces, lambda p: p["text"]), "\n")).otherwise(F.col("caption_text"))
+    caption_box = F.when(F.size(first) > 0, F.when(F.size(pieces) > 0, G.union_bbox(_as_boxes(pieces)))).otherwise(F.col("caption_bbox"))
+    if notes:
+        note = F.get(F.filter("parts", lambda p: p["step"] == 3), F.lit(0))
+        with_box = lambda c: F.when(c.isNull(), G.box_struct(G.box_of(note))).otherwise(G.box_struct(G.box_of(c), G.box_of(note)))
+        caption_box = let(caption_box, lambda c: F.when(note.isNotNull(), with_box(c)).otherwise(c))
+        caption = let(caption, lambda c: F.when(note.isNotNull(), F.concat_ws("\n", F.when(c != "", c), note["text"])).otherwise(c))
+    fill = {"caption_text": caption, "caption_bbox": caption_box, **{c: box[c] for c in G.Box._fields}}
+    if spoken:
+        said = F.filter(F.transform(pieces, lambda p: p["sentences"]), lambda s: F.size(s) > 0)
+        fill["sentences"] = F.when(F.size(said) > 0, F.get(said, F.lit(0))).otherwise(F.col("sentences"))
+    return fill
 
-        rows_of = F.transform(mine, lambda p: F.struct(
-            p["n"].alias("n"), p["panel"].alias("panel"),
-            F.get(F.filter(arr, lambda x: x["ri"] == p["ri"]), F.lit(0)).alias("row")))
-        return F.when(F.size(mine) > 0, let(rows_of, fill)).otherwise(r)
 
-    left = F.filter(arr, lambda r: ~F.exists(picks, lambda p: p["ri"] == r["ri"]))
-    return F.transform(left, merged)
+_PART = "struct<ri:int,owner:int,panel:boolean,n:int,step:int>"
 
 
-def _caption_flags(rows: DataFrame, vis) -> DataFrame:
+def _page_picks(rows: DataFrame, captions: bool, notes: bool) -> DataFrame:
+    """What figures and tables of a page take: captions first; then each table the closest note below it that is left, tables in order.
+
+    Rows that are none of these only break a caption off its figure, which their numbers show; so they need not be there.
+    """
     no = F.lit(False)
-    return rows.withColumns({
-        "vis": vis, "page_no": F.col("page"),
-        "sub": F.when(F.col("text") != "", T.is_subfigure_caption("text")).otherwise(no),
-        "cap": F.coalesce(T.is_caption_block("role", "text"), no),
-        "src": F.coalesce(T.is_source_attribution("role", "text"), no),
-    })
+    flags = _caption_flags(F.col("kind") == "image")
+    flags["note"] = F.coalesce((F.col("kind") == "block") & T.is_table_note("role", "text"), no) if notes else no
+    flags["tab"] = flags["vis"] & (F.col("role") == "table")
+    joins = F.col("vis") | F.col("sub") | F.col("cap") | F.col("src") if captions else F.col("vis")
+    slim = rows.select(*ROW_KEY, *G.Box._fields, *[c.alias(k) for k, c in flags.items()]).withColumn("joins", joins).where("joins or note")
+    some = slim.withColumn("any", F.max("vis").over(Window.partitionBy(*PAGE_KEY)) & (F.count(F.lit(1)).over(Window.partitionBy(*PAGE_KEY)) > 1)).where("any").drop("any")
+    g = gather(some, PAGE_KEY).withColumn("first", _caption_fold(F.filter("arr", lambda r: r["joins"]), True) if captions else F.array().cast(f"array<{_PICK}>"))
+    held = lambda r: F.exists("first", lambda p: p["ri"] == r["ri"])
+    whole = lambda t: F.filter("arr", lambda r: (r["ri"] == t["ri"]) | F.exists("first", lambda p: (p["owner"] == t["ri"]) & (p["ri"] == r["ri"])))
+    tables = F.transform(F.filter("arr", lambda r: r["tab"] & ~held(r)), lambda t: F.struct(t["ri"].alias("ri"), G.union_bbox(_as_boxes(whole(t))).alias("box")))
+    left = F.filter("arr", lambda r: r["note"] & ~held(r))
+
+    def step(acc, t):
+        b = G.box_of(t["box"])
+        ok = F.filter(left, lambda r: (
+            ~F.exists(acc, lambda a: a["ri"] == r["ri"])
+            & (r["y0"] - b.y1).between(-V.GEOM_TOL, V.TABLE_NOTE_GAP)
+            & (G.h_overlap(b, G.box_of(r)) >= V.TABLE_OVERLAP)))
+        best = F.array_min(F.transform(ok, lambda r: F.struct((r["y0"] - b.y1).alias("gap"), r["ri"].alias("ri"))))["ri"]
+        return let(best, lambda b: F.when(b.isNotNull(), F.concat(acc, F.array(
+            F.struct(b.alias("ri"), t["ri"].alias("owner"), no.alias("panel"), F.lit(0).alias("n"), F.lit(3).alias("step"))))).otherwise(acc).cast(f"array<{_PART}>"))
+
+    second = F.aggregate(tables, F.array().cast(f"array<{_PART}>"), step)
+    both = F.transform("first", lambda p: F.struct(p["ri"].alias("ri"), p["owner"].alias("owner"), p["panel"].alias("panel"), p["n"].alias("n"), F.lit(2).alias("step")))
+    return g.select(*PAGE_KEY, F.inline(F.concat(both, second) if notes else both)).withColumns({"ospan": F.col("span"), "opage": F.col("page")})
 
 
-FLAGS = ("vis", "page_no", "sub", "cap", "src")
+def merge_captions_and_notes_pages(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Figures and tables of a page take their captions, tables then their notes; in one pass over the page."""
+    return _apply(rows, _page_picks(rows if texts is None else texts, True, True), texts, PART, _with_captions(notes=True))
 
 
 def merge_figure_captions_pages(rows: DataFrame) -> DataFrame:
     """Figures and tables of a page take the texts next to them, by ``ri``."""
-    flagged = _caption_flags(rows, F.col("kind") == "image")
-    g = gather(flagged, PAGE_KEY, F.lit(True))
-    picks = F.when(
-        (F.size("arr") > 1) & F.exists("arr", lambda r: r["vis"]), _caption_fold(F.col("arr"), True)
-    ).otherwise(F.array().cast(f"array<{_PICK}>"))
-    g = g.withColumn("picks", picks)
-    return spread(g, PAGE_KEY, _with_captions(F.col("arr"), F.col("picks"), False)).drop(*FLAGS).select(*rows.columns)
+    return _apply(rows, _page_picks(rows, True, False), None, PART, _with_captions())
+
+
+def merge_table_notes_pages(rows: DataFrame) -> DataFrame:
+    """Each table of a page takes the closest note below it; a note is used once, tables in order."""
+    return _apply(rows, _page_picks(rows, False, True), None, PART, _with_captions(notes=True))
+
+
+def caption_segments(rows: DataFrame) -> DataFrame:
+    """Runs of figures and caption texts of a document, cut where the fold starts anew whatever came before: doc_id, seg, arr, lead.
+
+    After a caption or source line that is no sub-caption, a figure before it has no place for another figure; nor has a figure on another page. So a figure there
+    opens anew. All that comes over the cut is ``lead``, the row just before, and whether another figure has taken it.
+    """
+    slim = rows.select(*ROW_KEY, *G.Box._fields, *[c.alias(k) for k, c in _caption_flags(F.col("role").isin("figure", "table")).items()])
+    slim = slim.withColumn("joins", F.col("vis") | F.col("sub") | F.col("cap") | F.col("src"))
+    hard = ~F.col("vis") & ~F.col("sub") & (F.col("cap") | F.col("src"))
+    before = F.struct("ri", "page", (F.col("cap") & ~F.col("vis")).alias("cap"), "y1", hard.alias("hard"), "joins")
+    slim = scans.doc_scan(slim, ["page", "ri"], prev=("last", before))
+    goes_on = F.coalesce(F.col("prev.joins"), F.lit(False))
+    anew = ~goes_on | (F.col("vis") & (F.col("prev.hard") | ((F.col("prev.page") != F.col("page")) & ~F.col("sub"))))
+    numbered = scans.doc_scan(slim.withColumn("goes_on", goes_on).withColumn("anew", F.col("joins") & anew), ["page", "ri"], inclusive=True, seg=("sum", F.col("anew").cast("int")))
+    lead = F.when(F.col("anew") & F.col("goes_on"), F.struct("prev.ri", "prev.page", "prev.cap", "prev.y1"))
+    kept = numbered.where("joins").withColumn("lead", lead).drop("prev", "joins", "goes_on", "anew")
+    fields = ["ri"] + [c for c in kept.columns if c not in ("doc_id", "span", "page", "seg", "ri", "lead")]
+    return kept.groupBy("doc_id", "seg").agg(F.min("page").alias("page"), F.array_sort(F.collect_list(F.struct(*fields))).alias("arr"), F.max("lead").alias("lead"))
+
+
+def _caption_picks_linear(rows: DataFrame) -> DataFrame:
+    """Picks of all segments. A segment is folded for both cases, its lead still free or already taken, and says whether its own last row is
+    taken then; running compositions of these small functions tell which case holds, also over very long runs."""
+    none = F.array().cast(f"array<{_PICK}>")
+    free, taken = (F.col("lead").cast(_NEAR) if case else F.col("lead").withField("cap", F.lit(False)).cast(_NEAR) for case in (True, False))
+    some = caption_segments(rows).where(F.exists("arr", lambda r: r["vis"]) & ((F.size("arr") > 1) | F.col("lead").isNotNull()))
+    folded = some.withColumn("if_free", _caption_fold(F.col("arr"), False, free))
+    decides = F.coalesce(F.col("lead.cap"), F.lit(False)) & F.exists("if_free", lambda p: p["ri"] == F.col("lead.ri"))
+    folded = folded.withColumn("if_taken", F.when(decides, _caption_fold(F.col("arr"), False, taken)).otherwise(F.col("if_free")))
+    last = F.element_at("arr", -1)["ri"]
+    out = {k: F.exists(c, lambda p: p["ri"] == last).cast("int") for k, c in (("o_free", F.col("if_free")), ("o_taken", F.col("if_taken")))}
+    folded = folded.select("doc_id", span_of("page").alias("span"), "page", "seg", "if_free", "if_taken", *[c.alias(k) for k, c in out.items()])
+    order = ["page", "seg"]
+    turned = scans.doc_scan(folded, order, turns=("sum", ((F.col("o_free") == 1) & (F.col("o_taken") == 0)).cast("int")))
+    fixed = F.when(F.col("o_free") == F.col("o_taken"), (F.col("o_free") + F.col("turns")) % 2)
+    known = scans.doc_scan(turned, order, held=("last", fixed))
+    is_taken = (F.coalesce("held", F.lit(0)) + F.col("turns")) % 2 == 1
+    picks = known.select("doc_id", F.inline(F.coalesce(F.when(is_taken, F.col("if_taken")).otherwise(F.col("if_free")), none)))
+    return picks.select("doc_id", span_of("page").alias("span"), "page", "ri", span_of("opage").alias("ospan"), "opage", "owner", "panel", "n", F.lit(2).alias("step"))
 
 
 def merge_figure_captions_linear(rows: DataFrame) -> DataFrame:
-    """Same through the document. A figure only reaches the unbroken run of figures and caption texts
-    around it, so each run is folded by itself, also when it crosses a page."""
-    flagged = _caption_flags(rows, F.col("role").isin("figure", "table"))
-    joins_in = F.col("vis") | F.col("sub") | F.col("cap") | F.col("src")
-    numbered = scans.doc_scan(flagged.withColumn("joins_in", joins_in), ["page", "ri"], run=("sum", (~F.col("joins_in")).cast("int")))
-    run = Window.partitionBy("doc_id", "run")
-    inside = numbered.where("joins_in").withColumn(
-        "foldable", F.max("vis").over(run) & (F.count(F.lit(1)).over(run) > 1)
-    )
-    inside = inside.drop("joins_in")
-    cols = [c for c in rows.columns if c not in ("doc_id",)]
-    g = gather(inside.where("foldable").drop("foldable"), ["doc_id", "run"], F.lit(True))
-    g = g.withColumn("picks", _caption_fold(F.col("arr"), False))
-    folded = spread(g, ["doc_id"], _with_captions(F.col("arr"), F.col("picks"), True))
-    alone = inside.where("not foldable").select("doc_id", *cols)
-    outside = numbered.where("not joins_in").select("doc_id", *cols)
-    return outside.unionByName(alone).unionByName(folded.select("doc_id", *cols)).select(*rows.columns)
+    """Figures and tables take the texts next to them through the document, also over the end of a page."""
+    return _apply(rows, _caption_picks_linear(rows), None, [*PART, "sentences"], _with_captions(spoken=True))
 
 
 # -- tables ----------------------------------------------------------------------------------------------
@@ -232,7 +300,7 @@ def _table_fold(arr) -> F.Column:
 
         def labelled(ahead):
             kinds = F.transform(ahead, lambda r: F.when(used(acc, r), 0).when(
-                (r["role"] == "table") & (r["y1"] >= b["y0"])
+                r["tab"] & (r["y1"] >= b["y0"])
                 & (G.h_overlap(G.box_of(b), G.box_of(r)) >= V.TABLE_OVERLAP), 2
             ).when(~r["title_like"], 0).otherwise(1))
             at = F.array_position(F.transform(kinds, lambda k: k != 1), True).cast("int")
@@ -256,73 +324,33 @@ def _table_fold(arr) -> F.Column:
             .cast(f"array<{_MEMBER}>")
         )
 
-    anchors = F.filter(arr, lambda r: r["label"] | (r["role"] == "table"))
+    anchors = F.filter(arr, lambda r: r["label"] | r["tab"])
     return F.aggregate(anchors, F.array().cast(f"array<{_MEMBER}>"), step)
 
 
-def merge_tables_linear(rows: DataFrame) -> DataFrame:
-    """Label, title lines, table and note of a scattered table become one block. All on one page."""
+def merge_tables_linear(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Label, title lines, table and note of a scattered table become one block. All on one page; only pages with a table and a label or note are gathered."""
     no = F.lit(False)
-    flagged = rows.withColumns({
+    flags = {
+        "tab": F.coalesce(F.col("role") == "table", no),
         "label": F.coalesce(T.is_table_label("role", "text"), no),
         "note": F.coalesce(T.is_table_note("role", "text"), no),
         "title_like": F.col("role").isin("paragraph", "caption", "section_header")
         & (T.word_count("text") <= V.TABLE_TITLE_WORDS),
+    }
+    source = rows if texts is None else texts
+    slim = source.select(*ROW_KEY, *G.Box._fields, *[c.alias(k) for k, c in flags.items()])
+    page = Window.partitionBy(*PAGE_KEY)
+    some = slim.withColumn("matters", F.max("tab").over(page) & F.max(F.col("label") | F.col("note")).over(page)).where("matters").drop("matters")
+    picks = gather(some, PAGE_KEY).select(*PAGE_KEY, F.inline(_table_fold(F.col("arr")))).withColumns({"ospan": F.col("span"), "opage": F.col("page")})
+    others = F.filter("parts", lambda p: p["ri"] != F.col("ri"))
+    whole = G.union_bbox(_as_boxes(F.col("parts")))
+    return _apply(rows, picks, texts, ["n", "ri", *G.Box._fields, "text"], {
+        "ri": F.get("parts", F.lit(0))["ri"],
+        "text": F.array_join(_texts(F.col("parts")), "\n"),
+        "caption_text": F.array_join(F.concat(F.filter(F.array("caption_text"), lambda t: t != ""), _texts(others)), "\n"),
+        **{c: whole[c] for c in G.Box._fields},
     })
-    g = gather(flagged, PAGE_KEY, F.lit(True))
-    matters = F.exists("arr", lambda r: r["role"] == "table") & F.exists("arr", lambda r: r["label"] | r["note"])
-    g = g.withColumn("picks", F.when(matters, _table_fold(F.col("arr"))).otherwise(F.array().cast(f"array<{_MEMBER}>")))
-
-    def merged(r):
-        mine = F.array_sort(F.filter("picks", lambda p: p["owner"] == r["ri"]), lambda a, b: a["n"] - b["n"])
-
-        def fill(parts):
-            others = F.filter(parts, lambda p: p["ri"] != r["ri"])
-            row = _put_box(r, G.union_bbox(_as_boxes(parts)))
-            row = row.withField("text", F.array_join(_texts(parts), "\n"))
-            row = row.withField("caption_text", F.array_join(
-                F.concat(F.filter(F.array(r["caption_text"]), lambda t: t != ""), _texts(others)), "\n"))
-            return row.withField("ri", F.get(parts, F.lit(0))["ri"])
-
-        whole = F.transform(mine, lambda p: F.get(F.filter("arr", lambda x: x["ri"] == p["ri"]), F.lit(0)))
-        return F.when(F.size(mine) > 0, let(whole, fill)).otherwise(r)
-
-    left = F.filter("arr", lambda r: ~F.exists("picks", lambda p: (p["ri"] == r["ri"]) & (p["owner"] != r["ri"])))
-    return spread(g, PAGE_KEY, F.transform(left, merged)).drop("label", "note", "title_like").select(*rows.columns)
-
-
-def merge_table_notes_pages(rows: DataFrame) -> DataFrame:
-    """Each table of a page takes the closest note below it; a note is used once, tables in order."""
-    flagged = rows.withColumn("note", F.coalesce((F.col("kind") == "block") & T.is_table_note("role", "text"), F.lit(False)))
-    g = gather(flagged, PAGE_KEY, F.lit(True))
-
-    def step(acc, im):
-        t = G.box_of(im)
-        ok = F.filter("arr", lambda r: (
-            r["note"] & ~F.exists(acc, lambda a: a["ri"] == r["ri"])
-            & (r["y0"] - t.y1).between(-V.GEOM_TOL, V.TABLE_NOTE_GAP)
-            & (G.h_overlap(t, G.box_of(r)) >= V.TABLE_OVERLAP)))
-        best = F.array_min(F.transform(ok, lambda r: F.struct((r["y0"] - t.y1).alias("gap"), r["ri"].alias("ri"))))["ri"]
-        return let(best, lambda b: F.when(b.isNotNull(), F.concat(acc, F.array(
-            F.struct(b.alias("ri"), im["ri"].alias("owner"), F.lit(0).alias("n"))))).otherwise(acc).cast(f"array<{_MEMBER}>"))
-
-    tables = F.filter("arr", lambda r: (r["kind"] == "image") & (r["role"] == "table"))
-    g = g.withColumn("picks", F.aggregate(tables, F.array().cast(f"array<{_MEMBER}>"), step))
-
-    def merged(r):
-        note = F.get(F.filter("arr", lambda x: x["ri"] == F.get(F.filter("picks", lambda p: p["owner"] == r["ri"]), F.lit(0))["ri"]), F.lit(0))
-
-        def fill(n):
-            row = _put_box(r, G.box_struct(G.box_of(r), G.box_of(n)))
-            row = row.withField("caption_text", F.concat_ws("\n", F.when(r["caption_text"] != "", r["caption_text"]), n["text"]))
-            return row.withField("caption_bbox", F.when(
-                r["caption_bbox"].isNull(), G.box_struct(G.box_of(n))
-            ).otherwise(G.box_struct(G.box_of(r["caption_bbox"]), G.box_of(n))))
-
-        return let(note, lambda n: F.when(n.isNotNull(), fill(n)).otherwise(r))
-
-    left = F.filter("arr", lambda r: ~F.exists("picks", lambda p: p["ri"] == r["ri"]))
-    return spread(g, PAGE_KEY, F.transform(left, merged)).drop("note").select(*rows.columns)
 
 
 # -- algorithms ------------------------------------------------------------------------------------------

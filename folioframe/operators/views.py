@@ -1,4 +1,7 @@
-"""What a reader walks through: stops, outline, the list of things to explain, and display order."""
+"""What a reader walks through: stops, outline, the list of things to explain, and display order.
+
+Rows come sorted by document and place inside each partition; the corpus is never sorted as a whole.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ ORDER = ["page", "ri"]
 def reading_sequence_pages(page_rows: DataFrame) -> DataFrame:
     """Stops of the page view: every box of every block and every image."""
     kind = F.when(F.col("kind") == "image", "i").otherwise("p")
-    return page_rows.select("doc_id", "page", kind.alias("kind"), F.coalesce("ri", F.lit(0)).alias("ri"), *G.Box._fields).orderBy(
+    return page_rows.select("doc_id", "page", kind.alias("kind"), F.coalesce("ri", F.lit(0)).alias("ri"), *G.Box._fields).sortWithinPartitions(
         "doc_id", "page", "ri", "x0", "y0")
 
 
@@ -20,7 +23,7 @@ def reading_sequence_linear(linear: DataFrame) -> DataFrame:
     """Stops of the linear view; ``idx`` is the place among all linear blocks."""
     kind = F.when(F.col("role") == "paragraph", "p").when(F.col("role") == "title", "h").otherwise("i")
     return scans.dense_index(linear, ORDER, "idx").where(F.col("role").isin("title", "paragraph", "figure", "table")).select(
-        "doc_id", "idx", kind.alias("kind"), "ri", "flat_block_ref").orderBy("doc_id", "idx")
+        "doc_id", "idx", kind.alias("kind"), "ri", "flat_block_ref").sortWithinPartitions("doc_id", "idx")
 
 
 def section_outline(linear: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def section_outline(linear: DataFrame) -> DataFrame:
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     return scans.dense_index(linear, ORDER, "idx").where((F.col("role") == "section_header") & (text != "")).select(
-        "doc_id", "idx", text.alias("text"), F.least(F.lit(3), dots).alias("depth")).orderBy("doc_id", "idx")
+        "doc_id", "idx", text.alias("text"), F.least(F.lit(3), dots).alias("depth")).sortWithinPartitions("doc_id", "idx")
 
 
 def chain_members(linear: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -46,7 +49,7 @@ def chain_members(linear: DataFrame, payloads: DataFrame) -> DataFrame:
     )
     figures = rows.where(F.col("role").isin("figure", "table", "algorithm")).select(
         "doc_id", "idx", F.lit("figure").alias("kind"), F.col("caption_text").alias("text"), F.array("idx").alias("members"))
-    return chains.unionByName(figures).orderBy("doc_id", "idx")
+    return chains.unionByName(figures).sortWithinPartitions("doc_id", "idx")
 
 
 def sequence_floats(linear: DataFrame) -> DataFrame:
@@ -56,18 +59,15 @@ def sequence_floats(linear: DataFrame) -> DataFrame:
     equations stay. ``is_tail`` marks the last paragraph of a chain.
     """
     para = F.col("role") == "paragraph"
-    rows = scans.dense_index(linear, ORDER, "idx")
-    rows = scans.doc_scan(rows, ORDER, nxt=("next", F.when(para, F.col("continuation"))))
-    rows = rows.withColumn("goes_on", F.coalesce("nxt", F.lit(False)))
+    rows = scans.doc_scan(
+        linear, ORDER, idx=("sum", F.lit(1)), nxt=("next", F.when(para, F.col("continuation"))), seen=("last", F.when(para, F.lit(True))))
+    rows = rows.withColumn("idx", F.col("idx").cast("int")).withColumn("goes_on", F.coalesce("nxt", F.lit(False)))
+    # A chain is headed by a paragraph that goes on right after one that does not. The one before a paragraph goes on if this one continues it.
+    head_here = para & F.col("goes_on") & ~(F.col("continuation") & F.col("seen").isNotNull())
     rows = scans.doc_scan(
         rows, ORDER, tail=("next", F.when(para & ~F.col("goes_on"), F.col("idx"))),
-        done=("last", F.when(para & ~F.col("goes_on"), F.col("idx"))),
+        done=("last", F.when(para & ~F.col("goes_on"), F.col("idx"))), head=("last", F.when(head_here, F.col("idx"))),
     )
-    first = para & F.col("goes_on")
-    # A chain is headed by a paragraph that goes on right after one that does not.
-    rows = scans.doc_scan(rows, ORDER, before=("last", F.when(para, F.col("goes_on"))))
-    head_here = first & ~F.coalesce("before", F.lit(False))
-    rows = scans.doc_scan(rows, ORDER, head=("last", F.when(head_here, F.col("idx"))))
     is_open = F.col("head").isNotNull() & (F.col("head") > F.coalesce("done", F.lit(-1)))
     bridged = (F.col("role") == "equation") & F.col("continuation")
     hoisted = ~para & ~bridged & (F.col("role") == "callout") & is_open & F.col("goes_on")
@@ -77,4 +77,4 @@ def sequence_floats(linear: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "page", "ri", "role", "idx", slot.alias("slot"), rank.alias("rank"),
         F.when(para, ~F.col("goes_on")).otherwise(F.lit(False)).alias("is_tail"),
-    ).orderBy("doc_id", "slot", "rank", "idx")
+    ).sortWithinPartitions("doc_id", "slot", "rank", "idx")

@@ -166,19 +166,21 @@ def empty(kind: str) -> F.Column:
     return F.expr("array()").cast(kind)
 
 
-def page_rows(w: DataFrame) -> DataFrame:
-    """Blocks and images of the page projection, numbered by ``ri`` on each page."""
+def page_rows(w: DataFrame, bare: bool = False) -> DataFrame:
+    """Blocks and images of the page projection, numbered by ``ri`` on each page; ``bare`` leaves sentences and footnotes out."""
     emitted = F.col("p_kind").isin("block", "image")
-    linked = attach_footnotes(
+    linked = w if bare else attach_footnotes(
         w, (F.col("p_kind") == "block") & (F.col("p_role") == "paragraph"), F.col("p_kind") == "note"
     )
     ri = F.coalesce(F.sum(emitted.cast("int")).over(_before()), F.lit(0)).cast("int")
     above = (F.col("p_kind") == "block") & F.col("abs_top").isNotNull() & (F.col("y1") <= F.col("abs_top") + 4)
+    slim = [F.when(F.col("p_kind") == "block", F.col("text")).otherwise("").alias("text"), "x0", "y0", "x1", "y1"]
+    rows = linked.withColumn("ri", ri).where(emitted & ~F.coalesce(above, F.lit(False)))
+    if bare:
+        return rows.select("doc_id", "span", "page", "ri", F.col("p_kind").alias("kind"), F.col("p_role").alias("role"), *slim)
     return (
-        linked.withColumn("ri", ri).where(emitted & ~F.coalesce(above, F.lit(False)))
-        .select(
-            "doc_id", "span", "page", "ri", F.col("p_kind").alias("kind"), F.col("p_role").alias("role"),
-            F.when(F.col("p_kind") == "block", F.col("text")).otherwise("").alias("text"), "x0", "y0", "x1", "y1",
+        rows.select(
+            "doc_id", "span", "page", "ri", F.col("p_kind").alias("kind"), F.col("p_role").alias("role"), *slim,
             F.when(F.col("p_kind") == "block", build_sentences()).otherwise(empty(NO_SENTENCES)).alias("sentences"),
             F.coalesce("footnotes", empty(NO_NOTES)).alias("footnotes"),
             F.lit(False).alias("continuation"), F.lit("").alias("caption_text"),
@@ -187,18 +189,23 @@ def page_rows(w: DataFrame) -> DataFrame:
     )
 
 
-def linear_rows(w: DataFrame) -> DataFrame:
-    """Blocks of the linear projection, numbered by ``ri`` through the document."""
+def linear_rows(w: DataFrame, bare: bool = False) -> DataFrame:
+    """Blocks of the linear projection, numbered by ``ri`` through the document; ``bare`` leaves sentences and footnotes out."""
     emitted = F.col("l_kind") == "block"
-    linked = attach_footnotes(
-        w.withColumns({f"l_{c}": F.col(f"tight.{c}") for c in G.Box._fields}),
-        emitted & (F.col("l_role0") == "paragraph"), F.col("l_kind") == "note", prefix="l_",
-    ).where(emitted)
+    boxed = w.withColumns({f"l_{c}": F.col(f"tight.{c}") for c in G.Box._fields})
+    linked = (boxed if bare else attach_footnotes(
+        boxed, emitted & (F.col("l_role0") == "paragraph"), F.col("l_kind") == "note", prefix="l_",
+    )).where(emitted)
     talks = F.col("l_role0").isin("paragraph", "equation")
-    rows = linked.select(
+    slim = [
         "doc_id", "span", "page", "ord", F.col("l_role").alias("role"),
         F.when(F.col("l_role0").isin("figure", "table"), "").otherwise(F.col("text")).alias("text"),
         *[F.col(f"l_{c}").alias(c) for c in G.Box._fields],
+    ]
+    if bare:
+        return scans.dense_index(linked.select(*slim), POS, "ri")
+    rows = linked.select(
+        *slim,
         F.when(talks, build_sentences()).otherwise(empty(NO_SENTENCES)).alias("sentences"),
         F.coalesce("footnotes", empty(NO_NOTES)).alias("footnotes"),
         F.lit(False).alias("continuation"), F.lit("").alias("caption_text"),

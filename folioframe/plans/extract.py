@@ -39,28 +39,32 @@ def extract_linear(bronze: dict) -> DataFrame:
     return W.linear_rows(walked(bronze))
 
 
-def finish_pages(rows: DataFrame, icons: bool = True) -> DataFrame:
-    """``icons`` = False keeps small pictures, as the single-projection helper does."""
-    rows = M.merge_algorithms(M.merge_table_notes_pages(M.merge_figure_captions_pages(rows)), pages=True)
+def finish_pages(rows: DataFrame, icons: bool = True, texts: DataFrame | None = None) -> DataFrame:
+    """``icons`` = False keeps small pictures, as the single-projection helper does. ``texts``: the rows without sentences and notes, where cheaper."""
+    rows = M.merge_algorithms(M.merge_captions_and_notes_pages(rows, texts), pages=True)
     if icons:
         rows = M.drop_decorative_icons(rows)
     return C.bridge_display_math(C.continuation_pages(settle(rows)), "kind")
 
 
-def finish_linear(rows: DataFrame, tables_again: bool = True) -> DataFrame:
-    """``tables_again`` = False runs the table merge once, as the single-projection helper does."""
-    rows = settle(M.merge_tables_linear(rows.drop("ord")))
+def finish_linear(rows: DataFrame, tables_again: bool = True, texts: DataFrame | None = None) -> DataFrame:
+    """``tables_again`` = False runs the table merge once, as the single-projection helper does. ``texts`` as for ``finish_pages``."""
+    rows = settle(M.merge_tables_linear(rows.drop("ord"), texts))
     rows = M.merge_algorithms(M.merge_figure_captions_linear(rows), pages=False)
     if tables_again:
-        rows = M.merge_tables_linear(rows)
+        rows = M.merge_tables_linear(settle(rows))
     rows = C.authors_after_title(settle(M.drop_decorative_icons(rows)))
     rows = C.continuation_linear(settle(C.with_layout_type(rows)))
     return C.clip_overlaps(C.bridge_display_math(rows)).drop("shelf", "min_x0", "max_x1")
 
 
+def _projections(w: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return settle(finish_pages(W.page_rows(w), texts=W.page_rows(w, bare=True))), settle(finish_linear(W.linear_rows(w), texts=W.linear_rows(w, bare=True)))
+
+
 def extract_both(bronze: dict) -> Extraction:
     w = walked(bronze)
-    page_rows, linear = settle(finish_pages(W.page_rows(w))), settle(finish_linear(W.linear_rows(w)))
+    page_rows, linear = _projections(w)
     pages = W.emitted_pages(w, bronze["layout_pages"])
     metadata = D.metadata_blocks(w, page_rows, linear, pages)
     return Extraction(pages, page_rows, D.flat_block_refs(linear, page_rows), metadata)

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Windows and joins on (doc_id, span, page) reuse the partitioning by (doc_id, span).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Timers and value state of streams (transformWithState) need it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # Settings a session takes only when it is built. Large column expressions are put together call by

@@ -8,6 +8,7 @@ from folioframe.functions import fixed_values as V
 from folioframe.functions import geometry as G
 from folioframe.operators.edits import latest_edit
 from folioframe.sources.layout import PAGE_KEY, span_of
+from folioframe.sources.store import BUCKETS, BucketStore
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -95,15 +96,17 @@ def nest_analysis(pages: DataFrame, page_rows: DataFrame, linear: DataFrame, met
         empty("linear_blocks", schemas.FULL_BLOCK), F.coalesce("language", F.lit(V.DEFAULT_LANGUAGE)).alias("language"))
 
 
-def write_analysis(analysis: DataFrame, path: str, fmt: str = "json") -> None:
-    """One partition per document; writing again replaces the documents at hand and leaves the others."""
-    (analysis.withColumn("doc", F.col("doc_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("doc").format(fmt).save(path))
+def write_analysis(analysis: DataFrame, path: str, fmt: str = "json", buckets: int = BUCKETS) -> None:
+    """Documents at hand replace those of the same doc_id, the others stay; see ``BucketStore``."""
+    spark = analysis.sparkSession
+    whole = spark.createDataFrame([], schemas.ANALYSIS).unionByName(analysis, allowMissingColumns=True)
+    BucketStore(spark, path, schemas.ANALYSIS, fmt=fmt, buckets=buckets).replace(whole)
 
 
 def read_analysis(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Nested analyses, old ones too: fields that older files lack get their defaults."""
-    raw = spark.read.schema(schemas.ANALYSIS).format(fmt).load(path)
+    """Nested analyses from a store, or from a plain folder of files; old ones too: fields that older files lack get their defaults."""
+    store = BucketStore(spark, path, schemas.ANALYSIS, fmt=fmt)
+    raw = store.read() if store.seq else spark.read.schema(schemas.ANALYSIS).format(fmt).load(path)
     return raw.withColumn("language", F.coalesce("language", F.lit(V.DEFAULT_LANGUAGE))).withColumn(
         "linear_blocks", F.coalesce("linear_blocks", F.expr("array()").cast(f"array<{schemas.FULL_BLOCK}>")))
 

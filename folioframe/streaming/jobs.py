@@ -1,17 +1,21 @@
 """Job progress and arriving documents as streams."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from folioframe import schemas
 from folioframe.functions import fixed_values as V
 from folioframe.operators.jobs import QUEUED, TERMINAL, job_status
-from folioframe.session import settle
+from folioframe.session import settle, tune
 from folioframe.sources.catalog import admit_documents, write_analysis
+from folioframe.sources.store import BucketStore
+
+JOB_STATE = "job_id bigint, phase string, status string, error string, created_at timestamp, finished_at timestamp"
+JOB_TTL = "job_id bigint, phase string, status string, finished_at timestamp"
 
 
 def read_progress(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -27,79 +31,119 @@ def stream_job_state(events: DataFrame) -> DataFrame:
     return job_status(events)
 
 
+def keep_job_states(states: DataFrame, path: str, checkpoint: str, schema: str = JOB_STATE):
+    """Write a stream of job states to a store by job: a batch replaces the jobs that changed in it, and touches only their buckets.
+
+    A job whose status is "expired" leaves the store. Read it with ``BucketStore(spark, path, schema, "job_id").read()``.
+    """
+    def batch(df: DataFrame, number: int):
+        last = df.groupBy("job_id").agg(F.max_by(F.struct(*df.columns), F.col("status") == "expired").alias("x")).select("x.*")
+        last = settle(last)
+        BucketStore(df.sparkSession, path, schema, "job_id").replace(last.where("status != 'expired'"), last.select("job_id"))
+
+    return states.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _JobTimer(StatefulProcessor):
+    """First terminal and latest event of a job, and a timer that forgets a finished job."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        place = "at timestamp, event_id bigint, phase string"
+        self.ended, self.latest = handle.getValueState("ended", place), handle.getValueState("latest", place)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        end, now = self.ended.get() if self.ended.exists() else None, self.latest.get() if self.latest.exists() else None
+        end, now = end and tuple(end), now and tuple(now)
+        before = end
+        for r in rows:
+            e = (r["ts"], r["event_id"], r["phase"])
+            now = e if now is None or e[:2] > now[:2] else now
+            if e[2] in TERMINAL and (end is None or e[:2] < end[:2]):
+                end = e
+        self.latest.update(now)
+        if end is not None and end != before:
+            self.ended.update(end)
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            finished = int(end[0].replace(tzinfo=timezone.utc).timestamp() * 1000)
+            self.handle.registerTimer(max(finished + self.ttl_ms, timerValues.getCurrentProcessingTimeInMs()))
+        phase = (end or now)[2]
+        yield Row(job_id=key[0], phase=phase, status=phase if phase in (*TERMINAL, QUEUED) else "running", finished_at=end and end[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.ended.exists():
+            at, _, phase = tuple(self.ended.get())
+            self.ended.clear()
+            self.latest.clear()
+            yield Row(job_id=key[0], phase=phase, status="expired", finished_at=at)
+
+    def close(self) -> None:
+        pass
+
+
 def stream_job_ttl(events: DataFrame, ttl_seconds: int = V.JOB_TTL_SECONDS) -> DataFrame:
-    """Job states that leave the stream once finished for ``ttl_seconds``; unfinished jobs stay.
+    """Job states that leave the stream once finished for ``ttl_seconds``; unfinished jobs stay. Output mode "update".
 
     Emits a row at each change and one with status "expired" when a finished job is forgotten. No event is too
-    late: the watermark follows the time of arrival, not that of the event, and drives only the timer of finished jobs. The state of a job is
-    its first terminal and its latest event, taken from each batch as a whole.
+    late: the timer follows the clock, not the events. The state of a job is two events, whatever a batch brings; the state store is RocksDB, which
+    ``session.tune`` sets.
     """
-    out = "job_id bigint, phase string, status string, finished_at timestamp"
-    place = "at timestamp, event_id bigint, phase string"
-    state = ", ".join(f"{p}_{f}" for p in ("end", "now") for f in place.split(", "))
-    columns = ["job_id", "phase", "status", "finished_at"]
-
-    def first(rows: pd.DataFrame):
-        r = rows.sort_values(["ts", "event_id"]).iloc[0]
-        return r["ts"].to_pydatetime(), int(r["event_id"]), r["phase"]
-
-    def step(key, batches, held: GroupState):
-        if held.hasTimedOut:
-            end = held.get[:3]
-            held.remove()
-            yield pd.DataFrame([(key[0], end[2], "expired", end[0])], columns=columns)
-            return
-        old = held.get if held.exists else (None,) * 6
-        ends, nows = ([old[:3]] if old[0] is not None else []), ([old[3:]] if old[3] is not None else [])
-        for rows in batches:
-            nows.append(first(rows.sort_values(["ts", "event_id"]).tail(1)))
-            closing = rows[rows["phase"].isin(TERMINAL)]
-            if len(closing):
-                ends.append(first(closing))
-        end, now = min(ends, key=lambda e: e[:2], default=(None,) * 3), max(nows, key=lambda e: e[:2])
-        held.update((*end, *now))
-        phase = now[2]
-        if end[0] is not None:
-            due = int(pd.Timestamp(end[0], tz="UTC").timestamp() * 1000) + ttl_seconds * 1000
-            held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs() + 1))
-            phase = end[2]
-        status = phase if phase in (*TERMINAL, QUEUED) else "running"
-        yield pd.DataFrame([(key[0], phase, status, end[0])], columns=columns)
-
-    arriving = events.withColumn("seen", F.current_timestamp()).withWatermark("seen", "0 seconds")
-    return arriving.groupBy("job_id").applyInPandasWithState(step, out, state, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table of batches that may have none yet."""
-    spark.createDataFrame([], f"{schema}, batch long").write.mode("append").partitionBy("batch").parquet(path)
-    return spark.read.schema(f"{schema}, batch long").parquet(path)
+    tune(events.sparkSession)
+    return events.select("job_id", "event_id", "ts", "phase").groupBy("job_id").transformWithState(_JobTimer(ttl_seconds * 1000), JOB_TTL, "update", "processingTime")
 
 
 def stream_documents(spark: SparkSession, layout_path: str, known: Callable[[], DataFrame], analyze: Callable[[DataFrame], DataFrame],
-                     out_path: str, checkpoint: str, overwrite: bool = False, names: Callable[[], DataFrame] | None = None):
+                     out_path: str, checkpoint: str, overwrite: bool = False, names: Callable[[], DataFrame] | None = None, per_trigger: int = 1000):
     """Analyse layout files as they arrive; a document that was known before is left alone unless ``overwrite``.
 
-    A document may arrive in any number of files: its blocks are kept in ``<out_path>_arrived``, and each
-    arrival analyses all of them again and replaces the result. ``known()`` lists analysed documents (filename);
-    ``names()`` gives doc_id, filename and content_type (by default doc<id>.pdf); ``analyze(blocks)`` gives nested analyses.
-    The verdict on every arrival is in ``<out_path>_verdicts``. A replayed batch writes the same rows to the same places.
+    A document may arrive in any number of files: its blocks are kept in a store, ``<out_path>_arrived``, and each
+    arrival analyses all of them again and replaces the result; a batch opens only the buckets of the documents it brings. ``known()`` lists analysed
+    documents (filename); ``names()`` gives doc_id, filename and content_type (by default doc<id>.pdf); ``analyze(blocks)`` gives nested analyses.
+    The verdict on every document is in the store ``<out_path>_verdicts`` (read it with ``read_verdicts``). A document without a name is
+    "unnamed" and waits in ``<out_path>_pending``; the next batch, or the next start, takes it up when its name has come. A repeated batch changes nothing.
     """
-    source = spark.readStream.schema(schemas.LAYOUT_BLOCKS).parquet(layout_path)
-    arrived, verdicts = f"{out_path}_arrived", f"{out_path}_verdicts"
+    source = spark.readStream.schema(schemas.LAYOUT_BLOCKS).option("maxFilesPerTrigger", per_trigger).parquet(layout_path)
+    arrived = BucketStore(spark, f"{out_path}_arrived", schemas.LAYOUT_BLOCKS)
+    verdicts = BucketStore(spark, f"{out_path}_verdicts", _VERDICTS)
+    pending = BucketStore(spark, f"{out_path}_pending", "doc_id bigint")
 
-    def batch(df: DataFrame, number: int):
-        df.write.mode("overwrite").parquet(f"{arrived}/batch={number}")
-        docs = spark.read.parquet(f"{arrived}/batch={number}").select("doc_id").distinct()
+    def judge(docs: DataFrame):
+        """Verdicts on ``docs`` and the analysis of those that are admitted."""
         if names is None:
             named = docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("application/pdf").alias("content_type"))
         else:
-            named = docs.join(names().select("doc_id", "filename", "content_type"), "doc_id")
-        ours = _stored(spark, verdicts, "doc_id long, filename string, verdict string").where((F.col("batch") < number) & (F.col("verdict") == "admitted"))
-        others = known().select("filename").join(ours.select("filename"), "filename", "left_anti")
-        settle(admit_documents(named, others, overwrite).select("doc_id", "filename", "verdict")).write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
-        admitted = spark.read.parquet(f"{verdicts}/batch={number}").where("verdict = 'admitted'")
-        whole = spark.read.schema(f"{schemas.LAYOUT_BLOCKS}, batch long").parquet(arrived).where(F.col("batch") <= number).drop("batch")
-        write_analysis(analyze(whole.join(admitted.select("doc_id"), "doc_id", "left_semi").select(df.columns)), out_path)
+            one = names().where("filename is not null").groupBy("doc_id").agg(F.min(F.struct("filename", "content_type")).alias("x")).select("doc_id", "x.*")
+            named = docs.join(one, "doc_id", "left")
+        ours = verdicts.of_keys(docs).where("verdict = 'admitted'").select("filename")
+        others = known().select("filename").join(ours, "filename", "left_anti")
+        judged = admit_documents(named.where("filename is not null"), others, overwrite).select("doc_id", "filename", "verdict")
+        unnamed = named.where("filename is null").select("doc_id", "filename", F.lit("unnamed").alias("verdict"))
+        judged = settle(judged.unionByName(unnamed))
+        verdicts.replace(judged)
+        pending.replace(judged.where("verdict = 'unnamed'").select("doc_id"), docs)
+        admitted = judged.where("verdict = 'admitted'")
+        if not admitted.isEmpty():
+            write_analysis(analyze(arrived.of_keys(admitted).select(*blocks)), out_path)
+
+    blocks = source.columns
 
+    def batch(df: DataFrame, number: int):
+        df = settle(df)
+        arrived.append(df, f"batch-{number}")
+        judge(settle(df.select("doc_id").unionByName(pending.read()).distinct()))
+
+    waiting = settle(pending.read())
+    if names is not None and not waiting.isEmpty():
+        judge(waiting)
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_VERDICTS = "doc_id bigint, filename string, verdict string"
+
+
+def read_verdicts(spark: SparkSession, out_path: str) -> DataFrame:
+    return BucketStore(spark, f"{out_path}_verdicts", _VERDICTS).read()
