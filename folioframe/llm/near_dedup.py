@@ -296,15 +296,20 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     return placed.join(groups, "comp").select("doc_id", "text_hash", F.col("first.id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.r")).alias("kept"))
 
 
+# Bands that elect leaders together: copies meet in the first ones, and only texts that are still apart go on to the many others.
+FIRST_BANDS = ((0, 1), (1, 3), (3, 7), (7, ENTRIES // ROWS))
+
+
 def _links(docs: DataFrame, unique: DataFrame, similarity: float, leaders: int = 512) -> DataFrame:
     """uid, comp for the texts that have links.
 
-    In the first round every bucket compares its texts with one leader. From then on, buckets whose texts are not
-    all of one component compare across components: first a quarter of the buckets, since texts that are alike meet in many, and then all of
-    them. The texts take turns as leaders, about ``leaders`` of a bucket at a time, until each has been one; so no candidate pair
-    of different components is left out.
+    First every bucket compares its texts with one leader, some bands at a time; a text meets a leader only if it is not of its
+    component yet. From then on, buckets whose texts are not all of one component compare across components: first a quarter of the
+    buckets, since texts that are alike meet in many, and then all of them. The texts outside the largest component of a bucket take turns as leaders,
+    about ``leaders`` of a bucket at a time, until each has been one. Of two texts of different components one at least is outside the largest, so
+    no candidate pair is left out.
     """
-    each = unique.select("uid", F.explode("bands").alias("band"))
+    each = unique.select("uid", F.posexplode("bands").alias("at", "band"))
     several = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     members = stage(each.join(several, "band"))
     texts = _texts(docs, unique.select("uid", "key").join(members.select("uid").distinct(), "uid"))
@@ -313,43 +318,60 @@ def _links(docs: DataFrame, unique: DataFrame, similarity: float, leaders: int =
     shortest = placed.groupBy("band").agg(F.min("n").alias("least"))
     placed = placed.join(shortest, "band").where(F.col("s") * (1 + similarity) >= (F.col("n") + F.col("least")) * similarity - 1e-6).drop("least")
     active = stage(placed.withColumn("comp", F.col("uid")))
+    drop(members)
     moved = unique.limit(0).select("uid", F.col("uid").alias("comp"))
-    comp = None
     # The first leader is the text that shares most: most others are like it.
-    order = F.struct(((F.col("n") - F.col("s")) * 1000 / F.col("n")).cast("int").alias("own"), F.col("uid").alias("uid"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("shared").alias("theirs"))
-    turn = 0
-    while True:
-        if turn == 0:
-            lead = active.groupBy("band").agg(F.min(order).alias("x")).select("band", F.col("x.uid").alias("lead"), F.col("x.uid").alias("lead_comp"), "x.m", "x.t", "x.theirs")
-        else:
-            some = active if turn > 1 else active.where(F.pmod(F.xxhash64("band"), F.lit(4)) == 0)
-            lead = some.where(F.pmod(F.xxhash64("uid"), F.col("turns")) == max(0, turn - 2)).select(
-                "band", F.col("uid").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("shared").alias("theirs"))
+    order = F.struct(((F.col("n") - F.col("s")) * 1000 / F.col("n")).cast("int").alias("own"), F.col("uid").alias("uid"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("shared").alias("theirs"), F.col("comp").alias("comp"))
+    one = lambda rows: rows.groupBy("band").agg(F.min(order).alias("x")).select(
+        F.col("band").alias("lead_band"), F.col("x.uid").alias("lead"), F.col("x.comp").alias("lead_comp"), "x.m", "x.t", "x.theirs")
+    several_of = lambda rows: rows.where("outside").select(
+        F.col("band").alias("lead_band"), F.col("uid").alias("lead"), F.col("comp").alias("lead_comp"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("shared").alias("theirs"))
+
+    def turn(some: DataFrame, lead: DataFrame, keep) -> None:
+        """Compare ``some`` with ``lead``, join components, and go on with the buckets that ``keep`` leaves."""
+        nonlocal active, moved
         need = (F.col("n") + F.col("m")) * similarity - 1e-6
         able = (F.least("s", "t") * (1 + similarity) >= need) & (_common("shared", "theirs") * (1 + similarity) >= need)
-        right = lead.withColumnRenamed("band", "lead_band")
-        met = active.join(right, (F.col("band") == F.col("lead_band")) & (F.col("comp") != F.col("lead_comp")) & able)
+        met = some.join(lead, (F.col("band") == F.col("lead_band")) & (F.col("comp") != F.col("lead_comp")) & able)
         ends = F.when(F.col("uid") < F.col("lead"), F.struct(F.col("uid").alias("a"), F.col("lead").alias("b"), F.col("comp").alias("from"), F.col("lead_comp").alias("to"))).otherwise(
             F.struct(F.col("lead").alias("a"), F.col("uid").alias("b"), F.col("lead_comp").alias("from"), F.col("comp").alias("to")))
         pairs = stage(met.select(ends.alias("p")).distinct().select("p.*"))
         links = None if pairs.isEmpty() else stage(_verified(pairs, texts, similarity))
+        now = active
         if links is not None and not links.isEmpty():
             # Links join components; what had a component keeps it under the new name.
             comp = components(links.select(F.col("from").alias("a"), F.col("to").alias("b")))
             renamed = comp.select(F.col("uid").alias("comp"), F.col("comp").alias("new"))
             known = moved.join(renamed, "comp", "left").select("uid", F.coalesce("new", "comp").alias("comp"))
             moved = stage(known.unionByName(comp.join(moved.select("uid"), "uid", "left_anti")))
-            active = active.join(renamed, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
-        turn += 1
-        state = active.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-        turns = F.col("turns") if turn > 1 else F.ceil(F.col("size") / leaders).cast("long")
-        if turn > 1:
-            active = active.drop("turns").join(state.join(active.select("band", "turns").distinct(), "band").where((F.col("lo") < F.col("hi")) & (F.col("turns") > max(0, turn - 2))).select("band", "turns"), "band")
-        else:
-            active = active.join(state.where("lo < hi").select("band", turns.alias("turns")), "band")
-        active = stage(active)
+            now = now.join(renamed, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+        state = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("turns").alias("turns") if "turns" in now.columns else F.lit(0).alias("turns"))
+        now = stage(now.join(state.where(F.col("lo") < F.col("hi")).where(keep).select("band"), "band"))
+        for df in (active, pairs, *([links] if links is not None else [])):
+            drop(df)
+        active = now
+
+    for lo, hi in FIRST_BANDS:
         if active.isEmpty():
             return moved
+        some = active.where(F.col("at").between(lo, hi - 1))
+        turn(some, one(some), F.lit(True))
+    if active.isEmpty():
+        return moved
+    # Fixed from here on, so that the leaders of all turns together are the texts outside one component of their bucket.
+    largest = active.groupBy("band", "comp").agg(F.count("*").alias("size")).groupBy("band").agg(
+        F.max_by("comp", F.struct("size", "comp")).alias("most"), (F.sum("size") - F.max("size")).alias("rest"))
+    outside = active.join(largest, "band").select(*active.columns, (F.col("comp") != F.col("most")).alias("outside"), F.ceil(F.col("rest") / leaders).cast("long").alias("turns"))
+    before, active = active, stage(outside)
+    drop(before)
+    now = lambda rows, k: rows.where(F.pmod(F.xxhash64("uid"), F.col("turns")) == k)
+    some = active.where(F.pmod(F.xxhash64("band"), F.lit(4)) == 0)
+    turn(some, several_of(now(some, 0)), F.lit(True))
+    k = 0
+    while not active.isEmpty():
+        turn(active, several_of(now(active, k)), F.col("turns") > k + 1)
+        k += 1
+    return moved
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
