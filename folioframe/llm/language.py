@@ -8,7 +8,9 @@ labelled texts of its length ever are is rejected.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+import zlib
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.common import arrow_rows, code_points, stage
+from folioframe.llm.common import arrow_rows, code_points, drop, stage
 
 PLACES = 4096
 _CHARS = 1 << 20
 _LENGTHS = 24
 UNKNOWN = "und"
+# No cosine below this is a known language, however short the text; characters that a stretch of a long text has in common with the one before.
+_LEAST, _OVERLAP = 0.02, 64
 
 _LETTER = None
 
@@ -71,8 +75,12 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     for t in texts:
         if len(t) > _CHARS:
             flush()
-            cut = [t[i : i + _CHARS] for i in range(0, len(t), _CHARS)]
-            out.append(sum(_grams([c]) for c in cut))
+            # A stretch begins some characters early; what these hold by themselves has been counted before.
+            whole = _grams([t[:_CHARS]])
+            for i in range(_CHARS, len(t), _CHARS):
+                both = _grams([t[i - _OVERLAP : i + _CHARS], t[i - _OVERLAP : i]])
+                whole += both[:1] - both[1:]
+            out.append(whole)
             continue
         if size + len(t) > _CHARS or len(group) == 128:
             flush()
@@ -114,7 +122,10 @@ def length_class(total: np.ndarray) -> np.ndarray:
 
 def sample(labelled: DataFrame, per_language: int, most_languages: int) -> DataFrame:
     """At most ``per_language`` rows (text, lang) of each language, those with the smallest hashes."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    every = labelled.groupBy("lang").count()
+    counts = every.orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if len(counts) == most_languages and (left := every.count() - most_languages):
+        warnings.warn(f"{left} languages beyond most_languages={most_languages} are not learned", stacklevel=2)
     if not counts:
         return labelled.limit(0).select("text", "lang")
     # A threshold on the hash leaves about three times the wanted rows of each language, so few texts move.
@@ -138,23 +149,56 @@ def _cluster(vectors: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return centers.astype(np.float32)
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, most_languages: int = 200, margin: float = 0.5, enough: int = 50) -> Model:
-    """Learn from labelled rows (doc_id, text, lang; none null): a sample of at most ``per_language`` rows for each of at most ``most_languages``.
+def _stretch(text: str, c: int) -> str | None:
+    """A stretch of a text with about as many n-grams as length class ``c`` has; none if the text is shorter."""
+    size = max(1, (3 << c) // 6)
+    if len(text) < size:
+        return None
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % (len(text) - size + 1)
+    return text[at : at + size]
 
-    The bound for rejection is ``margin`` times the least cosine of sampled rows of nearly the same length, where there are ``enough``.
+
+def _bounds(texts: DataFrame, model: Model, margin: float, share: float) -> np.ndarray:
+    """The least cosine by length class: ``margin`` times that which all but a ``share`` of the stretches of known texts of that length exceed.
+
+    It does not fall as texts get longer, and is never below ``_LEAST``. All classes have stretches, whatever the lengths of the texts.
+    """
+    def measure(batches):
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                cut = [x for x in (_stretch(t, c) for c in range(_LENGTHS)) if x]
+                counts = gram_counts([t, *cut])
+                total = counts.sum(axis=1)
+                cosine = (weighted(counts, model.idf) @ model.centroids.T).max(axis=1).astype(np.float64)
+                good = total > 0
+                yield pa.RecordBatch.from_arrays([pa.array(length_class(total)[good], pa.int32()), pa.array(cosine[good])], names=["class", "cosine"])
+
+    at = F.percentile("cosine", F.lit(share))
+    found = {r["class"]: r["least"] for r in texts.select("text").mapInArrow(measure, "class int, cosine double").groupBy("class").agg(at.alias("least")).collect()}  # a row per class
+    bound, last = np.zeros(_LENGTHS), _LEAST
+    for c in range(_LENGTHS):
+        last = max(last, margin * found.get(c, 0.0))
+        bound[c] = last
+    return bound
+
+
+def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, most_languages: int = 200, margin: float = 0.5, share: float = 0.01) -> Model:
+    """Learn from labelled rows (doc_id, text, lang; none null): a sample of at most ``per_language`` rows for each of at most ``most_languages`` (the most
+    frequent; a warning names how many are left out). Texts are rejected below a bound that grows with their length (``_bounds``).
     """
     def features(batch: pa.RecordBatch) -> dict:
         counts = gram_counts(batch.column("text").to_pylist())
-        return {"lang": batch.column("lang"), "counts": [np.minimum(c, 65535).astype("<u2").tobytes() for c in counts]}
+        return {"lang": batch.column("lang"), "counts": [c.astype("<u4").tobytes() for c in counts]}
 
     fields = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
-    rows = stage(sample(labelled, per_language, most_languages).repartition(16).mapInArrow(arrow_rows(features, fields), "lang string, counts binary"))
+    texts = stage(sample(labelled, per_language, most_languages).repartition(16))
+    rows = stage(texts.mapInArrow(arrow_rows(features, fields), "lang string, counts binary"))
 
     def frequencies(batches):
         total, n = np.zeros(PLACES, dtype=np.int64), 0
         for batch in batches:
             for c in batch.column("counts").to_pylist():
-                total += np.frombuffer(c, dtype="<u2") > 0
+                total += np.frombuffer(c, dtype="<u4") > 0
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()])], names=["n", "total"])
 
@@ -165,30 +209,21 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, most_
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.array([np.frombuffer(c, dtype="<u2") for c in frame["counts"]])
+        counts = np.array([np.frombuffer(c, dtype="<u4") for c in frame["counts"]])
         filled = counts.sum(axis=1) > 0
         if not filled.any():
-            return pd.DataFrame({"lang": [], "center": [], "least": [], "rows": []})
-        vectors = weighted(counts[filled], idf)
-        centers = _cluster(vectors, centroids)
-        cosine, classes = (vectors @ centers.T).max(axis=1), length_class(counts[filled].sum(axis=1))
-        least = np.array([cosine[classes == c].min(initial=1.0) for c in range(_LENGTHS)], dtype=np.float64)
-        number = np.bincount(classes, minlength=_LENGTHS)
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "center": [c.tobytes() for c in centers], "least": [least.tobytes()] * len(centers), "rows": [number.tobytes()] * len(centers)})
-
-    found = rows.groupBy("lang").applyInPandas(learn, "lang string, center binary, least binary, rows binary").orderBy("lang", "center").collect()
-    least, number = np.ones(_LENGTHS), np.zeros(_LENGTHS, dtype=np.int64)
-    for r in {r["lang"]: r for r in found}.values():
-        least = np.minimum(least, np.frombuffer(r["least"]))
-        number += np.frombuffer(r["rows"], dtype=np.int64)
-    # A length class with few sampled rows takes the bound of the nearest shorter one that has enough.
-    bound, held = np.zeros(_LENGTHS), 0.0
-    for c in range(_LENGTHS):
-        near = [k for k in (c - 1, c, c + 1) if 0 <= k < _LENGTHS and number[k]]
-        held = margin * least[near].min() if number[c] >= enough else held
-        bound[c] = held
+            return pd.DataFrame({"lang": [], "center": []})
+        centers = _cluster(weighted(counts[filled], idf), centroids)
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "center": [c.tobytes() for c in centers]})
+
+    found = rows.groupBy("lang").applyInPandas(learn, "lang string, center binary").orderBy("lang", "center").collect()
     centers = np.array([np.frombuffer(r["center"], dtype=np.float32) for r in found]).reshape(len(found), PLACES)
-    return Model([r["lang"] for r in found], centers, idf, bound)
+    model = Model([r["lang"] for r in found], centers, idf, np.full(_LENGTHS, _LEAST))
+    if found:
+        model = replace(model, least=_bounds(texts, model, margin, share))
+    drop(texts)
+    drop(rows)
+    return model
 
 
 _PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]

@@ -94,13 +94,15 @@ def _fit(at: list[np.ndarray], domain: np.ndarray, most_places: int, turns: int,
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = 4000, most_places: int = 512, turns: int = 200, decay: float = 1e-4) -> Classifier:
-    """Learn the domains from at most ``most`` labelled documents: those whose ids have the smallest hashes.
+    """Learn the domains from at most ``most`` labelled documents: of the labels whose ids are among ``docs``, those with the smallest hashes.
 
     Labels with a null, or with values outside 0 and 1, take no part; an id with several labels counts with each.
     Without labelled documents all domains are equally likely.
     """
     domain = F.coalesce(*[F.when((F.col("quality") == q) & (F.col("toxic") == t), i) for i, (q, t) in enumerate(DOMAINS)])
     known = labels.select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null")
+    # Labels of documents that are not here must not use up the sample.
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     # Bounded by ``most``, so it may go to every executor.
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most))
 
@@ -153,11 +155,11 @@ def _rates(moves: list[np.ndarray], most: float | None) -> Column:
     return F.aggregate(turns, start, step)
 
 
-def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float | None = None, turns: int = 60, close: float = 1e-3, first: float = 4.0) -> tuple[Column, np.ndarray]:
+def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float | None = None, turns: int = 60, close: float = 1e-3) -> tuple[Column, np.ndarray]:
     """The rate of each row (tokens, p), and the expected share of each domain that the rates reach.
 
-    The targets are ``weights`` times all tokens. Rates stay below ``first`` if the targets can be
-    reached so; if not, they start anew without an upper bound, unless ``most`` sets a firm one. Gradients are measured in the metric of the expected
+    The targets are ``weights`` times all tokens. Rates are zero or more, with no upper bound unless ``most`` sets one.
+    Gradients are measured in the metric of the expected
     membership counts (a small matrix summed over all rows), so domains that resemble each other
     converge as fast as others. Turns end when no share is off by more than ``close``, when five turns have not lowered the squared error by a
     thousandth (targets that cannot be reached are met as far as least squares can), or after ``turns``.
@@ -171,28 +173,22 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     metric = np.array([[total[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / total["total"]
     inverse = np.linalg.inv(metric + 1e-6 * np.eye(k))
 
-    def within(most: float | None) -> tuple[Column, np.ndarray, bool]:
-        moves: list[np.ndarray] = []
-        age, losses = 1.0, [np.inf]
-        while True:
-            at = rows.select("tokens", "p", _rates(moves, most).alias("x"))
-            sums = at.agg(*[F.sum(F.col("tokens") * F.col("x")[f] * F.col("p")[j]).alias(f"{f}{j}") for f in ("r", "prev") for j in range(k)]).first()
-            shares, before = (np.array([sums[f"{f}{j}"] for j in range(k)]) / total["total"] for f in ("r", "prev"))
-            loss = float((shares - goal) @ inverse @ (shares - goal))
-            stalled = len(losses) > 5 and losses[-5] - loss <= 1e-3 * losses[-5]
-            if np.abs(shares - goal).max() <= close or stalled or len(moves) == turns:
-                return _rates(moves, most)["r"], shares, bool(np.abs(shares - goal).max() <= close)
-            # A whole step never overshoots in this metric. Going on in the last direction speeds it up, and stops where the loss has risen.
-            age = 1.0 if loss > losses[-1] else age
-            older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
-            on = (older - 1) / age
-            losses.append(loss)
-            moves.append(np.concatenate(([on], inverse @ (shares + on * (shares - before) - goal))))
-
-    rate, shares, met = within(first if most is None else most)
-    if most is None and not met:
-        rate, shares, _ = within(None)
-    return rate, shares
+    moves: list[np.ndarray] = []
+    age, losses = 1.0, [np.inf]
+    while True:
+        at = rows.select("tokens", "p", _rates(moves, most).alias("x"))
+        sums = at.agg(*[F.sum(F.col("tokens") * F.col("x")[f] * F.col("p")[j]).alias(f"{f}{j}") for f in ("r", "prev") for j in range(k)]).first()
+        shares, before = (np.array([sums[f"{f}{j}"] for j in range(k)]) / total["total"] for f in ("r", "prev"))
+        loss = float((shares - goal) @ inverse @ (shares - goal))
+        stalled = len(losses) > 5 and losses[-5] - loss <= 1e-3 * losses[-5]
+        if np.abs(shares - goal).max() <= close or stalled or len(moves) == turns:
+            return _rates(moves, most)["r"], shares
+        # A whole step never overshoots in this metric. Going on in the last direction speeds it up, and stops where the loss has risen.
+        age = 1.0 if loss > losses[-1] else age
+        older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+        on = (older - 1) / age
+        losses.append(loss)
+        moves.append(np.concatenate(([on], inverse @ (shares + on * (shares - before) - goal))))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, **options) -> DataFrame:

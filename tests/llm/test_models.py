@@ -307,6 +307,11 @@ def test_language_of_odd_rows(llm, odd_docs, no_docs):
     assert all(r["lang_pred"] in (*model.languages, "und") for r in out)
     foreign = llm.createDataFrame([(1, "γλώσσα που δεν έχει μάθει κανείς ποτέ " * 30), (2, "これは知らない言語の文章です" * 30)], "doc_id long, text string")
     assert all(r["rejected"] for r in G.identify(foreign, model, ["doc_id"]).collect())
+    short = ["Ελλάδα χώρα της Ευρώπης", "γλώσσα που δεν έχει μάθει", "Привет мир это другой язык", "これは知らない言語の文章です", "これは知らない言語の文章ですから読めません" * 4, "Привет мир " * 15, "άγνωστη γλώσσα " * 12]
+    for known in (docs, docs.where("doc_id < 150")):  # a large and a small table
+        few = llm.createDataFrame([(i, t) for i, t in enumerate(short)], "doc_id long, text string")
+        assert all(r["rejected"] for r in G.identify(few, G.learn_languages(known), ["doc_id"]).collect())
+    assert (model.least > 0).all() and (np.diff(model.least) >= 0).all()
     assert G.identify(no_docs, model, ["doc_id"]).count() == 0
     none = G.identify(odd_docs, G.learn_languages(no_docs), ["doc_id"]).collect()
     assert {r["lang_pred"] for r in none} == {"und"} and all(r["rejected"] for r in none)
@@ -320,7 +325,7 @@ def test_long_texts_count_as_a_whole():
         parts = G.gram_counts([text, "short", text])
     finally:
         G._CHARS = old
-    assert np.abs(parts[0] - whole[0]).sum() <= 12 and (parts[1] == G._grams(["short"])[0]).all() and (parts[2] == parts[0]).all()
+    assert np.abs(parts[0] - whole[0]).sum() == 0 and (parts[1] == G._grams(["short"])[0]).all() and (parts[2] == parts[0]).all()
 
 
 # Mixing
@@ -335,7 +340,7 @@ def test_rates_reach_the_targets(llm):
     total = sum(r["tokens"] for r in out)
     got = sum(np.array(r["p"]) * r["r"] * r["tokens"] for r in out) / total
     assert np.allclose(got, shares) and np.abs(got - goal).max() <= 1e-3
-    assert all(0 <= r["r"] <= 4 for r in out)
+    assert all(r["r"] >= 0 for r in out)
 
 
 def test_rates_are_the_least_squares_where_targets_cannot_be_reached(llm):
@@ -377,3 +382,10 @@ def test_mixing_of_documents(llm, odd_docs, no_docs):
     odd = M.mix(odd_docs, labels).collect()
     assert len(odd) == odd_docs.count() and all(r["rate"] >= 0 and r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in odd)
     assert M.mix(no_docs, labels).count() == 0 and M.mix(odd_docs, labels.where("false")).count() == len(odd)
+
+
+def test_labels_of_other_documents_do_not_use_up_the_sample(llm):
+    docs, labels = (llm.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    foreign = llm.range(10_000, 30_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    own, mixed = M.fit_classifier(docs, labels, most=60), M.fit_classifier(docs, labels.unionByName(foreign.select(labels.columns)), most=60)
+    assert len(own.weights) and (own.row == mixed.row).all() and np.allclose(own.weights, mixed.weights)
