@@ -5,8 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import sqlkit as K
+from checks import whole_sql as WS
 from checks.flow_checks import (
-    _SENTS, BOX, CHAINS, LINEAR_FLOW, MERGED, PLAIN, _recursive, chained, linear_flow, plain_linear, plain_pages)
+    _PIN, _SENTS, BOX, CHAINS, GLUED, LINEAR_FLOW, MERGED, PLAIN, _recursive, chained, linear_flow, plain_linear, plain_pages)
 from checks.registry import bronze, check, shared, table
 from checks.text_checks import significant_sql
 from folioframe.functions import text as T
@@ -137,7 +138,23 @@ def fragment_cards(spark, sf_dir):
     return _cards(spark, sf_dir).select("conv_id", F.array_join(F.transform(hit, lambda i: i.cast("string")), ",").alias("covered"))
 
 
-@check("injected_concepts")
+_INJECTED = _CARDS.replace("with t0 as (select conv_id, turn,", "with t0 as (select conv_id, turn, text,") + r""",
+  raw as (select conv_id, case when conv_id % 3 = 0 then 'nowhere at all' when conv_id % 3 = 1 and b is not null then right(a, 4) || ' ' || left(b, 4) else right(a, 4) end fragment from f0),
+  it as (select conv_id, i, text, forced, regexp_extract(text, '(\S+)', 1) term from t0),
+  cov as (select c.conv_id, i from c join p using (conv_id) where loc >= 0 and loc < s + length(q) and loc + length(frag) > s),
+  old as (select conv_id, i, term, row_number() over (partition by conv_id, lower(term) order by i) rn, count(*) over (partition by conv_id) n from it join cov using (conv_id, i)),
+  kept as (select conv_id, term, i from old where n = 1 or rn = 1),
+  fresh as (select conv_id, unnest(['NEW', term]) term, unnest([1000001, 1000002]) i from it where i = 0),
+  held as (select * from kept union all select * from fresh where conv_id in (select conv_id from cov) and not exists (select 1 from kept k where k.conv_id = fresh.conv_id and lower(k.term) = lower(fresh.term))),
+  fused as (select conv_id, string_agg(text, ' ' order by i) quote, min(i) i from it join cov using (conv_id, i) group by conv_id),
+  out as (select conv_id, i, text quote, forced, term terms from it where not exists (select 1 from cov where cov.conv_id = it.conv_id and cov.i = it.i)
+    union all select f.conv_id, any_value(f.i), any_value(quote), false, string_agg(term, ',' order by case when instr(hay, t) > 0 then instr(hay, t) else 2147483647 end, h.i)
+      from (select *, lower(NORMQ) hay from fused) f join (select *, lower(NORMT) t from held) h using (conv_id) group by f.conv_id
+    union all select conv_id, 1000000000, fragment, true, 'NEW,' || term from raw join it using (conv_id) where it.i = 0 and conv_id not in (select conv_id from cov))
+  select conv_id, (row_number() over (partition by conv_id order by i) - 1)::int slot, quote, forced, terms from out""".replace("NORMQ", K.norm("quote")).replace("NORMT", K.norm("term"))
+
+
+@check("injected_concepts", _INJECTED)
 def injected_concepts(spark, sf_dir):
     rows = E.inject_concepts(_cards(spark, sf_dir)).select("conv_id", F.posexplode("items").alias("slot", "c"))
     return rows.select("conv_id", "slot", "c.quote", "c.forced", F.array_join(F.transform("c.concepts", lambda x: x["term"]), ",").alias("terms"))
@@ -446,7 +463,7 @@ def deleted_documents(spark, sf_dir):
 # -- whole plans -----------------------------------------------------------------------------------------
 
 
-@check("both_projections")
+@check("both_projections", WS.BOTH)
 def both_projections(spark, sf_dir):
     """Page rows, linear rows and left-out text of every document after all merges."""
     x = X.extract_both(bronze(spark, sf_dir))
@@ -462,13 +479,25 @@ def _info(spark, sf_dir):
     return d.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.col("lang").alias("language"))
 
 
-@check("analyzed_documents")
+_FULL = WS._named(GLUED, pflow="pages_done")
+_ANALYZED = WS.whole("""select doc_id, filename, page_count, coalesce(n, 0)::int linear_blocks, length(prompt) || ' ' || md5(prompt) core_methodology, lang "language"
+   from (select d.doc_id, 'doc' || d.doc_id || '.pdf' filename, d.lang, t.full_text || chr(10) || chr(10) || 'Language of all values but verbatim quotes: ' || case coalesce(d.lang, 'es') when 'es' then 'Spanish' else 'English' end || '.' prompt
+     from documents d join (select doc_id, string_agg(text, chr(10) || chr(10) order by gid) full_text from glued group by all) t using (doc_id))
+   join (select doc_id, count(*)::int page_count from lay left join (select doc_id, min(p_stop // 100000) stop from w group by all) using (doc_id) where stop is null or page <= stop group by all) using (doc_id)
+   left join (select doc_id, count(*) n from linear_done group by all) using (doc_id)""", _FULL)
+
+
+@check("analyzed_documents", _ANALYZED)
 def analyzed_documents(spark, sf_dir):
     a = PA.analyze(bronze(spark, sf_dir), _info(spark, sf_dir), echo_client, wait=False)
     return a.select("doc_id", "filename", "page_count", F.size("linear_blocks").alias("linear_blocks"), "global_map.core_methodology", "language")
 
 
-@check("explained_chains")
+# The stand-in explains every sentence in its own words, so each has its card.
+_CARD_ROWS = K.sql("""select doc_id, chain, m::int slot, m::int item, text quote, false is_placeholder from mt""", PLAIN, *_SENTS, LINEAR_FLOW, CHAINS.replace(_PIN, "false"), MERGED, ANSWERS)
+
+
+@check("explained_chains", _CARD_ROWS)
 def explained_chains(spark, sf_dir):
     rows = linear_flow(spark, sf_dir)
     info = _info(spark, sf_dir).withColumn("map_json", F.lit("{}"))
@@ -484,7 +513,7 @@ def closed_client():
     return ask
 
 
-@check("cached_answers")
+@check("cached_answers", _CARD_ROWS)
 def cached_answers(spark, sf_dir):
     """Cards of a second run: every answer comes from the store that the first run filled."""
     rows, info = linear_flow(spark, sf_dir), _info(spark, sf_dir).withColumn("map_json", F.lit("{}"))
@@ -494,11 +523,30 @@ def cached_answers(spark, sf_dir):
     return cards.select("doc_id", "chain", "slot", "item", "quote", "is_placeholder")
 
 
-@check("reader_views")
+@check("reader_views", WS.VIEWS)
 def reader_views(spark, sf_dir):
+    """All eight tables of the view, one row per row of each."""
     x = X.extract_both(bronze(spark, sf_dir))
     log = sample_overrides(x.page_rows).withColumn("edit_id", F.col("n")).withColumn("edited_at", F.col("n"))
     v = PR.reader_view(x, log)
-    return v["list"].select("doc_id", "idx", "kind", "text", F.size("members").alias("members"))
-
-
+    words = lambda *cols: F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("")) for c in cols])
+    listed = F.array_join(F.transform("members", lambda i: i.cast("string")), ",")
+
+    def rows(name, place, what, more=None, page=None, text=None, box=False):
+        none = lambda kind: F.lit(None).cast(kind)
+        return v[name].select(
+            F.lit(name).alias("view"), "doc_id", (F.col(page) if page else none("int")).alias("page"), F.col(place).alias("place"), what.cast("string").alias("what"),
+            (F.col(text) if text else none("string")).alias("text"), *[(F.col(b) if box else none("double")).alias(b) for b in BOX], (more if more is not None else none("string")).alias("more"))
+
+    parts = [
+        rows("page_rows", "ri", words("kind", "role"), words("continuation", "allow_merges", "injected"), "page", "text", True),
+        rows("linear", "ri", F.col("role"), words("continuation", "chain"), "page", "text", True),
+        rows("payloads", "ri", F.col("chain"), words(F.size("members"), F.size("sentences"), F.size("merged")), "page", "text"),
+        rows("list", "idx", F.col("kind"), listed, text="text"), rows("page_sequence", "ri", F.col("kind"), page="page", box=True),
+        rows("linear_sequence", "idx", F.col("kind"), words("ri", "flat_block_ref")), rows("outline", "idx", F.col("depth"), text="text"),
+        rows("display", "idx", F.col("role"), words("slot", "rank", "is_tail"), "page"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -39,17 +39,21 @@ def plain_linear(spark, sf_dir):
         F.lit(False).alias("continuation"), F.lit("").alias("caption_text"), F.lit(None).cast(W.NO_BOX).alias("caption_bbox")))
 
 
-@shared
-def plain_pages(spark, sf_dir):
+def page_rows_of(b):
     """Page rows of every block but dropped types and headers."""
-    b = O.reading_order(blocks(spark, sf_dir)).where(~F.col("block_type").isin("SectionHeader", *V.DROP_TYPES))
+    b = O.reading_order(b).where(~F.col("block_type").isin("SectionHeader", *V.DROP_TYPES))
     image = F.col("block_type").isin(V.IMAGE_TYPES)
-    return settle(b.select(
+    return b.select(
         "doc_id", "span", "page", (F.row_number().over(O.page_window().orderBy("ord")) - 1).alias("ri"),
         F.when(image, "image").otherwise("block").alias("kind"),
         F.when(image, T.image_role("block_type")).otherwise(T.text_role("block_type")).alias("role"), "text", *BOX,
         F.when(image, W.empty(W.NO_SENTENCES)).otherwise(build_sentences()).alias("sentences"), W.empty(W.NO_NOTES).alias("footnotes"),
-        F.lit(False).alias("continuation"), F.lit("").alias("caption_text"), F.lit(None).cast(W.NO_BOX).alias("caption_bbox")))
+        F.lit(False).alias("continuation"), F.lit("").alias("caption_text"), F.lit(None).cast(W.NO_BOX).alias("caption_bbox"))
+
+
+@shared
+def plain_pages(spark, sf_dir):
+    return settle(page_rows_of(blocks(spark, sf_dir)))
 
 
 PLAIN = f"""
@@ -416,16 +420,19 @@ def chain_members(spark, sf_dir):
     return out.withColumn("members", F.array_join(F.transform("members", lambda i: i.cast("string")), ","))
 
 
-@check("floats_in_sequence", K.sql("""select doc_id, page, ri, "role", ri idx, (case when hoist then head when defer then coalesce(tail, 2147483647) else ri end)::int slot,
+FLOATS = """select doc_id, page, ri, "role", ri idx, (case when hoist then head when defer then coalesce(tail, 2147483647) else ri end)::int slot,
    case when hoist then -1 when defer then 1 else 0 end rank, para and not goes is_tail from (
    select *, not para and not bridged and "role" = 'callout' and coalesce(head > coalesce(done, -1), false) and goes hoist, not para and not bridged and goes
      and not ("role" = 'callout' and coalesce(head > coalesce(done, -1), false)) defer from (
    select *, min(ri) filter (para and not goes) over nxt tail, max(ri) filter (para and not goes) over prv done, max(ri) filter (para and goes and not coalesce(before, false)) over prv head from (
    select *, last_value(case when para then goes end ignore nulls) over (partition by doc_id order by ri rows between unbounded preceding and 1 preceding) before from (
-   select * exclude ("role"), case when ri % 9 = 4 and "role" in ('caption','code') then 'callout' else "role" end "role", "role" = 'paragraph' para, "role" = 'equation' and continuation bridged,
+   select *, "role" = 'paragraph' para, "role" = 'equation' and continuation bridged,
      coalesce(first_value(case when "role" = 'paragraph' then continuation end ignore nulls) over (partition by doc_id order by ri rows between 1 following and unbounded following), false) goes from lflow))
-   window prv as (partition by doc_id order by ri rows between unbounded preceding and 1 preceding), nxt as (partition by doc_id order by ri rows between 1 following and unbounded following)))""",
-   PLAIN, *_SENTS, LINEAR_FLOW))
+   window prv as (partition by doc_id order by ri rows between unbounded preceding and 1 preceding), nxt as (partition by doc_id order by ri rows between 1 following and unbounded following)))"""
+_SOME_CALLOUTS = """(select * exclude ("role"), case when ri % 9 = 4 and "role" in ('caption','code') then 'callout' else "role" end "role" from lflow)"""
+
+
+@check("floats_in_sequence", K.sql(FLOATS.replace("from lflow", f"from {_SOME_CALLOUTS}"), PLAIN, *_SENTS, LINEAR_FLOW))
 def floats_in_sequence(spark, sf_dir):
     rows = linear_flow(spark, sf_dir)
     callout = (F.col("ri") % 9 == 4) & F.col("role").isin("caption", "code")

@@ -14,7 +14,8 @@ from folioframe.functions import text as T
 from folioframe.functions.arrays import let
 from folioframe.operators import scans
 from folioframe.session import settle
-from folioframe.sources.layout import PAGE_KEY, span_of
+from folioframe.sources import layout
+from folioframe.sources.layout import PAGE_KEY
 
 BOX = "x0:double,y0:double,x1:double,y1:double"
 ROW_KEY = [*PAGE_KEY, "ri"]
@@ -229,11 +230,11 @@ def merge_table_notes_pages(rows: DataFrame) -> DataFrame:
     return _apply(rows, _page_picks(rows, False, True), None, PART, _with_captions(notes=True))
 
 
-def caption_segments(rows: DataFrame) -> DataFrame:
+def caption_segments(rows: DataFrame, cut: bool = True) -> DataFrame:
     """Runs of figures and caption texts of a document, cut where the fold starts anew whatever came before: doc_id, seg, arr, lead.
 
     After a caption or source line that is no sub-caption, a figure before it has no place for another figure; nor has a figure on another page. So a figure there
-    opens anew. All that comes over the cut is ``lead``, the row just before, and whether another figure has taken it.
+    opens anew. All that comes over the cut is ``lead``, the row just before, and whether another figure has taken it. ``cut`` = False keeps runs whole.
     """
     slim = rows.select(*ROW_KEY, *G.Box._fields, *[c.alias(k) for k, c in _caption_flags(F.col("role").isin("figure", "table")).items()])
     slim = slim.withColumn("joins", F.col("vis") | F.col("sub") | F.col("cap") | F.col("src"))
@@ -241,7 +242,7 @@ def caption_segments(rows: DataFrame) -> DataFrame:
     before = F.struct("ri", "page", (F.col("cap") & ~F.col("vis")).alias("cap"), "y1", hard.alias("hard"), "joins")
     slim = scans.doc_scan(slim, ["page", "ri"], prev=("last", before))
     goes_on = F.coalesce(F.col("prev.joins"), F.lit(False))
-    anew = ~goes_on | (F.col("vis") & (F.col("prev.hard") | ((F.col("prev.page") != F.col("page")) & ~F.col("sub"))))
+    anew = ~goes_on | (F.lit(cut) & F.col("vis") & (F.col("prev.hard") | ((F.col("prev.page") != F.col("page")) & ~F.col("sub"))))
     numbered = scans.doc_scan(slim.withColumn("goes_on", goes_on).withColumn("anew", F.col("joins") & anew), ["page", "ri"], inclusive=True, seg=("sum", F.col("anew").cast("int")))
     lead = F.when(F.col("anew") & F.col("goes_on"), F.struct("prev.ri", "prev.page", "prev.cap", "prev.y1"))
     kept = numbered.where("joins").withColumn("lead", lead).drop("prev", "joins", "goes_on", "anew")
@@ -260,14 +261,14 @@ def _caption_picks_linear(rows: DataFrame) -> DataFrame:
     folded = folded.withColumn("if_taken", F.when(decides, _caption_fold(F.col("arr"), False, taken)).otherwise(F.col("if_free")))
     last = F.element_at("arr", -1)["ri"]
     out = {k: F.exists(c, lambda p: p["ri"] == last).cast("int") for k, c in (("o_free", F.col("if_free")), ("o_taken", F.col("if_taken")))}
-    folded = folded.select("doc_id", span_of("page").alias("span"), "page", "seg", "if_free", "if_taken", *[c.alias(k) for k, c in out.items()])
+    folded = folded.select("doc_id", layout.span_of("page").alias("span"), "page", "seg", "if_free", "if_taken", *[c.alias(k) for k, c in out.items()])
     order = ["page", "seg"]
     turned = scans.doc_scan(folded, order, turns=("sum", ((F.col("o_free") == 1) & (F.col("o_taken") == 0)).cast("int")))
     fixed = F.when(F.col("o_free") == F.col("o_taken"), (F.col("o_free") + F.col("turns")) % 2)
     known = scans.doc_scan(turned, order, held=("last", fixed))
     is_taken = (F.coalesce("held", F.lit(0)) + F.col("turns")) % 2 == 1
     picks = known.select("doc_id", F.inline(F.coalesce(F.when(is_taken, F.col("if_taken")).otherwise(F.col("if_free")), none)))
-    return picks.select("doc_id", span_of("page").alias("span"), "page", "ri", span_of("opage").alias("ospan"), "opage", "owner", "panel", "n", F.lit(2).alias("step"))
+    return picks.select("doc_id", layout.span_of("page").alias("span"), "page", "ri", layout.span_of("opage").alias("ospan"), "opage", "owner", "panel", "n", F.lit(2).alias("step"))
 
 
 def merge_figure_captions_linear(rows: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ class _JobTimer(StatefulProcessor):
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             finished = int(end[0].replace(tzinfo=timezone.utc).timestamp() * 1000)
-            self.handle.registerTimer(max(finished + self.ttl_ms, timerValues.getCurrentProcessingTimeInMs()))
+            self.handle.registerTimer(max(finished + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
         phase = (end or now)[2]
         yield Row(job_id=key[0], phase=phase, status=phase if phase in (*TERMINAL, QUEUED) else "running", finished_at=end and end[0])
 
@@ -89,11 +89,12 @@ def stream_job_ttl(events: DataFrame, ttl_seconds: int = V.JOB_TTL_SECONDS) -> D
     """Job states that leave the stream once finished for ``ttl_seconds``; unfinished jobs stay. Output mode "update".
 
     Emits a row at each change and one with status "expired" when a finished job is forgotten. No event is too
-    late: the timer follows the clock, not the events. The state of a job is two events, whatever a batch brings; the state store is RocksDB, which
-    ``session.tune`` sets.
+    late: the watermark follows the time of arrival, not that of the event, and drives only the timers. The state of a job is two events, whatever a
+    batch brings; the state store is RocksDB, which ``session.tune`` sets.
     """
     tune(events.sparkSession)
-    return events.select("job_id", "event_id", "ts", "phase").groupBy("job_id").transformWithState(_JobTimer(ttl_seconds * 1000), JOB_TTL, "update", "processingTime")
+    arriving = events.select("job_id", "event_id", "ts", "phase", F.current_timestamp().alias("seen")).withWatermark("seen", "0 seconds")
+    return arriving.groupBy("job_id").transformWithState(_JobTimer(ttl_seconds * 1000), JOB_TTL, "update", "eventTime")
 
 
 def stream_documents(spark: SparkSession, layout_path: str, known: Callable[[], DataFrame], analyze: Callable[[DataFrame], DataFrame],

@@ -122,6 +122,35 @@ def test_a_long_run_of_figures_keeps_every_figure_or_joins_it(spark):
     check_parts(rows, out, caption_like)
 
 
+def test_segments_of_long_runs_give_what_one_fold_gives(spark, monkeypatch):
+    """Runs without an end, over many pages: cut into segments, and folded as a whole."""
+    rng, rows = random.Random(5), []
+    for doc in range(40):
+        y = 50.0
+        for ri in range(120):
+            if ri % 7 == 0:
+                y = 50.0
+            role = rng.choice(["figure", "figure", "table", "caption", "caption", "paragraph"])
+            text = {"caption": "Figure 3. Shape {}.", "paragraph": rng.choice(["(a) part {}", "Source: office {}", "Figure 4. Form {}."])}.get(role, rng.choice(["", "", "", "(b) in {}"])).format(f"{doc}x{ri}")
+            h = rng.choice([12.0, 60.0])
+            rows.append(row(role, text, 50, y, 290, y + h, ri, page=ri // 7 + 1, doc=doc))
+            y += rng.choice([10.0, 14.0, 70.0])
+    df = table(spark, rows)
+    cols = ["doc_id", "page", "ri", "role", "text", "x0", "y0", "x1", "y1", "caption_text"]
+    cut = sorted(map(str, M.merge_figure_captions_linear(df).select(cols).collect()))
+    assert M.caption_segments(df).count() > 20 * M.caption_segments(df, cut=False).count() / 2
+    whole = M.caption_segments
+    monkeypatch.setattr(M, "caption_segments", lambda rows: whole(rows, cut=False))
+    assert sorted(map(str, M.merge_figure_captions_linear(df).select(cols).collect())) == cut
+
+
+def test_ten_thousand_figures_in_a_row_are_many_segments(spark):
+    rows = [row("figure", "", 50, 100 + 70 * (i % 9), 290, 160 + 70 * (i % 9), i, page=i // 9 + 1) for i in range(10_000)]
+    segments = M.caption_segments(table(spark, rows))
+    sizes = [r[0] for r in segments.selectExpr("size(arr)").collect()]
+    assert len(sizes) == 1112 and max(sizes) == 9 and sum(sizes) == 10_000
+
+
 def tables(spark, rows):
     return {r["ri"]: (r["role"], r["caption_text"], box(r)) for r in M.merge_tables_linear(table(spark, rows)).collect()}
 
@@ -162,3 +191,29 @@ def test_merge_groups(spark):
     out = replay_merge_groups(df).collect()
     assert [(r["doc_id"], r["group_id"], [x["key"] for x in r["members"]], r["result_role"]) for r in out] == [
         (1, "mg-1-block11-block12", ["block:1:2", "block:1:3", "image:1:4"], "figure")]
+
+
+def test_merge_groups_by_component_equal_whole_logs(spark, monkeypatch):
+    from folioframe.operators import edits as D
+
+    rng, log = random.Random(7), []
+    for doc in range(30):
+        for edit in range(rng.randint(1, 25)):
+            some = sorted(rng.sample(range(24), rng.randint(0, 4)))
+            op = rng.choice(["merge", "merge", "cut"])
+            members = [(f"block:{k // 6}:{k}", rng.choice(["block", "block", "image"]), k // 6, rng.choice([None, "table"])) for k in some[: 1 if op == "cut" else 4]]
+            log.append((doc, edit, op, members))
+    df = spark.createDataFrame(log, "doc_id long, edit_id long, op string, members array<struct<key:string,kind:string,page:int,role:string>>")
+    parts = D.edit_components(df)
+    assert parts.select("doc_id", "comp").distinct().count() > parts.select("doc_id").distinct().count()
+    by_part = sorted(map(str, D.replay_merge_groups(df).collect()))
+    monkeypatch.setattr(D, "edit_components", lambda log: log.selectExpr("*", "0 as comp"))
+    assert sorted(map(str, D.replay_merge_groups(df).collect())) == by_part and by_part
+
+
+def test_components(spark):
+    from folioframe.operators.components import components
+
+    chain = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 202), (None, 5)]
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 200, 201: 200, 202: 200}

@@ -180,3 +180,93 @@ def test_documents_stream_once(spark, fresh_dir):
     tables = {k: v.where("doc_id = 5") for k, v in layout.items() if k != "recognized_lines"}
     want = PA.analyze(tables, _info(spark, SF).where("doc_id = 5"), echo_client, wait=False)
     assert str(got.where("doc_id = 5").select("page_count", "linear_blocks").collect()) == str(want.select("page_count", "linear_blocks").collect())
+
+
+def test_store_replaces_and_appends_by_bucket(spark, fresh_dir):
+    import os
+
+    from folioframe.sources.store import MOST_VERSIONS, BucketStore
+
+    schema = "doc_id bigint, v string"
+    rows = lambda pairs: spark.createDataFrame(pairs, schema)
+    store = BucketStore(spark, f"{fresh_dir}/s", schema, buckets=4)
+    assert store.read().count() == 0 and store.touched(rows([])) == set()
+    store.replace(rows([(i, "a") for i in range(50)] + [(None, "n")]))
+    store.replace(rows([(3, "b"), (3, "c")]), keys=spark.createDataFrame([(4,)], "doc_id bigint"))
+    want = [(i, "a") for i in range(50) if i not in (3, 4)] + [(3, "b"), (3, "c")]
+    assert [tuple(r) for r in store.read().where("doc_id is not null").orderBy("doc_id", "v").collect()] == sorted(want)
+    for k in range(MOST_VERSIONS + 3):
+        store.append(rows([(7, f"k{k}")]), f"batch-{k}")
+        store.append(rows([(7, f"k{k}")]), f"batch-{k}")  # a repeat counts once
+    assert sorted(r["v"] for r in store.of_keys(rows([(7, "")])).collect()) == sorted(["a", *[f"k{k}" for k in range(MOST_VERSIONS + 3)]])
+    assert max(len(v) for v, _ in store.manifest().values()) <= MOST_VERSIONS
+    before = store.read().count()
+    store.vacuum()
+    assert store.read().count() == before and len(os.listdir(f"{fresh_dir}/s/manifest")) == 1
+    assert BucketStore(spark, f"{fresh_dir}/s", schema, buckets=99).buckets == 4
+    store.replace(rows([]), keys=spark.createDataFrame([(i,) for i in range(50)], "doc_id bigint"))
+    assert store.read().where("doc_id is not null").count() == 0
+
+
+def test_folders_do_not_grow_with_documents(spark, fresh_dir):
+    import os
+
+    def write(n, to):
+        catalog.write_analysis(spark.range(n).selectExpr("id as doc_id", "concat('d', id) as filename"), f"{fresh_dir}/{to}")
+        return sum(len(d) for _, d, _ in os.walk(f"{fresh_dir}/{to}/data"))
+
+    assert write(2000, "a") == write(400, "b") == 65
+    assert catalog.read_analysis(spark, f"{fresh_dir}/a").count() == 2000
+
+
+def test_saved_edits_are_appended_and_the_last_counts(spark, fresh_dir):
+    log = lambda rows: spark.createDataFrame(rows, "doc_id long, edited_at long, edit_id long, payload string")
+    catalog.save_edits(log([(1, 1, 1, "a"), (2, 1, 1, "b")]), f"{fresh_dir}/log")
+    catalog.save_edits(log([(1, 2, 2, "c")]), f"{fresh_dir}/log")
+    now = catalog.current_edits(spark.read.parquet(f"{fresh_dir}/log"))
+    assert sorted(tuple(r) for r in now.collect()) == [(1, "c"), (2, "b")]
+
+
+def test_a_document_waits_for_its_name(spark, fresh_dir):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 4")
+    sample_layout.layout_blocks(docs).write.parquet(f"{fresh_dir}/in")
+    schema, none = "doc_id long, filename string, content_type string", spark.createDataFrame([], "filename string")
+    rows = [(0, "a.pdf", "application/pdf"), (1, "b.txt", "text/plain"), (3, None, None)]
+    analyze = lambda blocks: blocks.groupBy("doc_id").count().selectExpr("doc_id", "'x' as filename", "cast(count as int) as page_count")
+
+    def run(rows):
+        SJ.stream_documents(spark, f"{fresh_dir}/in", lambda: none, analyze, f"{fresh_dir}/out", f"{fresh_dir}/cp", names=lambda: spark.createDataFrame(rows, schema)).awaitTermination()
+        return {r["doc_id"]: r["verdict"] for r in SJ.read_verdicts(spark, f"{fresh_dir}/out").collect()}
+
+    assert run(rows) == {0: "admitted", 1: "rejected", 2: "unnamed", 3: "unnamed"}
+    # No new file comes, only a name.
+    assert run([*rows, (2, "c.pdf", "application/pdf"), (2, "z.pdf", "text/plain")]) == {0: "admitted", 1: "rejected", 2: "admitted", 3: "unnamed"}
+    assert sorted(r[0] for r in catalog.read_analysis(spark, f"{fresh_dir}/out").select("doc_id").collect()) == [0, 2]
+
+
+def test_display_order_takes_two_scans(spark, monkeypatch):
+    from folioframe.operators import views
+
+    calls, scan = [], scans.doc_scan
+    monkeypatch.setattr(scans, "doc_scan", lambda *a, **k: calls.append(1) or scan(*a, **k))
+    rows = spark.createDataFrame([(1, 0, 1, 0, "paragraph", False)], "doc_id long, span int, page int, ri int, role string, continuation boolean")
+    assert views.sequence_floats(rows).count() == 1 and len(calls) == 2
+
+
+def test_long_chains_and_long_formulas_take_linear_time(spark):
+    import time
+
+    from folioframe.operators import explain as E
+
+    def took(n):
+        rows = spark.range(n).selectExpr("1L as doc_id", "0 as span", "1 as page", "cast(id as int) as ri", "1 as chain", "concat('words of part ', id, case when id % 3 = 0 then '-' else '.' end) as text",
+                                         "array(named_struct('text', concat('S ', id, '.'), 'boxes', array(named_struct('x0', 0D, 'y0', 0D, 'x1', 1D, 'y1', 1D)))) as sentences",
+                                         "cast(array() as array<struct<text:string>>) as footnotes")
+        begin = time.time()
+        out = E.merged_sentences(E.chain_payload(rows)).selectExpr("size(members)", "size(merged)", "length(text)", "members[1].offset").first()
+        math = spark.range(1).selectExpr(f"repeat('a $x$ \\\\$ b', {n}) as t").select(F.size(E.tokenize_math(F.col("t")))).first()[0]
+        assert out[0] == n and out[3] == 1 and math > n
+        return time.time() - begin
+
+    took(100)
+    assert took(20_000) < 30 * max(0.5, took(2_000))
