@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from checks import sqlkit as K
 from checks import whole_sql as WS
 from checks.flow_checks import (
-    _PIN, _SENTS, BOX, CHAINS, GLUED, LINEAR_FLOW, MERGED, PLAIN, _recursive, chained, linear_flow, plain_linear, plain_pages)
+    _PIN, _SENTS, BOX, CHAINS, GLUED, LINEAR_FLOW, MERGED, PLAIN, _caption_fold, _caption_rows, _recursive, chained, linear_flow, plain_linear, plain_pages)
 from checks.registry import bronze, check, shared, table
-from checks.text_checks import significant_sql
+from checks.text_checks import _B36, _text_hash, significant_sql
 from folioframe.functions import text as T
 from folioframe.operators import edits as D
 from folioframe.operators import explain as E
 from folioframe.operators import jobs as J
+from folioframe.operators import merges as M
 from folioframe.plans import analyze as PA
 from folioframe.plans import explain as PE
 from folioframe.plans import extract as X
@@ -506,6 +507,21 @@ def explained_chains(spark, sf_dir):
     return cards.select("doc_id", "chain", "slot", "item", "quote", "is_placeholder")
 
 
+_BOX_TEXT = " || ',' || ".join(f"regexp_replace({b}::varchar, '\\.0$', '')" for b in BOX)
+_VISUAL = _caption_rows("pl", False)
+_NUMBERED = f"""select v.*, d.lang, 'explain:v3:' || coalesce(d.lang, 'es') || ':doc' || v.doc_id || '.pdf:' head, v."role" || ':' || v.page || ':' || {_BOX_TEXT} tag from ({_VISUAL}) v join documents d using (doc_id) where v."role" in ('figure','table')"""
+
+
+@check("visual_requests", _recursive(K.sql(f"""select doc_id, page, "role", x0, y0, x1, y1, caption_text caption, head || case when ltrim(b, '0') = '' then '0' else ltrim(b, '0') end as "key",
+   'Map:' || chr(10) || '{{}}' || chr(10) || chr(10) || 'Kind:' || chr(10) || "role" || chr(10) || chr(10) || 'Caption:' || chr(10) || case when {K.strip('caption_text')} <> '' then {K.strip('caption_text')} else '(none)' end
+     || chr(10) || chr(10) || 'Language of all values but verbatim quotes: ' || case coalesce(lang, 'es') when 'es' then 'Spanish' else 'English' end || '.' prompt
+   from (select *, {_B36} b from (select *, {_text_hash('tag')} h from ({_NUMBERED})))""", PLAIN, *_caption_fold(False))))
+def visual_requests(spark, sf_dir):
+    """Requests for all figures and tables, with the captions they have taken."""
+    rows = M.merge_figure_captions_linear(plain_linear(spark, sf_dir))
+    return PE.visual_requests(rows, _info(spark, sf_dir).withColumn("map_json", F.lit("{}")))
+
+
 def closed_client():
     """A model that must not be asked."""
     def ask(prompt):

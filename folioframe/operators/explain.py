@@ -254,6 +254,12 @@ def concept_prompt(map_json, texts, selected, labels=("Map:", "Context:", "Selec
     )
 
 
+def visual_prompt(map_json, role, caption, labels=("Map:", "Kind:", "Caption:"), no_caption="(none)") -> F.Column:
+    """What goes with the picture of a figure, table or algorithm."""
+    said = F.when(T.strip(caption) != "", T.strip(caption)).otherwise(no_caption)
+    return F.concat(F.lit(labels[0] + "\n"), map_json, F.lit(f"\n\n{labels[1]}\n"), role, F.lit(f"\n\n{labels[2]}\n"), said)
+
+
 def _whole(value, kind) -> F.Column:
     """Whether a parsed value has every field of its type, in every element."""
     if isinstance(kind, types.StructType):

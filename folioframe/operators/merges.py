@@ -47,7 +47,8 @@ def _apply(rows: DataFrame, picks: DataFrame, texts: DataFrame | None, fields: l
     parts = took.groupBy("doc_id", F.col("ospan").alias("span"), F.col("opage").alias("page"), F.col("owner").alias("ri")).agg(
         F.array_sort(F.collect_list("part")).alias("parts"))
     gone = picks.where("ri != owner or page != opage").select(*ROW_KEY)
-    out = rows.join(gone, ROW_KEY, "left_anti").join(parts, ROW_KEY, "left")
+    # ``own_ri``: the number of the owner, also where ``ri`` is filled anew.
+    out = rows.join(gone, ROW_KEY, "left_anti").join(parts, ROW_KEY, "left").withColumn("own_ri", F.col("ri"))
     filled = lambda c: F.when(F.col("parts").isNotNull(), fill[c]).otherwise(F.col(c)).alias(c) if c in fill else F.col(c)
     return out.select(*[filled(c) for c in rows.columns])
 
@@ -344,7 +345,7 @@ def merge_tables_linear(rows: DataFrame, texts: DataFrame | None = None) -> Data
     page = Window.partitionBy(*PAGE_KEY)
     some = slim.withColumn("matters", F.max("tab").over(page) & F.max(F.col("label") | F.col("note")).over(page)).where("matters").drop("matters")
     picks = gather(some, PAGE_KEY).select(*PAGE_KEY, F.inline(_table_fold(F.col("arr")))).withColumns({"ospan": F.col("span"), "opage": F.col("page")})
-    others = F.filter("parts", lambda p: p["ri"] != F.col("ri"))
+    others = F.filter("parts", lambda p: p["ri"] != F.col("own_ri"))
     whole = G.union_bbox(_as_boxes(F.col("parts")))
     return _apply(rows, picks, texts, ["n", "ri", *G.Box._fields, "text"], {
         "ri": F.get("parts", F.lit(0))["ri"],

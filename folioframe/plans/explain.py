@@ -26,6 +26,26 @@ def requests(chains: DataFrame, info: DataFrame) -> DataFrame:
         F.concat(E.explain_prompt(F.col("map_json"), texts, F.col("footnotes")), E.language_rule(F.col("language"))).alias("prompt"))
 
 
+VISUAL = ("figure", "table", "algorithm")
+
+
+def visual_requests(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """One request per figure, table or algorithm: page and box say what to crop from the page, which is left to the caller.
+
+    ``rows``: doc_id, page, role, box, caption_text, of either projection; or merged groups, by ``group_rows``.
+    """
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    return rows.where(F.col("role").isin(*VISUAL)).join(info, "doc_id").select(
+        "doc_id", "page", "role", *box, F.col("caption_text").alias("caption"),
+        E.explain_cache_key(F.col("filename"), F.col("caption_text"), F.col("language"), F.col("role"), F.col("page"), box).alias("key"),
+        F.concat(E.visual_prompt(F.col("map_json"), F.col("role"), F.col("caption_text")), E.language_rule(F.col("language"))).alias("prompt"))
+
+
+def group_rows(groups: DataFrame) -> DataFrame:
+    """Merged groups, as ``edits.merge_group_members`` resolves them, in the form of rows: their text is the caption of a visual group."""
+    return groups.select("doc_id", "page", F.col("result_role").alias("role"), "x0", "y0", "x1", "y1", F.col("text").alias("caption_text"))
+
+
 def cards(answered: DataFrame) -> DataFrame:
     """Answers laid out over the sentences: rows need doc_id, chain, texts and ``parsed``."""
     items = answered.where("parsed is not null").select(
