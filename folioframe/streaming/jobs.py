@@ -1,7 +1,6 @@
 """Job progress and arriving documents as streams."""
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +44,14 @@ def keep_job_states(states: DataFrame, path: str, checkpoint: str, schema: str =
 
 
 class _JobTimer(StatefulProcessor):
-    """First terminal and latest event of a job, and a timer that forgets a finished job."""
+    """First terminal and latest event of a job (times in microseconds), and a timer that forgets a finished job."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        place = "at timestamp, event_id bigint, phase string"
+        place = "at bigint, event_id bigint, phase string"
         self.ended, self.latest = handle.getValueState("ended", place), handle.getValueState("latest", place)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
@@ -60,7 +59,7 @@ class _JobTimer(StatefulProcessor):
         end, now = end and tuple(end), now and tuple(now)
         before = end
         for r in rows:
-            e = (r["ts"], r["event_id"], r["phase"])
+            e = (r["at"], r["event_id"], r["phase"])
             now = e if now is None or e[:2] > now[:2] else now
             if e[2] in TERMINAL and (end is None or e[:2] < end[:2]):
                 end = e
@@ -69,17 +68,16 @@ class _JobTimer(StatefulProcessor):
             self.ended.update(end)
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            finished = int(end[0].replace(tzinfo=timezone.utc).timestamp() * 1000)
-            self.handle.registerTimer(max(finished + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(end[0] // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
         phase = (end or now)[2]
-        yield Row(job_id=key[0], phase=phase, status=phase if phase in (*TERMINAL, QUEUED) else "running", finished_at=end and end[0])
+        yield Row(job_id=key[0], phase=phase, status=phase if phase in (*TERMINAL, QUEUED) else "running", at=end and end[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.ended.exists():
             at, _, phase = tuple(self.ended.get())
             self.ended.clear()
             self.latest.clear()
-            yield Row(job_id=key[0], phase=phase, status="expired", finished_at=at)
+            yield Row(job_id=key[0], phase=phase, status="expired", at=at)
 
     def close(self) -> None:
         pass
@@ -93,8 +91,9 @@ def stream_job_ttl(events: DataFrame, ttl_seconds: int = V.JOB_TTL_SECONDS) -> D
     batch brings; the state store is RocksDB, which ``session.tune`` sets.
     """
     tune(events.sparkSession)
-    arriving = events.select("job_id", "event_id", "ts", "phase", F.current_timestamp().alias("seen")).withWatermark("seen", "0 seconds")
-    return arriving.groupBy("job_id").transformWithState(_JobTimer(ttl_seconds * 1000), JOB_TTL, "update", "eventTime")
+    arriving = events.select("job_id", "event_id", F.unix_micros("ts").alias("at"), "phase", F.current_timestamp().alias("seen")).withWatermark("seen", "0 seconds")
+    out = arriving.groupBy("job_id").transformWithState(_JobTimer(ttl_seconds * 1000), "job_id bigint, phase string, status string, at bigint", "update", "eventTime")
+    return out.select("job_id", "phase", "status", F.timestamp_micros("at").alias("finished_at"))
 
 
 def stream_documents(spark: SparkSession, layout_path: str, known: Callable[[], DataFrame], analyze: Callable[[DataFrame], DataFrame],
