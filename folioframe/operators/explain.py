@@ -54,7 +54,8 @@ def merged_sentences(payloads: DataFrame) -> DataFrame:
     # Which sentences open a member after the first.
     edges = F.flatten(F.transform("members", lambda m, i: F.when(m["n"] > 0, F.concat(
         F.array(i > 0), F.array_repeat(F.lit(False), m["n"] - 1))).otherwise(_empty("array<boolean>"))))
-    starts = F.filter(every, lambda k: (k == 0) | ~F.get("edges", k) | ~T.is_split_boundary(text(k - 1), text(k)))
+    # Bound once: inside the lambda it would be made anew for every sentence.
+    starts = let(edges, lambda e: F.filter(every, lambda k: (k == 0) | ~F.get(e, k) | ~T.is_split_boundary(text(k - 1), text(k))))
     runs = F.transform("starts", lambda s, i: F.sequence(s, F.coalesce(F.get("starts", i + 1), F.size("sentences")) - 1))
 
     def join(run):
@@ -64,8 +65,8 @@ def merged_sentences(payloads: DataFrame) -> DataFrame:
             whole.alias("text"), F.flatten(F.transform(halves, lambda s: s["boxes"])).alias("boxes")))
 
     return (
-        payloads.withColumn("edges", edges).withColumn("starts", starts).withColumn("merged_to_orig", runs)
-        .withColumn("merged", F.transform("merged_to_orig", join)).drop("starts", "edges")
+        payloads.withColumn("starts", starts).withColumn("merged_to_orig", runs)
+        .withColumn("merged", F.transform("merged_to_orig", join)).drop("starts")
     )
 
 
