@@ -170,9 +170,9 @@ def distinct_concepts(spark, sf_dir):
 
 @check("cached_and_open_requests", """select conv_id, turn, text in (select text from conversations where turn = 0) cached from conversations""")
 def cached_and_open_requests(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", E.explain_cache_key(F.lit("f"), F.col("text"), F.lit("en")).alias("key"))
-    cache = t.where("turn = 0").select("key").distinct()
-    hit, todo = E.cache_lookup(t, cache)
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", E.explain_cache_key(F.lit("f"), F.col("text"), F.lit("en")).alias("key"))
+    cache = t.where("turn = 0").select("key", "text").distinct()
+    hit, todo = E.cache_lookup(t, cache, ("text",))
     return hit.select("conv_id", "turn", F.lit(True).alias("cached")).unionByName(todo.select("conv_id", "turn", F.lit(False).alias("cached")))
 
 

@@ -292,9 +292,14 @@ def parse_model_json(rows: DataFrame, schema: str, body="body", finish="finish")
     return read.withColumn("parsed", F.when(F.col("error").isNull(), F.col("parsed")))
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(answered with the stored response, still to compute); keys are unique in the cache."""
-    return requests.join(cache, "key"), requests.join(cache, "key", "left_anti")
+def cache_lookup(requests: DataFrame, cache: DataFrame, also: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """(answered with the stored response, still to compute); keys are unique in the cache.
+
+    A key holds 32 bits of its text, so among many requests different texts share one. ``also`` names columns of both sides, such as
+    the text, that must agree too; key and these together are unique in the cache then.
+    """
+    on = ["key", *also]
+    return requests.join(cache, on), requests.join(cache, on, "left_anti")
 
 
 def score_requests(requests: DataFrame, client_factory: Callable, attempts: int = V.MAX_ATTEMPTS, wait: bool = True, parallel: int = 8, tasks: int | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """Answers of a model: strict parsing, requests that fail, and counts that do not depend on partitions."""
 
-from checks.answer_checks import closed_client, echo_client
+from pyspark.sql import functions as F
+
+from checks.answer_checks import cached_and_open_requests, closed_client, echo_client
 from folioframe import schemas
 from folioframe.operators import explain as E
 from folioframe.plans import explain as PE
@@ -51,3 +53,19 @@ def test_only_good_answers_are_stored_and_the_others_asked_again(spark, fresh_di
     # What an older run stored is asked again too.
     spark.createDataFrame([("k1", "{", "STOP")], PE.ANSWER).write.parquet(f"{fresh_dir}/old")
     assert keys(PE.answers(asked.where("key = 'k1'"), f"{fresh_dir}/old", echo_client, wait=False)) == ["k1"]
+
+
+def test_texts_that_share_a_key_are_told_apart(spark):
+    """The hash in a key has 32 bits: "aaB" and "aba" have the same one."""
+    key = lambda c: E.explain_cache_key(F.lit("f"), F.col(c), F.lit("en"))
+    asked = spark.createDataFrame([("aaB",), ("aba",), ("abc",)], "text string").withColumn("key", key("text"))
+    assert asked.select("key").distinct().count() == 2
+    hit, todo = E.cache_lookup(asked, asked.where("text = 'aaB'"), ("text",))
+    assert [r["text"] for r in hit.collect()] == ["aaB"] and sorted(r["text"] for r in todo.collect()) == ["aba", "abc"]
+
+
+def test_cached_requests_compare_texts(spark, fresh_dir):
+    rows = [(1, 0, "aaB"), (1, 1, "aba"), (2, 1, "aaB"), (2, 2, "abc")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{fresh_dir}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["cached"] for r in cached_and_open_requests(spark, fresh_dir).collect()}
+    assert got == {(1, 0): True, (1, 1): False, (2, 1): True, (2, 2): False}
