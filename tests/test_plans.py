@@ -270,3 +270,24 @@ def test_long_chains_and_long_formulas_take_linear_time(spark):
 
     took(100)
     assert took(20_000) < 30 * max(0.5, took(2_000))
+
+
+def test_a_document_of_removed_blocks_alone_has_no_verdict(spark, fresh_dir):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 3")
+    layout = sample_layout.layout_blocks(docs)
+    gone = (F.col("doc_id") == 1) | ((F.col("doc_id") == 2) & (F.col("page") == 1))
+    marked = layout.withColumn("removed", F.when(gone, True).otherwise(F.col("removed")))
+    analyze = lambda blocks: blocks.groupBy("doc_id").count().selectExpr("doc_id", "'x' as filename", "cast(count as int) as page_count")
+
+    def run():
+        SJ.stream_documents(spark, f"{fresh_dir}/in", lambda: spark.createDataFrame([], "filename string"), analyze, f"{fresh_dir}/out", f"{fresh_dir}/cp").awaitTermination()
+        return {r["doc_id"]: r["verdict"] for r in SJ.read_verdicts(spark, f"{fresh_dir}/out").collect()}
+
+    marked.where("page = 1").write.parquet(f"{fresh_dir}/in")
+    assert run() == {0: "admitted"}
+    # What comes later is analysed with all that came before.
+    more = marked.where("doc_id = 2 and page = 1").withColumns({"page": F.lit(99), "removed": F.lit(False)})
+    more.write.mode("append").parquet(f"{fresh_dir}/in")
+    assert run() == {0: "admitted", 2: "admitted"}
+    counts = {r["doc_id"]: r["page_count"] for r in catalog.read_analysis(spark, f"{fresh_dir}/out").collect()}
+    assert counts[2] == marked.where("doc_id = 2 and page = 1").count() * 2
