@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import sqlkit as K
 from checks import whole_sql as WS
 from checks.flow_checks import (
-    _PIN, _SENTS, BOX, CHAINS, GLUED, LINEAR_FLOW, MERGED, PLAIN, _caption_fold, _caption_rows, _recursive, chained, linear_flow, plain_linear, plain_pages)
+    _PIN, _SENTS, BOX, CHAINS, GLUED, LINEAR_FLOW, MERGED, PLAIN, _caption_fold, _caption_rows, _recursive, chained_rows, flowed_pages, linear_flow, plain_linear, plain_pages, whole_rows)
 from checks.registry import bronze, check, shared, table
 from checks.text_checks import _B36, _text_hash, significant_sql
 from folioframe.functions import text as T
@@ -29,7 +29,7 @@ from folioframe.sources import catalog
 def sample_answers(spark, sf_dir):
     """Answers derived from the merged sentences of each chain: one item per sentence, quoting the middle of a
     sentence that is not always the one declared, sometimes hyphenated, sometimes paraphrased."""
-    chains = E.merged_sentences(E.chain_payload(chained(spark, sf_dir)))
+    chains = E.merged_sentences(E.chain_payload(chained_rows(spark, sf_dir)))
     d, n = F.col("doc_id"), F.size("texts")
     rows = settle(chains.select("doc_id", "chain", F.transform("merged", lambda s: s["text"]).alias("texts"))).where(n > 0)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
@@ -103,7 +103,7 @@ def aligned_explanations(spark, sf_dir):
                                   PLAIN, *_SENTS, LINEAR_FLOW, CHAINS, MERGED))
 def indices_to_blocks(spark, sf_dir):
     """Every merged sentence, back to the sentences of each member block."""
-    p = E.merged_sentences(E.chain_payload(chained(spark, sf_dir)))
+    p = E.merged_sentences(E.chain_payload(chained_rows(spark, sf_dir)))
     every = F.transform("merged", lambda s, i: i)
     p = settle(p.select("doc_id", "chain", E.merged_to_original(every, F.col("merged_to_orig")).alias("idx"), F.explode("members").alias("m")))
     own = E.localize(F.col("idx"), F.col("m.offset"), F.col("m.n"))
@@ -224,12 +224,6 @@ _OV = """
 ovk as (select doc_id, page, ri, kind, x0, y0, x1, y1, ri n, case when ri = 1 then 'ignored' end nrole, ri = 2 nocont, ri = 3 pin from pflow where (doc_id+page) % 6 = 0 and ri in (1,2,3)),
 ovb as (select doc_id, page, page n, x0, y0, x1, y1, 'footnote' nrole from pflow where (doc_id+page) % 6 = 1 and ri = 0)"""
 from checks.flow_checks import PAGE_FLOW  # noqa: E402
-from folioframe.operators import continuation as C  # noqa: E402
-
-
-@shared
-def flowed_pages(spark, sf_dir):
-    return settle(C.continuation_pages(plain_pages(spark, sf_dir)))
 
 
 @check("overrides_on_pages", K.sql("""select p.doc_id, p.page, p.ri, coalesce(o.nrole, p."role") "role", p.continuation and not (p.kind = 'block' and coalesce(o.nocont, false)) continuation, not coalesce(o.pin, false) allow_merges
@@ -500,7 +494,7 @@ _CARD_ROWS = K.sql("""select doc_id, chain, m::int slot, m::int item, text quote
 
 @check("explained_chains", _CARD_ROWS)
 def explained_chains(spark, sf_dir):
-    rows = linear_flow(spark, sf_dir)
+    rows = whole_rows(spark, sf_dir, linear_flow(spark, sf_dir))
     info = _info(spark, sf_dir).withColumn("map_json", F.lit("{}"))
     cache = spark.createDataFrame([], "key string, body string, finish string")
     cards = PE.explain(rows, info, cache, echo_client, wait=False)
@@ -532,7 +526,7 @@ def closed_client():
 @check("cached_answers", _CARD_ROWS)
 def cached_answers(spark, sf_dir):
     """Cards of a second run: every answer comes from the store that the first run filled."""
-    rows, info = linear_flow(spark, sf_dir), _info(spark, sf_dir).withColumn("map_json", F.lit("{}"))
+    rows, info = whole_rows(spark, sf_dir, linear_flow(spark, sf_dir)), _info(spark, sf_dir).withColumn("map_json", F.lit("{}"))
     store = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
     PE.explain(rows, info, store, echo_client, wait=False)
     cards = PE.explain(rows, info, store, closed_client, wait=False)

@@ -27,7 +27,7 @@ BOX = ["x0", "y0", "x1", "y1"]
 @shared
 def plain_linear(spark, sf_dir):
     """Linear rows of every block but dropped types: no filters, first header of a document as title."""
-    b = O.reading_order(blocks(spark, sf_dir)).where(~F.col("block_type").isin(V.DROP_TYPES))
+    b = O.reading_order(scans.by_span(blocks(spark, sf_dir))).where(~F.col("block_type").isin(V.DROP_TYPES))
     header, image = F.col("block_type") == "SectionHeader", F.col("block_type").isin(V.IMAGE_TYPES)
     b = scans.dense_index(b, ["page", "ord"], "ri")
     role = F.when(header, F.when(F.col("ri") == 0, "title").otherwise("section_header")).when(
@@ -41,7 +41,7 @@ def plain_linear(spark, sf_dir):
 
 def page_rows_of(b):
     """Page rows of every block but dropped types and headers."""
-    b = O.reading_order(b).where(~F.col("block_type").isin("SectionHeader", *V.DROP_TYPES))
+    b = O.reading_order(scans.by_span(b)).where(~F.col("block_type").isin("SectionHeader", *V.DROP_TYPES))
     image = F.col("block_type").isin(V.IMAGE_TYPES)
     return b.select(
         "doc_id", "span", "page", (F.row_number().over(O.page_window().orderBy("ord")) - 1).alias("ri"),
@@ -56,6 +56,15 @@ def plain_pages(spark, sf_dir):
     return settle(page_rows_of(blocks(spark, sf_dir)))
 
 
+FAT = ["sentences", "footnotes", "caption_text", "caption_bbox"]
+
+
+@shared
+def flowed_pages(spark, sf_dir):
+    """Page rows with their continuation, without sentences: what needs none of them neither makes nor carries any."""
+    return settle(C.continuation_pages(scans.by_span(page_rows_of(blocks(spark, sf_dir)).drop(*FAT))))
+
+
 PLAIN = f"""
 pl0 as (select *, (row_number() over (partition by doc_id order by page, ord) - 1)::int ri from ordered where block_type not in {K.DROPS}),
 pl as (select doc_id, page, seq, ri, case when block_type = 'SectionHeader' then case when ri = 0 then 'title' else 'section_header' end
@@ -268,7 +277,15 @@ _SENTS = (sentences_sql("(select doc_id, page, seq, text from pl where talks)"),
 
 @shared
 def linear_flow(spark, sf_dir):
-    return settle(C.continuation_linear(C.with_layout_type(plain_linear(spark, sf_dir))))
+    """Linear rows with their continuation, without sentences; ``whole_rows`` has these."""
+    slim = plain_linear(spark, sf_dir).withColumn("lh", F.when(F.col("role") == "paragraph", C.sentence_line_height()).otherwise(0.0)).drop(*FAT)
+    return settle(C.continuation_linear(C.with_layout_type(scans.by_span(slim))))
+
+
+def whole_rows(spark, sf_dir, marks):
+    """The linear rows with all their columns, as marked in ``marks``."""
+    whole = plain_linear(spark, sf_dir)
+    return whole.drop("continuation").join(marks.select(*M.ROW_KEY, *[c for c in marks.columns if c == "continuation" or c not in whole.columns]), M.ROW_KEY)
 
 
 @check("continuation_linear", K.sql("select doc_id, page, ri, lt layout_type, continuation from lflow", PLAIN, *_SENTS, LINEAR_FLOW))
@@ -289,7 +306,7 @@ pflow as (select pp.*, coalesce(cont, false) continuation from pp left join pc u
 
 @check("continuation_pages", K.sql("select doc_id, page, ri, continuation from pflow", PLAIN, PAGE_FLOW))
 def continuation_pages(spark, sf_dir):
-    return C.continuation_pages(plain_pages(spark, sf_dir)).select(*_key("continuation"))
+    return flowed_pages(spark, sf_dir).select(*_key("continuation"))
 
 
 def _bridge(source, parts):
@@ -326,12 +343,12 @@ glued as (select doc_id, gid, list_reduce(list(text order by page, ri), lambda a
 
 @check("glued_paragraphs", K.sql("select doc_id, gid, text from glued", PLAIN, PAGE_FLOW, GLUED))
 def glued_paragraphs(spark, sf_dir):
-    return C.glued_paragraphs(settle(C.continuation_pages(plain_pages(spark, sf_dir)).where("kind = 'block'")))
+    return C.glued_paragraphs(flowed_pages(spark, sf_dir).where("kind = 'block'"))
 
 
 @check("full_texts", K.sql("select doc_id, string_agg(text, chr(10) || chr(10) order by gid) full_text from glued group by all", PLAIN, PAGE_FLOW, GLUED))
 def full_texts(spark, sf_dir):
-    return C.full_text(settle(C.continuation_pages(plain_pages(spark, sf_dir)).where("kind = 'block'")))
+    return C.full_text(flowed_pages(spark, sf_dir).where("kind = 'block'"))
 
 
 _WALKED_PAGES = f"""pp as (select doc_id, page, seq, p_ri ri, p_kind kind, p_role "role", text, x0, y0, x1, y1, min(x0) over (partition by doc_id, page) lo, max(x1) over (partition by doc_id, page) hi
@@ -340,8 +357,8 @@ _WALKED_PAGES = f"""pp as (select doc_id, page, seq, p_ri ri, p_kind kind, p_rol
 
 def clean_documents(bronze_tables):
     """Clean text of every document: walk, continuation, glue; no merges."""
-    rows = settle(C.continuation_pages(settle(X.extract_pages(bronze_tables))).where("kind = 'block'"))
-    return C.full_text(rows)
+    rows = settle(X.extract_pages(bronze_tables).drop(*FAT))
+    return C.full_text(settle(C.continuation_pages(scans.by_span(rows)).where("kind = 'block'").select("doc_id", "span", "page", "ri", "text", "continuation")))
 
 
 @check("clean_documents", K.sql("select doc_id, string_agg(text, chr(10) || chr(10) order by gid) full_text from glued group by all", CONTEXT, WALK, _WALKED_PAGES, PAGE_FLOW, GLUED))
@@ -363,7 +380,11 @@ ch as (select *, case when para or (eq and opn) then c::int end chain from ch2)"
 def chained(spark, sf_dir):
     rows = linear_flow(spark, sf_dir).withColumns({
         "injected": F.lit(False), "allow_merges": (F.col("doc_id") + F.col("ri")) % 23 != 0})
-    return settle(C.chain_ids(rows))
+    return settle(C.chain_ids(rows.select("doc_id", "span", "page", "ri", "role", "continuation", "injected", "allow_merges")))
+
+
+def chained_rows(spark, sf_dir):
+    return whole_rows(spark, sf_dir, chained(spark, sf_dir))
 
 
 @check("chain_ids", K.sql("select doc_id, page, ri, chain from ch", PLAIN, *_SENTS, LINEAR_FLOW, CHAINS))
@@ -380,7 +401,7 @@ pay as (select doc_id, chain, list_reduce(list(text order by ri), lambda a, b: {
 
 @check("chain_payloads", K.sql("select doc_id, chain, page, ri, text, members::int members, sentences::int sentences, offsets from pay", PLAIN, *_SENTS, LINEAR_FLOW, CHAINS, PAYLOAD))
 def chain_payloads(spark, sf_dir):
-    p = E.chain_payload(chained(spark, sf_dir))
+    p = E.chain_payload(chained_rows(spark, sf_dir))
     offsets = F.array_join(F.transform("members", lambda m: m["offset"].cast("string")), ",")
     return p.select("doc_id", "chain", "page", "ri", "text", F.size("members").alias("members"), F.size("sentences").alias("sentences"), offsets.alias("offsets"))
 
@@ -397,7 +418,7 @@ ms as (select *, (sum(fresh::int) over (partition by doc_id, chain order by idx)
 @check("merged_sentences", K.sql(f"select doc_id, chain, m, case when count(*) = 1 then min(text) else {K.norm('string_agg(text, chr(32) order by idx)')} end text, string_agg(idx::varchar, ',' order by idx) orig from ms group by doc_id, chain, m",
                                  PLAIN, *_SENTS, LINEAR_FLOW, CHAINS, MERGED))
 def merged_sentences(spark, sf_dir):
-    p = E.merged_sentences(E.chain_payload(chained(spark, sf_dir)))
+    p = E.merged_sentences(E.chain_payload(chained_rows(spark, sf_dir)))
     both = F.arrays_zip("merged", "merged_to_orig")
     return p.select("doc_id", "chain", F.posexplode(both).alias("m", "x")).select(
         "doc_id", "chain", "m", F.col("x.merged.text").alias("text"), F.array_join(F.transform("x.merged_to_orig", lambda k: k.cast("string")), ",").alias("orig"))
@@ -405,7 +426,7 @@ def merged_sentences(spark, sf_dir):
 
 @check("sentence_merge_groups", K.sql("select doc_id, chain, idx k, m from ms", PLAIN, *_SENTS, LINEAR_FLOW, CHAINS, MERGED))
 def sentence_merge_groups(spark, sf_dir):
-    p = E.chain_payload(chained(spark, sf_dir))
+    p = E.chain_payload(chained_rows(spark, sf_dir))
     flat = p.select("doc_id", "chain", "boundaries", F.posexplode("sentences").alias("k", "s")).select(
         "doc_id", "chain", "k", "s.text", F.array_contains("boundaries", F.col("k")).alias("at_boundary"))
     return E.sentence_merge_groups(flat).select("doc_id", "chain", "k", "m")
@@ -415,7 +436,7 @@ def sentence_merge_groups(spark, sf_dir):
    from (select ch.*, pay.text ctext from ch join pay using (doc_id, chain)) group by doc_id, ctext
    union all select doc_id, ri, 'figure', '', ri::varchar from pl where "role" in ('figure','table')""", PLAIN, *_SENTS, LINEAR_FLOW, CHAINS, PAYLOAD))
 def chain_members(spark, sf_dir):
-    rows = chained(spark, sf_dir)
+    rows = chained_rows(spark, sf_dir)
     out = VW.chain_members(rows, E.chain_payload(rows))
     return out.withColumn("members", F.array_join(F.transform("members", lambda i: i.cast("string")), ","))
 

@@ -1,6 +1,7 @@
 """Registered queries and the SQL each must agree with."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioframe.session import settle, tune
 from folioframe.sources import sample_layout
@@ -42,10 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TASK_BYTES = 16 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents spread over all cores, however few files they come in."""
+    """Documents spread over all cores, however few files they come in, and over as many tasks as their texts need: some 16 MB each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "doc_id")
 
 
 @shared

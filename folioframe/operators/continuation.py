@@ -122,10 +122,10 @@ def sentence_line_height(sentences="sentences") -> F.Column:
 
 
 def continuation_linear(rows: DataFrame) -> DataFrame:
-    """Set ``continuation`` of linear paragraphs; rows need ``layout_type``, ``min_x0`` and ``max_x1``."""
-    rows = rows.withColumn("is_para", F.col("role") == "paragraph").withColumn(
-        "lh", F.when(F.col("is_para"), sentence_line_height()).otherwise(0.0)
-    )
+    """Set ``continuation`` of linear paragraphs; rows need ``layout_type``, ``min_x0`` and ``max_x1``, and sentences or ``lh``, the line height of paragraphs."""
+    rows = rows.withColumn("is_para", F.col("role") == "paragraph")
+    if "lh" not in rows.columns:
+        rows = rows.withColumn("lh", F.when(F.col("is_para"), sentence_line_height()).otherwise(0.0))
     rows = _covered_between(rows, F.lit(True))
     rows = scans.doc_scan(rows, ORDER, prev=("last", _previous({
         "layout_type": F.col("layout_type"), "note": T.is_table_note("role", "text")})))

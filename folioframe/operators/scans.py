@@ -12,6 +12,11 @@ SPAN = ["doc_id", "span"]
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def by_span(df: DataFrame) -> DataFrame:
+    """Deal rows out by ``(doc_id, span)``, ahead of page windows: these, the scans and the joins by row that follow need no other exchange."""
+    return df.repartition(*SPAN)
+
+
 def doc_scan(df: DataFrame, order: list, inclusive: bool = False, **specs) -> DataFrame:
     """Add running values and totals of a document; ``order`` must ascend with the page.
 

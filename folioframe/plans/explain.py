@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from folioframe import schemas
 from folioframe.operators import explain as E
 from folioframe.operators.continuation import chain_ids
+from folioframe.operators.merges import ROW_KEY
 from folioframe.session import settle
 
 
 def payloads(linear: DataFrame) -> DataFrame:
     """Payloads of all chains of a corpus."""
     rows = linear.withColumns({"injected": F.lit(False), "allow_merges": F.lit(True)}) if "injected" not in linear.columns else linear
-    return E.merged_sentences(E.chain_payload(chain_ids(settle(rows))))
+    # Chains follow from slim columns; whole rows move only once, to their chains.
+    slim = settle(rows.select(*ROW_KEY, "role", "continuation", "injected", "allow_merges"))
+    chains = chain_ids(slim).where("chain is not null").select(*ROW_KEY, "chain")
+    return E.merged_sentences(E.chain_payload(rows.join(chains, ROW_KEY)))
 
 
 def requests(chains: DataFrame, info: DataFrame) -> DataFrame:

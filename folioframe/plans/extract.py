@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.operators import continuation as C
 from folioframe.operators import merges as M
 from folioframe.operators import metadata as D
+from folioframe.operators import scans
 from folioframe.operators import walk as W
 from folioframe.session import settle, tune
 from folioframe.sources.layout import read_layout
@@ -44,21 +45,22 @@ def finish_pages(rows: DataFrame, icons: bool = True, texts: DataFrame | None =
     rows = M.merge_algorithms(M.merge_captions_and_notes_pages(rows, texts), pages=True)
     if icons:
         rows = M.drop_decorative_icons(rows)
-    return C.bridge_display_math(C.continuation_pages(settle(rows)), "kind")
+    return C.bridge_display_math(C.continuation_pages(scans.by_span(settle(rows))), "kind")
 
 
 def finish_linear(rows: DataFrame, tables_again: bool = True, texts: DataFrame | None = None) -> DataFrame:
     """``tables_again`` = False runs the table merge once, as the single-projection helper does. ``texts`` as for ``finish_pages``."""
-    rows = settle(M.merge_tables_linear(rows.drop("ord"), texts))
+    rows = scans.by_span(settle(M.merge_tables_linear(rows.drop("ord"), texts)))
     rows = M.merge_algorithms(M.merge_figure_captions_linear(rows), pages=False)
     if tables_again:
         rows = M.merge_tables_linear(settle(rows))
     rows = C.authors_after_title(settle(M.drop_decorative_icons(rows)))
-    rows = C.continuation_linear(settle(C.with_layout_type(rows)))
+    rows = C.continuation_linear(scans.by_span(settle(C.with_layout_type(rows))))
     return C.clip_overlaps(C.bridge_display_math(rows)).drop("shelf", "min_x0", "max_x1")
 
 
 def _projections(w: DataFrame) -> tuple[DataFrame, DataFrame]:
+    w = scans.by_span(w)
     return settle(finish_pages(W.page_rows(w), texts=W.page_rows(w, bare=True))), settle(finish_linear(W.linear_rows(w), texts=W.linear_rows(w, bare=True)))
 
 

@@ -1,5 +1,7 @@
 """Session settings the jobs rely on, and the one place where lineage is cut."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -32,8 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that several branches read, in the folder all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a table that several branches read: written once, as compressed columns, to the folder all executors share.
+
+    What reads it opens only the columns it needs. A table with columns of no type, which files cannot hold, is a checkpoint instead.
+    """
+    spark = df.sparkSession
+    if "void" in df.schema.simpleString():
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
