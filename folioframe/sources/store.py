@@ -73,7 +73,8 @@ class BucketStore:
         fields = [f.name for f in self.schema]
         # Files are cut by size, also inside a large bucket.
         spread = rows.select(*fields, self._bucket().alias("bucket")).hint("rebalance", "bucket")
-        spread.write.mode("overwrite").partitionBy("bucket").format(self.fmt).save(f"{self.path}/data/version={version}")
+        packed = {} if self.fmt == "parquet" else {"compression": "gzip"}
+        spread.write.mode("overwrite").partitionBy("bucket").format(self.fmt).options(**packed).save(f"{self.path}/data/version={version}")
 
     def _commit(self, held: dict[int, list[str]]) -> None:
         rows = [(b, versions, self.buckets) for b, versions in sorted(held.items())]
@@ -108,10 +109,13 @@ class BucketStore:
         if not found:
             return
         held = self.manifest()
-        old = self._load(self._files(held, found)).join(gone.distinct(), self.key, "left_anti")
-        version = uuid.uuid4().hex
-        now = settle(old.select(*[f.name for f in self.schema]).unionByName(rows.select(*[f.name for f in self.schema])))
-        filled = self.touched(now)
+        version, fields, files = uuid.uuid4().hex, [f.name for f in self.schema], self._files(held, found)
+        now, filled = rows.select(*fields), self.touched(rows)
+        if files:
+            # Of the old rows only the keys are looked at ahead of the write, which then copies these rows once.
+            old = self._load(files).join(gone.distinct(), self.key, "left_anti")
+            filled = filled | self.touched(old)
+            now = old.select(*fields).unionByName(now)
         if filled:
             self._write(now, version)
         left = {b: v for b, (v, _) in held.items() if b not in found}
