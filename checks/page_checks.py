@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import sqlkit as K
-from checks.registry import blocks, bronze, check, documents, table
+from checks.registry import blocks, bronze, check, documents, page_tables, table
 from checks.text_checks import LINE_SPANS, SENT_BOXES, sentences_sql
 from folioframe.functions import geometry as G
 from folioframe.functions import text as T
@@ -138,8 +138,8 @@ def isolated_separator(spark, sf_dir):
    exists (select 1 from region r where r.doc_id = b.doc_id and r.page = b.page and {K.inter('b.', 'r.')} >= 0.6*greatest(1e-6, {K.area('b.')})) inside
    from blk b left join seps using (doc_id, page)""", CONTEXT))
 def in_callout_and_below_separator(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    b = O.with_drawings(blocks(spark, sf_dir), sample_layout.drawings(d), sample_layout.layout_pages(d))
+    on_page = page_tables(spark, sf_dir)
+    b = O.with_drawings(blocks(spark, sf_dir), on_page["drawings"], on_page["layout_pages"])
     return b.select(*KEYS, O.below_separator().alias("below"), O.in_callout().alias("inside"))
 
 

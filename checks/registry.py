@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.session import settle, tune
+from folioframe.session import plan_tasks, settle, tune
 from folioframe.sources import sample_layout
 from folioframe.sources.layout import read_layout
 
@@ -50,18 +50,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents spread over all cores, however few files they come in, and over as many tasks as their texts need: some 16 MB each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "doc_id")
+    return docs.repartition(plan_tasks(spark, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))), "doc_id")
 
 
 @shared
 def bronze(spark: SparkSession, sf_dir: str) -> dict:
     """Layout tables of the documents; the block table is stored first, as the output of a layout model is."""
-    tables = sample_layout.bronze(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    tables = sample_layout.bronze(docs) | page_tables(spark, sf_dir)
     tables.pop("recognized_lines")
     tables["layout_blocks"] = settle(tables["layout_blocks"])
     return tables
 
 
+def page_tables(spark: SparkSession, sf_dir: str) -> dict:
+    """Pages and drawings, which only follow from the number of lines of a text: made where the documents are read, so no text moves."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return {"layout_pages": sample_layout.layout_pages(docs), "drawings": sample_layout.drawings(docs)}
+
+
 @shared
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(read_layout(sample_layout.layout_blocks(documents(spark, sf_dir))))

@@ -43,9 +43,8 @@ def _apply(rows: DataFrame, picks: DataFrame, texts: DataFrame | None, fields: l
     """
     picks = settle(picks)
     source = rows if texts is None else texts
-    took = source.join(picks, ROW_KEY).select("doc_id", "ospan", "opage", "owner", F.struct(*fields).alias("part"))
-    parts = took.groupBy("doc_id", F.col("ospan").alias("span"), F.col("opage").alias("page"), F.col("owner").alias("ri")).agg(
-        F.array_sort(F.collect_list("part")).alias("parts"))
+    took = source.join(picks, ROW_KEY).select("doc_id", F.col("ospan").alias("span"), F.col("opage").alias("page"), F.col("owner").alias("ri"), F.struct(*fields).alias("part"))
+    parts = scans.by_span(took).groupBy(*ROW_KEY).agg(F.array_sort(F.collect_list("part")).alias("parts"))
     gone = picks.where("ri != owner or page != opage").select(*ROW_KEY)
     # ``own_ri``: the number of the owner, also where ``ri`` is filled anew.
     out = rows.join(gone, ROW_KEY, "left_anti").join(parts, ROW_KEY, "left").withColumn("own_ri", F.col("ri"))

@@ -36,6 +36,11 @@ def line_box(lines="lines") -> F.Column:
     return G.union_bbox(lines)
 
 
+def joined_lines(lines="lines") -> F.Column:
+    """The text of a block, as its lines make it."""
+    return F.array_join(F.transform(lines, lambda x: x["text"]), " ")
+
+
 def footnote_context(blocks: DataFrame) -> DataFrame:
     """Add ``lh``, ``body_lh`` and ``body_boxes``: what counts as body-size text on the page."""
     is_body = F.col("block_type").isin(V.BODY_TEXT_TYPES)
@@ -158,7 +163,7 @@ def with_drawings(blocks: DataFrame, drawings: DataFrame | None, pages: DataFram
             .withColumn("sep_y", F.lit(None).cast("double"))
     regions = merge_callout_regions(callout_candidates(drawings, pages))
     seps = isolated_separator(separator_candidates(drawings, pages))
-    per_page = regions.join(seps, ["doc_id", "page"], "full").withColumn("span", span_of("page"))
+    per_page = scans.by_span(regions.join(seps, ["doc_id", "page"], "full").withColumn("span", span_of("page")))
     return blocks.join(per_page, PAGE_KEY, "left")
 
 

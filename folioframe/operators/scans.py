@@ -8,13 +8,14 @@ summary row per span travels, through a window over the document, and is joined
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = ["doc_id", "span"]
+from folioframe.session import SPAN, tasks
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def by_span(df: DataFrame) -> DataFrame:
     """Deal rows out by ``(doc_id, span)``, ahead of page windows: these, the scans and the joins by row that follow need no other exchange."""
-    return df.repartition(*SPAN)
+    return df.repartition(tasks(df.sparkSession), *SPAN)
 
 
 def doc_scan(df: DataFrame, order: list, inclusive: bool = False, **specs) -> DataFrame:
@@ -58,7 +59,8 @@ def doc_scan(df: DataFrame, order: list, inclusive: bool = False, **specs) -> Da
                 (F.coalesce(F.col(here), zero) + F.coalesce(F.col(c), zero) if kind == "sum"
                  else F.greatest(here, c)).alias(n)
             )
-    summary = held.groupBy(*SPAN).agg(*per_span).select(*SPAN, *carried)
+    # Dealt out as the rows are: else the join might move the rows to where the summaries lie.
+    summary = by_span(held.groupBy(*SPAN).agg(*per_span).select(*SPAN, *carried))
     kept = [c for c in df.columns if c not in specs]
     return held.select("*", *local).join(summary, SPAN, "left").select(*kept, *final)
 

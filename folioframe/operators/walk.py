@@ -16,6 +16,7 @@ from folioframe.operators import scans
 from folioframe.operators.footnotes import attach_footnotes
 from folioframe.operators.sentences import build_sentences
 from folioframe.session import settle
+from folioframe.sources.layout import PAGE_KEY
 
 POS = ["page", "ord"]
 
@@ -26,7 +27,7 @@ def _before():
 
 def judge(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Order the page and judge every block by itself and by its page."""
-    b = blocks.repartition("doc_id", "span")
+    b = scans.by_span(blocks)
     b = O.with_drawings(O.rescue_footnotes(O.footnote_context(O.reading_order(b))), drawings, pages)
     latex = T.equation_latex("html")
     bt = F.when(F.col("rescued"), "Text").otherwise(F.col("block_type"))
@@ -73,9 +74,17 @@ def skip_event() -> F.Column:
     return F.when(F.col("h_named") & ~F.col("h_stop"), F.col("h_skip").cast("int")).when(F.col("t_skip"), 1)
 
 
+# What no rule after ``judge`` reads.
+WIDE = ["lines", "text", "line_text", "html", "sup"]
+
+
 def states(judged: DataFrame) -> DataFrame:
-    """Add what runs along the document: skipped regions, the masthead, the title."""
-    w = settle(judged).withColumn("event", skip_event())
+    """What runs along the document: skipped regions, the masthead, the title. The columns ``WIDE`` stay behind."""
+    return _states(settle(judged.drop(*WIDE)))
+
+
+def _states(settled: DataFrame) -> DataFrame:
+    w = settled.withColumn("event", skip_event())
     w = scans.doc_scan(w, POS, has_abs=("total_max", F.col("abs_here")), l_skip=("last", F.col("event")))
     has_abs = F.col("has_abs")
     opens_body = F.col("h_named") & ~F.col("h_stop") & ~(has_abs & F.col("h_skip"))
@@ -91,8 +100,9 @@ def states(judged: DataFrame) -> DataFrame:
 
 
 def walk(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """Decide the fate of each block; the result is settled because both projections read it."""
-    w, has_abs = states(judge(blocks, drawings, pages)), F.col("has_abs")
+    """Decide the fate of each block. Blocks are stored once, as judged; fates follow from slim columns and are joined to them by place."""
+    whole = settle(judge(blocks, drawings, pages).drop("line_text")).withColumn("line_text", O.joined_lines())
+    w, has_abs = _states(whole.drop(*WIDE)), F.col("has_abs")
     for p in "pl":
         alive = F.col("is_text") & ~F.col(f"{p}_skip") & ~(has_abs & F.col("t_skip")) & F.col("t_solid")
         w = w.withColumn(f"{p}_alive", alive)
@@ -104,7 +114,14 @@ def walk(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame
     }
     abs_first = F.when(F.col("heads") & F.col("h_abs"), F.struct("page", "ord", "y0"))
     w = scans.doc_scan(w, POS, abs_hdr=("total_min", abs_first), **stops)
-    return settle(_fates(w))
+    place = [*PAGE_KEY, "ord"]
+    fates = settle(_fates(w).select(*place, *FATES))
+    return whole.drop(*GONE).join(fates, place)
+
+
+FATES = ["has_abs", "p_kind", "p_role", "l_kind", "l_role0", "abs_top", "p_stop_page", "l_role"]
+GONE = ["abs_here", "h_named", "h_stop", "h_skip", "h_body", "h_abs", "t_skip", "t_solid", "t_note", "t_stop", "t_license", "t_hard",
+        "t_contact", "soft", "author", "dense", "regions", "sep_y", "is_text", "is_image"]
 
 
 def _fates(w: DataFrame) -> DataFrame:
@@ -132,7 +149,7 @@ def _fates(w: DataFrame) -> DataFrame:
     l_text_role = (
         F.when(l_author, "author").when((text_role == "paragraph") & boxed, "callout").otherwise(text_role)
     )
-    w = w.withColumn("p_kind", F.when(F.col("p_live"), F.when(tagged, "note").when(F.col("is_image"), "image").when(
+    return w.withColumn("p_kind", F.when(F.col("p_live"), F.when(tagged, "note").when(F.col("is_image"), "image").when(
         F.col("p_alive"), F.when(F.col("t_note"), "note").when(kept & ~p_noise, "block")))
     ).withColumn("p_role", F.when(F.col("p_kind") == "image", T.image_role("bt")).when(
         F.col("p_kind") == "block", F.when((text_role == "paragraph") & p_boxed, "callout").otherwise(text_role))
@@ -148,11 +165,6 @@ def _fates(w: DataFrame) -> DataFrame:
     ).withColumn("l_role", F.when(
         abs_valid & (F.col("l_role0") == "paragraph") & (F.col("page") == F.col("abs_hdr.page"))
         & (F.col("tight.y1") <= F.col("abs_hdr.y0") + 4), "author").otherwise(F.col("l_role0")))
-    gone = ["abs_here", "event", "l_skip", "p_skip", "heads", "masthead", "is_title", "p_alive", "l_alive", "h_named",
-            "h_stop", "h_skip", "h_body", "h_abs", "t_skip", "t_solid", "t_note", "t_stop", "t_license", "t_hard",
-            "t_contact", "soft", "author", "dense", "abs_hdr", "p_stop", "l_stop", "p_live", "l_live", "regions",
-            "sep_y", "is_text", "is_image"]
-    return w.drop(*gone)
 
 
 # -- projections -----------------------------------------------------------------------------------------

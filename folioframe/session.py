@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Windows and joins on (doc_id, span, page) reuse the partitioning by (doc_id, span).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # A task writes one bucket of a settled table, so its rows need no sort by bucket ahead of the write.
+    "spark.sql.maxConcurrentOutputFileWriters": "4",
     # Timers and value state of streams (transformWithState) need it.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -33,16 +35,40 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
+# The session's own setting: over how many tasks the rows of the corpus at hand are dealt out.
+TASKS = "folioframe.tasks"
+SPAN = ["doc_id", "span"]
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks that rows are dealt out over by ``(doc_id, span)``: as ``plan_tasks`` has set it, else the session's shuffle partitions."""
+    return int(spark.conf.get(TASKS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plan_tasks(spark: SparkSession, n: int) -> int:
+    """From now on rows are dealt out over ``n`` tasks, and no shuffle has fewer; a small one is still coalesced."""
+    spark.conf.set(TASKS, str(n))
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) < n:
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several branches read: written once, as compressed columns, to the folder all executors share.
 
-    What reads it opens only the columns it needs. A table with columns of no type, which files cannot hold, is a checkpoint instead.
+    What reads it opens only the columns it needs. Rows with a span lie in buckets by ``(doc_id, span)``, so page windows, scans and joins by row
+    move none of them again. A table with columns of no type, which files cannot hold, is a checkpoint instead.
     """
     spark = df.sparkSession
     if "void" in df.schema.simpleString():
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(shared_folder(spark))
         return df.checkpoint(eager=True)
-    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    name = f"settled_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    if set(SPAN) <= set(df.columns):
+        n = tasks(spark)
+        df.repartition(n, *SPAN).write.bucketBy(n, *SPAN).format("parquet").options(path=path, compression="zstd").saveAsTable(name)
+        return spark.table(name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
