@@ -11,6 +11,7 @@ from checks.flow_checks import (
 from checks.registry import bronze, check, shared, table
 from checks.text_checks import _B36, _text_hash, significant_sql
 from folioframe.functions import text as T
+from folioframe.functions.arrays import let
 from folioframe.operators import edits as D
 from folioframe.operators import explain as E
 from folioframe.operators import jobs as J
@@ -105,9 +106,11 @@ def indices_to_blocks(spark, sf_dir):
     """Every merged sentence, back to the sentences of each member block."""
     p = E.merged_sentences(E.chain_payload(chained_rows(spark, sf_dir)))
     every = F.transform("merged", lambda s, i: i)
-    p = settle(p.select("doc_id", "chain", E.merged_to_original(every, F.col("merged_to_orig")).alias("idx"), F.explode("members").alias("m")))
-    own = E.localize(F.col("idx"), F.col("m.offset"), F.col("m.n"))
-    return p.select("doc_id", "chain", F.col("m.ri").alias("ri"), F.array_join(F.transform(own, lambda k: k.cast("string")), ",").alias("own")).where("own <> ''")
+    joined = lambda own: F.array_join(F.transform(own, lambda k: k.cast("string")), ",")
+    # A member takes its own part before members become rows, so no row holds the numbers of the whole chain.
+    own = let(E.merged_to_original(every, F.col("merged_to_orig")), lambda idx: F.transform("members", lambda m: F.struct(
+        m["ri"].alias("ri"), joined(E.localize(idx, m["offset"], m["n"])).alias("own"))))
+    return p.select("doc_id", "chain", F.inline(own)).where("own <> ''")
 
 
 def _cards(spark, sf_dir):
