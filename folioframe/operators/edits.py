@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import geometry as G
 from folioframe.functions import text as T
+from folioframe.operators import scans
 from folioframe.operators.components import components
+from folioframe.sources import layout
 from folioframe.sources.layout import PAGE_KEY
 
 
@@ -40,18 +42,38 @@ def _role(o_role):
     return F.coalesce(F.when(o_role != "", o_role), F.col("role"))
 
 
+def _page_of(key) -> F.Column:
+    """The page that the key of a block or an image names."""
+    return F.expr(f"try_cast(regexp_extract({key}, '^(?:img:)?(-?[0-9]+):-?[0-9]+$', 1) as int)")
+
+
+def _place(rows: DataFrame) -> list:
+    """What rows are dealt out by: their span too, where they have one."""
+    return scans.SPAN if "span" in rows.columns else ["doc_id"]
+
+
+def _placed(few: DataFrame, keys: list, page=None) -> DataFrame:
+    """``few`` dealt out as the rows they join are, so that they move and the rows do not; ``page`` says where they belong."""
+    if "span" not in keys:
+        return few
+    if page is not None:
+        few = few.withColumn("_page", page).withColumn("span", layout.span_of("_page")).drop("_page")
+    return scans.by_span(few)
+
+
 def apply_overrides_pages(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Role, cut continuation and pin by key; blocks and images have keys of their own."""
-    o = overrides.select(
+    keys = _place(rows)
+    o = _placed(overrides.select(
         "doc_id", F.col("key").alias("_key"), F.col("role").alias("o_role"), F.col("continuation").alias("o_cont"),
-        F.col("allow_merges").alias("o_allow"))
+        F.col("allow_merges").alias("o_allow")), keys, _page_of("_key"))
     is_block = F.col("kind") == "block"
     keyed = rows.withColumn("_key", F.when(is_block, block_key()).otherwise(image_key()))
     out = {
         "role": _role(F.col("o_role")),
         "continuation": F.col("continuation") & ~(is_block & F.coalesce(~F.col("o_cont"), F.lit(False))),
     }
-    return keyed.join(o, ["doc_id", "_key"], "left").select(
+    return keyed.join(o, [*keys, "_key"], "left").select(
         *[out[c].alias(c) if c in out else F.col(c) for c in rows.columns], F.coalesce("o_allow", F.lit(True)).alias("allow_merges"))
 
 
@@ -69,15 +91,17 @@ def placed_overrides(overrides: DataFrame, page_rows: DataFrame) -> DataFrame:
     """Overrides with a box: their own, or that of the page block their key names."""
     c = [*G.Box._fields]
     own = overrides.where("x0 is not null").select("doc_id", "n", "page", "role", "continuation", "allow_merges", *c)
-    by_key = overrides.where("x0 is null").drop(*c, "page").join(
-        page_rows.where("kind = 'block'").select("doc_id", block_key().alias("key"), "page", *c), ["doc_id", "key"])
+    keys = _place(page_rows)
+    named = _placed(overrides.where("x0 is null").drop(*c, "page"), keys, _page_of("key"))
+    by_key = named.join(page_rows.where("kind = 'block'").select(*keys, block_key().alias("key"), "page", *c), [*keys, "key"])
     return own.unionByName(by_key.select(own.columns))
 
 
 def apply_overrides_linear(linear: DataFrame, overrides: DataFrame, page_rows: DataFrame) -> DataFrame:
     """The first override that covers at least 60 % of a linear block applies to it."""
-    o = _page_overrides(placed_overrides(overrides, page_rows))
-    hit = linear.join(o, ["doc_id", "page"], "left").withColumn("o", _first_match(G.box()))
+    keys = _place(linear)
+    o = _placed(_page_overrides(placed_overrides(overrides, page_rows)), keys, F.col("page"))
+    hit = linear.join(o, [*keys, "page"], "left").withColumn("o", _first_match(G.box()))
     out = {
         "role": _role(F.col("o.role")),
         "continuation": F.col("continuation") & ~F.coalesce(~F.col("o.continuation"), F.lit(False)),
@@ -88,8 +112,9 @@ def apply_overrides_linear(linear: DataFrame, overrides: DataFrame, page_rows: D
 
 def apply_overrides_metadata(metadata: DataFrame, overrides: DataFrame) -> DataFrame:
     """Left-out text starts as ignored; only overrides that carry a box re-type it."""
-    o = _page_overrides(overrides.where("x0 is not null"))
-    hit = metadata.join(o, ["doc_id", "page"], "left").withColumn("o", _first_match(G.box()))
+    keys = _place(metadata)
+    o = _placed(_page_overrides(overrides.where("x0 is not null")), keys, F.col("page"))
+    hit = metadata.join(o, [*keys, "page"], "left").withColumn("o", _first_match(G.box()))
     return hit.select(*metadata.columns, F.coalesce(F.when(F.col("o.role") != "", F.col("o.role")), F.lit("ignored")).alias("role"))
 
 
@@ -99,7 +124,7 @@ def inject_linear_only(page_rows: DataFrame, linear: DataFrame, metadata: DataFr
     source = linear.select(*fields, "footnotes", "allow_merges").unionByName(
         metadata.select(*fields), allowMissingColumns=True)
     wanted = source.where(T.explainable("role", F.size("sentences"))).join(
-        pages.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+        _placed(pages.select("doc_id", "page"), scans.SPAN, F.col("page")), PAGE_KEY, "left_semi")
     a, b = wanted.alias("a"), page_rows.select(*PAGE_KEY, *G.Box._fields).alias("b")
     cond = G.same_object(G.box("a."), G.box("b."))
     for k in PAGE_KEY:

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import fixed_values as V
 from folioframe.functions import geometry as G
+from folioframe.operators import scans
 from folioframe.operators.ordering import flat_base, line_box
 from folioframe.operators.sentences import build_sentences
+from folioframe.sources import layout
 from folioframe.sources.layout import PAGE_KEY
 
 
@@ -56,7 +58,8 @@ def metadata_self_dedup(rows: DataFrame) -> DataFrame:
 
 def metadata_blocks(blocks: DataFrame, page_rows: DataFrame, linear: DataFrame, pages: DataFrame) -> DataFrame:
     kept = metadata_self_dedup(metadata_subtract(metadata_candidates(blocks), emitted_boxes(page_rows, linear)))
-    return kept.join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_semi").select(
+    shown = scans.by_span(pages.select("doc_id", "page", layout.span_of("page").alias("span")))
+    return kept.join(shown, PAGE_KEY, "left_semi").select(
         *PAGE_KEY, "seq", "part", F.col("block_type").alias("source_type"), F.col("line_text").alias("text"),
         *G.Box._fields, build_sentences("line_text").alias("sentences"),
     )

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import bronze, page_tables
+from folioframe.operators import edits as D
 from folioframe.operators import scans
 from folioframe.operators import walk as W
 from folioframe.operators.merges import ROW_KEY
@@ -53,3 +54,33 @@ def test_walk_stores_texts_and_lines_once(spark, monkeypatch):
 def test_pages_and_drawings_move_no_text(spark):
     for df in page_tables(spark, SF).values():
         assert "Exchange" not in _plan(df)
+
+
+def _overrides(spark):
+    fields = "doc_id long, key string, n int, page int, x0 double, y0 double, x1 double, y1 double, role string, continuation boolean, allow_merges boolean"
+    rows = [(1, "2:5", 1, None, *[None] * 4, "ignored", None, None), (1, "img:70:6", 2, None, *[None] * 4, "figure", None, None), (1, "L:2:5:5", 3, None, *[None] * 4, "lost", None, None),
+            (1, "nothing", 4, None, *[None] * 4, "lost", None, None), (1, "99999999999:5", 5, None, *[None] * 4, "lost", None, None), (2, "2:5", 6, None, *[None] * 4, "lost", None, None)]
+    return spark.createDataFrame(rows, fields)
+
+
+def test_overrides_move_to_the_rows(spark):
+    places = [(1, 2, 5, "block"), (1, 70, 6, "image"), (1, 70, 6, "block"), (1, 2, 6, "block"), (3, 2, 5, "block")]
+    rows = spark.createDataFrame([(*p, "paragraph", False, "some text", 0.0, 0.0, 9.0, 9.0) for p in places],
+                                 "doc_id long, page int, ri int, kind string, role string, continuation boolean, text string, x0 double, y0 double, x1 double, y1 double").withColumn("span", span_of("page"))
+    settled, few = settle(rows), _overrides(spark)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = D.apply_overrides_pages(settled, few)
+        on_linear = D.apply_overrides_linear(settled, few, settled)
+        on_metadata = D.apply_overrides_metadata(settled.drop("role"), few.withColumns({"x0": F.lit(0.0), "y0": F.lit(0.0), "x1": F.lit(9.0), "y1": F.lit(9.0), "page": F.col("n")}))
+        for df in (out, on_linear, on_metadata):
+            scan = [line for line in _plan(df).splitlines() if "FileScan" in line and "text" in line]
+            assert scan and "Bucketed: true" in scan[0]
+        got = {(r.doc_id, r.page, r.ri, r.kind): r.role for r in out.collect()}
+        assert got == {(1, 2, 5, "block"): "ignored", (1, 70, 6, "image"): "figure", (1, 70, 6, "block"): "paragraph", (1, 2, 6, "block"): "paragraph", (3, 2, 5, "block"): "paragraph"}
+        assert {(r.page, r.ri): r.role for r in on_linear.where("doc_id = 1 and page = 2").collect()} == {(2, 5): "ignored", (2, 6): "ignored"}
+        plain = D.apply_overrides_pages(rows.drop("span"), few)
+        assert {(r.doc_id, r.page, r.ri, r.kind): r.role for r in plain.collect()} == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
