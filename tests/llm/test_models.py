@@ -206,6 +206,24 @@ def test_token_files_round_trip(odd_docs, no_docs, fresh_dir):
     assert B.token_digest(no_docs, TOKENIZER, f"file://{fresh_dir}/v").count() == 0
 
 
+def test_documents_of_a_batch_are_encoded_as_each_alone():
+    texts = ["", " ", "a", " a", "a ", "a  b", "x.\n\nY z", "naïve café, où? ß", "x <|endoftext|> y", "a\x1cb c", "日本 語 word.", "", "one two, two. two", "tab\tx y", "don't 4a5 a-b"] * 2
+    one = B.Encoder(TOKENIZER, 2)
+    assert [bytes(ids) for ids in B.Encoder(TOKENIZER, 2).documents(texts)] == [one.document(t) for t in texts]
+    assert list(one.documents([])) == []
+
+
+def test_token_files_are_read_by_a_task_each(llm, fresh_dir):
+    """The documents read back are many; neither do they go to every executor, nor does one task read all files."""
+    docs = llm.range(400).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 20) text")
+    files = B.write_token_files(docs, f"file://{fresh_dir}/m", TOKENIZER, file_bytes=1000)
+    back = B.read_token_files(files)
+    assert files.count() > 3 and back.selectExpr("file", "spark_partition_id() p").distinct().groupBy("p").count().where("count > 1").count() == 0
+    plan = B.token_digest(docs, TOKENIZER, f"file://{fresh_dir}/n", file_bytes=1000)._jdf.queryExecution().executedPlan().toString()
+    sent = plan[plan.index("BroadcastExchange"):]
+    assert "Window" in sent and "MapInArrow" not in sent
+
+
 def test_documents_are_encoded_as_the_given_tokenizer_does():
     from tokenizers import Tokenizer
 
