@@ -55,11 +55,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def bronze(spark: SparkSession, sf_dir: str) -> dict:
-    """Layout tables of the documents; the block table is stored first, as the output of a layout model is."""
+    """Layout tables of the documents. Blocks are made where the walk reads them, once a query, and stored by it as judged."""
     docs = documents(spark, sf_dir)
     tables = sample_layout.bronze(docs) | page_tables(spark, sf_dir)
     tables.pop("recognized_lines")
-    tables["layout_blocks"] = settle(tables["layout_blocks"])
     return tables
 
 

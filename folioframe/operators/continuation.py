@@ -229,17 +229,19 @@ def glued(texts) -> F.Column:
 
 def glued_paragraphs(page_blocks: DataFrame) -> DataFrame:
     """One row per glued paragraph: (doc_id, gid, text)."""
+    return _glued(glue_groups(page_blocks))
+
+
+def _glued(groups: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("page", "ri", "text")))
-    return (
-        glue_groups(page_blocks).groupBy("doc_id", "gid").agg(ordered.alias("parts"))
-        .select("doc_id", "gid", glued(F.transform("parts", lambda p: p["text"])).alias("text"))
-    )
+    return groups.groupBy("doc_id", "gid").agg(ordered.alias("parts")).select("doc_id", "gid", glued(F.transform("parts", lambda p: p["text"])).alias("text"))
 
 
 def full_text(page_blocks: DataFrame) -> DataFrame:
     """The text of each document; one value per document is what a document map is asked from."""
     ordered = F.array_sort(F.collect_list(F.struct("gid", "text")))
-    return glued_paragraphs(page_blocks).groupBy("doc_id").agg(
+    # Dealt out by document once, ahead of both groupings.
+    return _glued(glue_groups(page_blocks).select("doc_id", "gid", "page", "ri", "text").repartition("doc_id")).groupBy("doc_id").agg(
         F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("full_text")
     )
 

@@ -27,7 +27,8 @@ def _before():
 
 def judge(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Order the page and judge every block by itself and by its page."""
-    b = scans.by_span(blocks)
+    # The text follows from the lines, so only these move.
+    b = scans.by_span(blocks.drop("text")).withColumn("text", O.joined_lines())
     b = O.with_drawings(O.rescue_footnotes(O.footnote_context(O.reading_order(b))), drawings, pages)
     latex = T.equation_latex("html")
     bt = F.when(F.col("rescued"), "Text").otherwise(F.col("block_type"))
@@ -101,7 +102,10 @@ def _states(settled: DataFrame) -> DataFrame:
 
 def walk(blocks: DataFrame, drawings: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Decide the fate of each block. Blocks are stored once, as judged; fates follow from slim columns and are joined to them by place."""
-    whole = settle(judge(blocks, drawings, pages).drop("line_text")).withColumn("line_text", O.joined_lines())
+    # A text that its lines make is not stored beside them.
+    other = F.when(F.col("text") != F.col("line_text"), F.col("text"))
+    whole = settle(judge(blocks, drawings, pages).withColumn("text", other).drop("line_text"))
+    whole = whole.withColumn("line_text", O.joined_lines()).withColumn("text", F.coalesce("text", "line_text"))
     w, has_abs = _states(whole.drop(*WIDE)), F.col("has_abs")
     for p in "pl":
         alive = F.col("is_text") & ~F.col(f"{p}_skip") & ~(has_abs & F.col("t_skip")) & F.col("t_solid")

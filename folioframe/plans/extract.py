@@ -40,12 +40,18 @@ def extract_linear(bronze: dict) -> DataFrame:
     return W.linear_rows(walked(bronze))
 
 
+# What neither continuation nor layout reads.
+CARRIED = ["sentences", "footnotes", "caption_text", "caption_bbox"]
+
+
 def finish_pages(rows: DataFrame, icons: bool = True, texts: DataFrame | None = None) -> DataFrame:
     """``icons`` = False keeps small pictures, as the single-projection helper does. ``texts``: the rows without sentences and notes, where cheaper."""
     rows = M.merge_algorithms(M.merge_captions_and_notes_pages(rows, texts), pages=True)
     if icons:
         rows = M.drop_decorative_icons(rows)
-    return C.bridge_display_math(C.continuation_pages(scans.by_span(settle(rows))), "kind")
+    rows = settle(rows)
+    marks = settle(C.bridge_display_math(C.continuation_pages(scans.by_span(rows.drop(*CARRIED))), "kind").select(*M.ROW_KEY, "continuation"))
+    return rows.drop("continuation").join(marks, M.ROW_KEY).select(*rows.columns)
 
 
 def finish_linear(rows: DataFrame, tables_again: bool = True, texts: DataFrame | None = None) -> DataFrame:
@@ -54,14 +60,21 @@ def finish_linear(rows: DataFrame, tables_again: bool = True, texts: DataFrame |
     rows = M.merge_algorithms(M.merge_figure_captions_linear(rows), pages=False)
     if tables_again:
         rows = M.merge_tables_linear(settle(rows))
-    rows = C.authors_after_title(settle(M.drop_decorative_icons(rows)))
-    rows = C.continuation_linear(scans.by_span(settle(C.with_layout_type(rows))))
-    return C.clip_overlaps(C.bridge_display_math(rows)).drop("shelf", "min_x0", "max_x1")
+    rows = settle(M.drop_decorative_icons(rows))
+    # From here on only marks change; whole rows, which keep their number in ``own``, take them at the end.
+    own = rows.withColumn("own", F.col("ri"))
+    key = [*M.ROW_KEY[:-1], "own"]
+    lh = F.when(F.col("role") == "paragraph", C.sentence_line_height()).otherwise(0.0)
+    moved = settle(C.with_layout_type(C.authors_after_title(own.withColumn("lh", lh).drop(*CARRIED))).drop("text"))
+    flow = C.continuation_linear(scans.by_span(moved.join(own.select(*key, "text"), key)))
+    changed = ["ri", "role", "y1", "continuation"]
+    marks = settle(C.clip_overlaps(C.bridge_display_math(flow)).select(*key, *changed, "layout_type"))
+    return own.drop(*changed).join(marks, key).select(*rows.columns, "layout_type")
 
 
 def _projections(w: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = scans.by_span(w)
-    return settle(finish_pages(W.page_rows(w), texts=W.page_rows(w, bare=True))), settle(finish_linear(W.linear_rows(w), texts=W.linear_rows(w, bare=True)))
+    return finish_pages(W.page_rows(w), texts=W.page_rows(w, bare=True)), finish_linear(W.linear_rows(w), texts=W.linear_rows(w, bare=True))
 
 
 def extract_both(bronze: dict) -> Extraction:

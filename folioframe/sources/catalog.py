@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from folioframe import schemas
 from folioframe.functions import fixed_values as V
 from folioframe.functions import geometry as G
+from folioframe.operators import scans
 from folioframe.operators.edits import latest_edit
 from folioframe.sources.layout import PAGE_KEY, span_of
 from folioframe.sources.store import BUCKETS, BucketStore
@@ -80,11 +81,13 @@ def nest_analysis(pages: DataFrame, page_rows: DataFrame, linear: DataFrame, met
         _box().alias("bbox"), F.col("ri").alias("reading_index"), "role", "caption_text", "caption_bbox"))
     at = lambda c: F.struct(F.col("ri").alias("at"), c.alias("v"))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), at(c)))), lambda x: x["v"])
-    by_page = page_rows.groupBy("doc_id", "page").agg(ordered(block).alias("blocks"), ordered(image).alias("images"))
-    left_out = metadata.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+    # Pages are put together where their rows lie, by span; only whole pages move to their documents.
+    by_page = page_rows.groupBy(*PAGE_KEY).agg(ordered(block).alias("blocks"), ordered(image).alias("images"))
+    left_out = metadata.groupBy(*PAGE_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct(
         "seq", "part", F.struct(_box().alias("bbox"), "text", "sentences", "source_type").alias("v")))), lambda x: x["v"]).alias("metadata_blocks"))
     empty = lambda c, t: F.coalesce(c, F.expr("array()").cast(f"array<{t}>")).alias(c)
-    nested = pages.join(by_page, ["doc_id", "page"], "left").join(left_out, ["doc_id", "page"], "left").select("doc_id", F.struct(
+    shown = scans.by_span(pages.withColumn("span", span_of("page")))
+    nested = shown.join(by_page, PAGE_KEY, "left").join(left_out, PAGE_KEY, "left").select("doc_id", F.struct(
         "page", "width", "height", empty("blocks", schemas.PARAGRAPH), empty("images", schemas.IMAGE), empty("metadata_blocks", schemas.METADATA)).alias("p"))
     page_lists = nested.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("pages"))
     full = F.struct(

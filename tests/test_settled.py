@@ -10,6 +10,7 @@ from folioframe.operators import walk as W
 from folioframe.operators.merges import ROW_KEY
 from folioframe.plans import extract as X
 from folioframe.session import settle
+from folioframe.sources import catalog
 from folioframe.sources.layout import PAGE_KEY, span_of
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +52,31 @@ def test_walk_stores_texts_and_lines_once(spark, monkeypatch):
     assert w.where("bt <> 'Equation' and line_text <> text").count() == 0
 
 
+def test_walk_stores_no_text_that_its_lines_make(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(W, "settle", lambda df: stored.append(settle(df)) or stored[-1])
+    X.walked(bronze(spark, SF))
+    assert stored[0].where("bt <> 'Equation' and text is not null").count() == 0
+    assert stored[0].where("text is not null").count() > 0
+
+
+def test_whole_rows_are_stored_once_after_the_merges(spark, monkeypatch):
+    w, stored = settle(X.walked(bronze(spark, SF))), []
+    monkeypatch.setattr(X, "settle", lambda df: stored.append("sentences" in df.columns) or settle(df))
+    X.finish_pages(W.page_rows(w))
+    assert stored == [True, False]
+    stored.clear()
+    X.finish_linear(W.linear_rows(w))
+    assert stored == [True, True, True, False, False]
+
+
+def test_pages_are_nested_where_their_rows_lie(spark):
+    x = X.extract_both(bronze(spark, SF))
+    info = x.pages.select("doc_id").distinct().selectExpr("doc_id", "'a' filename", "'m' global_map", "'en' language")
+    plan = _plan(catalog.nest_analysis(x.pages, x.page_rows, x.linear, x.metadata, info))
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line and ", page#" in line.split("),")[0] and "span" not in line.split("),")[0]]
+
+
 def test_pages_and_drawings_move_no_text(spark):
     for df in page_tables(spark, SF).values():
         assert "Exchange" not in _plan(df)
