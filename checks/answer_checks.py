@@ -531,8 +531,10 @@ def cached_answers(spark, sf_dir):
     """Cards of a second run: every answer comes from the store that the first run filled."""
     rows, info = whole_rows(spark, sf_dir, linear_flow(spark, sf_dir)), _info(spark, sf_dir).withColumn("map_json", F.lit("{}"))
     store = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
-    PE.explain(rows, info, store, echo_client, wait=False)
-    cards = PE.explain(rows, info, store, closed_client, wait=False)
+    # Requests are prepared once; the first run fills the store and nobody reads its cards.
+    asked = PE.prepare(rows, info)
+    PE.explain_prepared(asked, store, echo_client, wait=False)
+    cards = PE.explain_prepared(asked, store, closed_client, wait=False)
     return cards.select("doc_id", "chain", "slot", "item", "quote", "is_placeholder")
 
 

@@ -277,9 +277,9 @@ _SENTS = (sentences_sql("(select doc_id, page, seq, text from pl where talks)"),
 
 @shared
 def linear_flow(spark, sf_dir):
-    """Linear rows with their continuation, without sentences; ``whole_rows`` has these."""
+    """Linear rows with their continuation, without texts and sentences; ``whole_rows`` has these."""
     slim = plain_linear(spark, sf_dir).withColumn("lh", F.when(F.col("role") == "paragraph", C.sentence_line_height()).otherwise(0.0)).drop(*FAT)
-    return settle(C.continuation_linear(C.with_layout_type(scans.by_span(slim))))
+    return settle(C.continuation_linear(C.with_layout_type(scans.by_span(slim))).drop("text"))
 
 
 def whole_rows(spark, sf_dir, marks):

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.operators import scans
 from folioframe.session import plan_tasks, settle, tune
 from folioframe.sources import sample_layout
 from folioframe.sources.layout import read_layout
@@ -49,8 +50,12 @@ TASK_BYTES = 16 << 20
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents spread over all cores, however few files they come in, and over as many tasks as their texts need: some 16 MB each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.repartition(_plan(spark, docs), "doc_id")
+
+
+def _plan(spark: SparkSession, docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.repartition(plan_tasks(spark, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))), "doc_id")
+    return plan_tasks(spark, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
 
 @shared
@@ -70,4 +75,7 @@ def page_tables(spark: SparkSession, sf_dir: str) -> dict:
 
 @shared
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(read_layout(sample_layout.layout_blocks(documents(spark, sf_dir))))
+    """Blocks of the documents. Their lines are dealt out by ``(doc_id, span)`` as documents are, so no block moves."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _plan(spark, docs)
+    return settle(read_layout(sample_layout.layout_blocks(scans.by_span(sample_layout.stretches(docs)))))

@@ -53,11 +53,11 @@ def plan_tasks(spark: SparkSession, n: int) -> int:
     return n
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: list | None = None) -> DataFrame:
     """Cut the lineage of a table that several branches read: written once, as compressed columns, to the folder all executors share.
 
     What reads it opens only the columns it needs. Rows with a span lie in buckets by ``(doc_id, span)``, so page windows, scans and joins by row
-    move none of them again. A table with columns of no type, which files cannot hold, is a checkpoint instead.
+    move none of them again; ``by`` names other columns to lie by. A table with columns of no type, which files cannot hold, is a checkpoint instead.
     """
     spark = df.sparkSession
     if "void" in df.schema.simpleString():
@@ -66,9 +66,10 @@ def settle(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     name = f"settled_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    if set(SPAN) <= set(df.columns):
+    by = by or (SPAN if set(SPAN) <= set(df.columns) else None)
+    if by:
         n = tasks(spark)
-        df.repartition(n, *SPAN).write.bucketBy(n, *SPAN).format("parquet").options(path=path, compression="zstd").saveAsTable(name)
+        df.repartition(n, *by).write.bucketBy(n, *by).format("parquet").options(path=path, compression="zstd").saveAsTable(name)
         return spark.table(name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,15 +26,15 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
 
 
 def unwrap_groups(raw: DataFrame) -> DataFrame:
-    """Skip removed blocks and put the children of a figure, picture or table group in its place."""
+    """Skip removed blocks and put the children of a figure, picture or table group in its place. Rows that have their span keep it, and so lie where it put them."""
     own = F.array(F.struct("block_type", "removed", "bbox", "html", "lines"))
     is_group = F.col("block_type").isin(V.GROUP_TYPES) & (F.coalesce(F.size("children"), F.lit(0)) > 0)
     kids = F.when(is_group, F.filter("children", lambda c: ~F.coalesce(c["removed"], F.lit(False)))).otherwise(own)
     return (
         raw.where(~F.coalesce("removed", F.lit(False)))
-        .select("doc_id", "page", "seq", F.posexplode(kids).alias("part", "b"))
+        .select("doc_id", *[c for c in raw.columns if c == "span"], "page", "seq", F.posexplode(kids).alias("part", "b"))
         .select(
-            "doc_id", "page", span_of("page").alias("span"), "seq", "part",
+            "doc_id", "page", F.col("span") if "span" in raw.columns else span_of("page").alias("span"), "seq", "part",
             F.col("b.block_type").alias("block_type"), F.col("b.html").alias("html"),
             *[F.round(F.col(f"b.bbox.{c}"), 2).alias(c) for c in G.Box._fields],
             F.col("b.lines").alias("raw_lines"),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe import schemas
+from folioframe.functions.arrays import let
+from folioframe.sources import layout
 
 # Block type by code, eight blocks a page.
 TYPES = [
@@ -17,15 +19,29 @@ TYPES = [
 ]
 
 
-def _pieces(documents: DataFrame) -> DataFrame:
+PER_PAGE = 8
+
+
+def stretches(documents: DataFrame) -> DataFrame:
+    """The lines of a document, one row per span: dealt out by ``(doc_id, span)``, texts move once and the blocks are made where they stay."""
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    return documents.select(
-        "doc_id", F.posexplode(F.filter(trimmed, lambda x: x != "")).alias("i", "raw")
-    )
+    size = PER_PAGE * layout.SPAN_PAGES
+
+    def cut(lines):
+        spans = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / size).cast("int"))
+        return F.when(F.size(lines) > 0, F.transform(spans, lambda k: F.slice(lines, k * size + 1, size)))
+
+    return documents.select("doc_id", F.posexplode(let(F.filter(trimmed, lambda x: x != ""), cut)).alias("span", "lines"))
+
+
+def _pieces(documents: DataFrame) -> DataFrame:
+    parts = documents if "lines" in documents.columns else stretches(documents)
+    return parts.select("doc_id", "span", F.posexplode("lines").alias("k", "raw")).select(
+        "doc_id", "span", (F.col("span") * PER_PAGE * layout.SPAN_PAGES + F.col("k")).alias("i"), "raw")
 
 
 def block_plan(documents: DataFrame) -> DataFrame:
-    """One row per block: type, wording and box, before lines are built."""
+    """One row per block: type, wording and box, before lines are built. ``documents``: doc_id and text, or their ``stretches``."""
     i, d, raw = F.col("i"), F.col("doc_id"), F.col("raw")
     kind = F.when(i == 0, "SectionHeader").otherwise(
         F.element_at(F.array(*[F.lit(t) for t in TYPES]), ((d * 7 + i * 5) % 16 + 1).cast("int"))
@@ -59,7 +75,7 @@ def block_plan(documents: DataFrame) -> DataFrame:
     slot = F.col("slot")
     return (
         _pieces(documents)
-        .withColumn("page", (F.floor(i / 8) + 1).cast("int")).withColumn("slot", (i % 8).cast("int"))
+        .withColumn("page", (F.floor(i / PER_PAGE) + 1).cast("int")).withColumn("slot", (i % PER_PAGE).cast("int"))
         .withColumn("seq", ((slot * 5 + d) % 8).cast("int")).withColumn("block_type", kind)
         .withColumn("text", text)
         .withColumn("x0", F.when(slot.between(4, 6), 310.0).otherwise(50.0))
@@ -83,6 +99,7 @@ def block_plan(documents: DataFrame) -> DataFrame:
 
 
 def layout_blocks(documents: DataFrame) -> DataFrame:
+    """The layout table; blocks of ``stretches`` keep their span."""
     p = block_plan(documents)
     d, i = F.col("doc_id"), F.col("i")
 
@@ -119,7 +136,7 @@ def layout_blocks(documents: DataFrame) -> DataFrame:
     )
     grouped = (F.col("block_type") == "Table") & (i % 2 == 0)
     return p.select(
-        "doc_id", "page", "seq", F.when(grouped, "TableGroup").otherwise(F.col("block_type")).alias("block_type"),
+        "doc_id", *(["span"] if "lines" in documents.columns else []), "page", "seq", F.when(grouped, "TableGroup").otherwise(F.col("block_type")).alias("block_type"),
         ((d * 3 + i) % 29 == 0).alias("removed"), bbox.alias("bbox"), html.alias("html"),
         F.transform(indices, line).alias("lines"),
         F.when(grouped, children).otherwise(F.lit(None)).cast(f"array<{schemas.CHILD}>").alias("children"),
