@@ -64,8 +64,8 @@ def settle(df: DataFrame, by: list | None = None) -> DataFrame:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(shared_folder(spark))
         return df.checkpoint(eager=True)
-    name = f"settled_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    number = uuid.uuid4().hex
+    name, path = f"settled_{number}", f"{shared_folder(spark).rstrip('/')}/settled-{number}"
     by = by or (SPAN if set(SPAN) <= set(df.columns) else None)
     if by:
         n = tasks(spark)
