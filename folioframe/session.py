@@ -23,9 +23,23 @@ SETTINGS = {
 BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+# Up to what size a side of a join is broadcast: by its estimate, and as its shuffle has measured it.
+ESTIMATED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
 def tune(spark: SparkSession) -> SparkSession:
+    """Take the settings above. The session's broadcast threshold holds for measured sizes only.
+
+    An estimate goes by the bytes of files, and slim columns take a hundred times less there than as rows: a table of every block would pass for a small
+    one and go through the driver.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    held = spark.conf.get(ESTIMATED)
+    if not held.startswith("-"):
+        if spark.conf.get(MEASURED, None) is None:
+            spark.conf.set(MEASURED, held)
+        spark.conf.set(ESTIMATED, "-1")
     return spark
 
 

@@ -9,7 +9,7 @@ from folioframe.operators import scans
 from folioframe.operators import walk as W
 from folioframe.operators.merges import ROW_KEY
 from folioframe.plans import extract as X
-from folioframe.session import settle
+from folioframe.session import settle, tune
 from folioframe.sources import catalog
 from folioframe.sources.layout import PAGE_KEY, span_of
 
@@ -43,6 +43,24 @@ def test_scans_move_summaries_only(spark):
     assert many.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c")).where("n <> c - 1").count() == 0
 
 
+def test_packed_rows_are_not_broadcast_by_the_size_of_their_files(spark):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    held = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "64k")
+        tune(spark)
+        wide, slim = settle(_rows(spark).withColumn("payload", F.lit("x"))), settle(_rows(spark))
+        # 4,000 rows: some 30 KB as files, 160 KB as rows.
+        every, few = wide.join(slim, ROW_KEY), wide.join(spark.range(7).withColumnRenamed("id", "doc_id"), "doc_id")
+        assert len(every.collect()) == 4000 and "Broadcast" not in _plan(every)
+        # What has been shuffled and is small is broadcast as before.
+        assert len(few.collect()) == 4000 and "BroadcastHashJoin" in _plan(few)
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_walk_stores_texts_and_lines_once(spark, monkeypatch):
     stored = []
     monkeypatch.setattr(W, "settle", lambda df: stored.append(df.columns) or settle(df))
