@@ -1,9 +1,10 @@
 """Settled rows lie where page work needs them, and wide columns are stored once."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.registry import bronze, page_tables
+from checks.registry import QUERIES, bronze, page_tables
 from folioframe.operators import edits as D
 from folioframe.operators import scans
 from folioframe.operators import walk as W
@@ -61,6 +62,14 @@ def test_packed_rows_are_not_broadcast_by_the_size_of_their_files(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("name", ["analyzed_documents"])
+def test_no_side_is_broadcast_unmeasured(spark, name):
+    import __spark_entry__  # noqa: F401
+
+    plan = _plan(QUERIES[name](spark, SF))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_walk_stores_texts_and_lines_once(spark, monkeypatch):
     stored = []
     monkeypatch.setattr(W, "settle", lambda df: stored.append(df.columns) or settle(df))
