@@ -62,7 +62,7 @@ def test_packed_rows_are_not_broadcast_by_the_size_of_their_files(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["analyzed_documents", "both_projections", "reader_views", "chain_members"])
+@pytest.mark.parametrize("name", ["analyzed_documents", "both_projections", "reader_views", "chain_members", "footnotes_of_linear"])
 def test_no_side_is_broadcast_unmeasured(spark, name):
     import __spark_entry__  # noqa: F401
 
