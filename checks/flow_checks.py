@@ -24,19 +24,23 @@ from folioframe.session import settle
 BOX = ["x0", "y0", "x1", "y1"]
 
 
-@shared
-def plain_linear(spark, sf_dir):
+def linear_rows_of(b):
     """Linear rows of every block but dropped types: no filters, first header of a document as title."""
-    b = O.reading_order(scans.by_span(blocks(spark, sf_dir))).where(~F.col("block_type").isin(V.DROP_TYPES))
+    b = O.reading_order(scans.by_span(b)).where(~F.col("block_type").isin(V.DROP_TYPES))
     header, image = F.col("block_type") == "SectionHeader", F.col("block_type").isin(V.IMAGE_TYPES)
     b = scans.dense_index(b, ["page", "ord"], "ri")
     role = F.when(header, F.when(F.col("ri") == 0, "title").otherwise("section_header")).when(
         image, T.image_role("block_type")).otherwise(T.text_role("block_type"))
     talks = ~header & F.col("block_type").isin(V.TEXT_TYPES)
-    return settle(b.withColumn("role", role).select(
+    return b.withColumn("role", role).select(
         "doc_id", "span", "page", "ri", "role", "text", *BOX,
         F.when(talks, build_sentences()).otherwise(W.empty(W.NO_SENTENCES)).alias("sentences"), W.empty(W.NO_NOTES).alias("footnotes"),
-        F.lit(False).alias("continuation"), F.lit("").alias("caption_text"), F.lit(None).cast(W.NO_BOX).alias("caption_bbox")))
+        F.lit(False).alias("continuation"), F.lit("").alias("caption_text"), F.lit(None).cast(W.NO_BOX).alias("caption_bbox"))
+
+
+@shared
+def plain_linear(spark, sf_dir):
+    return settle(linear_rows_of(blocks(spark, sf_dir)))
 
 
 def page_rows_of(b):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from checks import sqlkit as K
 from checks.answer_checks import _PE, _PHASES, progress_events
-from checks.flow_checks import BOX, PLAIN, page_rows_of, plain_linear, plain_pages
-from checks.registry import check, documents, table
+from checks.flow_checks import BOX, PLAIN, linear_rows_of, page_rows_of
+from checks.registry import blocks, check, documents, page_tables, table
 from folioframe import schemas
 from folioframe.session import settle, shared_folder
 from folioframe.sources import catalog, sample_layout
@@ -31,16 +31,17 @@ def _nested(pages, page_rows, linear, docs, filename):
    union all select doc_id, page, ri, 'linear', "role", text, x0, y0, x1, y1, case when doc_id % 3 = 0 then 'second' else 'first' end from pl where doc_id % 3 <> 0 or "role" = 'paragraph'""", PLAIN))
 def stored_analyses(spark, sf_dir):
     """Analyses of all documents are stored; those of every third document are replaced by shorter ones; then everything is read back."""
-    pages, rows, docs = plain_pages(spark, sf_dir), plain_linear(spark, sf_dir), documents(spark, sf_dir)
-    sheets, path = sample_layout.layout_pages(docs), _folder(spark, "analyses")
+    # Rows are made from their blocks where these lie, each time a write needs them: so they are not stored twice.
+    every, docs = blocks(spark, sf_dir), table(spark, sf_dir, "documents")
+    pages, rows = page_rows_of(every), linear_rows_of(every)
+    sheets, path = page_tables(spark, sf_dir)["layout_pages"], _folder(spark, "analyses")
     third = F.col("doc_id") % 3 == 0
     catalog.write_analysis(_nested(sheets, pages, rows, docs, F.lit("first")), path)
     some = rows.where(third & (F.col("role") == "paragraph"))
     catalog.write_analysis(_nested(sheets.where(third), pages.where(third), some, docs.where(third), F.lit("second")), path)
     back = catalog.read_analysis(spark, path)
-    flat, cols = catalog.flatten_analysis(back), ["doc_id", "page", "ri", "kind", "role", "text", *BOX]
-    every = flat["page_rows"].select(cols).unionByName(flat["linear"].withColumn("kind", F.lit("linear")).select(cols))
-    return every.join(back.select("doc_id", "filename"), "doc_id")
+    flat, cols = catalog.flatten_analysis(back, ("filename",)), ["doc_id", "page", "ri", "kind", "role", "text", *BOX, "filename"]
+    return flat["page_rows"].select(cols).unionByName(flat["linear"].withColumn("kind", F.lit("linear")).select(cols))
 
 
 _NAME = "case when doc_id % 7 = 0 then 'rejected' when doc_id in (select doc_id from labels) then 'conflict' else 'admitted' end"

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioframe import schemas
 from folioframe.functions import fixed_values as V
@@ -9,7 +10,7 @@ from folioframe.functions import geometry as G
 from folioframe.operators import scans
 from folioframe.operators.edits import latest_edit
 from folioframe.sources.layout import PAGE_KEY, span_of
-from folioframe.sources.store import BUCKETS, BucketStore
+from folioframe.sources.store import BUCKETS, BucketStore, write_tasks
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +74,10 @@ def _box():
 def nest_analysis(pages: DataFrame, page_rows: DataFrame, linear: DataFrame, metadata: DataFrame, info: DataFrame) -> DataFrame:
     """One row per document in the exchange format. ``info``: doc_id, filename, global_map, language.
 
-    Page parts are nested page by page first, so the last grouping handles one row per page.
+    Page parts are nested page by page first, so the last grouping handles one row per page, and linear rows by span. What has been nested moves to its document once, over the tasks
+    that a store writes from.
     """
+    n = write_tasks(linear.sparkSession)
     block = F.when(F.col("kind") == "block", F.struct(
         "text", F.array(_box()).alias("boxes"), "sentences", F.col("ri").alias("reading_index"), "continuation", "role", "footnotes"))
     image = F.when(F.col("kind") == "image", F.struct(
@@ -89,11 +92,12 @@ def nest_analysis(pages: DataFrame, page_rows: DataFrame, linear: DataFrame, met
     shown = scans.by_span(pages.withColumn("span", span_of("page")))
     nested = shown.join(by_page, PAGE_KEY, "left").join(left_out, PAGE_KEY, "left").select("doc_id", F.struct(
         "page", "width", "height", empty("blocks", schemas.PARAGRAPH), empty("images", schemas.IMAGE), empty("metadata_blocks", schemas.METADATA)).alias("p"))
-    page_lists = nested.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("pages"))
+    page_lists = nested.repartition(n, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("pages"))
     full = F.struct(
         "role", "text", "page", _box().alias("bbox"), F.col("ri").alias("reading_index"), "sentences", "flat_block_ref", "continuation",
         "caption_text", "caption_bbox", "footnotes", "layout_type")
-    flow = linear.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ri", full.alias("v")))), lambda x: x["v"]).alias("linear_blocks"))
+    by_span = linear.groupBy("doc_id", "span").agg(F.collect_list(F.struct("ri", full.alias("v"))).alias("rows"))
+    flow = by_span.repartition(n, "doc_id").groupBy("doc_id").agg(F.transform(F.array_sort(F.flatten(F.collect_list("rows"))), lambda x: x["v"]).alias("linear_blocks"))
     return page_lists.join(flow, "doc_id", "left").join(info, "doc_id").select(
         "doc_id", "filename", F.size("pages").alias("page_count"), "global_map", "pages",
         empty("linear_blocks", schemas.FULL_BLOCK), F.coalesce("language", F.lit(V.DEFAULT_LANGUAGE)).alias("language"))
@@ -102,7 +106,10 @@ def nest_analysis(pages: DataFrame, page_rows: DataFrame, linear: DataFrame, met
 def write_analysis(analysis: DataFrame, path: str, fmt: str = "json", buckets: int = BUCKETS) -> None:
     """Documents at hand replace those of the same doc_id, the others stay; see ``BucketStore``."""
     spark = analysis.sparkSession
-    whole = spark.createDataFrame([], schemas.ANALYSIS).unionByName(analysis, allowMissingColumns=True)
+    # An empty table that the optimizer takes away, so that rows stay where they lie.
+    fields = T.StructType.fromDDL(schemas.ANALYSIS)
+    none = spark.range(1).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    whole = none.unionByName(analysis, allowMissingColumns=True)
     BucketStore(spark, path, schemas.ANALYSIS, fmt=fmt, buckets=buckets).replace(whole)
 
 
@@ -114,30 +121,30 @@ def read_analysis(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
         "linear_blocks", F.coalesce("linear_blocks", F.expr("array()").cast(f"array<{schemas.FULL_BLOCK}>")))
 
 
-def flatten_analysis(analysis: DataFrame) -> dict:
-    """The flat tables of nested analyses, with defaults for what is missing."""
+def flatten_analysis(analysis: DataFrame, keep: tuple = ()) -> dict:
+    """The flat tables of nested analyses, with defaults for what is missing. Rows carry the columns ``keep`` of their document."""
     no_sent, no_notes = F.expr("array()").cast(f"array<{schemas.SENTENCE}>"), F.expr("array()").cast(f"array<{schemas.FOOTNOTE}>")
-    p = analysis.select("doc_id", F.inline("pages")).withColumn("span", span_of("page"))
+    p = analysis.select("doc_id", *keep, F.inline("pages")).withColumn("span", span_of("page"))
     box = lambda b: [F.col(f"{b}.{c}").alias(c) for c in G.Box._fields]
-    blocks = p.select(*PAGE_KEY, F.explode("blocks").alias("b")).withColumn("u", G.union_bbox("b.boxes")).select(
-        *PAGE_KEY, F.coalesce("b.reading_index", F.lit(0)).alias("ri"), F.lit("block").alias("kind"),
+    blocks = p.select(*PAGE_KEY, *keep, F.explode("blocks").alias("b")).withColumn("u", G.union_bbox("b.boxes")).select(
+        *PAGE_KEY, *keep, F.coalesce("b.reading_index", F.lit(0)).alias("ri"), F.lit("block").alias("kind"),
         F.coalesce("b.role", F.lit("paragraph")).alias("role"), F.coalesce("b.text", F.lit("")).alias("text"), *box("u"),
         F.coalesce("b.sentences", no_sent).alias("sentences"), F.coalesce("b.footnotes", no_notes).alias("footnotes"),
         F.coalesce("b.continuation", F.lit(False)).alias("continuation"), F.lit("").alias("caption_text"),
         F.lit(None).cast(schemas.BBOX).alias("caption_bbox"))
-    images = p.select(*PAGE_KEY, F.explode("images").alias("b")).select(
-        *PAGE_KEY, F.coalesce("b.reading_index", F.lit(0)).alias("ri"), F.lit("image").alias("kind"),
+    images = p.select(*PAGE_KEY, *keep, F.explode("images").alias("b")).select(
+        *PAGE_KEY, *keep, F.coalesce("b.reading_index", F.lit(0)).alias("ri"), F.lit("image").alias("kind"),
         F.coalesce("b.role", F.lit("figure")).alias("role"), F.lit("").alias("text"), *box("b.bbox"), no_sent.alias("sentences"),
         no_notes.alias("footnotes"), F.lit(False).alias("continuation"), F.coalesce("b.caption_text", F.lit("")).alias("caption_text"),
         F.col("b.caption_bbox").alias("caption_bbox"))
-    linear = analysis.select("doc_id", F.explode("linear_blocks").alias("b")).select(
-        "doc_id", F.col("b.page").alias("page"), F.col("b.reading_index").alias("ri"), F.col("b.role").alias("role"),
+    linear = analysis.select("doc_id", *keep, F.explode("linear_blocks").alias("b")).select(
+        "doc_id", *keep, F.col("b.page").alias("page"), F.col("b.reading_index").alias("ri"), F.col("b.role").alias("role"),
         F.coalesce("b.text", F.lit("")).alias("text"), *box("b.bbox"), F.coalesce("b.sentences", no_sent).alias("sentences"),
         F.coalesce("b.footnotes", no_notes).alias("footnotes"), F.coalesce("b.continuation", F.lit(False)).alias("continuation"),
         F.coalesce("b.caption_text", F.lit("")).alias("caption_text"), F.col("b.caption_bbox").alias("caption_bbox"),
         F.col("b.flat_block_ref").alias("flat_block_ref"), F.col("b.layout_type").alias("layout_type")).withColumn("span", span_of("page"))
-    left_out = p.select(*PAGE_KEY, F.posexplode("metadata_blocks").alias("seq", "b")).select(
-        *PAGE_KEY, "seq", F.coalesce("b.source_type", F.lit("")).alias("source_type"), F.coalesce("b.text", F.lit("")).alias("text"),
+    left_out = p.select(*PAGE_KEY, *keep, F.posexplode("metadata_blocks").alias("seq", "b")).select(
+        *PAGE_KEY, *keep, "seq", F.coalesce("b.source_type", F.lit("")).alias("source_type"), F.coalesce("b.text", F.lit("")).alias("text"),
         *box("b.bbox"), F.coalesce("b.sentences", no_sent).alias("sentences"))
-    return {"pages": p.select("doc_id", "page", F.coalesce("width", F.lit(0.0)).alias("width"), F.coalesce("height", F.lit(0.0)).alias("height")),
+    return {"pages": p.select("doc_id", *keep, "page", F.coalesce("width", F.lit(0.0)).alias("width"), F.coalesce("height", F.lit(0.0)).alias("height")),
             "page_rows": blocks.unionByName(images), "linear": linear, "metadata": left_out}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import registry
 from folioframe.session import settle, shared_folder
+from folioframe.sources import store
 from folioframe.sources.store import BucketStore
 
 
@@ -40,3 +41,42 @@ def test_tasks_grow_with_the_texts(spark, monkeypatch):
     size = registry.table(spark, sf, "documents").agg(F.sum(F.octet_length("text"))).first()[0]
     monkeypatch.setattr(registry, "TASK_BYTES", size // 100)
     assert 100 <= registry.documents(spark, sf).rdd.getNumPartitions() <= 102
+
+
+def test_replace_stores_rows_once(spark, fresh_dir, monkeypatch):
+    stored, computed = [], spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(store, "settle", lambda df: stored.append(df.columns) or settle(df))
+    made = BucketStore(spark, f"{fresh_dir}/s", "doc_id bigint, text string", fmt="json", buckets=4)
+
+    def counted(x):
+        computed.add(1)
+        return x
+
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.udf(counted, "string")(F.col("id").cast("string")).alias("text"))
+    made.replace(rows)
+    made.replace(rows.where("doc_id >= 900"))
+    assert computed.value == 1100 and all(c == ["doc_id"] for c in stored)
+    assert sorted((r.doc_id, r.text) for r in made.read().collect()) == [(i, str(i)) for i in range(1000)]
+
+
+def test_rows_that_lie_by_key_are_written_where_they_are(spark, fresh_dir):
+    made = BucketStore(spark, f"{fresh_dir}/s", "doc_id bigint, text string", buckets=4)
+    n = store.write_tasks(spark, 4)
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    made.replace(rows)
+    files = glob.glob(f"{fresh_dir}/s/data/*/bucket=*/part-*")
+    assert len(files) == n and made.read().count() == 4000
+    lying = rows.repartition(n, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    plan = made._dealt(lying.select("doc_id", "text", made._bucket().alias("bucket")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_a_store_of_an_older_hash_keeps_it(spark, fresh_dir):
+    old = BucketStore(spark, f"{fresh_dir}/s", "doc_id bigint, text string", buckets=4)
+    old.hash = "xxhash64"
+    old.replace(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("old").alias("text")))
+    spark.read.json(f"{fresh_dir}/s/manifest/seq=1").drop("hash").write.json(f"{fresh_dir}/s/manifest/seq=2")
+    now = BucketStore(spark, f"{fresh_dir}/s", "doc_id bigint, text string")
+    now.replace(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("new").alias("text")))
+    assert {(r.text, r.n) for r in now.read().groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect()} == {("old", 50), ("new", 50)}
+    assert now.of_keys(spark.range(60, 70).select(F.col("id").alias("doc_id"))).count() == 10
