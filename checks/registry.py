@@ -53,6 +53,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(_plan(spark, docs), "doc_id")
 
 
+def documents_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents where their files lie; later steps have as many tasks as their texts need."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _plan(spark, docs)
+    return docs
+
+
 def _plan(spark: SparkSession, docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return plan_tasks(spark, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))

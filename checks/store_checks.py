@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import sqlkit as K
 from checks.answer_checks import _PE, _PHASES, progress_events
 from checks.flow_checks import BOX, PLAIN, linear_rows_of, page_rows_of
-from checks.registry import blocks, check, documents, page_tables, table
+from checks.registry import blocks, check, documents_in_place, page_tables, table
 from folioframe import schemas
 from folioframe.session import settle, shared_folder
 from folioframe.sources import catalog, sample_layout
@@ -51,9 +51,9 @@ _NAME = "case when doc_id % 7 = 0 then 'rejected' when doc_id in (select doc_id
    union all select doc_id, null, null, 'verdict', {_NAME}, 'doc' || doc_id || '.pdf' from (select distinct doc_id from blk)""", PLAIN))
 def stream_documents(spark, sf_dir):
     """Layout files arrive in three lots, each with some pages of every document; every fifth document gets its name with the last lot only."""
-    docs = documents(spark, sf_dir)
-    layout = settle(sample_layout.layout_blocks(docs))
-    sheets = sample_layout.layout_pages(docs)
+    # Each lot makes its own blocks where the documents are read, so no text moves and no block is stored but as arriving.
+    docs = documents_in_place(spark, sf_dir)
+    layout, sheets = sample_layout.layout_blocks(docs), sample_layout.layout_pages(docs)
     source, out, checkpoint = (_folder(spark, n) for n in ("layout", "streamed", "progress"))
     labels = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"))
     named = docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),

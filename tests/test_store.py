@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from checks import registry
 from folioframe.session import settle, shared_folder
-from folioframe.sources import store
+from folioframe.sources import sample_layout, store
 from folioframe.sources.store import BucketStore
+from folioframe.streaming import jobs
 
 
 def _bytes(folder):
@@ -80,3 +81,15 @@ def test_a_store_of_an_older_hash_keeps_it(spark, fresh_dir):
     now.replace(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("new").alias("text")))
     assert {(r.text, r.n) for r in now.read().groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect()} == {("old", 50), ("new", 50)}
     assert now.of_keys(spark.range(60, 70).select(F.col("id").alias("doc_id"))).count() == 10
+
+
+def test_arriving_rows_are_stored_once(spark, fresh_dir, monkeypatch):
+    stored = []
+    for module in (jobs, store):
+        monkeypatch.setattr(module, "settle", lambda df: stored.append(df.columns) or settle(df))
+    docs = spark.createDataFrame([(1, "Some words.\nMore of them."), (2, "Other words.")], "doc_id long, text string")
+    sample_layout.layout_blocks(docs).write.parquet(f"{fresh_dir}/in")
+    known = spark.createDataFrame([("doc1.pdf",), ("doc2.pdf",)], "filename string")
+    jobs.stream_documents(spark, f"{fresh_dir}/in", lambda: known, lambda blocks: None, f"{fresh_dir}/out", f"{fresh_dir}/cp").awaitTermination()
+    assert {(r.doc_id, r.verdict) for r in jobs.read_verdicts(spark, f"{fresh_dir}/out").collect()} == {(1, "conflict"), (2, "conflict")}
+    assert stored and not [c for c in stored if "lines" in c]
