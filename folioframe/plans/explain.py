@@ -117,9 +117,10 @@ def answers(requests: DataFrame, cache: DataFrame | str, client_factory: Callabl
         spark.createDataFrame([], ANSWER).write.mode("append").parquet(path)
         cache = spark.read.schema(ANSWER).parquet(path)
     _, todo = E.cache_lookup(requests, read(cache).select("key"))
-    asked = settle(E.score_requests(todo, client_factory, wait=wait).select("key", "status", "body", "finish"))
+    asked = E.score_requests(todo, client_factory, wait=wait).select("key", "status", "body", "finish")
     refused = F.when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), F.concat(F.lit("Status "), F.coalesce(F.col("status").cast("string"), F.lit("None"))))
-    fresh = E.parse_model_json(asked, schemas.EXPLAIN_RESPONSE).withColumn("error", F.coalesce(refused, "error"))
+    # Judged where they come in, so that neither the good nor the others are parsed again to be told apart.
+    fresh = settle(E.parse_model_json(asked, schemas.EXPLAIN_RESPONSE).select("key", "status", "body", "finish", F.coalesce(refused, "error").alias("error")))
     good = fresh.where("error is null").select("key", "body", "finish")
     if not path:
         return read(cache.select("key", "body", "finish").unionByName(good))

@@ -62,3 +62,19 @@ def test_prompts_of_prepared_requests_are_those_of_requests(spark):
     want = PE.requests(PE.payloads(rows), info).select("doc_id", "chain", "key", "prompt")
     assert asked.where("prompt like '%[Footnote] a note%'").count() > 0
     assert sorted(asked.collect()) == sorted(want.collect())
+
+
+def test_answers_are_judged_once(spark, fresh_dir, monkeypatch):
+    stored, settle = [], PE.settle
+    monkeypatch.setattr(PE, "settle", lambda df: stored.append(df.columns) or settle(df))
+
+    def client():
+        body = '{"sentence_explanations": [], "paragraph_context": {"section_role": "r", "narrative": "n"}}'
+        return lambda prompt: (200, body if prompt == "good" else "{", "STOP")
+
+    requests = spark.createDataFrame([("a", "good"), ("b", "bad")], "key string, prompt string")
+    got = PE.answers(requests, f"{fresh_dir}/answers", client, wait=False)
+    # What is stored says which answers are good, so none is parsed again to tell.
+    assert stored == [["key", "status", "body", "finish", "error"]]
+    assert [r.key for r in got.collect()] == ["a"]
+    assert [(r.key, r.error is not None) for r in spark.read.parquet(f"{fresh_dir}/answers_errors").collect()] == [("b", True)]
